@@ -24,7 +24,7 @@ from lapwing.llm.common import table
 #: Pages that the fit uses, and layouts that each is laid out in besides its own.
 SAMPLE, LAYOUTS = 200, 4
 #: Cost of entering the article, and of cutting a part out of it, in log-odds.
-ENTER, LEAVE = 6.0, 1.5
+ENTER, LEAVE = 6.0, 4.0
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
