@@ -7,10 +7,10 @@ are then verified. A ball is enumerated from one end only: of two segments one b
 exactly one has that bit set, and it alone visits the other by clearing it.
 
 Texts with one fingerprint are one row before any lookup, so exact copies never meet in pairs.
-Links at up to two bits are first taken through shared centres (a fingerprint or a value one
-bit away), linear in the number of fingerprints; only pairs from different groups of those
-are then fetched by multi-index hashing. No link is lost, and large groups of near copies
-do not come out as pairs.
+Fingerprints of crowded segments are first linked at up to two bits through shared centres (a
+fingerprint or a value one bit away), linear in their number; only pairs from different groups
+of those are then fetched by multi-index hashing. No link is lost, and large groups of near
+copies do not come out as pairs.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from lapwing.llm.components import connected_components
 
 #: The words of a shingle, the seed of XXH64, bits that linked fingerprints may differ in.
 SHINGLE, SEED, BITS = 3, 42, 3
+#: Fingerprints under one segment from which on they are linked through centres first.
+CROWD = 8
 
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").copy().view(np.uint64).ravel()
 #: Shingles whose hashes are held at once.
@@ -77,6 +79,20 @@ def _balls(fps: DataFrame, column: str, width: int) -> DataFrame:
     return fps.withColumn("around", around)
 
 
+def _segments(fps: DataFrame) -> DataFrame:
+    """(fp, ..., seg, value): the two halves of each fingerprint."""
+    high, low = F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+    halves = F.array(F.struct(F.lit(0).alias("seg"), high.alias("value")), F.struct(F.lit(1).alias("seg"), low.alias("value")))
+    return fps.select("*", F.inline(halves))
+
+
+def _crowded(fps: DataFrame) -> DataFrame:
+    """The fingerprints that share a segment with many others."""
+    cut_up = _segments(fps.select("fp"))
+    full = cut_up.groupBy("seg", "value").agg(F.count("*").alias("n")).where(F.col("n") >= CROWD).select("seg", "value")
+    return cut_up.join(full, ["seg", "value"]).select("fp").distinct()
+
+
 def _close_groups(fps: DataFrame) -> DataFrame:
     """(node, component) by links of at most two bits, each through a centre at most one bit from both ends."""
     bits = F.array(*[F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)])
@@ -91,8 +107,7 @@ def _close_groups(fps: DataFrame) -> DataFrame:
 
 def _lookups(nodes: DataFrame) -> DataFrame:
     """(a, b) of the verified pairs at most ``BITS`` apart whose ends lie in different groups."""
-    high, low = F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
-    cutup = nodes.select("fp", "close", F.explode(F.array(F.struct(F.lit(0).alias("seg"), high.alias("value")), F.struct(F.lit(1).alias("seg"), low.alias("value")))).alias("s")).select("fp", "close", "s.seg", "s.value")
+    cutup = _segments(nodes.select("fp", "close"))
     stored = cutup.select(F.col("fp").alias("a"), F.col("close").alias("close_a"), "seg", F.col("value").alias("key"))
     ball = _balls(cutup, "value", 32).select(F.col("fp").alias("b"), F.col("close").alias("close_b"), F.col("seg").alias("seg_b"), F.col("value").alias("own"), F.explode(F.concat(F.array("value"), F.col("around"))).alias("key_b"))
     apart = F.col("a").bitwiseXOR(F.col("b"))
@@ -104,7 +119,7 @@ def _lookups(nodes: DataFrame) -> DataFrame:
 def components(prints: DataFrame) -> DataFrame:
     """(fp, component, rep): for each distinct fingerprint of ``prints`` (id, fp) its group and the group's smallest id."""
     fps = cut(prints.groupBy("fp").agg(F.min("id").alias("least_id")))
-    close = _close_groups(fps.select("fp"))
+    close = _close_groups(cut(_crowded(fps)))
     nodes = cut(fps.join(close, fps["fp"] == close["node"], "left").select("fp", "least_id", F.coalesce("component", "fp").alias("close")))
     pairs = _lookups(nodes.select("fp", "close"))
     far = nodes.select("fp", "close")
