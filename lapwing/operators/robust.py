@@ -14,7 +14,7 @@ Names = Sequence[str]
 
 def quantile_bucket(df: DataFrame, keys: Names, column: str, parts: int, base: Column, out: str) -> DataFrame:
     """Bucket 0 to parts-1 by the inner quantiles of the base rows, equal edges counting once, right-closed; null out of range."""
-    edges = df.groupBy(*keys).agg(F.array_distinct(F.expr(f"percentile({column}, array({', '.join(str(i / parts) for i in range(parts + 1))}))") if base is None else F.percentile(F.when(base, F.col(column)), F.array(*[F.lit(i / parts) for i in range(parts + 1)]))).alias("__edges"))
+    edges = df.groupBy(*keys).agg(F.array_distinct(F.percentile(F.when(base, F.col(column)), F.array(*[F.lit(i / parts) for i in range(parts + 1)]))).alias("__edges"))
     rows = df.join(edges, list(keys)) if keys else df.join(F.broadcast(edges))
     e, n = F.col("__edges"), F.size("__edges")
     below = F.size(F.filter(F.slice(e, 2, F.greatest(n - 2, F.lit(0))), lambda x: x < F.col(column)))
@@ -27,7 +27,7 @@ def robust_z(df: DataFrame, keys: Names, column: str, base: Column, out: str, le
     center = df.groupBy(*keys).agg(F.median(F.when(base, F.col(column))).alias("__m"))
     near = df.join(center, list(keys))
     spread = near.groupBy(*keys).agg((F.median(F.when(base, F.abs(F.col(column) - F.col("__m")))) * MAD_SCALE).alias("__s"))
-    return near.join(spread, list(keys)).withColumn(out, F.round(F.when(F.col("__s") > least, (F.col(column) - F.col("__m")) / F.col("__s")), 2)).drop("__m", "__s")
+    return near.join(spread, list(keys)).withColumn(out, F.round(F.when(F.col("__s") > least, (F.col(column) - F.col("__m")) / F.col("__s")), 2) + 0.0).drop("__m", "__s")
 
 
 def all_of(df: DataFrame, keys: Names, flag: Column, out: str) -> DataFrame:

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lapwing.plans import lap_queries, point_queries, series_queries
+
+QUERIES: dict = {**series_queries.QUERIES, **lap_queries.QUERIES, **point_queries.QUERIES}
+ORACLES: dict = {**series_queries.ORACLES, **lap_queries.ORACLES, **point_queries.ORACLES}
