@@ -20,21 +20,26 @@ OVER_FILES = -(1 << 62)
 
 
 def warc_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
-    """(file, ordinal, offset, length, record): each page as a response record, laid end to end in files of ids that lie together.
-
-    A null body is empty, a null url an empty target. Records without an id go to files of
-    their own by hash. Repeated rows are records of their own.
-    """
+    """(id, record): each page as a response record. A null body is empty, a null url an empty target."""
     body = F.coalesce(F.col(body_col), F.lit("")).cast("binary")
     head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(">\r\nWARC-Target-URI: "), F.coalesce(F.col(url_col), F.lit("")), F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
-    record = F.concat(F.encode(head, "utf-8"), body, F.encode(F.lit("\r\n\r\n"), "utf-8"))
-    rows = pages.select(F.col(id_col).alias("id"), record.alias("record"))
-    rows = rows.withColumn("length", F.octet_length("record").cast("long")).withColumn("mix", F.xxhash64("record"))
+    return pages.select(F.col(id_col).alias("id"), F.concat(F.encode(head, "utf-8"), body, F.encode(F.lit("\r\n\r\n"), "utf-8")).alias("record"))
+
+
+def digests(records: DataFrame, *more: Column) -> DataFrame:
+    """(id, length, mix, hash, more...): what a tree needs of each record. Records are hashed where they lie and not shuffled."""
+    return records.select("id", F.octet_length("record").cast("long").alias("length"), F.xxhash64("record").alias("mix"), F.sha2("record", 256).alias("hash"), *more)
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """``rows`` with file, ordinal and offset: digests laid end to end, in files of ids that lie together, by id and then by hash.
+
+    Records without an id go to files of their own by hash; repeated rows are records of their own.
+    A file whose ids are repeated without end is still ranked in parts.
+    """
     file = F.coalesce(F.floor(F.col("id") / PER_FILE), F.lit(-1).cast("long") - F.pmod("mix", F.lit(1 << 20)))
-    rows = rows.withColumn("file", file.cast("long"))
-    # a file whose ids are repeated without end is still ranked in parts, by id and then by hash
     part = F.coalesce(F.pmod("id", F.lit(PER_FILE)), F.lit(0)) * 64 + F.shiftrightunsigned("mix", 58)
-    return running(rows, ["file"], part, ["id", "mix"], {"ordinal": "1", "offset": "length"}).select("file", "ordinal", "offset", "length", "record")
+    return running(rows.withColumn("file", file.cast("long")), ["file"], part, ["id", "mix"], {"ordinal": "1", "offset": "length"})
 
 
 def shape(*replicas: DataFrame) -> tuple[int, int, int]:
@@ -44,14 +49,14 @@ def shape(*replicas: DataFrame) -> tuple[int, int, int]:
     return max(f[0] for f in found), min(f[1] for f in found), max(f[2] for f in found)
 
 
-def tree(records: DataFrame, of: tuple[int, int, int], fanout: int = FANOUT) -> list[DataFrame]:
+def tree(rows: DataFrame, of: tuple[int, int, int], fanout: int = FANOUT) -> list[DataFrame]:
     """The levels of a replica's tree, from records to one root.
 
     Rows are (grp, node, up_grp, up_node, first, past, hash): a node, its parent, the offsets that
     it covers in its file, its digest. Runs of ``fanout`` make a node, inside files first, then over files.
     """
     ordinal, lo, hi = of
-    rows = records.select(F.col("file").alias("grp"), F.col("ordinal").alias("node"), F.col("offset").alias("first"), (F.col("offset") + F.col("length")).alias("past"), F.sha2("record", 256).alias("hash"))
+    rows = rows.select(F.col("file").alias("grp"), F.col("ordinal").alias("node"), F.col("offset").alias("first"), (F.col("offset") + F.col("length")).alias("past"), "hash")
     levels, most = [], ordinal
     while True:
         # the last level inside files has the files themselves as parents
@@ -107,7 +112,7 @@ def descend(a: list[DataFrame], b: list[DataFrame]) -> DataFrame:
 
 
 def audit(a: DataFrame, b: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """Builds the trees of two replicas (file, ordinal, offset, length, record) and descends them. Empty replicas and equal ones give no rows."""
+    """Builds the trees of two replicas (file, ordinal, offset, length, hash) and descends them. Empty replicas and equal ones give no rows."""
     of = shape(a, b)
     return descend(tree(a, of, fanout), tree(b, of, fanout))
 
@@ -117,20 +122,21 @@ DAMAGE_EVERY, ROTTEN, LOST = 97, 3, 11
 
 
 def op2_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audits a second replica of all pages, in which records were damaged by a rule on their place."""
+    """Audits a second replica of all pages, in which records were damaged by a rule on their ids."""
     records = warc_records(table(spark, sf_dir, "pages"))
-    turn = F.pmod(F.col("file") * PER_FILE + F.col("ordinal"), F.lit(DAMAGE_EVERY))
-    middle = F.floor(F.col("length") / 2).cast("int")
-    rotten = F.concat(F.substring(F.col("record"), F.lit(1), middle), F.lit(bytearray(b"\x15")), F.substring(F.col("record"), middle + 2, F.col("length").cast("int")))
-    copy = records.where(turn != LOST).withColumn("record", F.when(turn == ROTTEN, rotten).otherwise(F.col("record")))
-    return audit(records, copy)
+    turn, middle = F.pmod("id", F.lit(DAMAGE_EVERY)), F.floor(F.octet_length("record") / 2).cast("int")
+    rotten = F.concat(F.substring(F.col("record"), F.lit(1), middle), F.lit(bytearray(b"\x15")), F.substring(F.col("record"), middle + 2, F.octet_length("record")))
+    copy = F.when(turn == ROTTEN, F.sha2(rotten, 256)).when(turn == LOST, F.lit(None)).otherwise(F.sha2("record", 256))
+    both = cut(placed(digests(records, copy.alias("copy"))))
+    at = ["file", "ordinal", "offset", "length"]
+    return audit(both.select(*at, "hash"), both.where("copy is not null").select(*at, F.col("copy").alias("hash")))
 
 
 RECORD = "'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10)"
 ORACLE = f"""
 WITH r AS (SELECT page_id, page_id // {PER_FILE} AS file, strlen({RECORD}) AS length FROM pages),
-p AS (SELECT file, row_number() OVER w - 1 AS ordinal, sum(length) OVER w - length AS first, sum(length) OVER w AS past FROM r WINDOW w AS (PARTITION BY file ORDER BY page_id)),
-d AS (SELECT *, (file * {PER_FILE} + ordinal) % {DAMAGE_EVERY} AS turn FROM p)
+p AS (SELECT page_id, file, row_number() OVER w - 1 AS ordinal, sum(length) OVER w - length AS first, sum(length) OVER w AS past FROM r WINDOW w AS (PARTITION BY file ORDER BY page_id)),
+d AS (SELECT *, page_id % {DAMAGE_EVERY} AS turn FROM p)
 SELECT CAST(file AS BIGINT) AS file, CAST(ordinal AS BIGINT) AS ordinal, CAST(first AS BIGINT) AS first, CAST(past AS BIGINT) AS past, CASE turn WHEN {ROTTEN} THEN 'changed' ELSE 'missing' END AS status
 FROM d WHERE turn IN ({ROTTEN}, {LOST})
 """
