@@ -139,7 +139,7 @@ def fold_limited(df: DataFrame, keys: Names, order: str, value: str, bound: Colu
 
     A fold over a key's ordered values; meant for keys of some hundred knots. Also gives how far each value moved.
     """
-    knots = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v"), bound.cast("double").alias("b")))).alias("k"))
+    knots = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v"), bound.cast("double").alias("b")))).alias("__k"))
 
     def limited(values: Column) -> Column:
         def step(acc, k):
@@ -149,7 +149,7 @@ def fold_limited(df: DataFrame, keys: Names, order: str, value: str, bound: Colu
 
         return F.aggregate(values, F.array().cast("array<double>"), step)
 
-    both = knots.select(*keys, F.arrays_zip(F.col("k").alias("k"), limited(F.col("k")).alias("f"), F.reverse(limited(F.reverse("k"))).alias("r")).alias("z"))
-    rows = both.select(*keys, F.explode("z").alias("z"))
-    mean = (F.col("z.f") + F.col("z.r")) / 2
-    return rows.select(*keys, F.col("z.k.o").alias(order), F.col("z.k.v").alias(value), mean.alias(out), F.abs(F.col("z.k.v") - mean).alias(f"{out}_moved"))
+    both = knots.select(*keys, F.arrays_zip(F.col("__k").alias("k"), limited(F.col("__k")).alias("f"), F.reverse(limited(F.reverse("__k"))).alias("r")).alias("z"))
+    rows = both.select(*keys, F.explode("z").alias("__z"))
+    mean = (F.col("__z.f") + F.col("__z.r")) / 2
+    return rows.select(*keys, F.col("__z.k.o").alias(order), F.col("__z.k.v").alias(value), mean.alias(out), F.abs(F.col("__z.k.v") - mean).alias(f"{out}_moved"))
