@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lapwing.functions.expressions import ratio
-from lapwing.operators import joins, robust
+from lapwing.operators import joins, robust, sections
 from lapwing.plans.tables import LAPS, laps, read
 
 QUERIES: dict = {}
@@ -210,3 +210,27 @@ def reference_fit(spark, d):
 
     cells = laps(spark, d).groupBy("k", "corner").agg(F.avg("x").alias("y"))
     return joint_medians(cells, "k", "corner", "y").select("corner", F.round("reference", 2).alias("reference"))
+
+
+CROSSINGS = ", r AS (SELECT k, lap, 100.0 AS a, 100.0 + (lap % 5) * 60 AS b, CASE WHEN lap % 13 <> 0 THEN x / 1e4 END AS seconds, 5.0 + k % 40 AS v_a, 6.0 + lap % 40 AS v_b, 1.0 + (k % 9) / 4.0 AS sig_a, 1.0 + (lap % 9) / 4.0 AS sig_b, (lap % 5) * 60 + (k % 31) - 15.0 AS driven, (lap % 7) / 5.0 AS heading, CASE WHEN k % 5 <> 0 THEN (lap % 27) - 13.0 END AS resid, CASE WHEN lap % 3 <> 0 THEN (k % 9) - 4.0 END AS accel, status = 'F' AS gps, status = 'P' AS rescaled FROM o), g AS (SELECT *, greatest(v_a, 8) AS va, greatest(v_b, 8) AS vb, heading * 3.2 + 10.3 AS band, driven - (b - a) AS off, seconds IS NOT NULL AND b > a AS cov FROM r), s AS (SELECT *, sqrt(greatest(0, (sig_a ** 2 + sig_b ** 2 - 2 * 0.66 * sig_a * sig_b) / (va * vb)) + (greatest(0, abs(off) - band) / ((va + vb) / 2)) ** 2 + coalesce((greatest(0, abs(resid) - 10.2) / ((va + vb) / 2)) ** 2, 0)) AS sigma, coalesce(abs(accel) <= 2.5, NOT gps) AS aok, abs(off) <= band AS bok, coalesce(abs(resid) <= 10.2, true) AS rok FROM g), t AS (SELECT *, CASE WHEN NOT cov THEN 'C' WHEN gps AND sigma <= 0.1 AND NOT (aok AND bok AND rok) THEN 'B' WHEN sigma <= 0.1 THEN 'A' WHEN sigma <= 0.3 THEN 'B' ELSE 'C' END AS tier FROM s)"
+
+
+@query(CROSSINGS + " SELECT k, lap, CASE WHEN cov THEN round(sigma, 4) END AS sigma_t, tier, CASE WHEN NOT cov THEN 'no_coverage' WHEN rescaled THEN 'rescale_invalid' ELSE 'ok' END AS status, tier = 'A' AND cov AND NOT rescaled AS rank_eligible FROM t")
+def section_verdicts(spark, d):
+    """Verdicts on crossings whose features are taken from the laps' numbers."""
+    c, n = F.col, lambda x: x.cast("double")
+    rows = laps(spark, d).select(
+        "k", "lap", F.lit(100.0).alias("a"), (100.0 + n(c("lap") % 5) * 60).alias("b"), F.when(c("lap") % 13 != 0, c("x") / 1e4).alias("seconds"),
+        (5.0 + n(c("k") % 40)).alias("v_a"), (6.0 + n(c("lap") % 40)).alias("v_b"), (1.0 + n(c("k") % 9) / 4.0).alias("sig_a"), (1.0 + n(c("lap") % 9) / 4.0).alias("sig_b"),
+        (n(c("lap") % 5) * 60 + n(c("k") % 31) - 15.0).alias("driven"), (n(c("lap") % 7) / 5.0).alias("heading"), F.when(c("k") % 5 != 0, n(c("lap") % 27) - 13.0).alias("resid"),
+        F.when(c("lap") % 3 != 0, n(c("k") % 9) - 4.0).alias("accel_value"), F.lit(2.5).alias("accel_tol"), (c("status") == "F").alias("gps_only"), (c("status") == "P").alias("rescaled"),
+    )
+    return sections.verdict(rows).select("k", "lap", F.round("sigma_t", 4).alias("sigma_t"), "tier", "status", "rank_eligible")
+
+
+@query(", c AS (SELECT DISTINCT corner AS corner_id, CAST(substr(corner, 1, 1) AS DOUBLE) * 400 AS start_m, CAST(substr(corner, 1, 1) AS DOUBLE) * 400 + CASE WHEN corner LIKE '2%' THEN 450 ELSE 120 END AS end_m FROM o), w AS (SELECT corner_id, greatest(0, start_m - 50) AS a, least(coalesce(lead(start_m) OVER (ORDER BY start_m), 2100), end_m + 250) AS b FROM c) SELECT corner_id, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b FROM w")
+def section_windows(spark, d):
+    number = F.substring("corner", 1, 1).cast("double") * 400
+    long = F.when(F.col("corner").startswith("2"), 450.0).otherwise(120.0)
+    corners = laps(spark, d).select(F.col("corner").alias("corner_id"), number.alias("start_m"), (number + long).alias("end_m"), F.lit("t").alias("track")).distinct()
+    return sections.windows(corners, F.lit(2100.0), ["track"]).select("corner_id", "a", "b")
