@@ -23,7 +23,7 @@ def test_ingest(spark, tmp_path):
     log(folder / "bad.csv", FULL)
     log(folder / "Log-20260103-120000.csv", [c for c in FULL if c != "Latitude"])
     paths = [str(p) for p in folder.glob("*.csv")]
-    got = {(r.session_id, r.status) for r in ingest.ingest(spark, paths, "pir", out).collect()}
+    got = {(r.session_id, r.status) for r in ingest.ingest(spark, paths, "ring", out).collect()}
     assert got == {("20260101-120000", "ok"), ("20260102-120000", "gpsonly"), ("", "FAIL"), ("20260103-120000", "FAIL")}
     s = spark.read.parquet(f"{out}/samples").where("session_id = '20260101-120000'").orderBy("row_id").collect()
     assert len(s) == 20 and abs(s[-1].dist_m - 60 * 0.44704 * 1.9) < 1e-9 and s[0].throttle_norm == 1.0 and s[0].lat_g == -1 and s[0].brake == 0
@@ -33,7 +33,7 @@ def test_ingest(spark, tmp_path):
     assert [x.clean_reason for x in laps] == ["warmup", "", "cooldown"] and laps[1].is_clean
     meta = spark.read.parquet(f"{out}/session_meta").where("session_id = '20260101-120000'").first()
     assert meta.n_laps == 3 and meta.best_lap == 1
-    again = {(r.session_id, r.status) for r in ingest.ingest(spark, paths, "pir", out).collect()}
+    again = {(r.session_id, r.status) for r in ingest.ingest(spark, paths, "ring", out).collect()}
     assert ("20260101-120000", "skip") in again
     head = logs.headers(logs.lines(spark, paths[:1])).first()
     assert head.vehicle == "Car" and head.end_point.lat == 45.0 and [p["index"] for p in head.split_points] == [1, 2]
@@ -44,5 +44,5 @@ def test_stream_takes_new_files_only(spark, tmp_path):
     folder.mkdir()
     for day in ("01", "02"):
         log(folder / f"Log-202601{day}-120000.csv", FULL)
-        ingest.start(spark, str(folder), "pir", out, str(tmp_path / "cp")).awaitTermination()
+        ingest.start(spark, str(folder), "ring", out, str(tmp_path / "cp")).awaitTermination()
         assert spark.read.parquet(f"{out}/session_meta").count() == int(day)
