@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lapwing.plans import lap_queries, point_queries, series_queries
+from lapwing.plans import alignment_queries, lap_queries, point_queries, series_queries
 
-QUERIES: dict = {**series_queries.QUERIES, **lap_queries.QUERIES, **point_queries.QUERIES}
-ORACLES: dict = {**series_queries.ORACLES, **lap_queries.ORACLES, **point_queries.ORACLES}
+QUERIES: dict = {**series_queries.QUERIES, **lap_queries.QUERIES, **point_queries.QUERIES, **alignment_queries.QUERIES}
+ORACLES: dict = {**series_queries.ORACLES, **lap_queries.ORACLES, **point_queries.ORACLES, **alignment_queries.ORACLES}
