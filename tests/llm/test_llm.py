@@ -207,3 +207,34 @@ def test_pipeline_end_to_end(spark):
 
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
+
+
+def near_copies(seed, n=60):
+    """(texts, sets): random texts, edited copies of each, a crowd of edited copies of one, short texts and blanks."""
+    rng = np.random.default_rng(seed)
+    fresh = lambda k: [f"w{x}" for x in rng.integers(0, 10**6, k)]
+    texts = [None, "", " ", "a b", "A  b", "a c"]
+    for i in range(n):
+        base = fresh(int(rng.integers(20, 300)))
+        texts.append(" ".join(base))
+        for _ in range(12 if i == 0 else 2):
+            copy = list(base)
+            for at in rng.integers(0, len(copy), max(1, round(len(copy) * rng.uniform(0, 0.03)))):
+                copy[at] = fresh(1)[0]
+            texts.append(" ".join(copy).upper())
+    words = [(t or "").lower().split() for t in texts]
+    return texts, [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+
+
+def test_similar_texts_are_one(spark):
+    texts, sets = near_copies(3)
+    least = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            x, y = least[a], least[b]
+            least = [min(x, y) if z in (x, y) else z for z in least]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.drop_similar(docs).collect()}
+    assert kept == set(least)
+    assert simhash.drop_near_duplicates(docs).count() > len(kept)
+    assert simhash.drop_similar(docs.limit(0)).count() == 0
