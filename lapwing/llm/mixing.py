@@ -114,28 +114,37 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     last in order; repeated rows are documents of their own. Extra columns are ignored.
     """
     rows = sized(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")), "text", "size").drop("text")
+    return _dealt(rows, F.lit(0), block)
+
+
+def _dealt(rows: DataFrame, key: Column, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The results of ``mix`` from rows (id, source, size); ``key`` takes part in the shuffle."""
     rows = cut(rows.withColumn("__row", F.monotonically_increasing_id()))  # fixed by the checkpoint
     targets = cut(source_targets(rows))
-    laid = cut(laid_out(rows, "id", "source", "size", F.lit(0)))
-    slots = schedule(docs.sparkSession, targets, block)
+    laid = cut(laid_out(rows, "id", "source", "size", key))
+    slots = schedule(rows.sparkSession, targets, block)
     return laid, targets, spans(laid, targets, slots, "id", "source", "size", block)
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size_col: str = "n_chars") -> DataFrame:
-    """The mix as documents: a row of ``docs`` for each pass that takes words of it, with the text cut to the words taken.
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size_col: str = "n_chars", block: int = BLOCK) -> DataFrame:
+    """The mix as documents, in the order of the schedule: a row of ``docs`` for each pass that takes words of it.
 
-    Only the document where a source's target ends is cut. ``size_col`` follows the text.
+    A row has the words of all its spans and stands where the first of its slots does. Only the
+    document where a source's target ends is cut. ``size_col`` follows the text.
     """
-    rows = sized(docs, text_col, "__size")
-    light = rows.select(F.col(source_col).alias("source"), F.col("__size").alias("size"))
-    targets = cut(source_targets(light.groupBy("source").agg(F.sum("size").alias("size"))))
-    laid = laid_out(rows, id_col, source_col, "__size", F.xxhash64(text_col))
-    taken = takes(laid, targets, source_col, "__size").select("*", F.posexplode("__taken").alias("__pass", "__words")).where("__words > 0")
-    text = F.when(F.col("__words") == F.col("__size"), F.col(text_col)).otherwise(_first_words(F.col(text_col), F.col("__words")))
-    taken = taken.withColumn(text_col, text)
+    keyed = docs.withColumn("__key", F.xxhash64(*docs.columns))
+    light = sized(keyed.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), "__key"), "text", "size").drop("text")
+    laid, _, taken = _dealt(light, F.col("__key"), block)
+    uses = taken.groupBy("__row", "pass").agg(F.sum("length").alias("__words"), F.min("slot").alias("__slot"))
+    uses = cut(uses.join(laid.select("__row", "__key", "__at", F.col("size").alias("__size")), "__row").withColumnRenamed("pass", "__pass"))
+    # rows that are equal throughout are documents of their own in the mix, and have one text
+    again = cut(laid.groupBy("__key").agg(F.count("*").alias("n")).where("n > 1").select("__key"))
+    texts = keyed.join(again, "__key", "left_anti").unionByName(keyed.join(again, "__key", "left_semi").dropDuplicates(["__key"]))
+    whole = F.col("__words") == F.col("__size")
+    rows = texts.join(uses, "__key").withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(_first_words(F.col(text_col), F.col("__words"))))
     if size_col in docs.columns:
-        taken = taken.withColumn(size_col, F.when(F.col("__words") == F.col("__size"), F.col(size_col)).otherwise(F.length(text_col)).cast(docs.schema[size_col].dataType))
-    return taken.select(*docs.columns)
+        rows = rows.withColumn(size_col, F.when(whole, F.col(size_col)).otherwise(F.length(text_col)).cast(docs.schema[size_col].dataType))
+    return rows.orderBy("__slot", "__pass", "__at").select(*docs.columns)
 
 
 def _first_words(text: Column, n: Column) -> Column:

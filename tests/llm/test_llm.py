@@ -238,3 +238,23 @@ def test_similar_texts_are_one(spark):
     assert kept == set(least)
     assert simhash.drop_near_duplicates(docs).count() > len(kept)
     assert simhash.drop_similar(docs.limit(0)).count() == 0
+
+
+def test_mixed_documents_follow_the_schedule(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"{i}.{k}" for k in range(int(rng.integers(1, 90)))), "abc"[i % 3]) for i in range(150)]
+    rows += [rows[7], rows[7]]  # repeats are documents of their own
+    docs, block = spark.createDataFrame(rows, "doc_id long, text string, source string"), 64
+    mixed = [(r.source, r.doc_id, r.text.split()) for r in mixing.mixed_documents(docs, block=block).collect()]
+    goal = {r.source: round(r.target) for r in mixing.mix(docs, block=block)[1].collect()}
+    blocks = {s: -(-goal[s] // block) for s in "abc"}
+    line = [s for s in "abc" for _ in range(blocks[s])]
+    digits = (len(line) - 1).bit_length()
+    points = [int(f"{i:0{digits}b}"[::-1], 2) for i in range(1 << digits)]
+    slots = {s: [i for i, p in enumerate(points) if p < len(line) and line[p] == s] for s in "abc"}
+    used, at = dict.fromkeys("abc", 0), []
+    for source, doc, words in mixed:
+        assert words == next(t for i, t, _ in rows if i == doc).split()[: len(words)]
+        at.append(slots[source][used[source] // block])
+        used[source] += len(words)
+    assert used == goal and at == sorted(at)
