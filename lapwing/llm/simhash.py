@@ -255,6 +255,8 @@ def similar_components(docs: DataFrame, prints: DataFrame, text_col: str = "text
 
     def linked(found: DataFrame) -> DataFrame:
         found = cut(found.distinct())
+        if found.isEmpty():  # no texts are shuffled for nothing
+            return found
         ends = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         sets = cut(_sets(docs, text_col, nodes.join(ends, "node").select("node", "text_hash"), shingle))
         both = found.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("u")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("v")), "b")
