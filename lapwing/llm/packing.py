@@ -11,10 +11,14 @@ from __future__ import annotations
 import functools
 import itertools
 import os
+import re
+import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,21 +26,50 @@ from lapwing.llm.common import cut, running, runs, table
 
 #: Tokens of a sequence, and the id that ends a document.
 CAPACITY, END = 4096, 1
-#: Distinct words that a task remembers the ids of.
-REMEMBERED = 500_000
+#: Distinct words that a task remembers the ids of; bytes of text that are worked through at once.
+REMEMBERED, AT_ONCE = 700_000, 4 << 20
 #: Punctuation that may be taken off a word's end; no apostrophe, as it can begin a token group with letters.
 TAIL = b".,*$%&#!?;:)\""
+#: Words that are encoded in one call.
+TOGETHER = 2000
 #: Pieces of one length that are ranked in one window.
 RANKED_TOGETHER = 512
 
 
+def _ends_in_letter(body: bytes) -> bool:
+    """Whether what the tokenizer makes of a word (composed, lower case) ends in a letter: "\u0130" ends in a mark, which joins punctuation."""
+    if body.isascii():
+        return body[-1:].isalpha()
+    return unicodedata.normalize("NFC", body.decode("utf-8", "replace")).lower()[-1].isalpha()
+
+
+def _one_group(text: str) -> bool:
+    return text.isalpha() and (text.isascii() or unicodedata.normalize("NFC", text).lower().isalpha())
+
+
+def _chunks(text: bytes, most: int = AT_ONCE):
+    """The text in parts of about ``most`` bytes, cut before white space."""
+    at = 0
+    while len(text) - at > most:
+        gap = _SPACE.search(text, at + most)
+        if not gap:
+            break
+        yield text[at : gap.start()]
+        at = gap.start()
+    yield text[at:]
+
+
+_SPACE = re.compile(rb"[ \t-\r]")
+
+
 class WordTokenizer:
     """Ids of whole texts, word by word.
 
     The tokenizer drops white space before it merges, so a text's ids are those of its
     space-separated words in order. A run of punctuation after a word's last letter is a token
-    group of its own, and case is folded, so words are encoded without both. What was encoded
-    is remembered as bytes of little-endian 32-bit ids; no text is ever cut short.
+    group of its own (unless the word ends in a mark when it is composed and folded), and case is
+    folded, so words are encoded without both. The words of many texts are made distinct as an
+    Arrow dictionary, looked up once each, and their ids gathered by position.
     """
 
     def __init__(self, path: str):
@@ -44,16 +77,31 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)  # ids that end a token group
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {b"": b""}
         self.early: dict[bytes, bytes] | None = None
 
     def _split(self, word: bytes) -> tuple[bytes, bytes]:
         body = word.rstrip(TAIL)
-        if not body or b"<" in word or not body.decode("utf-8", "replace")[-1].isalpha():
+        if not body or b"<" in word or not _ends_in_letter(body):
             return word, b""
         return body.lower(), word[len(body) :]
 
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [array("I", got.ids).tobytes() for got in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_groups(self, texts: list[str]) -> list[bytes]:
+        """Encodes words that are one token group each, as one text."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, dtype="<u4")
+        past = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+        if len(past) != len(texts):
+            return self._encode(texts)
+        data, past = ids.tobytes(), past.tolist()
+        return [data[a:b] for a, b in zip([0, *past], past, strict=False)]
+
     def learn(self, new: list[bytes]) -> None:
         """Adds the words. The words that came early, most of them common, stay when the rest is forgotten."""
         if len(self.words) > REMEMBERED:
@@ -62,26 +110,54 @@ class WordTokenizer:
             self.early = self.early or dict(itertools.islice(self.parts.items(), REMEMBERED // 4))
             self.parts = dict(self.early)
         cut = [self._split(w) for w in new]
-        unknown = list({x for pair in cut for x in pair if x not in self.parts})
-        for at in range(0, len(unknown), 5000):
-            part = unknown[at : at + 5000]
-            for x, got in zip(part, self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in part], add_special_tokens=False), strict=True):
-                self.parts[x] = np.array(got.ids, dtype="<u4").tobytes()
-        for w, (body, tail) in zip(new, cut, strict=True):
-            self.words[w] = self.parts[body] + self.parts[tail]
-
-    def ids(self, text: bytes) -> bytes:
-        found, out = text.split(), []
-        for at in range(0, len(found), REMEMBERED // 4):
-            part = found[at : at + REMEMBERED // 4]
-            got = list(map(self.words.get, part))
-            if None in got:
-                missing = list({w for w, x in zip(part, got, strict=True) if x is None})
-                self.learn(missing)
-                now = self.words
-                got = [now[w] if x is None else x for w, x in zip(part, got, strict=True)]
-            out.append(b"".join(got))
-        return b"".join(out)
+        groups, others = [], []
+        for x in {x for pair in cut for x in pair if x not in self.parts}:
+            (groups if _one_group(text := x.decode("utf-8", "replace")) else others).append((x, text))
+        for some, encode in ((groups, self._encode_groups), (others, self._encode)):
+            for at in range(0, len(some), TOGETHER):
+                part = some[at : at + TOGETHER]
+                self.parts.update(zip([x for x, _ in part], encode([text for _, text in part]), strict=True))
+        parts = self.parts
+        self.words.update((w, parts[body] + parts[tail]) for w, (body, tail) in zip(new, cut, strict=True))
+
+    def ids(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text; together the texts are about ``AT_ONCE`` bytes."""
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+        found = split.flatten().dictionary_encode()
+        distinct = found.dictionary.cast(pa.large_binary()).to_pylist()
+        got = list(map(self.words.get, distinct))
+        if None in got:
+            self.learn([w for w, x in zip(distinct, got, strict=True) if x is None])
+            now = self.words
+            got = [now[w] if x is None else x for w, x in zip(distinct, got, strict=True)]
+        sizes = np.fromiter(map(len, got), dtype=np.int64, count=len(got)) // 4
+        data, firsts = np.frombuffer(b"".join(got), dtype="<u4"), np.cumsum(sizes) - sizes
+        word = found.indices.to_numpy(zero_copy_only=False)
+        size = sizes[word]
+        past = np.cumsum(size)
+        out = data[np.repeat(firsts[word] - (past - size), size) + np.arange(int(past[-1]) if len(past) else 0)]
+        ends = np.concatenate([[0], past])[np.asarray(split.offsets) - split.offsets[0].as_py()]
+        return [out[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+    def pieces(self, texts: list[bytes], capacity: int):
+        """(text's number, piece, start, length, crc) of the texts, each ended by the end id."""
+        end = np.array([END], dtype="<u4")
+        i = 0
+        while i < len(texts):
+            j, n = i, 0
+            while j < len(texts) and (j == i or n + len(texts[j]) <= AT_ONCE):
+                n += len(texts[j])
+                j += 1
+            if j == i + 1:
+                every = [np.concatenate([ids for part in _chunks(texts[i]) for ids in self.ids([part])])]
+            else:
+                every = self.ids(texts[i:j])
+            for k, ids in enumerate(every, i):
+                ids = np.append(ids, end)
+                for p, a in enumerate(range(0, len(ids), capacity)):
+                    b = ids[a : a + capacity]
+                    yield k, p, a, len(b), zlib.crc32(b.tobytes())
+            i = j
 
 
 @functools.cache
@@ -98,72 +174,88 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
     def split(batches):
         words = shared_tokenizer(tokenizer)
-        end = np.array([END], dtype="<u4").tobytes()
         for batch in batches:
             for at, part in runs(batch.column(1)):
-                row, piece, start, length, crc = [], [], [], [], []
-                for i, text in enumerate(part, at):
-                    ids = words.ids(text) + end
-                    for k, a in enumerate(range(0, len(ids), 4 * capacity)):
-                        b = ids[a : a + 4 * capacity]
-                        row.append(i)
-                        piece.append(k)
-                        start.append(a // 4)
-                        length.append(len(b) // 4)
-                        crc.append(zlib.crc32(b))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *[pa.array(x, pa.int64()) for x in (start, length, crc)]], names=["id", "piece", "start", "length", "ids_crc32"])
+                row, *rest = list(zip(*words.pieces(part, capacity), strict=True)) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at).take(pa.array(row, pa.int64())), pa.array(rest[0], pa.int32()), *[pa.array(x, pa.int64()) for x in rest[1:]]], names=["id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(split, f"id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def _complement(free: np.ndarray, gap: int) -> list[int] | None:
-    """One, two or three available lengths whose sum is ``gap``; ``free`` counts what is left, addressed by length."""
-    if gap and free[gap]:
-        return [gap]
-    a = np.arange(1, gap // 2 + 1)
-    pair = (free[a] > 0) & (free[gap - a] > (a == gap - a))
-    if pair.any():
-        x = int(a[pair][-1])  # the longest short end: short pieces stay for the residuals
-        return [gap - x, x]
-    short = np.flatnonzero(free[: gap - 1])
-    for x in short[short * 3 >= gap][:64].tolist() + short[short * 3 < gap][::-1][:64].tolist():
-        rest = gap - x
-        b = np.arange(1, rest // 2 + 1)
-        need_b = 1 + (b == x) + (b == rest - b)
-        ok = (free[b] >= need_b) & (free[rest - b] >= 1 + (rest - b == x) + (b == rest - b))
-        if free[x] and ok.any():
-            y = int(b[ok][-1])
-            return [x, rest - y, y]
-    return None
+class Sums:
+    """How many pieces of each length are left, with an index of pair sums.
+
+    ``pairs[s]`` counts the unordered pairs of available lengths with sum ``s`` (a length pairs
+    with itself while two pieces are left). It changes only when a length runs out, comes back,
+    or goes between one piece and two, so keeping it costs one pass over the lengths then.
+    """
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.free = np.zeros(capacity + 1, dtype=np.int64)
+        self.pairs = np.zeros(2 * capacity + 1, dtype=np.int64)
+        for length, n in counts.items():
+            self.add(length, n)
+
+    def add(self, length: int, n: int) -> None:
+        before, after = int(self.free[length]), int(self.free[length]) + n
+        self.free[length] = after
+        if (before > 0) != (after > 0):
+            others = np.flatnonzero(self.free)
+            self.pairs[others[others != length] + length] += 1 if after > 0 else -1
+        self.pairs[2 * length] += (after > 1) - (before > 1)
+
+    def pair(self, total: int, without: int = 0) -> list[int] | None:
+        """Two available lengths with this sum, one piece of length ``without`` being taken; the longest short end, so that short pieces stay for the residuals."""
+        if total < 2 or not self.pairs[total]:
+            return None
+        a = np.arange(1, total // 2 + 1)
+        a = a[total - a < len(self.free)]
+        b = total - a
+        short = a[(self.free[a] >= 1 + (a == b) + (a == without)) & (self.free[b] >= 1 + (a == b) + (b == without))]
+        return [total - int(short[-1]), int(short[-1])] if len(short) else None
+
+    def complement(self, gap: int) -> list[int] | None:
+        """One, two or three available lengths whose sum is ``gap``. Every length is tried as the third of a triple."""
+        if gap < 1:
+            return None
+        if self.free[gap]:
+            return [gap]
+        if two := self.pair(gap):
+            return two
+        x = np.flatnonzero(self.free[: max(gap - 1, 0)])
+        x = x[self.pairs[gap - x] > 0]
+        for third in x[np.argsort(np.abs(3 * x - gap), kind="stable")].tolist():
+            if two := self.pair(gap - third, third):
+                return [third, *two]
+        return None
 
 
 def plan_patterns(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[tuple[int, int], ...], int]]:
     """[((length, how many), ...), sequences]: patterns that use up all pieces.
 
     First every length, longest first, takes exact complements (one, two or three lengths that
-    fill its gap) as often as the counts allow. What is left goes best-fit, longest first: into
+    fill its gap, by the index of sums) as often as the counts allow. What is left goes best-fit, longest first: into
     the fullest open pattern with room for it, a new one where there is none. Every step uses
     up a length or a pattern, so steps depend on the number of lengths, not of pieces.
     """
-    free = np.zeros(capacity + 1, dtype=np.int64)
-    for length, n in counts.items():
-        free[length] = n
+    left = Sums(counts, capacity)
+    free = left.free
     done: list[tuple[tuple[tuple[int, int], ...], int]] = []
     if free[capacity]:
         done.append((((capacity, 1),), int(free[capacity])))
-        free[capacity] = 0
+        left.add(capacity, -int(free[capacity]))
     for length in range(capacity - 1, 0, -1):
         while free[length]:
-            free[length] -= 1
-            found = _complement(free, capacity - length)
-            free[length] += 1
+            left.add(length, -1)
+            found = left.complement(capacity - length)
+            left.add(length, 1)
             if not found:
                 break
             uses = {x: found.count(x) + (x == length) for x in {*found, length}}
             times = int(min(free[x] // n for x, n in uses.items()))
             for x, n in uses.items():
-                free[x] -= n * times
+                left.add(x, -n * times)
             done.append((tuple(sorted(uses.items(), reverse=True)), times))
     room: dict[int, list[list]] = {}  # by tokens left: [pattern, sequences]
     open_bins = np.zeros(capacity + 1, dtype=np.int64)
@@ -176,22 +268,22 @@ def plan_patterns(counts: dict[int, int], capacity: int = CAPACITY) -> list[tupl
         n = int(free[length])
         while n:
             fits = np.flatnonzero(open_bins[length:])
-            left = length + int(fits[0]) if len(fits) else None
-            if left is None:
+            gap = length + int(fits[0]) if len(fits) else None
+            if gap is None:
                 each = capacity // length
                 for many, seqs in ((each, n // each), (n % each, 1)):
                     if many and seqs:
                         keep(capacity - many * length, {length: many}, seqs)
                 n = 0
                 continue
-            pattern, seqs = room[left].pop()
-            open_bins[left] -= 1
-            each = min(left // length, -(-n // seqs))
+            pattern, seqs = room[gap].pop()
+            open_bins[gap] -= 1
+            each = min(gap // length, -(-n // seqs))
             full = min(seqs, n // each)
             if full < seqs:
-                keep(left, dict(pattern), seqs - full)
+                keep(gap, dict(pattern), seqs - full)
             pattern = pattern | {length: pattern.get(length, 0) + each}
-            keep(left - each * length, pattern, full)
+            keep(gap - each * length, pattern, full)
             n -= full * each
     return done + [(tuple(sorted(p.items(), reverse=True)), seqs) for left in sorted(room) for p, seqs in room[left]]
 

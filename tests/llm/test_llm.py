@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lapwing.llm import fixity, html, jpeg, licenses, mixing, packing, preferences, simhash, toxicity, vectors
 
 DOCS = "doc_id long, text string, source string, id string, label int, size int, __rank int"
-BASE = [(0, "one two three four five six", "a"), (1, "ONE two three four five six", "a"), (2, None, "b"), (3, "", None), (4, " \t\n", "b"), (5, "word", "c"), (5, "word", "c"), (6, "x " * 30000, "a"), (None, "no id here at all", None), (7, "Ünïcode tëxt, with <|endoftext|> don't 12!", "c")]
+BASE = [(0, "one two three four five six", "a"), (1, "ONE two three four five six", "a"), (2, None, "b"), (3, "", None), (4, " \t\n", "b"), (5, "word", "c"), (5, "word", "c"), (6, "x " * 30000, "a"), (None, "no id here at all", None), (7, "Ünïcode tëxt, with <|endoftext|> don't 12!", "c"), (8, "\u0130. I. \u0130\u0130!! a\u0301. \u0958. (x) 'TIS y'all's... \u65e5\u672c\u3002", "c")]
 
 
 @pytest.fixture(scope="module")
@@ -33,7 +33,7 @@ def test_simhash(spark, docs):
     assert by[1] == 0 and by[2] == by[3] == by[4] == 2 and by[5] == 5
     kept = simhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["0", "2", "5", "6", "7", "None"])
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["0", "2", "5", "6", "7", "8", "None"])
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
@@ -74,6 +74,33 @@ def test_packing(spark, docs):
     assert packing.pack(docs.limit(0), path).count() == 0
 
 
+def test_long_text_is_tokenized_in_parts(monkeypatch):
+    monkeypatch.setattr(packing, "AT_ONCE", 50)
+    words = packing.WordTokenizer(packing.default_tokenizer())
+    texts = [b"", b"alpha beta " * 30, b"x" * 200, b"  \t\n", b"gamma, delta; " * 9]
+    got = list(words.pieces(texts, 64))
+    for i, text in enumerate(texts):
+        ids = np.array(words.tokenizer.encode(text.decode(), add_special_tokens=False).ids + [1], dtype="<u4")
+        assert [g[1:] for g in got if g[0] == i] == [(k, a, len(ids[a : a + 64]), zlib.crc32(ids[a : a + 64].tobytes())) for k, a in enumerate(range(0, len(ids), 64))]
+
+
+def test_complements_are_found_whenever_they_exist():
+    rng = np.random.default_rng(3)
+    assert sum(packing.Sums({14: 1, 58: 1, 2929: 1, **dict.fromkeys(range(930, 1070), 1)}, 4096).complement(3001)) == 3001
+    assert sorted(packing.Sums({101: 2, 1299: 1, 500: 1}, 4096).complement(1501)) == [101, 101, 1299]
+    for _ in range(300):
+        counts = {int(x): int(n) for x, n in zip(rng.integers(1, 40, 6), rng.integers(1, 3, 6), strict=True)}
+        sums = packing.Sums(counts, 64)
+        for x, n in list(counts.items())[:2]:
+            sums.add(x, -n)
+            counts[x] = 0
+        pool = [x for x, n in counts.items() for _ in range(min(n, 3))]
+        for gap in range(1, 65):
+            exists = any(sum(c) == gap for k in (1, 2, 3) for c in itertools.combinations(pool, k))
+            got = sums.complement(gap)
+            assert bool(got) == exists and (not got or sum(got) == gap and all(got.count(x) <= counts[x] for x in got))
+
+
 def test_plan_is_tight():
     rng = np.random.default_rng(0)
     lengths = np.clip(rng.lognormal(6, 1.3, 5000).astype(int), 1, 4096)
@@ -132,13 +159,16 @@ def test_vectors(spark):
             rows.append(b + rng.standard_normal(16) * 0.04)
             labels.append(int(rng.integers(0, 3)))
     vecs = [(i, [float(x) for x in v], la, "x") for i, (v, la) in enumerate(zip(rows, labels, strict=True))]
-    vecs += [(500, vecs[0][1], vecs[0][2], "x"), (501, None, 1, "x"), (502, [0.0] * 16, 1, "x"), (503, [float("nan")] + [1.0] * 15, 1, "x"), (504, vecs[0][1], None, "x"), (505, vecs[1][1][:8], vecs[1][2], "x")]
-    got = {r.vec_id: r for r in vectors.near_vectors(spark.createDataFrame(vecs, "vec_id long, embedding array<double>, label int, node string")).collect()}
-    unit = {i: np.array(v) / np.linalg.norm(v) for i, v, la, _ in vecs if i < 500 or i == 500}
+    vecs += [(506, [float("inf")] + [1.0] * 15, 1, "x"), (507, [], 1, "x"), (None, [0.5] + [-1.0] * 15, 1, "x"), (500, vecs[0][1], vecs[0][2], "x"), (501, None, 1, "x"), (502, [0.0] * 16, 1, "x"), (503, [float("nan")] + [1.0] * 15, 1, "x"), (504, vecs[0][1], None, "x"), (505, vecs[1][1][:8], vecs[1][2], "x")]
+    table = spark.createDataFrame(vecs, "vec_id long, embedding array<double>, label int, node string")
+    got = {r.vec_id: r for r in vectors.near_vectors(table).collect()}
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v, la, _ in vecs if i is not None and i <= 500}
     want = sum(labels_of(vecs, a) == labels_of(vecs, b) and unit[a] @ unit[b] >= 0.98 for a, b in itertools.combinations(unit, 2))
     found = sum(got[i].n_links for i in unit) / 2
     assert len(got) == len(vecs) and 0.95 * want <= found <= want
-    assert got[500].component_id == got[0].component_id and all(got[i].n_links == 0 and got[i].component_id == i for i in (501, 502, 503, 504, 505))
+    assert got[500].component_id == got[0].component_id and all(got[i].n_links == 0 and got[i].component_id == i for i in (501, 502, 503, 504, 505, 506, 507))
+    assert got[None].n_links == 0 and got[None].component_id is None
+    assert vectors.near_vectors(table.limit(0)).count() == 0
 
 
 def labels_of(vecs, i):
