@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Sequence
 from functools import reduce
@@ -24,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named (tests)."""
+    """The folder that driver and executors share. Where none is named, a local session (one machine, as in tests) gets a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="lapwing-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
@@ -63,6 +66,26 @@ def running(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[
     return out.select(*[rows[c] for c in rows.columns if c != b and c not in sums], *[(rows[new] + totals[carry[new]]).alias(new) for new in sums])
 
 
+#: Bits of ``marks``: 8 MB, whatever the number of rows.
+MARK_BITS = 26
+
+
+def marks(rows: DataFrame, column: str):
+    """A test of 64-bit hashes against ``column`` of ``rows``: never false for one of them, true by chance for few others while
+    rows are fewer than bits. A bitmap of fixed size, for tasks to leave rows out of a shuffle that it need not see."""
+    words = rows.groupBy(F.shiftrightunsigned(column, 70 - MARK_BITS).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - MARK_BITS}) & 63 as int))")).alias("bits"))
+    found = words.toArrow()  # at most 2**MARK_BITS / 64 rows
+    bits = np.zeros(1 << (MARK_BITS - 6), dtype=np.int64)
+    bits[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    shared = rows.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
+
+    def test(hashes: np.ndarray) -> np.ndarray:
+        place = hashes.view(np.uint64) >> np.uint64(64 - MARK_BITS)
+        return (shared.value[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+    return test
+
+
 def word_counts(texts: pa.Array) -> np.ndarray:
     """Number of ``[^\\x20\\x09-\\x0D]+`` in each text; null: 0."""
     texts = texts.cast(pa.large_binary()).fill_null(b"")

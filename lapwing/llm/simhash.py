@@ -16,6 +16,9 @@ copies do not come out as pairs.
 the sets. At similarity 0.8 fingerprints of 64 bits differ in 10 bits on average and in 17 or more
 once in 80 pairs: balls that wide around segments meet most of a table. Pairs are therefore fetched
 by bands of min-hashes, and the fingerprint, with a radius of its own, only screens what is verified.
+Members of a crowded band are compared with a few leaders first. What is then still apart is joined on the
+rarest shingles of each set, as many as two sets at the least similarity cannot all differ in, so
+that copies with edits of their own meet nobody and are not paired with a whole crowd.
 """
 
 from __future__ import annotations
@@ -23,10 +26,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lapwing.llm.common import cut, runs, table
+from lapwing.llm.common import cut, marks, runs, table
 from lapwing.llm.components import connected_components
 
 #: The words of a shingle, the seed of XXH64, bits that linked fingerprints may differ in.
@@ -36,7 +39,7 @@ SIMILAR_SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 26
 #: Bands of min-hashes and rows of a band: a pair at similarity s shares a band with probability 1 - (1 - s^4)^16, 0.9998 at 0.8.
 BANDS, BAND_ROWS = 16, 4
 #: Texts of a crowded band that all others of it are compared with first.
-LEADERS = 4
+LEADERS = 2
 #: Fingerprints under one segment from which on they are linked through centres first.
 CROWD = 8
 
@@ -182,18 +185,31 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def _one_of_each(docs: DataFrame, grouped: DataFrame, prints: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with one row of each component of ``grouped`` (id, text_hash, component, rep), found again by id and text hash."""
+    """``docs`` with one row of each component of ``grouped`` (id, text_hash, component, rep), found again by id and text hash.
+
+    Rows that cannot be among those to drop or to thin out pass where they lie; the others are joined with the list.
+    """
     # grouped by the row's own key first, so that no task gathers a whole group
-    rows = grouped.where(F.col("id").eqNullSafe(F.col("rep"))).groupBy("component", "id").agg(F.min("text_hash").alias("text_hash"))
-    keep = rows.join(prints.groupBy("id", "text_hash").agg(F.count("*").alias("n")), ["id", "text_hash"], "left")
-    null_id = prints.where(F.col("id").isNull()).groupBy("id", "text_hash").agg(F.count("*").alias("n"))
-    keep = cut(keep.where(F.col("id").isNotNull()).select("id", "text_hash", "n").unionByName(rows.where(F.col("id").isNull()).drop("component", "id").join(null_id, "text_hash").select("id", "text_hash", "n")))
-    keep = keep.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("n").alias("__n"))
+    rows = grouped.where(F.col("id").eqNullSafe(F.col("rep"))).groupBy("component", "id").agg(F.min("text_hash").alias("text_hash")).select("id", "text_hash", F.lit(True).alias("keep"))
+    every = prints.groupBy("id", "text_hash").agg(F.count("*").alias("n"))
+    fate = every.join(rows, (every["text_hash"] == rows["text_hash"]) & every["id"].eqNullSafe(rows["id"]), "left").select(every["id"].alias("__id"), every["text_hash"].alias("__hash"), F.col("keep").isNull().alias("__drop"), "n")
+    fate = cut(fate.where("__drop or n > 1").select("__id", "__hash", "__drop"))
+    marked = marks(fate, "__hash")
     whole = docs.withColumn("__text_hash", F.xxhash64(text_col))
-    kept = whole.join(keep, whole[id_col].eqNullSafe(keep["__id"]) & (whole["__text_hash"] == keep["__hash"]))
-    once = kept.where("__n = 1").select(*docs.columns)
-    again = kept.where("__n > 1").dropDuplicates([id_col, "__text_hash"]).select(*docs.columns)
-    return once.unionByName(again)
+    names = whole.columns
+
+    def part(wanted: bool):
+        def pick(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(marked(batch.column(len(names) - 1).to_numpy(zero_copy_only=False)) == wanted))
+
+        return whole.mapInArrow(pick, whole.schema)
+
+    some = part(True)
+    some = some.join(fate, some[id_col].eqNullSafe(fate["__id"]) & (some["__text_hash"] == fate["__hash"]), "left")
+    once = some.where("__drop is null").select(*docs.columns)
+    again = some.where("not __drop").dropDuplicates([id_col, "__text_hash"]).select(*docs.columns)
+    return part(False).select(*docs.columns).unionByName(once).unionByName(again)
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_SHINGLE) -> DataFrame:
@@ -218,27 +234,44 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     return rows.mapInArrow(score, f"id {kind}, text_hash long, node long, fp long, size long, bands array<long>")
 
 
-def _sets(docs: DataFrame, text_col: str, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(node, hashes): the shingle sets of the nodes of ``wanted`` (node, text_hash)."""
+def _sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(node, hashes): the shingle sets of the nodes of ``wanted`` (node, id, text_hash). Texts are not shuffled: sets are, of the wanted and a few by chance."""
+    marked = marks(wanted, "text_hash")
 
     def score(batches):
         for batch in batches:
-            for at, part in runs(batch.column(1)):
+            batch = batch.filter(pa.array(marked(batch.column(1).to_numpy(zero_copy_only=False))))
+            for at, part in runs(batch.column(2)):
                 sets = [shingle_set(text, shingle).view(np.int64) for text in part]
                 ends = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets)))], names=["node", "hashes"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), batch.column(1).slice(at, len(part)), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets)))], names=["id", "text_hash", "hashes"])
 
-    texts = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    return texts.join(wanted, "text_hash").select("node", "text").mapInArrow(score, "node long, hashes array<long>").dropDuplicates(["node"])
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    found = rows.mapInArrow(score, f"id {kind}, text_hash long, hashes array<long>")
+    return found.join(wanted, (found["text_hash"] == wanted["text_hash"]) & found["id"].eqNullSafe(wanted["id"])).select("node", "hashes").dropDuplicates(["node"])
+
+
+def _rarest(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The rows of ``members`` (node, component, ...) with each of their rarest shingles that others share, and its rank.
+
+    Sets of n shingles at this similarity share all but n - ceil(n * similarity) of either, so one more of the
+    rarest, in an order common to all, hold a shared one. A join on them finds every such pair.
+    """
+    shingles = sets.join(members.select("node", "component"), "node").select("node", "component", F.size("hashes").alias("n"), F.explode("hashes").alias("shingle"))
+    spread = shingles.groupBy("shingle").agg(F.count("*").alias("many"), (F.min("component") < F.max("component")).alias("mixed"))
+    rarest = Window.partitionBy("node").orderBy("many", "shingle")
+    kept = shingles.drop("component").join(spread, "shingle").withColumn("rank", F.row_number().over(rarest)).where((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1) & F.col("mixed"))
+    return members.join(kept.select("node", "shingle", "rank"), "node")
 
 
-def similar_components(docs: DataFrame, prints: DataFrame, text_col: str = "text", shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def similar_components(docs: DataFrame, prints: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """(node, component, rep): groups of shingle sets linked at a Jaccard similarity of ``similarity`` or more.
 
     Texts with one set are one node. In a crowded band all nodes are compared with a few of them
-    first; only pairs that are then in different groups are compared with one another.
+    first; only pairs that are then in different groups, and share a rare shingle, are compared with one another.
     """
-    nodes = cut(prints.groupBy("node").agg(F.min("id").alias("least_id"), F.min("text_hash").alias("text_hash"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    nodes = cut(prints.groupBy("node").agg(F.min("id").alias("least_id"), F.min(F.struct("text_hash", "id")).alias("doc"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bands").alias("bands")))
     keys = nodes.where("size > 0").select("node", "fp", "size", F.explode("bands").alias("band"))
     whole = F.struct("node", "fp", "size")
     leaders = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("at"), whole.alias("n")))["n"] for i in range(LEADERS)]
@@ -249,29 +282,31 @@ def similar_components(docs: DataFrame, prints: DataFrame, text_col: str = "text
         apart = F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= radius
         return apart & (F.least(f"{a}.size", f"{b}.size") >= F.greatest(f"{a}.size", f"{b}.size") * similarity - 1e-9)
 
-    def pairs(x: DataFrame, y: DataFrame, also: Column) -> DataFrame:
-        found = x.alias("x").join(y.alias("y"), (F.col("x.band") == F.col("y.band")) & also & close("x", "y"))
+    def pairs(x: DataFrame, y: DataFrame, key: str, also: Column) -> DataFrame:
+        found = x.alias("x").join(y.alias("y"), (F.col(f"x.{key}") == F.col(f"y.{key}")) & also & close("x", "y"))
         return found.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
-    def linked(found: DataFrame) -> DataFrame:
-        found = cut(found.distinct())
-        if found.isEmpty():  # no texts are shuffled for nothing
-            return found
-        ends = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = cut(_sets(docs, text_col, nodes.join(ends, "node").select("node", "text_hash"), shingle))
+    def linked(found: DataFrame, sets: DataFrame) -> DataFrame:
         both = found.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("u")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("v")), "b")
         shared_size = F.size(F.array_intersect("u", "v"))
         return cut(both.where(shared_size >= similarity * (F.size("u") + F.size("v") - shared_size) - 1e-9).select("a", "b"))
 
     few, crowd = met.where(F.col("many") < CROWD), met.where(F.col("many") >= CROWD)
     stars = shared.where(F.col("many") >= CROWD).select("band", F.inline("leaders"))
-    first = linked(pairs(few, few, F.col("x.node") < F.col("y.node")).unionByName(pairs(crowd, stars, F.col("x.node") != F.col("y.node"))))
+    found = cut(pairs(few, few, "band", F.col("x.node") < F.col("y.node")).unionByName(pairs(crowd, stars, "band", F.col("x.node") != F.col("y.node"))).distinct())
+    ends = cut(found.select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowd.select("node")).distinct())
+    sets = cut(_sets(docs, id_col, text_col, nodes.join(ends, "node").select("node", "doc.id", "doc.text_hash"), shingle))
+    first = linked(found, sets)
     groups = cut(connected_components(first, "a", "b"))
     near = cut(crowd.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")))
     mixed = near.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-    near = near.join(mixed, "band")
-    rest = linked(pairs(near, near, (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))))
-    groups = connected_components(first.unionByName(rest), "a", "b")
+    apart = cut(near.join(mixed, "band").select("node", "fp", "size", "component").distinct())
+    rare = cut(_rarest(apart, sets, similarity))
+    # sets cannot share more than what follows their first common shingle
+    most = F.least(F.col("x.size") - F.col("x.rank"), F.col("y.size") - F.col("y.rank")) + 1
+    enough = most >= (F.col("x.size") + F.col("y.size")) * (similarity / (1 + similarity)) - 1e-9
+    rest = cut(pairs(rare, rare, "shingle", (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & enough).distinct())
+    groups = connected_components(first.unionByName(linked(rest, sets)), "a", "b")
     grouped = nodes.join(groups, "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("component"))
     reps = grouped.groupBy("component").agg(F.min("least_id").alias("rep"))
     return cut(grouped.join(reps, "component").select("node", "component", "rep"))
@@ -283,7 +318,7 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts without words have the same, empty set and are one group.
     """
     prints = cut(sketches(docs, id_col, text_col, shingle))
-    groups = similar_components(docs, prints, text_col, shingle, similarity, radius)
+    groups = similar_components(docs, prints, id_col, text_col, shingle, similarity, radius)
     slim = prints.select("id", "text_hash", "node")
     return _one_of_each(docs, slim.join(groups, "node"), slim, id_col, text_col)
 
