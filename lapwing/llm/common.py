@@ -66,6 +66,16 @@ def running(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[
     return out.select(*[rows[c] for c in rows.columns if c != b and c not in sums], *[(rows[new] + totals[carry[new]]).alias(new) for new in sums])
 
 
+def hashed_sample(df: DataFrame, text_col: str, most: int) -> list[str]:
+    """At most ``most`` different texts, those with the least hashes; only hashes are ordered, so no partition sends texts that are not chosen."""
+    hashed = df.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    least = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(most).collect()] if most else []
+    if not least:
+        return []
+    found = hashed.where(F.col("h") <= least[-1]).groupBy("h").agg(F.min("text").alias("text"))
+    return [r["text"] for r in sorted(found.collect(), key=lambda r: r["h"])]
+
+
 #: Bits of ``marks``: 8 MB, whatever the number of rows.
 MARK_BITS = 26
 

@@ -19,15 +19,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapwing.llm.boosting import Boosted, fit_boosted
-from lapwing.llm.common import table
+from lapwing.llm.common import hashed_sample, table
 
 #: Pages that the fit uses, and layouts that each is laid out in besides its own.
 SAMPLE, LAYOUTS = 200, 4
 #: Cost of entering the article, and of cutting a part out of it, in log-odds.
 ENTER, LEAVE = 6.0, 4.0
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: A tag up to its end: quoted values only where the standard has them, right after "=". Nothing is tried twice.
+_TAG_END = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+)>")
+_TAG_START = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_ATTRIBUTE = re.compile(r"([^\s=/>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
 _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
 #: Fixed values of HTML: elements without content, raw text, blocks, and what a start tag closes.
@@ -62,48 +64,75 @@ class Page:
         self.tag, self.parent, self.kinds, self.runs = ["#root"], [-1], [0], []
         self.child_of = [0]
         self.children = [0]
-        stack, block, at = [0], 0, 0
-        for m in _TOKEN.finditer(source):
-            if m.start() < at:
-                continue
-            if m.start() > at:
-                self.runs.append((stack[-1], block, source[at : m.start()]))
-            at = m.end()
-            if not m[2]:
+        self.opened: list[tuple[str, str]] = []  # start tags with their attributes
+        self._stack, self._places, self._scopes = [0], {}, [0]
+        block, at, text_from, broken, unclosed = 0, 0, 0, False, set()
+        last = source.rfind(">")
+        while (at := source.find("<", at)) >= 0:
+            m = None
+            if at > last and not source.startswith("<!--", at):
+                break
+            if source.startswith("<!--", at):
+                end = source.find("-->", at + 2)
+                past = end + 3 if end >= 0 else len(source)
+            elif source[at + 1] in "!?":
+                past = source.index(">", at) + 1
+            else:
+                m = None if broken else _TAG_END.match(source, at + 1)
+                if not m and (source[at + 1].isalpha() or source[at + 1] == "/"):
+                    m = _TAG_START.match(source, at + 1)
+                    broken |= bool(m)  # quotes stay open to the end: from here on they mean nothing
+                if not m:
+                    at += 1
+                    continue
+                past = m.end()
+            if at > text_from:
+                self.runs.append((self._stack[-1], block, source[text_from:at]))
+            at = text_from = past
+            if not m:
                 continue
             tag = m[2].lower()
             if m[1]:
                 block += tag in BLOCK
-                opened = next((i for i in range(len(stack) - 1, 0, -1) if self.tag[stack[i]] == tag), 0)
-                if opened:
-                    del stack[opened:]
+                if self._places.get(tag):
+                    self._pop(self._places[tag][-1])
                 continue
-            self._close(stack, tag)
+            self._close(tag)
             block += tag in BLOCK
-            node = self._add(stack[-1], tag, m[3])
+            self.opened.append((tag, m[3]))
+            node = self._add(self._stack[-1], tag, m[3])
             if tag == "br":
-                self.runs.append((stack[-1], block, " "))
-            if tag in RAW:
+                self.runs.append((self._stack[-1], block, " "))
+            if tag in RAW and tag not in unclosed:
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
+                if not end:
+                    unclosed.add(tag)
                 if end or tag in ("script", "style"):
-                    at = end.end() if end else len(source)
+                    at = text_from = end.end() if end else len(source)
                     continue
             if tag not in VOID and not m[3].endswith("/"):
-                stack.append(node)
-        if at < len(source):
-            self.runs.append((stack[-1], block, source[at:]))
-
-    def _close(self, stack: list[int], tag: str) -> None:
+                self._places.setdefault(tag, []).append(len(self._stack))
+                if tag in SCOPES:
+                    self._scopes.append(len(self._stack))
+                self._stack.append(node)
+        if text_from < len(source):
+            self.runs.append((self._stack[-1], block, source[text_from:]))
+
+    def _pop(self, place: int) -> None:
+        while len(self._stack) > place:
+            self._places[self.tag[self._stack.pop()]].pop()
+        while self._scopes[-1] >= place:
+            self._scopes.pop()
+
+    def _close(self, tag: str) -> None:
         """What a start tag ends: a paragraph before a block, an item before the next."""
         ends = CLOSES.get(tag, set()) | ({"p"} if tag in BLOCK else set())
-        for i in range(len(stack) - 1, 0, -1):
-            name = self.tag[stack[i]]
-            if name in ends:
-                del stack[i:]
-                if tag not in CLOSES:
-                    return
-                return self._close(stack, tag)
-            if name in SCOPES:
+        while ends:
+            place = max((self._places[e][-1] for e in ends if self._places.get(e)), default=0)
+            if not place or place < self._scopes[-1]:
+                return
+            self._pop(place)
+            if tag not in CLOSES:
                 return
 
     def _add(self, parent: int, tag: str, attributes: str) -> int:
@@ -237,10 +266,7 @@ def _labels(page: Page, source: str) -> np.ndarray | None:
     """1 for elements in the article: under the element marked as the core, or else the only <article>; parts by name are out."""
     core = None
     if "data-core" in source:
-        opened = [m for m in _TOKEN.finditer(source) if m[2] and not m[1]]
-        marked = next(i for i, m in enumerate(opened) if "data-core" in (m[3] or ""))
-        raw = 1 + marked
-        core = raw if raw < len(page.tag) else None
+        core = next((i for i, (_, attributes) in enumerate(page.opened, 1) if "data-core" in attributes), None)
     elif page.tag.count("article") == 1:
         core = page.tag.index("article")
     if core is None:
@@ -253,24 +279,32 @@ def _labels(page: Page, source: str) -> np.ndarray | None:
     return y[1:]
 
 
-def fit(pages: DataFrame, html_col: str = "html", most: int = SAMPLE, layouts: int = LAYOUTS) -> Boosted:
-    """Fits the trees on at most ``most`` pages, chosen by hash: as they are where an <article> marks
-    the text, and with the same paragraphs in other layouts, whose labels are known from how they were made."""
-    rows = [r[0] for r in pages.where(F.col(html_col).isNotNull()).select(F.col(html_col)).orderBy(F.xxhash64(html_col)).limit(most).collect()]
-    rng, xs, ys, texts, sources = random.Random(11), [], [], [], []
-    for source in rows:
+def training_rows(sources: list[str], layouts: int = LAYOUTS, seed: int = 11) -> list[str]:
+    """The pages whose text an <article> marks, and the same paragraphs, whole, in other layouts, whose labels are known from how they were made."""
+    rng, texts, out = random.Random(seed), [], []
+    for source in sources:
         page = Page(source)
         y = _labels(page, source)
-        if y is None or not y.any():
-            continue
-        sources.append(source)
-        lines = page.text([False, *y.astype(bool).tolist()]).split("\n")
-        texts.append([html.escape(x[:400]) for x in lines if x] or ["Text."])
-    pool = [x for t in texts for x in t[:5]] or ["Some words to fill a page with, more or less."]
-    texts = texts or [pool * 3]
-    for t in texts:
+        if y is not None and y.any():
+            out.append(source)
+            lines = page.text([False, *y.astype(bool).tolist()]).split("\n")
+            texts.append([html.escape(x) for x in lines if x] or ["Text."])
+    pool = [x for t in texts for x in t] or ["Some words to fill a page with, more or less."]
+    for t in texts or [pool * 3]:
         for _ in range(layouts):
-            sources.append(layout(rng, t[0][:60], (t[1:] or t)[: rng.choice([1, 2, 4, 8, 20])], lambda: rng.choice(pool)))
+            paragraphs = t[1:] or t
+            start = rng.randrange(len(paragraphs)) if rng.random() < 0.5 else 0
+            out.append(layout(rng, t[0], paragraphs[start:] if rng.random() < 0.5 else paragraphs[: start + 1], lambda: rng.choice(pool)))
+    return out
+
+
+def fit(pages: DataFrame, html_col: str = "html", most: int = SAMPLE, layouts: int = LAYOUTS) -> Boosted:
+    """Fits the trees on at most ``most`` different pages, chosen by hash, and on ``layouts`` layouts of each one's paragraphs."""
+    return fit_pages(training_rows(hashed_sample(pages, html_col, most), layouts))
+
+
+def fit_pages(sources: list[str]) -> Boosted:
+    xs, ys = [np.zeros((0, Page("<p>").features().shape[1]), dtype=np.float32)], [np.zeros(0)]
     for source in sources:
         page = Page(source)
         y = _labels(page, source)

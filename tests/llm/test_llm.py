@@ -2,6 +2,7 @@
 
 import itertools
 import re
+import time
 import zlib
 
 import numpy as np
@@ -193,20 +194,72 @@ def test_html(spark):
     rng = np.random.default_rng(8)
     text = lambda: " ".join(rng.choice(["some", "plain", "words", "here.", "and,", "more"], 30))
     page = lambda: f"<html><body>{nav}<div class='ad'>{text()}</div><article><h1>Title</h1><p>{text()} &amp; so</p><p>{text()}</article><footer>&copy; x</footer></body></html>"
-    train = spark.createDataFrame([(i, "u", page()) for i in range(40)], "page_id long, url string, html string")
+    kind = "page_id long, url string, html string, text int, n_chars string, id int"
+    train = spark.createDataFrame([(i, "u", page(), 1, "x", 2) for i in range(40)], kind)
     model = html.fit(train)
-    odd = [(100, "u", page()), (101, "u", None), (102, "u", ""), (103, "u", "<div><p>a<b"), (104, None, "<" * 50)]
-    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(odd, "page_id long, url string, html string"), model).collect()}
-    assert got[100].startswith("Title\n") and got[100].count("\n") == 2 and "& so" in got[100] and "link" not in got[100]
-    assert got[101] == got[102] == ""
+    odd = [(100, "u", page()), (100, "u", page()), (101, "u", None), (102, "u", ""), (103, "u", "<div><p>a<b"), (104, None, "<" * 50), (None, None, page()), (105, "u", page().replace("<p>", "<p>" + "long words, " * 50_000, 1))]
+    odd = spark.createDataFrame([(*r, 1, "x", 2) for r in odd], kind)
+    got = {r.page_id: r for r in html.extract(odd, model).collect()}
+    assert got[100].text.startswith("Title\n") and got[100].text.count("\n") == 2 and "& so" in got[100].text and "link" not in got[100].text
+    assert got[101].text == got[102].text == "" and got[None].n_chars == len(got[None].text) > 0
+    assert got[105].text.count("long words, ") == 50_000
+    assert html.extract(odd.limit(0), model).count() == 0 and html.fit(train.limit(0)) is not None
+
+
+@pytest.mark.parametrize(("source", "want"), [("<p title=don't>one</p><p>it isn't so</p><p>last</p>", "one\nit isn't so\nlast"), ("a < b <p>x</p>", "a < b\nx"), ('<p a="x>y">z</p>', "z"), ("x<!-- c", "x"), ("<p>a<b", "a<b"), ("<a href=x='y'>k</a>", "k"), ("<!--> shown", "shown"), ("<li>a<li>b<p>c<p>d", "a\nb\nc\nd"), ("<script>if (a<b) '</p>'</script>x", "x")])
+def test_html_tokens(source, want):
+    page = html.Page(source)
+    assert page.text([True] * len(page.tag)) == want
+
+
+@pytest.mark.parametrize("hostile", ['<a b="', "<select>", "<![CDATA[", "<!--", '<a b=">"', "<div>", "</span><b>", "<a b='>", "<", "<p><td><b>", "<b><h1>", '<a ="'])
+def test_hostile_html_takes_linear_time(hostile):
+    took = []
+    for n in (4000, 16000):
+        start = time.process_time()
+        page = html.Page(hostile * n + ">")
+        page.text(page.decode(np.zeros(len(page.tag) - 1)))
+        took.append(time.process_time() - start)
+    assert took[1] < 12 * took[0] + 0.2
+
+
+def test_html_on_unseen_layouts(spark):
+    """Layouts that the fit has not seen, of pages that it has not seen."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").collect() if r.html]
+    model = html.fit_pages(html.training_rows(pages[:150]))
+    right = []
+    for source in html.training_rows(pages[150:], layouts=2, seed=99):
+        page = html.Page(source)
+        labels = html._labels(page, source).astype(bool).tolist()
+        right.append(page.text(page.decode(model.logit(page.features()))) == page.text([False, *labels]))
+    assert np.mean(right) >= 0.95
+
+
+MIT = "/*\n * Permission is hereby granted, free of charge, to any person\n * obtaining a copy of this software and associated documentation\n * files, to deal in the Software without restriction\n */"
+BSD = "Some words\nRedistribution and use in source and binary\nforms, with or without modification, are permitted\nprovided that the following conditions are met\nother words"
+APACHE = "# Licensed under the Apache License, Version 2.0 (the License);\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at"
 
 
 def test_licenses(spark):
-    rows = [(0, "Some text here.\nLicensed under the Apache License, Version 2.0.\nmore"), (1, "free software version license public word"), (2, None), (3, "")]
+    apache = "Licensed under the Apache License, Version 2.0."
+    rows = [(0, f"Some text here.\n{apache}\nmore"), (1, "free software version license public word"), (2, None), (3, ""), (4, f"x\n\n{MIT}"), (5, BSD), (6, APACHE), (7, "Licensed under the Academic Free License version 3.0."), (8, f"{apache}\nReleased under the MIT License."), (None, apache), (9, apache), (9, apache), (70, "long words " * 100_000 + "\n" + apache)]
     rows += [(10 + i, "plain words of no weight at all, number %d" % i) for i in range(50)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = [r for r in licenses.scan(docs, licenses.fit(docs)).collect() if r.confirmed]
-    assert [(r.doc_id, r.paragraph, r.start, r.family) for r in got] == [(0, 1, 16, "apache-2.0")]
+    docs = spark.createDataFrame([(*r, 1, "clash", 2.0) for r in rows], "doc_id long, text string, id int, family string, start double")
+    model = licenses.fit(docs)
+    got = licenses.scan(docs, model).collect()
+    sure = sorted((-1 if r.doc_id is None else r.doc_id, r.paragraph, r.start, r.family) for r in got if r.confirmed)
+    assert sure == [(-1, 0, 0, "apache-2.0"), (0, 1, 16, "apache-2.0"), (4, 3, 6, "mit"), (5, 1, 11, "bsd"), (6, 0, 0, "apache-2.0"), (8, 0, 0, "apache-2.0"), (8, 1, 48, "mit"), (9, 0, 0, "apache-2.0"), (9, 0, 0, "apache-2.0"), (70, 1, 1_100_001, "apache-2.0")]
+    assert [(r.doc_id, r.family, r.confirmed) for r in got if not r.confirmed] == [(7, "unknown", False)]
+    assert licenses.scan(docs.limit(0), model).count() == 0 and licenses.fit(docs.limit(0)).paragraphs(b"") is not None
+
+
+def test_license_query_against_brute_force(spark):
+    """All of the smallest documents: the statements in them are lines of their own, found by their words alone."""
+    rows = [(r.doc_id, line) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() for line in (r.text or "").split("\n")]
+    own = {b" ".join(licenses.words(t.encode())).decode(): f for f, ts in licenses.TEMPLATES.items() for t in ts}
+    want = sorted((i, f) for i, line in rows for t, f in own.items() if f" {t} " in f" {b' '.join(licenses.words(line.encode())).decode()} ")
+    got = sorted((r.doc_id, r.family) for r in licenses.op1_licenses(spark, "/root/testdata/sf0.001").where("confirmed").collect())
+    assert set(want) <= set(got) and len(got) <= len(want) + 2
 
 
 def test_fixity(spark):
