@@ -26,8 +26,8 @@ from lapwing.llm.common import cut, running, runs, table
 
 #: Tokens of a sequence, and the id that ends a document.
 CAPACITY, END = 4096, 1
-#: Distinct words that a task remembers the ids of; bytes of text that are worked through at once.
-REMEMBERED, AT_ONCE = 700_000, 4 << 20
+#: Distinct words, and words without case and punctuation, that a task remembers the ids of; bytes of text that are worked through at once.
+REMEMBERED, PARTS, AT_ONCE = 250_000, 400_000, 2 << 20
 #: Punctuation that may be taken off a word's end; no apostrophe, as it can begin a token group with letters.
 TAIL = b".,*$%&#!?;:)\""
 #: Words that are encoded in one call.
@@ -106,8 +106,8 @@ class WordTokenizer:
         """Adds the words. The words that came early, most of them common, stay when the rest is forgotten."""
         if len(self.words) > REMEMBERED:
             self.words = {}
-        if len(self.parts) > REMEMBERED:
-            self.early = self.early or dict(itertools.islice(self.parts.items(), REMEMBERED // 4))
+        if len(self.parts) > PARTS:
+            self.early = self.early or dict(itertools.islice(self.parts.items(), PARTS // 2))
             self.parts = dict(self.early)
         cut = [self._split(w) for w in new]
         groups, others = [], []

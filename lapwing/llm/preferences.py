@@ -11,12 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lapwing.llm.common import table
+from lapwing.llm.common import cut, running, table
 
 #: Fixed values of the chat format.
 OPEN, MIDDLE, CLOSE, SPEAKER = "<|", "|>\n", "<|end|>\n", "assistant"
-#: Conversations that are neighbours when rejected answers are looked for.
-NEIGHBOURS = 64
+#: Parts that answers are ranked in.
+RANKED_IN = 512
 
 
 def _head(role: Column) -> Column:
@@ -65,21 +65,27 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame, pair_col: str = "conv_i
     def rest(name: str) -> Column:
         return F.transform(F.filter("turns", lambda t: (t["place"] >= first) & t[name].isNotNull()), lambda t: t[name])
 
-    cut = grouped.select("pair", (first - 1).cast("int").alias("prompt_turns"), before.alias("before"), rest("c").alias("c"), rest("r").alias("r"))
-    return cut.select(F.col("pair").alias(pair_col), _rendered(F.col("before")).alias("prompt"), "prompt_turns", _rendered(F.col("c")).alias("chosen"), _rendered(F.col("r")).alias("rejected"), _mask(F.col("c")).alias("chosen_mask"), _mask(F.col("r")).alias("rejected_mask"))
+    parted = grouped.select("pair", (first - 1).cast("int").alias("prompt_turns"), before.alias("before"), rest("c").alias("c"), rest("r").alias("r"))
+    return parted.select(F.col("pair").alias(pair_col), _rendered(F.col("before")).alias("prompt"), "prompt_turns", _rendered(F.col("c")).alias("chosen"), _rendered(F.col("r")).alias("rejected"), _mask(F.col("c")).alias("chosen_mask"), _mask(F.col("r")).alias("rejected_mask"))
 
 
 def mismatched(conversations: DataFrame) -> DataFrame:
-    """Rejected counterparts: each conversation with its last assistant turn answered by the next conversation's last answer.
+    """Rejected counterparts: each conversation with its last assistant turn answered by another conversation's last answer.
 
-    The next conversation is the one with the next id in a run of neighbouring ids, the first after the
-    last; a conversation without an assistant turn has no counterpart.
+    Different answers are ranked by the least conversation that ends in them, and each is replaced by the next
+    one, the last by the first: a counterpart never has the answer itself. Where all answers are one, or a
+    conversation has no assistant turn, there is no counterpart.
     """
-    last = conversations.where((F.col("role") == SPEAKER) & F.col("conv_id").isNotNull()).groupBy("conv_id").agg(F.max("turn").alias("last"), F.max_by("text", F.struct("turn", "text")).alias("answer"))
-    run = Window.partitionBy(F.floor(F.col("conv_id") / NEIGHBOURS)).orderBy("conv_id")
-    whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    swapped = last.select("conv_id", "last", F.coalesce(F.lead("answer").over(run), F.first("answer").over(whole)).alias("other"))
-    return conversations.join(swapped, "conv_id").select("conv_id", "turn", "role", F.when((F.col("turn") == F.col("last")) & (F.col("role") == SPEAKER), F.col("other")).otherwise(F.col("text")).alias("text"))
+    turns = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    last = turns.where((F.col("role") == SPEAKER) & F.col("conv_id").isNotNull()).groupBy("conv_id").agg(F.max("turn").alias("last"), F.max_by("text", F.struct("turn", "text")).alias("answer"))
+    answers = cut(last.groupBy("answer").agg(F.min("conv_id").alias("least")))
+    steps, n = answers.agg(F.percentile_approx("least", [i / RANKED_IN for i in range(1, RANKED_IN)]), F.count("*")).first()
+    part = F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in sorted(set(steps or []))]), lambda x: x < F.col("least")))
+    ranked = cut(running(answers, [], part, ["least"], {"rank": "1"}))
+    other = ranked.select(F.pmod(F.col("rank") - 1, F.lit(max(n, 1))).alias("before"), F.col("answer").alias("other"))
+    swaps = ranked.join(other, ranked["rank"] == other["before"]).select("answer", "other").where("answer <> other")
+    swapped = last.join(swaps, "answer").select("conv_id", "last", "other")
+    return turns.join(swapped, "conv_id").select("conv_id", "turn", "role", F.when((F.col("turn") == F.col("last")) & (F.col("role") == SPEAKER), F.col("other")).otherwise(F.col("text")).alias("text"))
 
 
 def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +102,9 @@ _R = "'<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10)"
 ORACLE = f"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 l AS (SELECT conv_id, max(turn) AS last, arg_max(text, turn) AS answer FROM t WHERE role = '{SPEAKER}' GROUP BY conv_id),
-n AS (SELECT conv_id, last, coalesce(lead(answer) OVER w, first_value(answer) OVER w) AS other FROM l WINDOW w AS (PARTITION BY conv_id // {NEIGHBOURS} ORDER BY conv_id)),
+a AS (SELECT answer, min(conv_id) AS least FROM l GROUP BY answer),
+b AS (SELECT answer, coalesce(lead(answer) OVER w, first_value(answer) OVER w) AS other FROM a WINDOW w AS (ORDER BY least)),
+n AS (SELECT conv_id, last, other FROM l JOIN b USING (answer) WHERE answer <> other),
 s AS (SELECT t.conv_id, turn, role, text AS c, CASE WHEN turn = last AND role = '{SPEAKER}' THEN other ELSE text END AS r FROM t JOIN n USING (conv_id)),
 f AS (SELECT conv_id, coalesce(min(turn) FILTER (WHERE c <> r), max(turn) + 1) AS first FROM s GROUP BY conv_id),
 o AS (SELECT s.*, first, coalesce(sum(CASE WHEN turn >= first THEN 5 + length(role) + length(c) + 8 END) OVER w, 0) AS ce, coalesce(sum(CASE WHEN turn >= first THEN 5 + length(role) + length(r) + 8 END) OVER w, 0) AS re FROM s JOIN f USING (conv_id) WINDOW w AS (PARTITION BY conv_id ORDER BY turn))

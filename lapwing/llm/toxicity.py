@@ -23,7 +23,7 @@ from lapwing.llm.common import runs, table
 SAMPLE, WORDS = 2000, 1024
 GRADES = 4
 STEMS = (4, 5, 6)
-#: The cut of "toxic" maximises caught toxic rows less so many times the clean rows it would catch, as shares of the sample.
+#: The first threshold maximises caught toxic rows less so many times the clean rows it would catch, as shares of the sample.
 CLEAN_COUNTS = 5
 
 #: Letters to lower case, ASCII punctuation to spaces.
@@ -46,7 +46,6 @@ class OrdinalModel:
     index: dict[bytes, int] = field(default_factory=dict)
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     thresholds: np.ndarray = field(default_factory=lambda: np.full(GRADES - 1, 20.0) + np.arange(GRADES - 1))
-    cut: float = np.inf
 
     def __post_init__(self):
         self.roots = {f.removesuffix(b"*")[: STEMS[0]] for f in self.index}
@@ -69,7 +68,7 @@ class OrdinalModel:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int) -> list[tuple[bytes, int]]:
-    """(text, toxic) of at most ``per_class`` rows of each class, chosen by hash of the id; look-alikes count once.
+    """(text, toxic) of at most ``per_class`` ids of each class, chosen by hash of the id; equal texts count once, and of an id's texts the least.
 
     The chosen ids are a table of bounded size, so the documents are not shuffled.
     """
@@ -77,12 +76,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     picked = [marks.where(F.col("__toxic") == c).orderBy(F.xxhash64("__id"), "__id").limit(per_class) for c in (0, 1)]
     chosen = picked[0].unionByName(picked[1])
     rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "__id")
-    found = rows.select("text", "__toxic").collect()
-    firsts: dict[tuple[bytes, int], bytes] = {}
-    for r in sorted(found, key=lambda r: (r["text"], r["__toxic"])):
-        text = r["text"].encode()
-        firsts.setdefault((b" ".join(words(text[:200])[:6]), r["__toxic"]), text)
-    return [(text, toxic) for (_, toxic), text in firsts.items()]
+    found = rows.groupBy("__id").agg(F.min("text").alias("text"), F.first("__toxic").alias("toxic")).collect()
+    return [(text.encode(), toxic) for text, toxic in sorted({(r["text"], r["toxic"]) for r in found})]
 
 
 def _chosen_words(sample: list[tuple[bytes, int]], most: int) -> tuple[list[bytes], set[bytes]]:
@@ -119,11 +114,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             held[i] += n * (f in markers)
     steps = np.quantile(held[toxic == 1], [1 / 3, 2 / 3])
     grade = np.where(toxic == 1, 1 + (held > steps[0]) + (held > steps[1]), 0)
-    share = labels.agg(F.avg((F.col(label_col).cast("int") > 0).cast("double"))).first()[0]
     weights, thresholds = fit_cumulative(x, grade)
-    own = toxic.mean()
-    shift = np.log(own / (1 - own)) - np.log(share / (1 - share))  # back from the sample's share of toxic rows
-    return OrdinalModel(model.index, weights, thresholds + shift, best_cut(x @ weights, toxic))
+    # the steps between grades stay; the first is moved to the cut that separates the classes
+    return OrdinalModel(model.index, weights, thresholds - thresholds[0] + best_cut(x @ weights, toxic))
 
 
 def best_cut(latent: np.ndarray, toxic: np.ndarray) -> float:
@@ -131,7 +124,7 @@ def best_cut(latent: np.ndarray, toxic: np.ndarray) -> float:
     levels = np.unique(latent)
     caught = [(latent[toxic == c][:, None] > levels).mean(axis=0) for c in (0, 1)]
     at = int(np.argmax(caught[1] - CLEAN_COUNTS * caught[0]))
-    return float(levels[at] + levels[at + 1]) / 2 if at + 1 < len(levels) else np.inf
+    return float(levels[at] + levels[at + 1]) / 2 if at + 1 < len(levels) else float(levels[-1]) + 1
 
 
 def fit_cumulative(x: np.ndarray, grade: np.ndarray, l2: float = 5e-4, rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:
@@ -154,23 +147,22 @@ def fit_cumulative(x: np.ndarray, grade: np.ndarray, l2: float = 5e-4, rounds: i
     return w, start + np.concatenate([[0], np.cumsum(np.exp(steps))])
 
 
-def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with severity (the expected grade), grade (the likeliest) and toxic.
+def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text", columns: tuple[str, str, str] = ("severity", "grade", "toxic")) -> DataFrame:
+    """``docs`` with severity (the expected grade), grade (the number of thresholds passed) and toxic (a grade of 1 or more).
 
     Whole texts are scored; null and empty texts score as texts without words. Repeated rows,
-    null ids and extra columns pass through; columns called severity, grade or toxic are replaced.
+    null ids and extra columns pass through; columns called as ``columns`` says are replaced. An empty table gives no rows.
     """
-    names = [c for c in docs.columns if c not in ("severity", "grade", "toxic")]
+    names = [c for c in docs.columns if c not in columns]
 
     def grade(batches):
         for batch in batches:
             latent = np.array([model.latent(x) for _, part in runs(batch.column(names.index(text_col))) for x in part], dtype=float)
-            beyond = model.beyond(latent)
-            each = -np.diff(np.hstack([np.ones((len(beyond), 1)), beyond, np.zeros((len(beyond), 1))]), axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(beyond.sum(axis=1).round(6)), pa.array(each.argmax(axis=1).astype(np.int32)), pa.array(latent > model.cut)], names=[*names, "severity", "grade", "toxic"])
+            passed = (latent[:, None] > model.thresholds).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.beyond(latent).sum(axis=1).round(6)), pa.array(passed.astype(np.int32)), pa.array(passed > 0)], names=[*names, *columns])
 
     rows = docs.select(*names)
-    return rows.mapInArrow(grade, StructType([*rows.schema.fields, StructField("severity", DoubleType()), StructField("grade", IntegerType()), StructField("toxic", BooleanType())]))
+    return rows.mapInArrow(grade, StructType([*rows.schema.fields, *[StructField(c, kind) for c, kind in zip(columns, (DoubleType(), IntegerType(), BooleanType()), strict=True)]]))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -186,7 +186,19 @@ def test_toxicity_on_held_out_rows(spark):
     held = spark.createDataFrame([*[(i, t, 9.0) for i, t, _ in rows[300:]], (None, None, 1.0)], "doc_id long, text string, severity double")
     got = {r.doc_id: r for r in toxicity.score(held, model).collect()}
     assert sum(got[i].toxic == bool(y) for i, _, y in rows[300:]) >= 295 and got[None].toxic is False
+    assert all(r.toxic == (r.grade > 0) for r in got.values())
     assert toxicity.fit(train, spark.createDataFrame([], "doc_id long, toxic int")).index == {}
+    again = spark.createDataFrame([(1, "nasty vile " * 200_000, "x"), (1, "nasty vile " * 200_000, "x"), (2, "", "x")], "doc_id long, text string, toxic string")
+    assert [r.toxic for r in toxicity.score(again, model).orderBy("doc_id").collect()] == [True, True, False]
+    assert toxicity.score(again.limit(0), model).count() == 0 and toxicity.fit(train.limit(0), again.limit(0).selectExpr("doc_id", "1 AS toxic")).index == {}
+
+
+def test_toxicity_of_held_out_labels(spark):
+    """Fitted on the labels of even ids, held against those of odd ones."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels.where("doc_id % 2 = 0"))
+    rows = toxicity.score(docs.where("doc_id % 2 = 1"), model, columns=("s", "g", "t")).join(labels, "doc_id").select("t", "toxic").collect()
+    assert np.mean([r.t for r in rows if r.toxic]) >= 0.85 and np.mean([r.t for r in rows if r.toxic == 0]) <= 0.01
 
 
 def test_html(spark):
@@ -263,14 +275,19 @@ def test_license_query_against_brute_force(spark):
 
 
 def test_fixity(spark):
-    rows = [(i, f"u{i}", f"<p>{i}</p>" * (i % 5)) for i in range(1200)] + [(7, "u7", "again"), (None, None, None), (None, "v", "x")]
-    a = fixity.placed(fixity.digests(fixity.warc_records(spark.createDataFrame(rows, "page_id long, url string, html string"))))
-    assert a.count() == len(rows)
-    b = a.where("NOT (file = 1 AND ordinal = 5)").withColumn("hash", F.when((F.col("file") == 0) & (F.col("ordinal") == 3), "bad").otherwise(F.col("hash")))
+    kind = "page_id long, url string, html string, id string, hash int, file double"
+    rows = [(i, f"u{i}", f"<p>{i}</p>" * (i % 5), "x", 1, 2.0) for i in range(1200)] + [(7, "u7", "again", "x", 1, 2.0), (None, None, None, "x", 1, 2.0), (None, "v", "x", "x", 1, 2.0), (1300, "long", "y" * 3_000_000, None, None, None)]
+    laid = lambda rs: fixity.placed(fixity.digests(fixity.warc_records(spark.createDataFrame(rs, kind))))
+    a = laid(rows)
+    assert a.count() == len(rows) - 1  # two records of one id have one place
+    b = laid([r if r[0] != 3 else (3, "u3", "rotten", *r[3:]) for r in rows if r[0] != 517] + [(2000, "new", "z", "x", 1, 2.0)])
     got = {(r.file, r.ordinal, r.status) for r in fixity.audit(a, b).collect()}
-    assert got == {(0, 3, "changed"), (1, 5, "missing")}
-    assert {(r.file, r.status) for r in fixity.audit(b, a).where("file = 1").collect()} == {(1, "unexpected")}
-    assert fixity.audit(a, a).count() == 0 and fixity.audit(a.limit(0), a.limit(0)).count() == 0
+    assert got == {(0, 3, "changed"), (1, 5, "missing"), (3, 464, "unexpected")}
+    assert {(r.file, r.ordinal, r.status) for r in fixity.audit(b, a).where("file = 1").collect()} == {(1, 5, "unexpected")}
+    assert {(r.file, r.ordinal) for r in fixity.audit(a, laid(rows[:1200] + rows[1201:])).collect()} == {(0, 7)}
+    assert fixity.audit(a, laid(rows[::-1])).count() == 0 and fixity.audit(a.limit(0), a.limit(0)).count() == 0
+    first = {r.ordinal: (r.first, r.past) for r in a.where("file = 1").collect()}
+    assert all(first[k][1] == first[k + 1][0] for k in range(511))
 
 
 def test_preferences(spark):
@@ -285,6 +302,18 @@ def test_preferences(spark):
     assert got[2].chosen == got[2].rejected == "" and got[3].prompt == "" and got[3].rejected == ""
 
 
+def test_counterparts_differ(spark):
+    kind = "conv_id long, turn int, role string, text string, answer string, rank int"
+    turns = [(i, t, r, x, "clash", 1) for i, a in [(1, "yes"), (200, "no"), (-(1 << 60), "yes"), (1 << 60, "maybe"), (5, None)] for t, r, x in [(0, "user", "hi " * (1 if i else 100_000)), (1, "assistant", a)]]
+    turns += [(7, 0, "user", "alone", "c", 1), (None, 1, "assistant", "lost", "c", 1), (200, 1, "assistant", "no", "repeated", 1)]
+    table = spark.createDataFrame(turns, kind)
+    got = {(r.conv_id, r.turn): r.text for r in preferences.mismatched(table).collect()}
+    last = {i: got[i, 1] for i, t in got if t == 1}
+    assert set(last) == {1, 200, -(1 << 60), 1 << 60, 5} and last[1] == last[-(1 << 60)] and all(last[i] != own for i, own in [(1, "yes"), (200, "no"), (1 << 60, "maybe"), (5, "")])
+    assert set(last.values()) == {"yes", "no", "maybe", ""}
+    assert preferences.mismatched(table.limit(0)).count() == preferences.mismatched(table.where("conv_id = 1")).count() == 0
+
+
 def test_pipeline_end_to_end(spark):
     import corpus_pipeline
 
