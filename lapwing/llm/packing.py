@@ -27,7 +27,7 @@ from lapwing.llm.common import cut, running, runs, table
 #: Tokens of a sequence, and the id that ends a document.
 CAPACITY, END = 4096, 1
 #: Distinct words, and words without case and punctuation, that a task remembers the ids of; bytes of text that are worked through at once.
-REMEMBERED, PARTS, AT_ONCE = 250_000, 400_000, 2 << 20
+REMEMBERED, PARTS, AT_ONCE = 200_000, 300_000, 1 << 20
 #: Punctuation that may be taken off a word's end; no apostrophe, as it can begin a token group with letters.
 TAIL = b".,*$%&#!?;:)\""
 #: Words that are encoded in one call.

@@ -16,7 +16,7 @@ copies do not come out as pairs.
 the sets. At similarity 0.8 fingerprints of 64 bits differ in 10 bits on average and in 17 or more
 once in 80 pairs: balls that wide around segments meet most of a table. Pairs are therefore fetched
 by bands of min-hashes, and the fingerprint, with a radius of its own, only screens what is verified.
-Members of a crowded band are compared with a few leaders first. What is then still apart is joined on the
+Members of a crowded band are compared with two leaders first. What is then still apart is joined on the
 rarest shingles of each set, as many as two sets at the least similarity cannot all differ in, so
 that copies with edits of their own meet nobody and are not paired with a whole crowd.
 """
@@ -38,8 +38,6 @@ SHINGLE, SEED, BITS = 3, 42, 3
 SIMILAR_SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 26
 #: Bands of min-hashes and rows of a band: a pair at similarity s shares a band with probability 1 - (1 - s^4)^16, 0.9998 at 0.8.
 BANDS, BAND_ROWS = 16, 4
-#: Texts of a crowded band that all others of it are compared with first.
-LEADERS = 2
 #: Fingerprints under one segment from which on they are linked through centres first.
 CROWD = 8
 
@@ -268,15 +266,13 @@ def _rarest(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 def similar_components(docs: DataFrame, prints: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """(node, component, rep): groups of shingle sets linked at a Jaccard similarity of ``similarity`` or more.
 
-    Texts with one set are one node. In a crowded band all nodes are compared with a few of them
+    Texts with one set are one node. In a crowded band all nodes are compared with two of them
     first; only pairs that are then in different groups, and share a rare shingle, are compared with one another.
     """
     nodes = cut(prints.groupBy("node").agg(F.min("id").alias("least_id"), F.min(F.struct("text_hash", "id")).alias("doc"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bands").alias("bands")))
     keys = nodes.where("size > 0").select("node", "fp", "size", F.explode("bands").alias("band"))
-    whole = F.struct("node", "fp", "size")
-    leaders = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("at"), whole.alias("n")))["n"] for i in range(LEADERS)]
-    shared = cut(keys.groupBy("band").agg(F.count("*").alias("many"), F.array_distinct(F.array(*leaders)).alias("leaders")).where("many > 1"))
-    met = cut(keys.join(shared.select("band", "many"), "band"))
+    shared = keys.groupBy("band").agg(F.count("*").alias("many")).where("many > 1")
+    met = cut(keys.join(shared, "band"))
 
     def close(a: str, b: str) -> Column:
         apart = F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= radius
@@ -292,7 +288,11 @@ def similar_components(docs: DataFrame, prints: DataFrame, id_col: str = "doc_id
         return cut(both.where(shared_size >= similarity * (F.size("u") + F.size("v") - shared_size) - 1e-9).select("a", "b"))
 
     few, crowd = met.where(F.col("many") < CROWD), met.where(F.col("many") >= CROWD)
-    stars = shared.where(F.col("many") >= CROWD).select("band", F.inline("leaders"))
+    # a band's leaders are its node that meets most others over all bands, so one amid the copies, and one by hash
+    central = crowd.groupBy("node").agg(F.sum("many").alias("met"))
+    whole = F.struct("node", "fp", "size").alias("n")
+    leaders = [F.min(F.struct(*order, whole))["n"] for order in ([(-F.col("met")).alias("a"), F.xxhash64("node").alias("b")], [F.xxhash64("node").alias("b")])]
+    stars = crowd.join(central, "node").groupBy("band").agg(F.array_distinct(F.array(*leaders)).alias("leaders")).select("band", F.inline("leaders"))
     found = cut(pairs(few, few, "band", F.col("x.node") < F.col("y.node")).unionByName(pairs(crowd, stars, "band", F.col("x.node") != F.col("y.node"))).distinct())
     ends = cut(found.select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowd.select("node")).distinct())
     sets = cut(_sets(docs, id_col, text_col, nodes.join(ends, "node").select("node", "doc.id", "doc.text_hash"), shingle))
