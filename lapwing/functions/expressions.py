@@ -11,10 +11,8 @@ MPH, G, M_PER_DEG = 0.44704, 9.80665, 111132.0
 MAD_SCALE = 1.4826
 #: Fixed values of section timing: floor of speed, correlation of crossing errors, driven band, residual band, tiers.
 V_FLOOR, RHO, BAND_PER_RAD, BAND_BASE, RESIDUAL_BAND, TIER_A, TIER_B = 8.0, 0.66, 3.2, 10.3, 10.2, 0.10, 0.30
-
-
-def null_if_nan(c: Column) -> Column:
-    return F.when(~F.isnan(c), c)
+#: Fixed value: seconds by which trajectory and odometer may differ without an offset.
+SPEED_SLACK = 0.2
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -37,7 +35,8 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: fl
 
 
 def huber(r: Column, k) -> Column:
-    return F.when(F.abs(r) > k, F.lit(k) / F.abs(r)).otherwise(F.lit(1.0))
+    k = F.lit(k)
+    return F.when(F.abs(r) > k, k / F.abs(r)).otherwise(F.lit(1.0))
 
 
 def tricube(u: Column) -> Column:

@@ -2,26 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Cuts the plan in the shared folder that the session names; a folder of its own only where it names none."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lapwing-"))
-    return df.checkpoint(eager=True)
+from lapwing.functions.lineage import cut
 
 
 def joint_medians(cells: DataFrame, session: str, corner: str, value: str, rounds: int = 10, settled: float = 0.005) -> DataFrame:
     """(corner, reference): medians of corners after each session's own offset (a median) is taken off, alternated."""
-    refs = _cut(cells.groupBy(corner).agg(F.median(value).alias("reference")))
+    refs = cut(cells.groupBy(corner).agg(F.median(value).alias("reference")))
     for _ in range(rounds):
         offsets = cells.join(refs, corner).groupBy(session).agg(F.median(F.col(value) - F.col("reference")).alias("own"))
-        new = _cut(cells.join(offsets, session).groupBy(corner).agg(F.median(F.col(value) - F.col("own")).alias("reference")))
+        new = cut(cells.join(offsets, session).groupBy(corner).agg(F.median(F.col(value) - F.col("own")).alias("reference")))
         moved = new.withColumnRenamed("reference", "new").join(refs, corner).agg(F.max(F.abs(F.col("new") - F.col("reference")))).first()[0]
         refs = new
         if moved is None or moved < settled:

@@ -27,7 +27,8 @@ def range_window(corners: DataFrame, lap_length: Column, keys: list[str], first:
 
 def heading(corridor: DataFrame, sections: DataFrame, keys: list[str], width: float = 10.0) -> DataFrame:
     """(keys, corner_id, heading): the sum of curvature times bin width over a section's bins; bins are exploded from the section and met by equality."""
-    bins = sections.select(*keys, "corner_id", F.explode(F.sequence(F.ceil(F.col("a") / width), F.floor(F.col("b") / width))).alias("bin"))
+    lo, hi = F.ceil(F.col("a") / width), F.floor(F.col("b") / width)
+    bins = sections.select(*keys, "corner_id", F.explode_outer(F.when(lo <= hi, F.sequence(lo, hi))).alias("bin"))
     return bins.join(corridor.select(*keys, "bin", "kappa"), [*keys, "bin"], "left").groupBy(*keys, "corner_id").agg((F.coalesce(F.sum(F.abs("kappa")), F.lit(0.0)) * width).alias("heading"))
 
 

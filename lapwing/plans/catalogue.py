@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from lapwing.plans import alignment_queries, lap_queries, point_queries, series_queries
+from lapwing.plans import alignment_queries, lap_queries, point_queries, series_queries, trajectory_queries
 
-QUERIES: dict = {**series_queries.QUERIES, **lap_queries.QUERIES, **point_queries.QUERIES, **alignment_queries.QUERIES}
-ORACLES: dict = {**series_queries.ORACLES, **lap_queries.ORACLES, **point_queries.ORACLES, **alignment_queries.ORACLES}
+_MODULES = (series_queries, lap_queries, point_queries, alignment_queries, trajectory_queries)
+
+QUERIES: dict = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLES: dict = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

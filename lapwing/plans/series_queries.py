@@ -210,40 +210,6 @@ def path_length(spark, d):
     return series(spark, d).withColumn("step", step).groupBy("k").agg(F.count("*").alias("n"), F.round(F.coalesce(F.sum("step"), F.lit(0.0)), 3).alias("path"), F.round(F.coalesce(F.max("step"), F.lit(0.0)), 3).alias("jump"))
 
 
-KNOT = DAYS + ", q AS (SELECT unnest(generate_series(CAST(min(day) // 5 AS BIGINT), CAST(max(day) // 5 AS BIGINT))) * 5 AS knot FROM y), p AS (SELECT knot, y.day, y.v, (1 - abs((y.day - knot) / 12.0) ** 3) ** 3 AS w FROM q JOIN y ON abs(y.day - knot) < 12), m1 AS (SELECT knot, count(*) AS n, sum(w * v) / sum(w) AS z FROM p GROUP BY knot HAVING count(*) >= 3), r1 AS (SELECT p.*, abs(v - z) AS r FROM p JOIN m1 USING (knot)), s1 AS (SELECT knot, 1.4826 * median(r) + 0.5 AS s FROM r1 GROUP BY knot), w2 AS (SELECT r1.knot, v, w * least(1, 3 * s / greatest(r, 1e-9)) AS w FROM r1 JOIN s1 USING (knot)), m2 AS (SELECT knot, count(*) AS n, sum(w * v) / sum(w) AS z, sum(w) ** 2 / sum(w * w) AS n_eff FROM w2 GROUP BY knot)"
-
-
-def knots(spark, d):
-    """Tricube local means of daily values every 5 days, refined by one robust pass."""
-    from lapwing.functions.expressions import MAD_SCALE, tricube
-
-    y = days(spark, d)
-    spine = y.agg(F.floor(F.min("day") / 5).alias("a"), F.floor(F.max("day") / 5).alias("b")).select(F.explode(F.sequence("a", "b")).alias("n")).select((F.col("n") * 5).alias("knot"))
-    p = joins.band_join(spine, y, [], "knot", "day", 12.0).where(F.abs(F.col("day") - F.col("knot")) < 12)
-    p = p.withColumn("w", tricube((F.col("day") - F.col("knot")) / 12.0))
-    mean = lambda x: x.groupBy("knot").agg(F.count("*").alias("n"), (F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("z"), (F.pow(F.sum("w"), 2) / F.sum(F.col("w") * F.col("w"))).alias("n_eff"))
-    r = p.join(mean(p).where("n >= 3").select("knot", "z"), "knot").withColumn("r", F.abs(F.col("v") - F.col("z")))
-    s = r.groupBy("knot").agg((F.median("r") * MAD_SCALE + 0.5).alias("s"))
-    return mean(r.join(s, "knot").select("knot", "v", (F.col("w") * F.least(F.lit(1.0), 3 * F.col("s") / F.greatest("r", F.lit(1e-9)))).alias("w")))
-
-
-@query(KNOT + " SELECT knot, n, round(z, 4) AS z, round(n_eff, 4) AS n_eff FROM m2")
-def knot_fit(spark, d):
-    return knots(spark, d).select("knot", "n", F.round("z", 4).alias("z"), F.round("n_eff", 4).alias("n_eff"))
-
-
-@query(KNOT + ", g AS (SELECT knot, least(15, 3 / sqrt(n_eff)) AS se, knot - min(knot) OVER () AS from_lo, max(knot) OVER () - knot AS from_hi FROM m2), b AS (SELECT knot, sqrt(se ** 2 + (0.1 * from_lo) ** 2) AS sigma, 2 + 4.5 * least(1, least(from_lo, from_hi) / 200.0) AS prior FROM g) SELECT knot, round(sigma, 4) AS sigma, round(prior, 4) AS prior, round(greatest(1, 1 / sqrt(1 / greatest(sigma, 0.5) ** 2 + 1 / prior ** 2)), 4) AS blended FROM b")
-def knot_sigma_blend(spark, d):
-    z = knots(spark, d)
-    ends = z.agg(F.min("knot").alias("lo"), F.max("knot").alias("hi"))
-    g = z.join(F.broadcast(ends)).select("knot", F.least(F.lit(15.0), 3 / F.sqrt("n_eff")).alias("se"), (F.col("knot") - F.col("lo")).alias("a"), (F.col("hi") - F.col("knot")).alias("b"))
-    sigma = F.sqrt(F.pow("se", 2) + F.pow(0.1 * F.col("a"), 2))
-    prior = 2 + 4.5 * F.least(F.lit(1.0), F.least("a", "b") / 200.0)
-    g = g.select("knot", sigma.alias("sigma"), prior.alias("prior"))
-    blended = F.greatest(F.lit(1.0), 1 / F.sqrt(1 / F.pow(F.greatest("sigma", F.lit(0.5)), 2) + 1 / F.pow("prior", 2)))
-    return g.select("knot", F.round("sigma", 4).alias("sigma"), F.round("prior", 4).alias("prior"), F.round(blended, 4).alias("blended"))
-
-
 @query(", y AS (SELECT c, CAST(floor(t / 86400) AS BIGINT) AS day, avg(v) AS v FROM e GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY day) AS r, count(*) OVER (PARTITION BY c) AS m FROM y), f AS (WITH RECURSIVE f AS (SELECT c, day, r, m, v, v AS z FROM n WHERE r = 1 UNION ALL SELECT n.c, n.day, n.r, n.m, n.v, greatest(least(n.v, f.z + 2), f.z - 2) FROM f JOIN n ON n.c = f.c AND n.r = f.r + 1) SELECT * FROM f), b AS (WITH RECURSIVE b AS (SELECT c, day, r, m, v, v AS z FROM n WHERE r = m UNION ALL SELECT n.c, n.day, n.r, n.m, n.v, greatest(least(n.v, b.z + 2), b.z - 2) FROM b JOIN n ON n.c = b.c AND n.r = b.r - 1) SELECT * FROM b) SELECT c, day, round((f.z + b.z) / 2, 4) AS limited FROM f JOIN b USING (c, day)")
 def rate_limit(spark, d):
     y = series(spark, d).groupBy("c", F.floor(F.col("t") / 86400).alias("day")).agg(F.avg("v").alias("v"))
