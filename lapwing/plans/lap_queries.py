@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lapwing.functions.expressions import ratio
 from lapwing.operators import joins, robust, sections
 from lapwing.plans.tables import LAPS, laps, read
 
@@ -187,22 +186,6 @@ def acceptance_gates(spark, d):
     return m.select("corner", F.when(F.col("early") == 0, "N/A").when(F.col("good") / F.col("n") >= 0.48, "PASS").otherwise("FAIL").alias("gate"))
 
 
-ORACLES["gear_bands"] = "WITH l AS (SELECT l_extendedprice / l_quantity AS r FROM lineitem WHERE l_quantity > 0), h AS (SELECT CAST(floor(r / 20) AS BIGINT) AS bin, count(*) AS n FROM l GROUP BY 1), s AS (SELECT unnest(generate_series((SELECT min(bin) FROM h), (SELECT max(bin) FROM h))) AS bin), f AS (SELECT s.bin, coalesce(n, 0) AS n FROM s LEFT JOIN h USING (bin)), p AS (SELECT *, lag(n, 1, 0) OVER (ORDER BY bin) AS b, lead(n, 1, 0) OVER (ORDER BY bin) AS a, max(n) OVER () AS top FROM f) SELECT bin, n FROM p WHERE n > b AND n >= a AND n >= 0.005 * top"
-
-
-def gear_bands(spark, d):
-    """Peaks of the histogram of a ratio of two channels."""
-    r = read(spark, d, "lineitem").select(ratio(F.col("l_extendedprice"), F.col("l_quantity")).alias("r")).where("r is not null")
-    h = r.groupBy(F.floor(F.col("r") / 20).alias("bin")).agg(F.count("*").alias("n"))
-    spine = h.agg(F.min("bin").alias("a"), F.max("bin").alias("b"), F.max("n").alias("top")).select(F.explode(F.sequence("a", "b")).alias("bin"), "top")
-    w = Window.orderBy("bin")
-    p = spine.join(h, "bin", "left").fillna(0, ["n"]).withColumns({"b": F.lag("n", 1, 0).over(w), "a": F.lead("n", 1, 0).over(w)})
-    return p.where((F.col("n") > F.col("b")) & (F.col("n") >= F.col("a")) & (F.col("n") >= 0.005 * F.col("top"))).select("bin", "n")
-
-
-QUERIES["gear_bands"] = gear_bands
-
-
 @query()
 def reference_fit(spark, d):
     """Driver offsets and corner medians, alternated to a fixed point over a small table of medians."""

@@ -308,16 +308,6 @@ def group_median_curve(spark, d):
     return z.groupBy("grp", "n").agg(F.round(F.median("v"), 4).alias("mid"), F.count("*").alias("laps"))
 
 
-@query(", g AS (SELECT *, CASE WHEN v < 5 THEN 1 WHEN v < 20 THEN 2 WHEN v < 60 THEN 3 ELSE 4 END AS gear FROM e), b AS (SELECT *, lag(gear) OVER (PARTITION BY k, lap ORDER BY t, i) AS before FROM g) SELECT k, lap, count(*) FILTER (WHERE gear < before) AS drops, arg_min(gear, (abs(v - 30), i)) AS apex_gear, CASE WHEN count(*) < 3 THEN 'excluded' WHEN count(*) FILTER (WHERE gear < before) > 0 THEN 'downshift' ELSE 'no-downshift' END AS label FROM b GROUP BY ALL")
-def shift_classify(spark, d):
-    v = F.col("v")
-    g = series(spark, d).withColumn("gear", F.when(v < 5, 1).when(v < 20, 2).when(v < 60, 3).otherwise(4))
-    b = g.withColumn("before", F.lag("gear").over(seq.over(LAP, ORDER)))
-    drops = F.count(F.when(F.col("gear") < F.col("before"), 1))
-    out = b.groupBy(*LAP).agg(F.count("*").alias("n"), drops.alias("drops"), F.min_by("gear", F.struct(F.abs(v - 30), "i")).alias("apex_gear"))
-    return out.select("k", "lap", "drops", "apex_gear", F.when(F.col("n") < 3, "excluded").when(F.col("drops") > 0, "downshift").otherwise("no-downshift").alias("label"))
-
-
 @query(", p AS (SELECT *, lead(t) OVER w AS t1, lead(v) OVER w AS v1 FROM e WINDOW w AS (PARTITION BY k ORDER BY t, i)), x AS (SELECT k, i, gate.gate, t + (gate.gate - v) / (v1 - v) * (t1 - t) AS t FROM p, (VALUES (25.0), (50.0)) AS gate(gate) WHERE (v < gate.gate AND v1 >= gate.gate)) SELECT k, CAST(gate AS DOUBLE) AS gate, round(min(t), 2) AS first, count(*) AS n FROM x GROUP BY ALL")
 def gate_crossing(spark, d):
     w = seq.over(K, ORDER)
