@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lapwing.functions.expressions import haversine
+from lapwing.functions.expressions import M_PER_DEG, haversine
 from lapwing.operators import sequence as seq
 
 Names = Sequence[str]
@@ -33,21 +33,40 @@ def density_clusters(candidates: DataFrame, side: str, at: str, length: float, p
         F.min(F.when((F.col("bin") >= F.col("top")) & (F.col("bin") < F.coalesce("r", F.lit(float(bins)))), F.col("v"))).alias("right"),
     )
     kept = low.where(F.col("height") - F.greatest("left", "right") >= prominence).select(side, ((F.col("top") + 0.5) * width).alias("centre"))
-    near = candidates.join(F.broadcast(kept), side).where(F.abs(F.col(at) - F.col("centre")) <= reach)
+    near = candidates.join(kept, side).where(F.abs(F.col(at) - F.col("centre")) <= reach)
     return near.groupBy(side, "centre").agg(F.median(at).alias("apex"), F.count("*").alias("n")).where(F.col("n") >= least).select(side, "centre", "apex", "n")
 
 
 def pin_matches(points: DataFrame, pins: DataFrame, keys: Names, order: Names, carry: Names, most: float = 50.0) -> DataFrame:
     """(keys, pin, metres, carry): each lap's sample nearest to each pin (pin, pin_lat, pin_lon), if nearer than ``most``.
 
-    Pins are a dimension of tens of rows; partial minima leave a row per lap, pin and task.
+    A pin lists the cells of latitude and longitude within its reach, and samples meet it there by equality.
     """
-    away = haversine(F.col("lat"), F.col("lon"), F.col("pin_lat"), F.col("pin_lon"))
-    met = points.join(F.broadcast(pins)).withColumn("__d", away)
+    high = most / M_PER_DEG
+    wide = F.lit(high) / F.greatest(F.cos(F.radians(F.abs("pin_lat") + high)), F.lit(0.01))
+    cells = lambda c, reach: F.sequence(F.floor((F.col(c) - reach) / high), F.floor((F.col(c) + reach) / high))
+    near = pins.withColumn("__ca", F.explode(cells("pin_lat", F.lit(high * 1.01)))).withColumn("__co", F.explode(cells("pin_lon", wide * 1.01)))
+    rows = points.withColumns({"__ca": F.floor(F.col("lat") / high), "__co": F.floor(F.col("lon") / high)})
+    met = rows.join(near, ["__ca", "__co"]).withColumn("__d", haversine(F.col("lat"), F.col("lon"), F.col("pin_lat"), F.col("pin_lon")))
     best = met.groupBy(*keys, "pin").agg(F.min(F.struct("__d", *order, *[c for c in carry if c not in order])).alias("b"))
     return best.where(F.col("b.__d") < most).select(*keys, "pin", F.col("b.__d").alias("metres"), *[F.col(f"b.{c}").alias(c) for c in carry])
 
 
+def seeded_boxes(clusters: DataFrame, pins: DataFrame, within: float = 80.0, half: float = 80.0) -> DataFrame:
+    """(pin, side, centre, start_m, end_m, apex_m, second_m, confidence): corner boxes from pins (pin, side, place, laps, optional second pin's place) and clusters (side, centre).
+
+    A pin takes the nearest cluster of its side within ``within`` metres, met on cells of that width; without one it stands for itself.
+    """
+    cell = lambda c, d=0: (F.floor(F.col(c) / within) + d).cast("long")
+    c = clusters.select("side", F.col("centre").alias("__centre"), F.explode(F.array(*[cell("centre", d) for d in (-1, 0, 1)])).alias("__c"))
+    met = pins.withColumn("__c", cell("place")).join(c, ["side", "__c"], "left").withColumn("__gap", F.abs(F.col("place") - F.col("__centre")))
+    best = met.groupBy(*pins.columns).agg(F.min(F.when(F.col("__gap") <= within, F.struct("__gap", "__centre"))).alias("__b"))
+    centre = F.coalesce(F.col("__b.__centre"), F.col("place"))
+    second = F.col("second") if "second" in pins.columns else F.lit(None).cast("double")
+    lo, hi = F.least(centre, F.coalesce(second, centre)), F.greatest(centre, F.coalesce(second, centre))
+    return best.select("pin", "side", centre.alias("centre"), F.greatest(F.lit(0.0), lo - half).alias("start_m"), (hi + half).alias("end_m"), centre.alias("apex_m"), second.alias("second_m"), F.when(F.col("__b").isNull(), "low").otherwise("high").alias("confidence"))
+
+
 def pin_places(matches: DataFrame, at: str) -> DataFrame:
     """(pin, place, spread, laps): median and deviation over laps of where a pin lies."""
     return matches.groupBy("pin").agg(F.median(at).alias("place"), F.stddev_pop(at).alias("spread"), F.count("*").alias("laps"))

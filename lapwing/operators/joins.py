@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lapwing.functions.lineage import cut
 from lapwing.operators.sequence import FIRST, HERE, LAST
 
 Names = Sequence[str]
@@ -58,40 +60,57 @@ def segments(starts: DataFrame, start: str, label: str, end: float = float("inf"
 
 
 def in_ranges(points: DataFrame, ranges: DataFrame, at: str, keys: Names = (), closed: bool = False) -> DataFrame:
-    """Points with each range (lo, hi) that holds them. Ranges are a dimension of tens of rows, broadcast by their size."""
+    """Points with each range (lo, hi) that holds them. Ranges are a dimension of tens of rows; the planner broadcasts them by their size."""
     upper = F.col(at) <= F.col("hi") if closed else F.col(at) < F.col("hi")
     inside = (F.col(at) >= F.col("lo")) & upper
     if keys:
         return points.join(ranges, list(keys)).where(inside)
-    return points.join(F.broadcast(ranges), inside)
+    return points.join(ranges, inside)
 
 
-def nearest(points: DataFrame, ruler: DataFrame, cell: float, point_id: str, rank: str) -> DataFrame:
+def nearest(points: DataFrame, ruler: DataFrame, cell: float, point_id: str, rank: str, doublings: int = 40) -> DataFrame:
     """(point_id, rank, distance): the ruler row nearest to each point (columns x, y), ties to the smallest ``rank``.
 
-    Points meet the ruler rows of their own and the eight cells around. A hit farther than a cell
-    could be beaten from outside; such points, few by the choice of the cell, are compared with the whole ruler.
+    Points meet the ruler rows of their own and the eight cells around, by equality. A hit farther than a cell could be
+    beaten from outside; such points try again on cells twice as wide, until all have one. Points without x or y have none.
     """
-    def at(c, d=0):
-        return (F.floor(F.col(c) / cell) + d).cast("long")
-
-    near = ruler.select(F.col(rank), F.col("x").alias("rx"), F.col("y").alias("ry"), F.explode(F.array(*[F.struct(at("x", i).alias("cx"), at("y", j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("c")).select(rank, "rx", "ry", "c.*")
-    d2 = F.pow(F.col("x") - F.col("rx"), 2) + F.pow(F.col("y") - F.col("ry"), 2)
-    best = F.min(F.struct(d2.alias("d2"), F.col(rank).alias("r"))).alias("best")
-    hits = points.withColumns({"cx": at("x"), "cy": at("y")}).join(near, ["cx", "cy"]).groupBy(point_id).agg(best).where(F.col("best.d2") <= cell * cell)
-    rest = points.join(hits.select(point_id), point_id, "left_anti").join(ruler.select(rank, F.col("x").alias("rx"), F.col("y").alias("ry"))).groupBy(point_id).agg(best)
-    return hits.unionByName(rest).select(point_id, F.col("best.r").alias(rank), F.sqrt("best.d2").alias("distance"))
+    best = F.min(F.struct((F.pow(F.col("x") - F.col("rx"), 2) + F.pow(F.col("y") - F.col("ry"), 2)).alias("d2"), F.col(rank).alias("r"))).alias("best")
+    marks = ruler.where("x is not null and y is not null").select(rank, F.col("x").alias("rx"), F.col("y").alias("ry"))
+    left, found = points.where("x is not null and y is not null").select(point_id, "x", "y"), []
+    if marks.isEmpty():
+        return left.limit(0).select(point_id, F.lit(None).cast(ruler.schema[rank].dataType).alias(rank), F.lit(None).cast("double").alias("distance"))
+    for _ in range(doublings):
+        at = lambda c, d=0, cell=cell: (F.floor(F.col(c) / cell) + d).cast("long")
+        near = marks.select("*", at("rx").alias("cx"), at("ry").alias("cy"))
+        around = left.select("*", F.explode(F.array(*[F.struct(at("x", i).alias("cx"), at("y", j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("c")).select(point_id, "x", "y", "c.*")
+        hits = cut(around.join(near, ["cx", "cy"]).groupBy(point_id).agg(best).where(F.col("best.d2") <= cell * cell))
+        found.append(hits)
+        left = cut(left.join(hits, point_id, "left_anti"))
+        if left.isEmpty():
+            break
+        cell *= 2
+    return reduce(DataFrame.unionByName, found).select(point_id, F.col("best.r").alias(rank), F.sqrt("best.d2").alias("distance"))
 
 
 def nearest_per_anchor(points: DataFrame, anchors: DataFrame, keys: Names, most: float, order: Names) -> DataFrame:
-    """(keys, anchor, dx, dy): each key's point nearest to each anchor (ax, ay), where within ``most``.
-
-    Anchors are a dimension of tens of rows; partial minima leave a row per key, anchor and task.
-    """
+    """(keys, anchor, dx, dy): each key's point nearest to each anchor (ax, ay), where within ``most``; met on cells of that width."""
+    at = lambda c, d=0: (F.floor(F.col(c) / most) + d).cast("long")
     d2 = F.pow(F.col("x") - F.col("ax"), 2) + F.pow(F.col("y") - F.col("ay"), 2)
+    wide = anchors.select("*", F.explode(F.array(*[F.struct(at("ax", i).alias("__cx"), at("ay", j).alias("__cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("__c")).select(*anchors.columns, "__c.*")
     hit = F.min_by(F.struct((F.col("x") - F.col("ax")).alias("dx"), (F.col("y") - F.col("ay")).alias("dy")), F.struct(d2, *order))
-    met = points.join(F.broadcast(anchors)).groupBy(*keys, "anchor").agg(hit.alias("h"), F.min(d2).alias("d2"))
-    return met.where(F.col("d2") <= most * most).select(*keys, "anchor", "h.dx", "h.dy")
+    met = points.withColumns({"__cx": at("x"), "__cy": at("y")}).join(wide, ["__cx", "__cy"]).where(d2 <= most * most)
+    return met.groupBy(*keys, "anchor").agg(hit.alias("h")).select(*keys, "anchor", "h.dx", "h.dy")
+
+
+def margin_pairs(df: DataFrame, keys: Names, x: str, t: str, margin: float) -> DataFrame:
+    """(keys, pairs, odd): ordered pairs of a key whose x differ by ``margin`` or more, and those with the smaller x at the later t.
+
+    Rows of a key are gathered once into an array sorted by x, and each counts its partners there: no pairs come out as rows.
+    """
+    rows = df.where(F.col(x).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(x).alias("x"), F.col(t).alias("t")))).alias("__r"))
+    own = rows.select(*keys, "__r", F.explode("__r").alias("__o"))
+    far = F.filter("__r", lambda r: r["x"] - F.col("__o.x") >= margin)
+    return own.select(*keys, F.size(far).cast("long").alias("pairs"), F.size(F.filter(far, lambda r: F.col("__o.t") > r["t"])).cast("long").alias("odd")).groupBy(*keys).agg(F.sum("pairs").alias("pairs"), F.sum("odd").alias("odd"))
 
 
 def neighbour_max(df: DataFrame, keys: Names, place: str, count: int, value: str, out: str) -> DataFrame:

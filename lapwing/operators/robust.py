@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,10 +13,47 @@ from lapwing.functions.expressions import MAD_SCALE
 Names = Sequence[str]
 
 
+def exact_quantiles(df: DataFrame, keys: Names, column: str, probs: Sequence[float], out: str = "q", parts: int = 64) -> DataFrame:
+    """(keys, out): exact quantiles, linear between order statistics, of groups of any size; null values do not count.
+
+    Equal values are one row with a count. Approximate quantiles cut a group into parts, whose counts tell which part
+    holds each order statistic; only those parts are ranked, each by itself, so no task sees a whole group.
+    """
+    keys = list(keys) or ["__all"]
+    df = df if keys != ["__all"] else df.withColumn("__all", F.lit(0))
+    values = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).cast("double").alias("__x")).agg(F.count("*").alias("__c"))
+    cuts = values.groupBy(*keys).agg(F.percentile_approx("__x", [i / parts for i in range(1, parts)]).alias("__cuts"), F.sum("__c").alias("__n"))
+    same = [F.col(f"v.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
+    met = values.alias("v").join(cuts.alias("s"), reduce(lambda a, b: a & b, same)).select("v.*", F.size(F.filter("s.__cuts", lambda c: c < F.col("v.__x"))).alias("__part"))
+    totals = met.groupBy(*keys, "__part").agg(F.sum("__c").alias("__m"))
+    totals = totals.withColumn("__before", F.coalesce(F.sum("__m").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rank = lambda p: (F.col("__n") - 1) * F.lit(float(p))
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(e).alias("e"), f(rank(p)).cast("long").alias("rank"), (rank(p) - F.floor(rank(p))).alias("share")) for i, p in enumerate(probs) for e, f in ((0, F.floor), (1, F.ceil))])
+    asked = cuts.select(*keys, F.inline(wanted)).alias("v").join(totals.alias("s"), reduce(lambda a, b: a & b, same) & (F.col("rank") >= F.col("__before")) & (F.col("rank") < F.col("__before") + F.col("__m")))
+    asked = asked.select("v.*", "__part", (F.col("rank") - F.col("__before")).alias("__at"))
+    match = reduce(lambda a, b: a & b, same) & (F.col("v.__part") == F.col("s.__part"))
+    held = met.alias("v").join(asked.select(*keys, "__part").distinct().alias("s"), match, "left_semi")
+    upto = F.sum("__c").over(Window.partitionBy(*keys, "__part").orderBy("__x"))
+    held = held.withColumn("__upto", upto)
+    got = asked.alias("v").join(held.alias("s"), match & (F.col("__at") < F.col("__upto")) & (F.col("__at") >= F.col("__upto") - F.col("__c"))).select("v.*", "s.__x")
+    ends = got.groupBy(*keys, "i").agg(F.max(F.when(F.col("e") == 0, F.col("__x"))).alias("a"), F.max(F.when(F.col("e") == 1, F.col("__x"))).alias("b"), F.first("share").alias("share"))
+    one = ends.select(*keys, "i", (F.col("a") + (F.col("b") - F.col("a")) * F.col("share")).alias("y"))
+    rows = one.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "y"))), lambda z: z["y"]).alias(out))
+    return rows.drop("__all")
+
+
+def with_group(df: DataFrame, stats: DataFrame, keys: Names) -> DataFrame:
+    """``df`` with the columns of a table of one row per key, or one row in all; null keys meet null keys."""
+    if not keys:
+        return df.join(stats)
+    same = reduce(lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys])
+    return df.alias("l").join(stats.alias("r"), same, "left").select("l.*", *[F.col(f"r.{c}") for c in stats.columns if c not in keys])
+
+
 def quantile_bucket(df: DataFrame, keys: Names, column: str, parts: int, base: Column, out: str) -> DataFrame:
     """Bucket 0 to parts-1 by the inner quantiles of the base rows, equal edges counting once, right-closed; null out of range."""
-    edges = df.groupBy(*keys).agg(F.array_distinct(F.percentile(F.when(base, F.col(column)), F.array(*[F.lit(i / parts) for i in range(parts + 1)]))).alias("__edges"))
-    rows = df.join(edges, list(keys)) if keys else df.join(F.broadcast(edges))
+    edges = exact_quantiles(df.where(base), keys, column, [i / parts for i in range(parts + 1)], "__edges").withColumn("__edges", F.array_distinct("__edges"))
+    rows = with_group(df, edges, keys)
     e, n = F.col("__edges"), F.size("__edges")
     below = F.size(F.filter(F.slice(e, 2, F.greatest(n - 2, F.lit(0))), lambda x: x < F.col(column)))
     inside = (F.col(column) >= F.element_at(e, 1)) & (F.col(column) <= F.element_at(e, -1))
@@ -24,10 +62,19 @@ def quantile_bucket(df: DataFrame, keys: Names, column: str, parts: int, base: C
 
 def robust_z(df: DataFrame, keys: Names, column: str, base: Column, out: str, least: float = 0.1) -> DataFrame:
     """(x - median) / (1.4826 MAD) against the base rows of a key, on all rows; null where the scale is ``least`` or less."""
-    center = df.groupBy(*keys).agg(F.median(F.when(base, F.col(column))).alias("__m"))
-    near = df.join(center, list(keys))
-    spread = near.groupBy(*keys).agg((F.median(F.when(base, F.abs(F.col(column) - F.col("__m")))) * MAD_SCALE).alias("__s"))
-    return near.join(spread, list(keys)).withColumn(out, F.round(F.when(F.col("__s") > least, (F.col(column) - F.col("__m")) / F.col("__s")), 2) + 0.0).drop("__m", "__s")
+    center = exact_quantiles(df.where(base), keys, column, [0.5], "__m").withColumn("__m", F.col("__m")[0])
+    near = with_group(df, center, keys).withColumn("__away", F.abs(F.col(column) - F.col("__m")))
+    spread = exact_quantiles(near.where(base), keys, "__away", [0.5], "__s").withColumn("__s", F.col("__s")[0] * MAD_SCALE)
+    met = with_group(near, spread, keys)
+    return met.withColumn(out, F.round(F.when(F.col("__s") > least, (F.col(column) - F.col("__m")) / F.col("__s")), 2) + 0.0).drop("__m", "__s", "__away")
+
+
+def robust_spread(df: DataFrame, keys: Names, column: str) -> DataFrame:
+    """(keys, center, std, bound): median, 1.4826 MAD, and |median| + 3 std."""
+    center = exact_quantiles(df, keys, column, [0.5], "center").withColumn("center", F.col("center")[0])
+    away = with_group(df, center, keys).withColumn("__away", F.abs(F.col(column) - F.col("center")))
+    spread = exact_quantiles(away, keys, "__away", [0.5], "std").withColumn("std", F.col("std")[0] * MAD_SCALE)
+    return with_group(center, spread, keys).withColumn("bound", F.abs("center") + 3 * F.col("std"))
 
 
 def all_of(df: DataFrame, keys: Names, flag: Column, out: str) -> DataFrame:
@@ -58,8 +105,15 @@ def fisher_mean(df: DataFrame, keys: Names, x: str, y: str, least: int = 4) -> C
     return r.agg(F.tanh(F.sum(F.atanh("r") * (F.col("n") - 3)) / F.sum(F.col("n") - 3)).alias("r"), F.count("*").alias("groups"))
 
 
-def split_by_hash(df: DataFrame, strata: Names, key: str, share: float = 0.6) -> DataFrame:
-    """Stable split: in each stratum the first round(share n) keys in order of their SHA-1."""
+def split_by_hash(df: DataFrame, strata: Names, key: str, share: float = 0.6, parts: int = 256) -> DataFrame:
+    """Stable split: in each stratum the first round(share n) keys in order of their SHA-1.
+
+    The first digits of a hash deal a stratum into parts that are ranked by themselves.
+    """
+    df = df.withColumn("__h", F.sha1(F.col(key).cast("string").cast("binary"))).withColumn("__part", F.substring("__h", 1, 2))
+    totals = df.groupBy(*strata, "__part").agg(F.count("*").alias("__m"))
     w = Window.partitionBy(*strata)
-    rank = F.row_number().over(w.orderBy(F.sha1(F.col(key).cast("string").cast("binary")), key))
-    return df.withColumn("fold", F.when(rank <= F.bround(F.count("*").over(w) * share), "calibration").otherwise("held_out"))
+    totals = totals.select(*strata, "__part", F.coalesce(F.sum("__m").over(w.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("__m").over(w).alias("__n"))
+    ranked = df.withColumn("__r", F.row_number().over(Window.partitionBy(*strata, "__part").orderBy("__h", key)))
+    met = with_group(ranked, totals, [*strata, "__part"])
+    return met.withColumn("fold", F.when(F.col("__r") + F.col("__before") <= F.bround(F.col("__n") * share), "calibration").otherwise("held_out")).drop("__h", "__part", "__r", "__before", "__n")

@@ -121,8 +121,9 @@ def pivot_counts(spark, d):
 
 @query(" SELECT corner, status, count(*) AS n, round(avg(CASE WHEN x > 150000 THEN 1.0 ELSE 0 END), 6) AS eligible FROM o GROUP BY GROUPING SETS ((), (status), (corner, status))")
 def coverage_sets(spark, d):
-    laps(spark, d).createOrReplaceTempView("__laps")
-    return spark.sql("SELECT corner, status, count(*) AS n, round(avg(CASE WHEN x > 150000 THEN 1.0D ELSE 0 END), 6) AS eligible FROM __laps GROUP BY GROUPING SETS ((), (status), (corner, status))")
+    corner, status = F.col("corner"), F.col("status")
+    sets = laps(spark, d).groupingSets([[], [status], [corner, status]], corner, status)
+    return sets.agg(F.count("*").alias("n"), F.round(F.avg((F.col("x") > 150000).cast("double")), 6).alias("eligible"))
 
 
 @query(", s AS (SELECT k % 10 AS g, corner, stddev_samp(x) AS sd FROM o GROUP BY ALL HAVING count(*) >= 10) SELECT g, round(median(sd), 3) AS scatter, count(*) AS corners FROM s GROUP BY g")
@@ -141,8 +142,11 @@ def fisher_z(spark, d):
 @query(", m AS (SELECT corner, median(x) AS m FROM o GROUP BY corner) SELECT corner, round(any_value(m), 3) AS reference, ceil(quantile_cont(abs(x - m), 0.99) * 10 - 1e-9) / 10 AS tolerance, round(quantile_cont(abs(x - m), 0.999), 3) AS threshold, count(*) AS n FROM o JOIN m USING (corner) GROUP BY corner HAVING count(*) >= 20")
 def percentile_refs(spark, d):
     o = laps(spark, d)
-    away = F.abs(F.col("x") - F.col("m"))
-    g = o.join(o.groupBy("corner").agg(F.median("x").alias("m")), "corner").groupBy("corner").agg(F.first("m").alias("m"), F.percentile(away, F.array(F.lit(0.99), F.lit(0.999))).alias("p"), F.count("*").alias("n")).where("n >= 20")
+    center = robust.exact_quantiles(o, ["corner"], "x", [0.5], "m").withColumn("m", F.col("m")[0])
+    away = robust.with_group(o, center, ["corner"]).withColumn("away", F.abs(F.col("x") - F.col("m")))
+    tails = robust.exact_quantiles(away, ["corner"], "away", [0.99, 0.999], "p")
+    g = robust.with_group(o.groupBy("corner").agg(F.count("*").alias("n")).where("n >= 20"), center, ["corner"])
+    g = robust.with_group(g, tails, ["corner"])
     return g.select("corner", F.round("m", 3).alias("reference"), (F.ceil(F.col("p")[0] * 10 - 1e-9) / 10.0).cast("double").alias("tolerance"), F.round(F.col("p")[1], 3).alias("threshold"), "n")
 
 
@@ -172,17 +176,20 @@ QUERIES["stratified_split"] = stratified_split
 
 @query(" SELECT a.corner, count(*) AS pairs, count(*) FILTER (WHERE a.t > b.t) AS odd FROM o a JOIN o b ON a.k = b.k AND a.corner = b.corner AND b.x - a.x >= 50000 GROUP BY a.corner")
 def paradox_pairs(spark, d):
+    """Pairs of a driver's laps in a corner, one faster by a margin, and how many have the other order in time.
+
+    A lap's faster partners are counted by a running count in x; those that came later by the driver's laps of the corner
+    on cells of x, exact at the cell that holds the margin.
+    """
     o = laps(spark, d).select("k", "corner", "x", "t")
-    other = o.select("k", "corner", F.col("x").alias("x2"), F.col("t").alias("t2"))
-    p = o.join(other, ["k", "corner"]).where("x2 - x >= 50000")
-    return p.groupBy("corner").agg(F.count("*").alias("pairs"), F.count(F.when(F.col("t") > F.col("t2"), 1)).alias("odd"))
+    return joins.margin_pairs(o, ["k", "corner"], "x", "t", 50000.0).groupBy("corner").agg(F.sum("pairs").alias("pairs"), F.sum("odd").alias("odd")).where("pairs > 0")
 
 
 @query(", m AS (SELECT corner, count(*) FILTER (WHERE status = 'F') AS good, count(*) AS n, count(*) FILTER (WHERE t < (SELECT median(t) FROM o)) AS early FROM o GROUP BY corner) SELECT corner, CASE WHEN early = 0 THEN 'N/A' WHEN good * 1.0 / n >= 0.48 THEN 'PASS' ELSE 'FAIL' END AS gate FROM m")
 def acceptance_gates(spark, d):
     o = laps(spark, d)
-    mid = o.agg(F.median("t").alias("mid"))
-    m = o.join(F.broadcast(mid)).groupBy("corner").agg(F.count(F.when(F.col("status") == "F", 1)).alias("good"), F.count("*").alias("n"), F.count(F.when(F.col("t") < F.col("mid"), 1)).alias("early"))
+    mid = robust.exact_quantiles(o, [], "t", [0.5], "mid").withColumn("mid", F.col("mid")[0])
+    m = robust.with_group(o, mid, []).groupBy("corner").agg(F.count(F.when(F.col("status") == "F", 1)).alias("good"), F.count("*").alias("n"), F.count(F.when(F.col("t") < F.col("mid"), 1)).alias("early"))
     return m.select("corner", F.when(F.col("early") == 0, "N/A").when(F.col("good") / F.col("n") >= 0.48, "PASS").otherwise("FAIL").alias("gate"))
 
 
