@@ -46,3 +46,10 @@ def tricube(u: Column) -> Column:
 def lap_clock(seconds: Column) -> Column:
     """M:SS.ss of a time in seconds."""
     return F.format_string("%d:%05.2f", F.floor(seconds / 60).cast("int"), seconds - 60 * F.floor(seconds / 60))
+
+
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson's correlation of the rows that have both; null, not an error, where one does not vary."""
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x), F.when(both, y)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lapwing.functions.expressions import MAD_SCALE
 from lapwing.functions.lineage import cut
+from lapwing.operators.trajectory import middle, total
+
+#: Fixed values of a session's fit: Huber's constant, most rounds, least rows.
+HUBER, ROUNDS, LEAST = 1.345, 20, 12
 
 
 def joint_medians(cells: DataFrame, session: str, corner: str, value: str, rounds: int = 10, settled: float = 0.005) -> DataFrame:
@@ -19,3 +26,52 @@ def joint_medians(cells: DataFrame, session: str, corner: str, value: str, round
         if moved is None or moved < settled:
             break
     return refs
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def huber_fits(rows: DataFrame, session: list[str], y: str, a: str, b: str, rounds: int = ROUNDS, least: int = LEAST) -> DataFrame:
+    """(session, p, q, n): y = p a + q b by weighted least squares, reweighted up to ``rounds`` times by Huber's rule on the robust scale of the residuals.
+
+    Sessions with fewer than ``least`` finite rows have none; a scale of 0 ends a session's rounds. Where a and b are one direction,
+    the shortest solution is taken. A session's rows, some hundred sections, are gathered and fitted by array expressions.
+    """
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c)) < float("inf"))
+    point = F.struct(*[F.col(c).cast("double").alias(n) for c, n in ((y, "y"), (a, "a"), (b, "b"))])
+    own = rows.where(finite(y) & finite(a) & finite(b)).groupBy(*session).agg(F.array_sort(F.collect_list(point)).alias("__p")).where(F.size("__p") >= least)
+    p = F.col("__p")
+
+    def solved(w: Column) -> Column:
+        s = lambda f: total(F.zip_with(p, w, lambda x, u: u * f(x)))
+        sums = F.struct(s(lambda x: x["a"] * x["a"]).alias("aa"), s(lambda x: x["a"] * x["b"]).alias("ab"), s(lambda x: x["b"] * x["b"]).alias("bb"), s(lambda x: x["a"] * x["y"]).alias("ay"), s(lambda x: x["b"] * x["y"]).alias("by"))
+
+        def solution(m: Column) -> Column:
+            det, trace = m["aa"] * m["bb"] - m["ab"] * m["ab"], m["aa"] + m["bb"]
+            full = det > 1e-12 * trace * trace
+            u = F.when(full, (m["bb"] * m["ay"] - m["ab"] * m["by"]) / det).otherwise((m["aa"] * m["ay"] + m["ab"] * m["by"]) / (trace * trace))
+            v = F.when(full, (m["aa"] * m["by"] - m["ab"] * m["ay"]) / det).otherwise((m["ab"] * m["ay"] + m["bb"] * m["by"]) / (trace * trace))
+            return F.struct(F.coalesce(u, F.lit(0.0)).alias("p"), F.coalesce(v, F.lit(0.0)).alias("q"), F.lit(False).alias("done"))
+
+        return _let(sums, solution)
+
+    def step(acc: Column, _: Column) -> Column:
+        residuals = F.transform(p, lambda x: x["y"] - acc["p"] * x["a"] - acc["q"] * x["b"])
+        scale = lambda r: MAD_SCALE * _let(middle(r), lambda m: middle(F.transform(r, lambda z: F.abs(z - m))))
+        weights = lambda r, s: F.transform(r, lambda z: F.when(F.abs(z) > HUBER * s, HUBER * s / F.abs(z)).otherwise(1.0))
+        ended = F.struct(acc["p"].alias("p"), acc["q"].alias("q"), F.lit(True).alias("done"))
+        nxt = _let(residuals, lambda r: _let(scale(r), lambda s: F.when(s > 0, solved(weights(r, s))).otherwise(ended)))
+        return F.when(acc["done"], acc).otherwise(nxt)
+
+    start = solved(F.transform(p, lambda x: F.lit(1.0)))
+    fit = F.aggregate(F.sequence(F.lit(1), F.lit(max(rounds - 1, 1))), start, step) if rounds > 1 else start
+    out = own.withColumn("__f", fit)
+    return out.select(*session, F.col("__f.p").alias("p"), F.col("__f.q").alias("q"), F.size("__p").alias("n"))
+
+
+def accel_calibration(features: DataFrame, session: list[str], gravity: float) -> DataFrame:
+    """(session, b_g, psi, n): a session's accelerometer bias and coupling, from its sections' accel_raw, seconds and lat_integral."""
+    rows = features.withColumns({"__a": -gravity * F.col("seconds"), "__b": -gravity * F.col("lat_integral")})
+    return huber_fits(rows, session, "accel_raw", "__a", "__b").select(*session, F.col("p").alias("b_g"), F.col("q").alias("psi"), "n")

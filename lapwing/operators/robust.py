@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lapwing.functions.expressions import MAD_SCALE
+from lapwing.functions.expressions import MAD_SCALE, correlation
 
 Names = Sequence[str]
 
@@ -101,7 +101,7 @@ def trimmed_std(df: DataFrame, keys: Names, column: str, share: float = 0.1, lea
 
 def fisher_mean(df: DataFrame, keys: Names, x: str, y: str, least: int = 4) -> Column:
     """One row: correlations of keys averaged on Fisher's scale, weighted by rows less three."""
-    r = df.groupBy(*keys).agg(F.corr(x, y).alias("r"), F.count("*").alias("n")).where((F.col("n") >= least) & (F.abs("r") < 0.999999))
+    r = df.groupBy(*keys).agg(correlation(F.col(x), F.col(y)).alias("r"), F.count("*").alias("n")).where((F.col("n") >= least) & (F.abs("r") < 0.999999))
     return r.agg(F.tanh(F.sum(F.atanh("r") * (F.col("n") - 3)) / F.sum(F.col("n") - 3)).alias("r"), F.count("*").alias("groups"))
 
 

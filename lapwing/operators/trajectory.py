@@ -84,7 +84,7 @@ def speed_scale(df: DataFrame, keys: Names, gps: str, obd: str) -> DataFrame:
 
 def bin_index(at: Column, bins: int) -> Column:
     """The corridor bin of a place: rounded half to even, clipped, 0 where there is none."""
-    return F.coalesce(F.greatest(F.least(F.bround(at / BIN), F.lit(bins - 1)), F.lit(0)), F.lit(0)).cast("int")
+    return F.when(at.isNull() | F.isnan(at.cast("double")), 0).otherwise(F.greatest(F.least(F.bround(at / BIN), F.lit(bins - 1)), F.lit(0))).cast("int")
 
 
 def lateral_offset(df: DataFrame, corridor: DataFrame, bins: int, x: str, y: str, at: str, out: str = "e_lat", track: Names = ()) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lapwing.operators import alignment, corners
+from lapwing.operators import alignment, lags, corners
 
 from lapwing.plans.tables import SERIES, read, series
 
@@ -71,7 +71,7 @@ def stints(spark, d):
 def path_lag(spark, d):
     """Least-squares search: tested against planted delays."""
     e = stints(spark, d).withColumns({"x": F.col("x") / 20, "y": F.col("y") / 20})
-    return alignment.path_lag(e, ["lap"], "t", "i", "x", "y", "v")
+    return lags.path_lag(e, ["lap"], "t", "i", "x", "y", "v")
 
 
 @query()

@@ -259,37 +259,18 @@ def window_integral(spark, d):
     return n.groupBy("k", "lap").agg(F.round(F.sum(0.5 * (F.col("v") + F.col("v1")) * (F.col("t1") - F.col("t"))) / 3600, 3).alias("integral"), F.round(F.count("v") / F.count("*"), 4).alias("coverage"))
 
 
-CALIBRATION = ", f AS (SELECT k, v AS y, 1.0 AS a, (t - min(t) OVER (PARTITION BY k)) / 604800 AS b, 1.0 AS w FROM e), {rounds} SELECT k, round({m}.p, 4) AS level, round({m}.q, 4) AS drift FROM {m}"
+_SOLVE = "m{n} AS (SELECT k, (bb * ay - ab * cy) / (aa * bb - ab * ab) AS p, (aa * cy - ab * ay) / (aa * bb - ab * ab) AS q FROM (SELECT k, sum(w * a * a) AS aa, sum(w * a * b) AS ab, sum(w * b * b) AS bb, sum(w * a * y) AS ay, sum(w * b * y) AS cy FROM f{n} GROUP BY k))"
+_REWEIGH = "r{n} AS MATERIALIZED (SELECT f{n}.k, y, a, b, y - p * a - q * b AS r FROM f{n} JOIN m{n} USING (k)), d{n} AS (SELECT k, median(r) AS m FROM r{n} GROUP BY k), h{n} AS (SELECT r{n}.k, 1.4826 * median(abs(r - m)) AS s FROM r{n} JOIN d{n} USING (k) GROUP BY r{n}.k), f{m} AS MATERIALIZED (SELECT r{n}.k, y, a, b, CASE WHEN abs(r) > 1.345 * s AND s > 0 THEN 1.345 * s / abs(r) ELSE 1.0 END AS w FROM r{n} JOIN h{n} USING (k))"
+_ROUNDS = 20
 
 
-def _irls(rows, rounds):
-    """Unrolled Huber rounds of a two-parameter fit per session, all sessions at once."""
-    from lapwing.functions.expressions import MAD_SCALE
-
-    fit = None
-    for n in range(rounds):
-        w, a, b, y = (F.col(c) for c in "waby")
-        m = rows.groupBy("k").agg(*[F.sum(w * p).alias(c) for c, p in (("aa", a * a), ("ab", a * b), ("bb", b * b), ("ay", a * y), ("by", b * y))])
-        det = F.col("aa") * F.col("bb") - F.col("ab") * F.col("ab")
-        fit = m.where(det > 1e-9).select("k", ((F.col("bb") * F.col("ay") - F.col("ab") * F.col("by")) / det).alias("p"), ((F.col("aa") * F.col("by") - F.col("ab") * F.col("ay")) / det).alias("q"))
-        if n + 1 < rounds:
-            r = rows.join(fit, "k").withColumn("r", F.col("y") - F.col("p") * F.col("a") - F.col("q") * F.col("b"))
-            mid = r.groupBy("k").agg(F.median("r").alias("m"))
-            r = r.join(mid, "k")
-            scale = r.groupBy("k").agg((F.median(F.abs(F.col("r") - F.col("m"))) * MAD_SCALE).alias("s"))
-            rows = r.join(scale, "k").select("k", "y", "a", "b", F.when((F.abs("r") > 1.345 * F.col("s")) & (F.col("s") > 0), 1.345 * F.col("s") / F.abs("r")).otherwise(1.0).alias("w"))
-    return fit
-
-
-_SOLVE = "s{n} AS (SELECT k, sum(w * a * a) AS aa, sum(w * a * b) AS ab, sum(w * b * b) AS bb, sum(w * a * y) AS ay, sum(w * b * y) AS cy FROM {f} GROUP BY k), m{n} AS (SELECT k, (bb * ay - ab * cy) / (aa * bb - ab * ab) AS p, (aa * cy - ab * ay) / (aa * bb - ab * ab) AS q FROM s{n} WHERE aa * bb - ab * ab > 1e-9)"
-
-
-@query(CALIBRATION.format(m="m2", rounds=_SOLVE.format(n=1, f="f") + ", r AS (SELECT f.*, y - p * a - q * b AS r FROM f JOIN m1 USING (k)), d AS (SELECT k, median(r) AS m FROM r GROUP BY k), h AS (SELECT r.k, 1.4826 * median(abs(r - m)) AS s FROM r JOIN d USING (k) GROUP BY r.k), g AS (SELECT r.k, y, a, b, CASE WHEN abs(r) > 1.345 * s AND s > 0 THEN 1.345 * s / abs(r) ELSE 1.0 END AS w FROM r JOIN h USING (k)), " + _SOLVE.format(n=2, f="g")))
+@query(", f1 AS (SELECT k, v AS y, 1.0 AS a, (t - min(t) OVER (PARTITION BY k)) / 604800 AS b, 1.0 AS w FROM e WHERE k IN (SELECT k FROM e GROUP BY k HAVING count(*) >= 12)), " + ", ".join(_SOLVE.format(n=n) + (", " + _REWEIGH.format(n=n, m=n + 1) if n < _ROUNDS else "") for n in range(1, _ROUNDS + 1)) + f" SELECT k, round(p, 4) AS level, round(q, 4) AS drift FROM m{_ROUNDS}")
 def session_calibration(spark, d):
-    e = series(spark, d)
+    from lapwing.operators.fits import huber_fits
+
     b = (F.col("t") - F.min("t").over(Window.partitionBy("k"))) / 604800
-    rows = e.select("k", F.col("v").alias("y"), F.lit(1.0).alias("a"), b.alias("b"), F.lit(1.0).alias("w"))
-    return _irls(rows, 2).select("k", F.round("p", 4).alias("level"), F.round("q", 4).alias("drift"))
+    rows = series(spark, d).select("k", F.col("v").alias("y"), F.lit(1.0).alias("a"), b.alias("b"))
+    return huber_fits(rows, ["k"], "y", "a", "b").select("k", F.round("p", 4).alias("level"), F.round("q", 4).alias("drift"))
 
 
 @query(GRID + ", h AS (SELECT * FROM g WHERE k IN (SELECT k FROM e GROUP BY k ORDER BY count(*) DESC, k LIMIT 2)), z AS (SELECT k, CAST((t - min(t) OVER (PARTITION BY k)) / 21600 AS BIGINT) AS n, v FROM h), o AS (SELECT min(k) AS a, max(k) AS b FROM z) SELECT x.n, round(x.v - y.v, 4) AS delta FROM z x JOIN z y USING (n) JOIN o ON x.k = a AND y.k = b AND a <> b")

@@ -7,7 +7,7 @@ import numpy as np
 
 from pyspark.sql import functions as F
 
-from lapwing.operators import alignment, corners
+from lapwing.operators import alignment, lags, corners
 
 
 def drive(late=0.0, spike=None):
@@ -32,10 +32,10 @@ def test_path_lag_finds_a_planted_delay(spark):
     for late in (0.3, 0.6):
         df = spark.createDataFrame(drive(late), SCHEMA)
         fixes = df.withColumns({c: F.when(F.col("fix"), F.col(c)) for c in "xy"})
-        got = alignment.path_lag(fixes, ["k"], "t", "i", "x", "y", "v").first().lag
-        assert abs(got + alignment.HOLD_LEAD - late) <= 0.03
+        got = lags.path_lag(fixes, ["k"], "t", "i", "x", "y", "v").first().lag
+        assert abs(got + lags.HOLD_LEAD - late) <= 0.03
     still = spark.createDataFrame(drive(), SCHEMA).withColumns({"x": F.lit(0.0), "y": F.lit(0.0)})
-    assert alignment.path_lag(still, ["k"], "t", "i", "x", "y", "v").first().lag is None
+    assert lags.path_lag(still, ["k"], "t", "i", "x", "y", "v").first().lag is None
 
 
 def brute_residuals(rows):
