@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lapwing.functions.lineage import cut
 from lapwing.sources import logs
 
 
@@ -32,24 +33,25 @@ def ingest(spark: SparkSession, paths: list[str], track: str, out: str, lap_leng
     known = None if force else known_sessions(spark, out)
     if known is not None:
         status = status.join(known.withColumn("k", F.lit(1)), "session_id", "left").withColumn("status", F.when(F.col("k").isNotNull(), "skip").otherwise(F.col("status"))).drop("k")
-    verdicts = [tuple(r) for r in status.select("session_id", "status").collect()]  # a row a file of the batch
-    take = [s for s, v in verdicts if v in ("ok", "gpsonly")]
-    if take:
-        s = logs.normalize(raw.where(F.col("session_id").isin(take)), lap_length)
-        laps = logs.lap_table(s)
-        logs.write(s, f"{out}/samples", ["track", "session_id"])
-        logs.write(laps, f"{out}/laps", ["track", "session_id"])
+    status = cut(status.select("session_id", "status"))  # settled before the tables change
+    take = status.where("status in ('ok', 'gpsonly')").select("session_id")
+    if not take.isEmpty():
+        logs.write(logs.normalize(raw.join(take, "session_id", "left_semi"), lap_length), f"{out}/samples", ["track", "session_id"])
+        # laps and sessions are made from the samples as written: logs are read once
+        s = spark.read.parquet(f"{out}/samples").join(take, "session_id", "left_semi")
+        logs.write(logs.lap_table(s), f"{out}/laps", ["track", "session_id"])
+        laps = spark.read.parquet(f"{out}/laps").join(take, "session_id", "left_semi")
         logs.write(logs.session_table(s, laps), f"{out}/session_meta", ["track", "session_id"])
-    done = spark.createDataFrame([(s, v, None) for s, v in verdicts], "session_id string, status string, reason string")
+    done = status.select("session_id", "status", F.lit(None).cast("string").alias("reason"))
     return done.unionByName(rejects.select("session_id", F.lit("FAIL").alias("status"), "reason"))
 
 
-def start(spark: SparkSession, folder: str, track: str, out: str, checkpoint: str, **options):
-    """Ingests what is new in a folder and stops; run again, it takes only later files."""
-    files = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", "*.csv").load(folder).select(F.col("_metadata.file_path").alias("path"))
+def start(spark: SparkSession, folder: str, track: str, out: str, checkpoint: str, files_at_once: int = 1000, **options):
+    """Ingests what is new in a folder, ``files_at_once`` in a batch, and stops; run again, it takes only later files."""
+    files = spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", files_at_once).option("pathGlobFilter", "*.csv").load(folder).select(F.col("_metadata.file_path").alias("path"))
 
     def batch(rows: DataFrame, _: int) -> None:
-        paths = [r.path for r in rows.distinct().collect()]  # names of the batch's files
+        paths = [r.path for r in rows.distinct().collect()]  # at most files_at_once names
         if paths:
             ingest(spark, paths, track, out, **options)
 
