@@ -273,22 +273,6 @@ def session_calibration(spark, d):
     return huber_fits(rows, ["k"], "y", "a", "b").select("k", F.round("p", 4).alias("level"), F.round("q", 4).alias("drift"))
 
 
-@query(GRID + ", h AS (SELECT * FROM g WHERE k IN (SELECT k FROM e GROUP BY k ORDER BY count(*) DESC, k LIMIT 2)), z AS (SELECT k, CAST((t - min(t) OVER (PARTITION BY k)) / 21600 AS BIGINT) AS n, v FROM h), o AS (SELECT min(k) AS a, max(k) AS b FROM z) SELECT x.n, round(x.v - y.v, 4) AS delta FROM z x JOIN z y USING (n) JOIN o ON x.k = a AND y.k = b AND a <> b")
-def delta_curve(spark, d):
-    two = series(spark, d).groupBy("k").count().orderBy(F.desc("count"), "k").limit(2).select("k")
-    z = gridded(spark, d).join(F.broadcast(two), "k").select("k", ((F.col("t") - F.min("t").over(Window.partitionBy("k"))) / 21600).cast("long").alias("n"), "v")
-    o = two.agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a <> b")
-    x = z.join(F.broadcast(o), F.col("k") == F.col("a")).select("n", F.col("v").alias("va"))
-    y = z.join(F.broadcast(o), F.col("k") == F.col("b")).select("n", F.col("v").alias("vb"))
-    return x.join(y, "n").select("n", F.round(F.col("va") - F.col("vb"), 4).alias("delta"))
-
-
-@query(GRID + ", z AS (SELECT g.k, k % 3 AS grp, CAST((t - min(t) OVER (PARTITION BY k)) / 21600 AS BIGINT) AS n, v FROM g) SELECT grp, n, round(median(v), 4) AS mid, count(*) AS laps FROM z GROUP BY ALL")
-def group_median_curve(spark, d):
-    z = gridded(spark, d).select((F.col("k") % 3).alias("grp"), ((F.col("t") - F.min("t").over(Window.partitionBy("k"))) / 21600).cast("long").alias("n"), "v")
-    return z.groupBy("grp", "n").agg(F.round(F.median("v"), 4).alias("mid"), F.count("*").alias("laps"))
-
-
 @query(", p AS (SELECT *, lead(t) OVER w AS t1, lead(v) OVER w AS v1 FROM e WINDOW w AS (PARTITION BY k ORDER BY t, i)), x AS (SELECT k, i, gate.gate, t + (gate.gate - v) / (v1 - v) * (t1 - t) AS t FROM p, (VALUES (25.0), (50.0)) AS gate(gate) WHERE (v < gate.gate AND v1 >= gate.gate)) SELECT k, CAST(gate AS DOUBLE) AS gate, round(min(t), 2) AS first, count(*) AS n FROM x GROUP BY ALL")
 def gate_crossing(spark, d):
     w = seq.over(K, ORDER)
@@ -298,16 +282,6 @@ def gate_crossing(spark, d):
     return x.groupBy("k", "gate").agg(F.round(F.min(at), 2).alias("first"), F.count("*").alias("n"))
 
 
-@query(", h AS (SELECT c, CAST(floor(t / 3600) AS BIGINT) % 24 AS n, avg(v) AS v FROM e GROUP BY ALL), m AS (SELECT a.c, a.n, a.v, median(b.v) AS others FROM h a JOIN h b ON a.n = b.n AND a.c <> b.c GROUP BY ALL), s AS (SELECT a.c, o.o AS shift, corr(a.v, b.others) AS r FROM m a, generate_series(-3, 3) AS o(o), m b WHERE b.c = a.c AND b.n = (a.n + o.o + 24) % 24 GROUP BY ALL) SELECT c, CAST(arg_max(shift, (r, -shift)) AS INTEGER) AS shift, round(max(r), 6) AS r FROM s GROUP BY c")
-def profile_registration(spark, d):
-    h = series(spark, d).groupBy("c", (F.floor(F.col("t") / 3600) % 24).alias("n")).agg(F.avg("v").alias("v"))
-    others = h.select(F.col("c").alias("c2"), "n", F.col("v").alias("v2"))
-    m = h.join(others, "n").where("c <> c2").groupBy("c", "n", "v").agg(F.median("v2").alias("others"))
-    left = m.select("c", "v", "n", F.explode(F.sequence(F.lit(-3), F.lit(3))).alias("shift")).select("c", "v", "shift", F.pmod(F.col("n") + F.col("shift"), F.lit(24)).alias("n"))
-    s = left.join(m.select("c", "n", "others"), ["c", "n"]).groupBy("c", "shift").agg(F.corr("v", "others").alias("r"))
-    return s.groupBy("c").agg(F.max(F.struct("r", (-F.col("shift")).alias("s"))).alias("b")).select("c", (-F.col("b.s")).alias("shift"), F.round("b.r", 6).alias("r"))
-
-
 ORACLES["header_parse"] = "SELECT json_extract_string(props, '$.' || key) AS value, key, count(*) AS n FROM (SELECT props, unnest(json_keys(props)) AS key FROM events) GROUP BY ALL"
 
 
