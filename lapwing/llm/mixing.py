@@ -154,8 +154,10 @@ def _first_words(text: Column, n: Column) -> Column:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes, targets and taken words of all documents; with the number of slots that take of each, and the first of them (null: none)."""
     laid, targets, taken = mix(table(spark, sf_dir, "documents"))
-    words = taken.groupBy("__row").agg(F.sum("length").alias("taken"))
+    words = taken.groupBy("__row").agg(F.sum("length").alias("taken"), F.count("*").alias("slots"), F.min("slot").alias("first_slot"))
     t = targets.select(F.col("source").alias("s"), "source_size", "target")
     rows = laid.join(t, laid["source"].eqNullSafe(t["s"])).join(words, "__row", "left")
-    return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    none = F.lit(0).cast("long")
+    return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", none).alias("taken"), F.coalesce("slots", none).alias("slots"), "first_slot")

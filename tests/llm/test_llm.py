@@ -370,3 +370,60 @@ def test_mixed_documents_follow_the_schedule(spark):
         at.append(slots[source][used[source] // block])
         used[source] += len(words)
     assert used == goal and at == sorted(at)
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Each stage on its own input: nulls, empties, repeats, near copies, and columns that clash with the stages' own."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(9)
+    texts, _ = near_copies(11, n=40)
+    rows = [(i, t, "en", "abc"[i % 3] if i % 7 else None, len(t or "")) for i, t in enumerate(texts)]
+    rows += [(1000 + i, " ".join(rng.choice(["plain", "calm", "words", "here", "now", "then"], 25)) + (" nasty vile" * 3 if i % 4 == 0 else "") + f" n{i}", "en", "a", 1) for i in range(200)]
+    rows += [rows[10], rows[10], (None, "no id but words", "en", "b", 1), (None, None, None, None, None)]
+    rows = [(*r, "clash", 1, 2.0) for r in rows]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, toxic string, grade int, __node double"
+    docs = spark.createDataFrame(rows, kind)
+    spark.createDataFrame([(1000 + i, int(i % 4 == 0)) for i in range(160)] + [(None, 1), (1001, None)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    outs, at = [docs], docs
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, at, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        at = spark.read.parquet(f"{tmp_path}/{k}")
+        outs.append(at)
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.text or "")
+    start, clean, single, mixed, packed = (sorted(o.collect(), key=key) if "text" in o.columns else o.collect() for o in outs)
+    assert all(o.columns == docs.columns for o in outs[:4])
+    # toxicity: what holds the planted words goes, all else stays as it was
+    assert [tuple(r) for r in clean] == [tuple(r) for r in start if "nasty" not in (r.text or "")]
+    # near-dedup: one row of each group by brute force, the least id
+    words = [(r.text or "").lower().split() for r in clean]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    group = list(range(len(clean)))
+    for a, b in itertools.combinations(range(len(clean)), 2):
+        if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            x, y = group[a], group[b]
+            group = [min(x, y) if z in (x, y) else z for z in group]
+    assert sorted(map(str, (r.doc_id for r in single))) == sorted(str(clean[g].doc_id) for g in set(group))
+    # mixing: targets by hand, uses counted in words
+    size = lambda r: len((r.text or "").split())
+    sources = sorted({r.source for r in single}, key=lambda s: (s is None, s or ""))
+    sizes = {s: sum(size(r) for r in single if r.source == s) for s in sources}
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(sources)}
+    goal, left, free = {}, 1.5 * sum(sizes.values()), set(sources)
+    while free:
+        rate = left / sum(weight[s] for s in free)
+        over = {s for s in free if weight[s] * rate >= 2 * sizes[s]}
+        goal |= {s: 2.0 * sizes[s] if over else weight[s] * rate for s in (over or free)}
+        left -= sum(goal[s] for s in (over or free))
+        free -= over or free
+    used = {s: sum(size(r) for r in mixed if r.source == s) for s in sources}
+    assert all(abs(used[s] - goal[s]) <= 1 for s in sources)
+    whole = {str(r.doc_id): r for r in single}
+    assert all((r.text or "").split() == (whole[str(r.doc_id)].text or "").split()[: size(r)] for r in mixed)
+    assert all(sum(size(r) for r in mixed if str(r.doc_id) == i) <= 2 * size(w) for i, w in whole.items())
+    # packing: whole-text ids, gapless sequences, as few as the tokens allow
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    lengths = sorted(len(tokenizer.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in mixed)
+    assert sorted(r.length for r in packed) == lengths
+    assert len({r.sequence_id for r in packed}) == -(-sum(lengths) // 4096)
