@@ -75,3 +75,22 @@ def accel_calibration(features: DataFrame, session: list[str], gravity: float) -
     """(session, b_g, psi, n): a session's accelerometer bias and coupling, from its sections' accel_raw, seconds and lat_integral."""
     rows = features.withColumns({"__a": -gravity * F.col("seconds"), "__b": -gravity * F.col("lat_integral")})
     return huber_fits(rows, session, "accel_raw", "__a", "__b").select(*session, F.col("p").alias("b_g"), F.col("q").alias("psi"), "n")
+
+
+def joint_references(rows: DataFrame, session: list[str], corner: list[str], y: str, a: str, b: str, rounds: int = 100, settled: float = 0.005) -> tuple[DataFrame, DataFrame]:
+    """(references (corner, reference, n), fits (session, p, q, n)): corner medians and session fits, each made on what the other leaves, alternated until no reference moves.
+
+    The table is of sections, some hundred a session; each round cuts its references.
+    """
+    refs = cut(rows.select(*corner).distinct().withColumns({"reference": F.lit(0.0), "n": F.lit(0).cast("long")}))
+    fit = None
+    for _ in range(rounds):
+        centred = rows.join(refs, corner).withColumn("__y", F.col(y) - F.col("reference"))
+        fit = cut(huber_fits(centred, session, "__y", a, b))
+        left = rows.join(fit.select(*session, "p", "q"), session).withColumn("__r", F.col(y) - F.col("p") * F.col(a) - F.col("q") * F.col(b))
+        new = cut(left.groupBy(*corner).agg(F.median("__r").alias("reference"), F.count("__r").alias("n")))
+        moved = new.select(*corner, F.col("reference").alias("__new")).join(refs, corner).agg(F.max(F.abs(F.col("__new") - F.col("reference")))).first()[0]
+        refs = new
+        if moved is None or moved < settled:
+            break
+    return refs, fit

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapwing.functions.expressions import G
-from lapwing.operators.robust import exact_quantiles, with_group
+from lapwing.functions.lineage import cut
+from lapwing.operators.robust import exact_quantiles, fisher_mean, robust_spread, with_group
 
 Names = Sequence[str]
 
@@ -202,3 +203,22 @@ def explained(tier: Column, sigma: Column, failed: Column) -> Column:
     names = F.create_map(*[F.lit(x) for pair in CHECKS.items() for x in pair])
     why = F.array_join(F.array_sort(F.array_distinct(F.transform(failed, lambda c: F.coalesce(names[c], c)))), ", ")
     return F.concat(F.lit("tier "), tier, F.when(sigma.isNotNull(), F.format_string(", sigma %.2f s", sigma)).otherwise(F.lit("")), F.when(F.size(failed) > 0, F.concat(F.lit("; "), why)).otherwise(F.lit("")))
+
+
+def trust_constants(sections: DataFrame, knots: DataFrame, ends: float = 200.0) -> DataFrame:
+    """One row of constants from clean sections (section, heading, dev, resid, delta_a, delta_b) and knots (knot, lo, hi, delta).
+
+    band_per_rad and band_base: the line through each section's robust bound of ``dev`` over its heading. consistency_std: robust deviation of
+    ``resid``. rho: Fisher's mean over sections of the correlation of the offsets at both ends. prior_mid: robust deviation of offsets away from a lap's ends.
+    """
+    sections = cut(sections.select("section", "heading", "dev", "resid", "delta_a", "delta_b"))  # read by each of the constants
+    bounds = robust_spread(sections.where("dev is not null"), ["section"], "dev").join(sections.groupBy("section").agg(F.avg("heading").alias("heading")), "section")
+    line = bounds.agg(F.regr_slope("bound", "heading").alias("band_per_rad"), F.regr_intercept("bound", "heading").alias("band_base"), F.count("*").alias("sections"))
+    rho = fisher_mean(sections.where("delta_a is not null and delta_b is not null"), ["section"], "delta_a", "delta_b").select(F.col("r").alias("rho"))
+    resid = robust_spread(sections.where("resid is not null"), [], "resid").select(F.col("std").alias("consistency_std"))
+    middle = knots.where((F.col("knot") - F.col("lo") >= ends) & (F.col("hi") - F.col("knot") >= ends))
+    prior = robust_spread(middle, [], "delta").select(F.col("std").alias("prior_mid"))
+    one = line
+    for part in (rho, resid, prior):
+        one = one.join(part, F.lit(True), "left")
+    return one

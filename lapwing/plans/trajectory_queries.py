@@ -202,3 +202,19 @@ def emulated_pairs(spark, d):
         return cross.section_times(s.withColumnRenamed("e", "e_lat"), k, section_table(spark), corridor(spark), LAP, TRACK, "i", BINS)
 
     return cross.paired(times(e), times(bare), LAP).select("k", "section", *six("seconds_a", "seconds_b", "diff", "sigma_b"), "tier_b")
+
+
+@query(RESID + ", cl AS (SELECT section, heading, driven - (b - a) AS dev, resid, delta_a, delta_b FROM rs WHERE covered AND status = 'ok'), cm AS (SELECT section, median(dev) AS m FROM cl GROUP BY section), cs AS (SELECT section, any_value(abs(m)) + 3 * 1.4826 * median(abs(dev - m)) AS bound, avg(heading) AS heading FROM cl JOIN cm USING (section) GROUP BY section), rm AS (SELECT median(resid) AS m FROM cl), fr AS (SELECT covar_pop(delta_a, delta_b) / nullif(stddev_pop(delta_a) * stddev_pop(delta_b), 0) AS r, count(*) AS n FROM cl GROUP BY section HAVING count(*) >= 4), md AS (SELECT delta FROM (SELECT *, max(knot) OVER (PARTITION BY k) AS khi2 FROM kn) WHERE knot - klo >= 200 AND khi2 - knot >= 200), mm AS (SELECT median(delta) AS m FROM md) SELECT round(regr_slope(bound, heading), 4) AS band_per_rad, round(regr_intercept(bound, heading), 4) AS band_base, count(*) AS sections, (SELECT round(tanh(sum(atanh(r) * (n - 3)) / sum(n - 3)), 4) FROM fr WHERE abs(r) < 0.999999) AS rho, (SELECT round(1.4826 * median(abs(resid - m)), 4) FROM cl, rm) AS consistency_std, (SELECT round(1.4826 * median(abs(delta - m)), 4) FROM md, mm) AS prior_mid FROM cs")
+def trust_constants(spark, d):
+    """Constants of the verdict, from the sections of laps with an engine bus and a good ruler."""
+    from pyspark.sql import Window
+
+    from lapwing.operators import scorecards as sc
+
+    s, k = estimated(spark, d)
+    rows = cross.section_times(s.withColumnRenamed("e", "e_lat"), k, section_table(spark), corridor(spark), LAP, TRACK, "i", BINS)
+    clean = rows.where("covered and lap_status = 'ok'").withColumn("dev", F.col("driven") - (F.col("b") - F.col("a")))
+    lap = Window.partitionBy(*LAP)
+    ends = k.withColumns({"lo": F.min("knot").over(lap), "hi": F.max("knot").over(lap)})
+    names = ("band_per_rad", "band_base", "rho", "consistency_std", "prior_mid")
+    return sc.trust_constants(clean, ends).select("sections", *[F.round(n, 4).alias(n) for n in names])

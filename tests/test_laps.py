@@ -119,3 +119,27 @@ def test_scorecards_on_missing_evidence(spark):
     assert {r.gate for r in scorecards.gates(m([("a", 1.0)]), m([("a", 1.0)]), rules, False).collect()} == {"N/A"}
     empty = spark.createDataFrame([], "rank_a boolean, seconds_a double, seconds_b double, sigma_b double, rank_b boolean")
     assert scorecards.pair_scores(empty).first().n == 0
+
+
+def test_joint_references_settle_on_planted_offsets(spark):
+    rng = np.random.default_rng(7)
+    true, rows = {c: 0.5 * c - 1.0 for c in range(5)}, []
+    for s in range(8):
+        p, q = rng.normal(size=2) * 0.02
+        for _ in range(12):
+            for c in true:
+                a, b = rng.uniform(4, 20), rng.normal() * 5
+                rows.append((s, c, float(true[c] + p * a + q * b + rng.normal() * 0.02), float(a), float(b)))
+    df = spark.createDataFrame(rows, "s int, c int, y double, a double, b double")
+    refs, fit = fits.joint_references(df, ["s"], ["c"], "y", "a", "b", rounds=30)
+    got = {r.c: r.reference for r in refs.collect()}
+    spread = [got[c] - true[c] for c in true]  # a common part may go to the sessions
+    assert max(spread) - min(spread) < 0.1 and fit.count() == 8
+
+
+def test_positional_join_wants_equal_counts(spark):
+    from lapwing.operators import curves
+
+    raw = spark.createDataFrame([("a", i, float(i)) for i in range(3)] + [("b", 0, 1.0)], "s string, row int, z double")
+    own = spark.createDataFrame([("a", i) for i in range(3)] + [("b", 0), ("b", 1)], "s string, row int")
+    assert {(r.s, r.row, r.z) for r in curves.positional(raw, own, ["s"], "row").collect()} == {("a", i, float(i)) for i in range(3)}
