@@ -29,6 +29,11 @@ def to_xy(lat: Column, lon: Column, lat0: Column, lon0: Column) -> tuple[Column,
     return (lon - lon0) * M_PER_DEG * F.cos(F.radians(lat0)), (lat - lat0) * M_PER_DEG
 
 
+def drift_corrected(lat: Column, lon: Column, north: Column, east: Column, lat0: Column) -> tuple[Column, Column]:
+    """A place moved back by a lap's drift in metres; a lap without drift stays."""
+    return lat - F.coalesce(north, F.lit(0.0)) / M_PER_DEG, lon - F.coalesce(east, F.lit(0.0)) / (M_PER_DEG * F.cos(F.radians(lat0)))
+
+
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = 6371000.0) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
     return 2 * radius * F.asin(F.sqrt(F.least(a, F.lit(1.0))))

@@ -49,3 +49,20 @@ def rigid_fit(spark, d):
     q = p.join(c, "label").select("label", *[(F.col(x) - F.col(f"m_{x}")).alias(x) for x in ("x", "y", "x2", "y2")])
     dot, cross = F.col("x") * F.col("x2") + F.col("y") * F.col("y2"), F.col("x") * F.col("y2") - F.col("y") * F.col("x2")
     return q.groupBy("label").agg(F.round(F.atan2(F.sum(cross), F.sum(dot)), 4).alias("angle"))
+
+
+ORACLES["local_plane"] = f"WITH p AS ({POINTS}), g AS (SELECT id, 45 + y / 100 AS lat, -122 + x / 100 AS lon, CASE WHEN label % 2 = 0 THEN x2 * 10 END AS north, y2 * 10 AS east FROM p), c AS (SELECT id, lat - coalesce(north, 0) / 111132.0 AS lat, lon - coalesce(east, 0) / (111132.0 * cos(radians(45))) AS lon FROM g) SELECT id, round((lon + 122) * 111132.0 * cos(radians(45)), 3) AS east, round((lat - 45) * 111132.0, 3) AS north FROM c"
+
+
+def local_plane(spark, d):
+    """Points as places, moved back by their drift, in metres about a start line."""
+    from lapwing.functions.expressions import drift_corrected, to_xy
+
+    lat0, lon0 = F.lit(45.0), F.lit(-122.0)
+    g = points(spark, d).select("id", (45 + F.col("y") / 100).alias("lat"), (-122 + F.col("x") / 100).alias("lon"), F.when(F.col("label") % 2 == 0, F.col("x2") * 10).alias("north"), (F.col("y2") * 10).alias("east"))
+    lat, lon = drift_corrected(F.col("lat"), F.col("lon"), F.col("north"), F.col("east"), lat0)
+    east, north = to_xy(lat, lon, lat0, lon0)
+    return g.select("id", F.round(east, 3).alias("east"), F.round(north, 3).alias("north"))
+
+
+QUERIES["local_plane"] = local_plane
