@@ -27,7 +27,7 @@ from lapwing.llm.common import cut, running, runs, table
 #: Tokens of a sequence, and the id that ends a document.
 CAPACITY, END = 4096, 1
 #: Distinct words, and words without case and punctuation, that a task remembers the ids of; bytes of text that are worked through at once.
-REMEMBERED, PARTS, AT_ONCE = 200_000, 300_000, 1 << 20
+REMEMBERED, PARTS, AT_ONCE = 200_000, 350_000, 2 << 20
 #: Punctuation that may be taken off a word's end; no apostrophe, as it can begin a token group with letters.
 TAIL = b".,*$%&#!?;:)\""
 #: Words that are encoded in one call.
@@ -82,7 +82,7 @@ class WordTokenizer:
             self.ends[i] = token.endswith("</w>")
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {b"": b""}
-        self.early: dict[bytes, bytes] | None = None
+        self.again: set[bytes] = {b""}
 
     def _split(self, word: bytes) -> tuple[bytes, bytes]:
         body = word.rstrip(TAIL)
@@ -103,15 +103,18 @@ class WordTokenizer:
         return [data[a:b] for a, b in zip([0, *past], past, strict=False)]
 
     def learn(self, new: list[bytes]) -> None:
-        """Adds the words. The words that came early, most of them common, stay when the rest is forgotten."""
+        """Adds the words. Those that came again since words were last forgotten stay when the others are; most words come once."""
         if len(self.words) > REMEMBERED:
             self.words = {}
         if len(self.parts) > PARTS:
-            self.early = self.early or dict(itertools.islice(self.parts.items(), PARTS // 2))
-            self.parts = dict(self.early)
+            self.parts = {x: self.parts[x] for x in itertools.islice(self.again, PARTS // 2)} | {b"": b""}
+            self.again = {b""}
         cut = [self._split(w) for w in new]
         groups, others = [], []
-        for x in {x for pair in cut for x in pair if x not in self.parts}:
+        every = {x for pair in cut for x in pair}
+        known = every & self.parts.keys()
+        self.again |= known
+        for x in every - known:
             (groups if _one_group(text := x.decode("utf-8", "replace")) else others).append((x, text))
         for some, encode in ((groups, self._encode_groups), (others, self._encode)):
             for at in range(0, len(some), TOGETHER):
