@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lapwing.llm import fixity, html, jpeg, licenses, mixing, packing, preferences, simhash, toxicity, vectors
+from lapwing.llm import fixity, html, jpeg, licenses, mixing, packing, preferences, repair, simhash, toxicity, vectors
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_html": html.op8_html,
     "op9_simhash": simhash.op9_simhash,
     "op10_preferences": preferences.op10_preferences,
+    "op11_repair": repair.op11_repair,
 }
-ORACLES = {"op2_fixity": fixity.ORACLE, "op10_preferences": preferences.ORACLE}
+ORACLES = {"op2_fixity": fixity.ORACLE, "op10_preferences": preferences.ORACLE, "op11_repair": repair.ORACLE}
