@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lapwing.llm import collocations, fixity, html, jpeg, licenses, mixing, packing, preferences, repair, simhash, toxicity, vectors
+from lapwing.llm import collocations, fixity, html, jpeg, licenses, mixing, packing, preferences, quality, repair, simhash, toxicity, vectors
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_preferences": preferences.op10_preferences,
     "op11_repair": repair.op11_repair,
     "op12_collocations": collocations.op12_collocations,
+    "op13_quality": quality.op13_quality,
 }
 ORACLES = {"op2_fixity": fixity.ORACLE, "op10_preferences": preferences.ORACLE, "op11_repair": repair.ORACLE, "op12_collocations": collocations.ORACLE}
