@@ -9,39 +9,30 @@ from pyspark.sql import functions as F
 
 from lapwing.functions.expressions import MAD_SCALE
 from lapwing.functions.lineage import cut
+from lapwing.operators.robust import exact_quantiles, with_group
 from lapwing.operators.trajectory import middle, total
 
 #: Fixed values of a session's fit: Huber's constant, most rounds, least rows.
 HUBER, ROUNDS, LEAST = 1.345, 20, 12
 
 
-def joint_medians(cells: DataFrame, session: str, corner: str, value: str, rounds: int = 10, settled: float = 0.005) -> DataFrame:
-    """(corner, reference): medians of corners after each session's own offset (a median) is taken off, alternated."""
-    refs = cut(cells.groupBy(corner).agg(F.median(value).alias("reference")))
-    for _ in range(rounds):
-        offsets = cells.join(refs, corner).groupBy(session).agg(F.median(F.col(value) - F.col("reference")).alias("own"))
-        new = cut(cells.join(offsets, session).groupBy(corner).agg(F.median(F.col(value) - F.col("own")).alias("reference")))
-        moved = new.withColumnRenamed("reference", "new").join(refs, corner).agg(F.max(F.abs(F.col("new") - F.col("reference")))).first()[0]
-        refs = new
-        if moved is None or moved < settled:
-            break
-    return refs
-
-
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once."""
     return F.transform(F.array(value), body)[0]
 
 
+def _finite(c: str) -> Column:
+    return F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c)) < float("inf"))
+
+
 def huber_fits(rows: DataFrame, session: list[str], y: str, a: str, b: str, rounds: int = ROUNDS, least: int = LEAST) -> DataFrame:
     """(session, p, q, n): y = p a + q b by weighted least squares, reweighted up to ``rounds`` times by Huber's rule on the robust scale of the residuals.
 
     Sessions with fewer than ``least`` finite rows have none; a scale of 0 ends a session's rounds. Where a and b are one direction,
     the shortest solution is taken. A session's rows, some hundred sections, are gathered and fitted by array expressions.
     """
-    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c)) < float("inf"))
     point = F.struct(*[F.col(c).cast("double").alias(n) for c, n in ((y, "y"), (a, "a"), (b, "b"))])
-    own = rows.where(finite(y) & finite(a) & finite(b)).groupBy(*session).agg(F.array_sort(F.collect_list(point)).alias("__p")).where(F.size("__p") >= least)
+    own = rows.where(_finite(y) & _finite(a) & _finite(b)).groupBy(*session).agg(F.array_sort(F.collect_list(point)).alias("__p")).where(F.size("__p") >= least)
     p = F.col("__p")
 
     def solved(w: Column) -> Column:
@@ -77,20 +68,58 @@ def accel_calibration(features: DataFrame, session: list[str], gravity: float) -
     return huber_fits(rows, session, "accel_raw", "__a", "__b").select(*session, F.col("p").alias("b_g"), F.col("q").alias("psi"), "n")
 
 
-def joint_references(rows: DataFrame, session: list[str], corner: list[str], y: str, a: str, b: str, rounds: int = 100, settled: float = 0.005) -> tuple[DataFrame, DataFrame]:
-    """(references (corner, reference, n), fits (session, p, q, n)): corner medians and session fits, each made on what the other leaves, alternated until no reference moves.
+#: Fixed values of the reference fit: most rounds, metres per second at which it has settled, least residuals of a reference.
+JOINT_ROUNDS, SETTLED, REFERENCE_LEAST = 100, 0.005, 20
 
-    The table is of sections, some hundred a session; each round cuts its references.
+
+def residual_references(rows: DataFrame, corner: list[str], value: str, least: int = REFERENCE_LEAST) -> DataFrame:
+    """(corner, offset, tol, n): the median to 0.01, and the 99th percentile of distances from it, up to the next 0.1, of finite values.
+
+    Corners with fewer than ``least`` have none. Groups may be of any size: order statistics are narrowed by counting.
+    """
+    x = rows.where(_finite(value)).select(*corner, F.col(value).cast("double").alias("__x"))
+    mid = cut(exact_quantiles(x, corner, "__x", [0.5], "__m").withColumn("__m", F.col("__m")[0]))
+    away = with_group(x, mid, corner).select(*corner, F.abs(F.col("__x") - F.col("__m")).alias("__away"))
+    far = exact_quantiles(away, corner, "__away", [0.99], "__p").withColumn("__p", F.col("__p")[0])
+    out = with_group(with_group(away.groupBy(*corner).agg(F.count("*").alias("n")).where(F.col("n") >= least), mid, corner), far, corner)
+    return out.select(*corner, F.round("__m", 2).alias("offset"), (F.ceil(F.col("__p") * 10 - 1e-9) / 10).alias("tol"), "n")
+
+
+def _centred(fit: DataFrame, track: list[str], names: tuple[str, ...]) -> DataFrame:
+    """``fit`` less its medians per track: what a track's sessions share belongs to the corners."""
+    long = fit.select(*track, F.explode(F.array(*[F.struct(F.lit(c).alias("__c"), F.col(c).alias("__v")) for c in names])).alias("e")).select(*track, "e.*")
+    mid = exact_quantiles(long, [*track, "__c"], "__v", [0.5], "__m")
+    wide = mid.groupBy(*track).agg(*[F.max(F.when(F.col("__c") == c, F.col("__m")[0])).alias(f"__{c}") for c in names])
+    return with_group(fit, wide, track).withColumns({c: F.col(c) - F.col(f"__{c}") for c in names}).drop(*[f"__{c}" for c in names])
+
+
+def joint_references(rows: DataFrame, track: list[str], session: list[str], corner: list[str], y: str, a: str, b: str, fits: Column, clean: Column, rounds: int = JOINT_ROUNDS, settled: float = SETTLED, least: int = REFERENCE_LEAST) -> tuple[DataFrame, DataFrame, int]:
+    """(references (track, corner, offset, tol, n), calibrations (track, session, p, q, n), rounds): corners and sessions fitted on what the other leaves.
+
+    Two populations alternate to a fixed point. Rows that ``fits`` marks feed the fit y = p a + q b of their session on what is left
+    of y by its corner's offset; ``clean`` rows feed the offsets, medians of y less their session's share. After each round of
+    fits their parameters are centred on the track's medians. The rounds end when no offset moves by more than ``settled``. Sessions too short
+    to be fitted, or with no offset yet, feed no reference. ``residual_references`` on what is left gives the result.
+    A row is a section of a lap; each round cuts its fits and its offsets, one row per session and corner.
     """
-    refs = cut(rows.select(*corner).distinct().withColumns({"reference": F.lit(0.0), "n": F.lit(0).cast("long")}))
-    fit = None
-    for _ in range(rounds):
-        centred = rows.join(refs, corner).withColumn("__y", F.col(y) - F.col("reference"))
-        fit = cut(huber_fits(centred, session, "__y", a, b))
-        left = rows.join(fit.select(*session, "p", "q"), session).withColumn("__r", F.col(y) - F.col("p") * F.col(a) - F.col("q") * F.col(b))
-        new = cut(left.groupBy(*corner).agg(F.median("__r").alias("reference"), F.count("__r").alias("n")))
-        moved = new.select(*corner, F.col("reference").alias("__new")).join(refs, corner).agg(F.max(F.abs(F.col("__new") - F.col("reference")))).first()[0]
+    place = [*track, *corner]
+    rows = cut(rows.select(*dict.fromkeys([*track, *session, *corner]), F.col(y).cast("double").alias("__y"), F.col(a).cast("double").alias("__a"), F.col(b).cast("double").alias("__b"), F.coalesce(fits, F.lit(False)).alias("__fit"), F.coalesce(clean, F.lit(False)).alias("__clean")))
+    offsets = lambda df, value: cut(exact_quantiles(df.where(F.col("__clean") & _finite(value)), place, value, [0.5], "__o").withColumn("__o", F.col("__o")[0]))
+    refs, done = offsets(rows, "__y"), 0
+    while True:
+        done += 1
+        left = with_group(rows.where("__fit"), refs, place).withColumn("__left", F.col("__y") - F.col("__o"))
+        fit = cut(_centred(cut(huber_fits(left, [*dict.fromkeys([*track, *session])], "__left", "__a", "__b")), track, ("p", "q")))
+        left = with_group(rows.where("__clean"), fit.drop("n"), [*dict.fromkeys([*track, *session])]).withColumn("__rest", F.col("__y") - F.col("p") * F.col("__a") - F.col("q") * F.col("__b"))
+        new = offsets(left, "__rest")
+        moved = with_group(new, refs.withColumnRenamed("__o", "__old"), place).agg(F.max(F.coalesce(F.abs(F.col("__o") - F.col("__old")), F.lit(float("inf"))))).first()[0]
         refs = new
-        if moved is None or moved < settled:
-            break
-    return refs, fit
+        if moved is None or moved <= settled or done >= rounds:
+            return residual_references(left, place, "__rest", least), fit, done
+
+
+def accel_references(features: DataFrame, track: list[str], session: list[str], gravity: float, fits: Column, clean: Column, **how) -> tuple[DataFrame, DataFrame]:
+    """(references (track, section, offset, tol, n), calibrations (track, session, b_g, psi, n)) of sections' accel_raw, seconds and lat_integral, as ``crossings.accel_check`` takes them."""
+    rows = features.withColumns({"__ga": -gravity * F.col("seconds"), "__gb": -gravity * F.col("lat_integral")})
+    refs, fit, _ = joint_references(rows, track, session, ["section"], "accel_raw", "__ga", "__gb", fits, clean, **how)
+    return refs, fit.withColumnsRenamed({"p": "b_g", "q": "psi"})

@@ -9,45 +9,80 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapwing.functions.expressions import MAD_SCALE, correlation
+from lapwing.functions.lineage import cut
 
 Names = Sequence[str]
 
 
-def exact_quantiles(df: DataFrame, keys: Names, column: str, probs: Sequence[float], out: str = "q", parts: int = 64) -> DataFrame:
-    """(keys, out): exact quantiles, linear between order statistics, of groups of any size; null values do not count.
+#: Groups, or what is left of them between two bounds, of so many values are gathered; larger ones are narrowed first.
+GATHERED = 1 << 16
+#: Parts that a pass cuts the values between two bounds in; rows of bounds that are broadcast, more are joined by a shuffle.
+CUT_IN, BOUNDS = 1024, 100000
 
-    Equal values are one row with a count. Approximate quantiles cut a group into parts, whose counts tell which part
-    holds each order statistic; only those parts are ranked, each by itself, so no task sees a whole group.
+
+def _narrowed(values: DataFrame, sought: DataFrame, keys: Names, few: bool) -> DataFrame:
+    """``sought`` (keys, rank, n, lo, hi, before, inside) with the bounds of the part that holds the rank, and how many values are below and in it.
+
+    Values are counted by part where they lie: what is shuffled is a row per part and task, whatever the number of values.
+    """
+    width = F.col("hi") / 2 - F.col("lo") / 2
+    part = F.least(F.floor((F.col("__x") / 2 - F.col("lo") / 2) / width * CUT_IN), F.lit(CUT_IN - 1))
+    held = with_group(values, F.broadcast(sought) if few else sought, keys, "inner").where((F.col("__x") >= F.col("lo")) & (F.col("__x") <= F.col("hi")))
+    parts = held.groupBy(*keys, "rank", "n", "before", part.alias("__part")).agg(F.count("*").alias("inside"), F.min("__x").alias("lo"), F.max("__x").alias("hi"))
+    below = F.coalesce(F.sum("inside").over(Window.partitionBy(*keys, "rank").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.withColumn("before", F.col("before") + below)
+    return parts.where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("inside"))).select(*keys, "rank", "n", "lo", "hi", "before", "inside")
+
+
+def order_statistics(df: DataFrame, keys: Names, column: str, ranks: Column, gathered: int = GATHERED) -> DataFrame:
+    """(keys, rank, n, x): the values at the places ``ranks`` (an array over n, from 0) of groups of any size; nulls and NaN do not count.
+
+    Groups of at most ``gathered`` values are gathered. In larger ones two bounds are drawn together around each place: a pass counts the
+    values between them in ``CUT_IN`` parts and goes on with the part that holds the place, until the values in it are few or equal.
+    No pass shuffles values, and none but the last gathers any. Values must be finite where groups are large.
     """
-    keys = list(keys) or ["__all"]
-    df = df if keys != ["__all"] else df.withColumn("__all", F.lit(0))
-    values = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).cast("double").alias("__x")).agg(F.count("*").alias("__c"))
-    cuts = values.groupBy(*keys).agg(F.percentile_approx("__x", [i / parts for i in range(1, parts)]).alias("__cuts"), F.sum("__c").alias("__n"))
-    same = [F.col(f"v.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
-    met = values.alias("v").join(cuts.alias("s"), reduce(lambda a, b: a & b, same)).select("v.*", F.size(F.filter("s.__cuts", lambda c: c < F.col("v.__x"))).alias("__part"))
-    totals = met.groupBy(*keys, "__part").agg(F.sum("__c").alias("__m"))
-    totals = totals.withColumn("__before", F.coalesce(F.sum("__m").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rank = lambda p: (F.col("__n") - 1) * F.lit(float(p))
-    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(e).alias("e"), f(rank(p)).cast("long").alias("rank"), (rank(p) - F.floor(rank(p))).alias("share")) for i, p in enumerate(probs) for e, f in ((0, F.floor), (1, F.ceil))])
-    asked = cuts.select(*keys, F.inline(wanted)).alias("v").join(totals.alias("s"), reduce(lambda a, b: a & b, same) & (F.col("rank") >= F.col("__before")) & (F.col("rank") < F.col("__before") + F.col("__m")))
-    asked = asked.select("v.*", "__part", (F.col("rank") - F.col("__before")).alias("__at"))
-    match = reduce(lambda a, b: a & b, same) & (F.col("v.__part") == F.col("s.__part"))
-    held = met.alias("v").join(asked.select(*keys, "__part").distinct().alias("s"), match, "left_semi")
-    upto = F.sum("__c").over(Window.partitionBy(*keys, "__part").orderBy("__x"))
-    held = held.withColumn("__upto", upto)
-    got = asked.alias("v").join(held.alias("s"), match & (F.col("__at") < F.col("__upto")) & (F.col("__at") >= F.col("__upto") - F.col("__c"))).select("v.*", "s.__x")
-    ends = got.groupBy(*keys, "i").agg(F.max(F.when(F.col("e") == 0, F.col("__x"))).alias("a"), F.max(F.when(F.col("e") == 1, F.col("__x"))).alias("b"), F.first("share").alias("share"))
-    one = ends.select(*keys, "i", (F.col("a") + (F.col("b") - F.col("a")) * F.col("share")).alias("y"))
-    rows = one.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "y"))), lambda z: z["y"]).alias(out))
-    return rows.drop("__all")
-
-
-def with_group(df: DataFrame, stats: DataFrame, keys: Names) -> DataFrame:
-    """``df`` with the columns of a table of one row per key, or one row in all; null keys meet null keys."""
+    values = df.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))).select(*keys, F.col(column).cast("double").alias("__x"))
+    number, most = values.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.count("*"), F.max("n")).first()
+    if (most or 0) <= gathered:
+        found = values.groupBy(*keys).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("__x")).alias("__all"))
+        return found.where("n > 0").select(*keys, "n", "__all", F.explode(F.array_distinct(ranks)).alias("rank")).select(*keys, "rank", "n", F.element_at("__all", (F.col("rank") + 1).cast("int")).alias("x"))
+    values = cut(values)
+    groups = values.groupBy(*keys).agg(F.count("*").alias("n"), F.min("__x").alias("lo"), F.max("__x").alias("hi"))
+    sought = groups.where("n > 0").select(*keys, "n", "lo", "hi", F.explode(F.array_distinct(ranks)).alias("rank"))
+    few = number <= BOUNDS
+    open_ = (F.col("lo") < F.col("hi")) & (F.col("inside") > gathered)
+    sought = cut(sought.select(*keys, "rank", "n", "lo", "hi", F.lit(0).cast("long").alias("before"), F.col("n").alias("inside")))
+    left = sought.where(open_).agg(F.count("*"), F.sum("inside")).first()
+    while left[0]:
+        sought = cut(sought.where(~open_).unionByName(_narrowed(values, sought.where(open_), keys, few)))
+        now = sought.where(open_).agg(F.count("*"), F.sum("inside")).first()
+        if now == left:
+            break  # bounds that cannot be told apart
+        left = now
+    rest = sought.where("lo < hi")
+    held = with_group(values, F.broadcast(rest) if few else rest, keys, "inner").where((F.col("__x") >= F.col("lo")) & (F.col("__x") <= F.col("hi")))
+    last = held.groupBy(*keys, "rank", "n", "before").agg(F.sort_array(F.collect_list("__x")).alias("__all"))
+    last = last.select(*keys, "rank", "n", F.element_at("__all", (F.col("rank") - F.col("before") + 1).cast("int")).alias("x"))
+    return sought.where("lo >= hi").select(*keys, "rank", "n", F.col("lo").alias("x")).unionByName(last)
+
+
+def exact_quantiles(df: DataFrame, keys: Names, column: str, probs: Sequence[float], out: str = "q", gathered: int = GATHERED) -> DataFrame:
+    """(keys, out): exact quantiles, linear between order statistics, of groups of any size; nulls and NaN do not count."""
+    place = lambda p: (F.col("n") - 1) * F.lit(float(p))
+    ranks = F.array(*[f(place(p)).cast("long") for p in probs for f in (F.floor, F.ceil)])
+    found = order_statistics(df, keys, column, ranks, gathered)
+    one = found.groupBy(*keys).agg(F.max("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("rank", "x"))).alias("__at"))
+    at = lambda p, f: F.col("__at")[f(place(p)).cast("long")]
+    between = lambda p: at(p, F.floor) + (at(p, F.ceil) - at(p, F.floor)) * (place(p) - F.floor(place(p)))
+    return one.select(*keys, F.array(*[between(p) for p in probs]).alias(out))
+
+
+def with_group(df: DataFrame, stats: DataFrame, keys: Names, how: str = "left") -> DataFrame:
+    """``df`` with the columns of a table of rows per key, or of few rows in all; null keys meet null keys."""
     if not keys:
         return df.join(stats)
     same = reduce(lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys])
-    return df.alias("l").join(stats.alias("r"), same, "left").select("l.*", *[F.col(f"r.{c}") for c in stats.columns if c not in keys])
+    return df.alias("l").join(stats.alias("r"), same, how).select("l.*", *[F.col(f"r.{c}") for c in stats.columns if c not in keys])
 
 
 def quantile_bucket(df: DataFrame, keys: Names, column: str, parts: int, base: Column, out: str) -> DataFrame:
@@ -95,8 +130,8 @@ def trimmed_std(df: DataFrame, keys: Names, column: str, share: float = 0.1, lea
     """(keys, std): population deviation without the lowest and highest share of a key's rows, where it has ``least``."""
     w = Window.partitionBy(*keys)
     ranked = df.select(*keys, column, F.row_number().over(w.orderBy(column)).alias("r"), F.count("*").over(w).alias("n"))
-    cut = F.when(F.col("n") >= least, F.floor(F.col("n") * share)).otherwise(0)
-    return ranked.where((F.col("r") > cut) & (F.col("r") <= F.col("n") - cut)).groupBy(*keys).agg(F.stddev_pop(column).alias("std"))
+    off = F.when(F.col("n") >= least, F.floor(F.col("n") * share)).otherwise(0)
+    return ranked.where((F.col("r") > off) & (F.col("r") <= F.col("n") - off)).groupBy(*keys).agg(F.stddev_pop(column).alias("std"))
 
 
 def fisher_mean(df: DataFrame, keys: Names, x: str, y: str, least: int = 4) -> Column:

@@ -195,11 +195,13 @@ def acceptance_gates(spark, d):
 
 @query()
 def reference_fit(spark, d):
-    """Driver offsets and corner medians, alternated to a fixed point over a small table of medians."""
-    from lapwing.operators.fits import joint_medians
+    """Corners' references and drivers' calibrations, fitted on what the other leaves: the tests repeat the fit in plain numpy."""
+    from lapwing.operators.fits import joint_references
 
-    cells = laps(spark, d).groupBy("k", "corner").agg(F.avg("x").alias("y"))
-    return joint_medians(cells, "k", "corner", "y").select("corner", F.round("reference", 2).alias("reference"))
+    rows = laps(spark, d).withColumns({"track": F.col("k") % 2, "y": F.col("x") / 1e5, "a": (F.col("lap") % 13 + 4).cast("double"), "b": (F.col("lap") % 12 - 6).cast("double")})
+    refs, fit, rounds = joint_references(rows, ["track"], ["k"], ["corner"], "y", "a", "b", F.col("status") != "P", F.col("status") == "F")
+    sessions = fit.groupBy("track").agg(F.count("*").alias("sessions"))
+    return refs.join(sessions, "track").select("track", "corner", "offset", "tol", "n", "sessions", F.lit(rounds).alias("rounds"))
 
 
 CROSSINGS = ", r AS (SELECT k, lap, 100.0 AS a, 100.0 + (lap % 5) * 60 AS b, CASE WHEN lap % 13 <> 0 THEN x / 1e4 END AS seconds, 5.0 + k % 40 AS v_a, 6.0 + lap % 40 AS v_b, 1.0 + (k % 9) / 4.0 AS sig_a, 1.0 + (lap % 9) / 4.0 AS sig_b, (lap % 5) * 60 + (k % 31) - 15.0 AS driven, (lap % 7) / 5.0 AS heading, CASE WHEN k % 5 <> 0 THEN (lap % 27) - 13.0 END AS resid, CASE WHEN lap % 3 <> 0 THEN (k % 9) - 4.0 END AS accel, status = 'F' AS gps, status = 'P' AS rescaled FROM o), g AS (SELECT *, greatest(v_a, 8) AS va, greatest(v_b, 8) AS vb, heading * 3.2 + 10.3 AS band, driven - (b - a) AS off, seconds IS NOT NULL AND b > a AS cov FROM r), s AS (SELECT *, sqrt(greatest(0, (sig_a ** 2 + sig_b ** 2 - 2 * 0.66 * sig_a * sig_b) / (va * vb)) + (greatest(0, abs(off) - band) / ((va + vb) / 2)) ** 2 + coalesce((greatest(0, abs(resid) - 10.2) / ((va + vb) / 2)) ** 2, 0)) AS sigma, coalesce(abs(accel) <= 2.5, NOT gps) AS aok, abs(off) <= band AS bok, coalesce(abs(resid) <= 10.2, true) AS rok FROM g), t AS (SELECT *, CASE WHEN NOT cov THEN 'C' WHEN gps AND sigma <= 0.1 AND NOT (aok AND bok AND rok) THEN 'B' WHEN sigma <= 0.1 THEN 'A' WHEN sigma <= 0.3 THEN 'B' ELSE 'C' END AS tier FROM s)"
