@@ -1,8 +1,8 @@
 """Phrase collocations from stripes: each prefix keys a counter of the words that come next.
 
 Level k has stripes of prefixes of k - 1 words; the empty prefix keys the vocabulary. Tasks count in their own
-stripes first. Stripes of a prefix are merged elementwise; a stripe is dealt out in parts by its next words, so that
-no prefix, however frequent, is in one task. The merged stripes answer everything else: an entry is the count of an
+stripes first. Stripes of a prefix are merged elementwise; a frequent prefix's stripe is dealt out in parts by its next words, as many
+as its share of all words asks for, so that no prefix is in one task. The merged stripes answer everything else: an entry is the count of an
 extension and the total of the prefix that it makes, the empty prefix's total is the number of words, and the largest
 entries behind and before a phrase tell whether a longer phrase subsumes it.
 
@@ -29,8 +29,9 @@ from lapwing.llm.common import cut, marks, runs, same, table
 LONGEST, LEAST, TOLD, SUBSUMES = 4, 30, 2000, 80
 #: Scores are twice the extension's share of its parts, in millionths.
 SCALE = 2000000
-#: Parts that stripes are dealt out in, by number of words in the prefix.
-PARTS = (1024, 256, 32, 8)
+#: Parts that the empty prefix's stripe is dealt out in. Others have a part for each 1 / ``FINE`` of all words that their prefix makes up;
+#: at most so many prefixes have two parts or more, and tasks know them.
+ROOT_PARTS, FINE = 1024, 1 << 14
 #: Language of rows without one.
 UNKNOWN = "und"
 #: A text is counted in stretches of about so many bytes, cut where a piece ends.
@@ -100,38 +101,46 @@ def phrase_hashes(langs: list[str], phrases: list[str]) -> np.ndarray:
     return out
 
 
-def stripes_of(words: Words, langs: list[str], level: int, alive) -> pa.RecordBatch:
-    """The stripes of ``level`` in some texts: lang, prefix, part, and lists of next words and counts.
+def stripes_of(words: Words, langs: list[str], level: int, alive, heavy: tuple[np.ndarray, np.ndarray] | None) -> pa.RecordBatch:
+    """The stripes of ``level`` in some texts: lang, prefix, part, next words joined by spaces, and their counts (null where all are 1).
 
-    ``langs`` has the language of each text. ``alive`` tests hashes of sequences of ``level`` - 1 words.
+    ``langs`` has the language of each text. ``alive`` tests hashes of sequences of ``level`` - 1 words; ``heavy`` has the hashes,
+    sorted, and numbers of parts of the prefixes that have more than one.
     """
     kinds, lang = np.unique(np.array(langs, dtype=object), return_inverse=True)
     lang = lang.astype(np.int64)[words.text]
     at = np.flatnonzero(words.room >= level)
     word_hash = hashes(words.words)
+    parts = np.full(len(at), ROOT_PARTS, dtype=np.uint64)
     if level > 1:
         # sequences of level - 1 words, then those whose neighbour one word on is alive as well
         fits = np.flatnonzero(words.room >= level - 1)
         h = np.array([xxhash.xxh64_intdigest(x) for x in kinds], dtype=np.uint64)[lang[fits]]
         for k in range(level - 1):
             h = _folded(h, word_hash[words.ids[fits + k]])
-        good = np.zeros(words.n + 1, dtype=bool)
-        good[fits] = alive(h.view(np.int64))
+        good, prefix_hash = np.zeros(words.n + 1, dtype=bool), np.zeros(words.n + 1, dtype=np.uint64)
+        good[fits], prefix_hash[fits] = alive(h.view(np.int64)), h
         at = at[good[at] & good[at + 1]]
+        parts = np.ones(len(at), dtype=np.uint64)
+        if len(heavy[0]):
+            found = np.minimum(np.searchsorted(heavy[0], prefix_hash[at]), len(heavy[0]) - 1)
+            parts = np.where(heavy[0][found] == prefix_hash[at], heavy[1][found], parts)
     # number the sequences exactly, a word at a time
     width = len(words.words) + 1
     group = lang[at]
     for k in range(level - 1):
         _, group = np.unique(group * width + words.ids[at + k], return_inverse=True)
-    part = (word_hash % np.uint64(PARTS[level - 1])).astype(np.int64)
     following = words.ids[at + level - 1]
-    order = np.lexsort((following, part[following], group))
-    group, following, at = group[order], following[order], at[order]
+    part = (word_hash[following] % parts).astype(np.int64)
+    rank = np.empty(len(words.words), dtype=np.int64)
+    rank[pc.sort_indices(words.words).to_numpy()] = np.arange(len(words.words))
+    order = np.lexsort((rank[following], part, group))
+    group, following, part, at = group[order], following[order], part[order], at[order]
     new_entry = np.ones(len(at), dtype=bool)
     new_entry[1:] = (group[1:] != group[:-1]) | (following[1:] != following[:-1])
     entry = np.flatnonzero(new_entry)
     count = np.diff(np.append(entry, len(at)))
-    g, f, p = group[entry], following[entry], part[following[entry]]
+    g, p = group[entry], part[entry]
     new_row = np.ones(len(entry), dtype=bool)
     new_row[1:] = (g[1:] != g[:-1]) | (p[1:] != p[:-1])
     row = np.flatnonzero(new_row)
@@ -141,12 +150,14 @@ def stripes_of(words: Words, langs: list[str], level: int, alive) -> pa.RecordBa
     prefix = pa.array([""] * len(row), pa.large_string())
     if level > 1:
         prefix = pc.binary_join_element_wise(*[strings.take(pa.array(words.ids[where + k])) for k in range(level - 1)], pa.scalar(" ", pa.large_string()))
-    nexts = pa.ListArray.from_arrays(offsets, strings.take(pa.array(f)).cast(pa.string()))
-    counts = pa.ListArray.from_arrays(offsets, pa.array(count, pa.int64()))
-    return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()).take(pa.array(lang[where])), prefix.cast(pa.string()), pa.array(p[row], pa.int32()), nexts, counts], names=["lang", "prefix", "part", "next", "n"])
+    joined = lambda values: pc.binary_join(pa.ListArray.from_arrays(offsets, values.cast(pa.string())), " ")
+    several = np.maximum.reduceat(count, row) > 1 if len(row) else np.zeros(0, dtype=bool)
+    counts = pc.if_else(pa.array(several), joined(pa.array(count, pa.int64())), pa.scalar(None, pa.string()))
+    columns = [pa.array(kinds, pa.string()).take(pa.array(lang[where])), prefix.cast(pa.string()), pa.array(p[row], pa.int32()), joined(strings.take(pa.array(following[entry]))), counts]
+    return pa.RecordBatch.from_arrays(columns, names=["lang", "prefix", "part", "next", "n"])
 
 
-def merged(docs: DataFrame, level: int, alive=None) -> DataFrame:
+def merged(docs: DataFrame, level: int, alive=None, heavy=None) -> DataFrame:
     """(lang, prefix, next, a): the stripes of a level over all ``docs`` (lang, text), as rows of entries, not yet cut by count.
 
     The parts of stripes travel as they are counted, a prefix once a part, and are added elementwise where they meet.
@@ -159,13 +170,15 @@ def merged(docs: DataFrame, level: int, alive=None) -> DataFrame:
                 own = langs[start : start + len(texts)]
                 if len(texts) == 1 and len(texts[0]) > 2 * STRETCH:
                     for x in stretches(texts[0]):
-                        yield stripes_of(Words([x]), own, level, alive)
+                        yield stripes_of(Words([x]), own, level, alive, heavy and heavy.value)
                 else:
-                    yield stripes_of(Words(texts), own, level, alive)
+                    yield stripes_of(Words(texts), own, level, alive, heavy and heavy.value)
 
-    found = docs.select("lang", "text").mapInArrow(count, "lang string, prefix string, part int, next array<string>, n array<long>")
+    found = docs.select("lang", "text").mapInArrow(count, "lang string, prefix string, part int, next string, n string")
     dealt = found.repartition("lang", "prefix", "part")
-    entries = dealt.select("lang", "prefix", "part", F.explode(F.arrays_zip("next", "n")).alias("e")).select("lang", "prefix", "part", F.col("e.next").alias("next"), F.col("e.n").alias("n"))
+    ones = F.transform(F.split("next", " "), lambda w: F.struct(w.alias("next"), F.lit(1).cast("long").alias("n")))
+    counted = F.zip_with(F.split("next", " "), F.split("n", " "), lambda w, n: F.struct(w.alias("next"), n.cast("long").alias("n")))
+    entries = dealt.select("lang", "prefix", "part", F.inline(F.when(F.col("n").isNull(), ones).otherwise(counted)))
     return entries.groupBy("lang", "prefix", "part", "next").agg(F.sum("n").alias("a")).drop("part")
 
 
@@ -174,14 +187,23 @@ def _phrase() -> Column:
 
 
 def _hashed(entries: DataFrame) -> DataFrame:
-    """(h) of the phrases that entries make."""
+    """(h, a) of the phrases that entries make."""
 
     def told(batches):
         for batch in batches:
             h = phrase_hashes(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(2)], names=["h", "a"])
 
-    return entries.select("lang", _phrase().alias("phrase")).mapInArrow(told, StructType([StructField("h", LongType())]))
+    return entries.select("lang", _phrase().alias("phrase"), "a").mapInArrow(told, StructType([StructField("h", LongType()), StructField("a", LongType())]))
+
+
+def _heavy(hashed: DataFrame, n: int):
+    """Hashes, sorted, and numbers of parts of the prefixes with more than ``n`` / ``FINE`` occurrences: fewer than ``FINE``."""
+    rows = hashed.where(F.col("a") * FINE > n).groupBy("h").agg(F.max("a").alias("a")).collect()
+    h = np.array([r["h"] for r in rows], dtype=np.int64).view(np.uint64)
+    parts = np.array([-(-r["a"] * FINE // n) for r in rows], dtype=np.uint64)
+    order = np.argsort(h)
+    return hashed.sparkSession.sparkContext.broadcast((h[order], parts[order]))
 
 
 def stripes(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", longest: int = LONGEST, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -193,9 +215,11 @@ def stripes(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", lon
     docs = docs.select(F.coalesce(F.col(lang_col), F.lit(UNKNOWN)).alias("lang"), F.col(text_col).alias("text"))
     whole = cut(merged(docs, 1))
     totals = whole.groupBy("lang").agg(F.sum("a").alias("n"))
+    words = totals.agg(F.sum("n")).first()[0] or 1
     levels = [whole.where(F.col("a") >= least)]
     for level in range(2, longest + 1):
-        levels.append(cut(merged(docs, level, marks(_hashed(levels[-1]), "h")).where(F.col("a") >= least)))
+        before = cut(_hashed(levels[-1]))
+        levels.append(cut(merged(docs, level, marks(before, "h"), _heavy(before, words)).where(F.col("a") >= least)))
     out = levels[0]
     for more in levels[1:]:
         out = out.unionByName(more)
