@@ -111,13 +111,14 @@ def word_counts(texts: pa.Array) -> np.ndarray:
     return np.diff(np.searchsorted(np.flatnonzero(starts), at - at[0])).astype(np.int64)
 
 
-def runs(texts: pa.Array, most: int = RUN_BYTES):
-    """(start, list of bytes) over runs of texts of about ``most`` bytes; null: empty."""
+def runs(texts: pa.Array, most: int = RUN_BYTES, count: int = 1 << 30):
+    """(start, list of bytes) over runs of at most ``count`` texts of about ``most`` bytes; null: empty."""
     texts = texts.cast(pa.large_binary()).fill_null(b"")
     ends = np.cumsum(np.fromiter((len(x.as_buffer()) if x.is_valid else 0 for x in texts), dtype=np.int64, count=len(texts)))
     start = 0
     while start < len(texts):
         before = ends[start - 1] if start else 0
         stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+        stop = min(stop, start + count)
         yield start, texts.slice(start, stop - start).to_pylist()
         start = stop

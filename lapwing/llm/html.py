@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapwing.llm.boosting import Boosted, fit_boosted
-from lapwing.llm.common import hashed_sample, table
+from lapwing.llm.common import hashed_sample, runs, table
 
 #: Pages that the fit uses, and layouts that each is laid out in besides its own.
-SAMPLE, LAYOUTS = 200, 4
+SAMPLE, LAYOUTS = 120, 8
+#: Pages are read together up to so many bytes.
+PAGE_BYTES = 2 << 20
 #: Cost of entering the article, and of cutting a part out of it, in log-odds.
-ENTER, LEAVE = 6.0, 4.0
+ENTER, LEAVE = 4.0, 2.0
 
 #: A tag up to its end: quoted values only where the standard has them, right after "=". Nothing is tried twice.
 _TAG_END = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+)>")
@@ -242,36 +244,75 @@ def _boilerplate(rng: random.Random, text) -> list[str]:
     ]
 
 
+def _piece(rng: random.Random, text: str) -> str:
+    """Article words in one of the elements that articles hold: lists, tables, definitions, quotations, figures and others besides paragraphs."""
+    kind = rng.choices(("p", "h", "list", "table", "dl", "quote", "pre", "figure", "div", "wrapped"), (60, 8, 9, 6, 3, 4, 3, 4, 3, 2))[0]
+    words = text.split()
+    cuts = sorted(rng.sample(range(1, len(words)), min(len(words) - 1, rng.randint(1, 7)))) if len(words) > 1 else []
+    parts = [" ".join(words[i:j]) for i, j in zip([0, *cuts], [*cuts, len(words)])]
+    if kind == "list":
+        tag, inner = rng.choice(["ul", "ol"]), rng.choice(["{}", "{}", "<p>{}</p>", "<b>{}</b>", "<a href='/x'>{}</a>"])
+        return f"<{tag}>" + "".join(f"<li>{inner.format(x) if rng.random() < 0.6 else x}</li>" for x in parts) + f"</{tag}>"
+    if kind == "table":
+        row = lambda x, tag: f"<tr><{tag}>{x}</{tag}></tr>"
+        rows = "".join(row(f"</td><td>".join(x.split(" ", 1)) if rng.random() < 0.7 else x, "td") for x in parts)
+        return f"<table>{rng.choice(['', '<caption>' + words[0] + '</caption>'])}{rng.choice(['', '<thead><tr><th>' + words[0] + '</th><th>' + words[-1] + '</th></tr></thead>'])}<tbody>{rows}</tbody></table>"
+    if kind == "dl":
+        return "<dl>" + "".join(f"<{t}>{x}</{t}>" for x, t in zip(parts, ("dt", "dd") * 8)) + "</dl>"
+    if kind == "figure":
+        return f"<figure><img src='/i.jpg' alt=''><figcaption>{text}</figcaption></figure>"
+    if kind == "quote":
+        return rng.choice([f"<blockquote>{text}</blockquote>", f"<blockquote><p>{text}</p></blockquote>"])
+    if kind == "pre":
+        return rng.choice([f"<pre>{text}</pre>", f"<pre><code>{text}</code></pre>"])
+    if kind == "wrapped":
+        return f"<section><h2>{parts[0]}</h2>" + "".join(f"<p>{x}</p>" for x in parts[1:] or parts) + "</section>"
+    return f"<h{rng.randint(2, 4)}>{' '.join(words[:9])}</h{0}>".replace("</h0>", "</h2>") if kind == "h" else f"<div>{text}</div>" if kind == "div" else f"<p>{rng.choice(['', '', '<b>' + words[0] + '</b> ', '<a href=/y>' + words[0] + '</a> '])}{text}</p>"
+
+
+def _out(part: str) -> str:
+    """A part marked as not of the article."""
+    return re.sub(r"^<([a-z0-9]+)", r"<\1 data-out", part, count=1)
+
+
 def layout(rng: random.Random, title: str, paragraphs: list[str], text) -> str:
-    """A page with the article under a marked root and the usual parts around and inside it."""
-    parts = _boilerplate(rng, text)
+    """A page with the article in a root, or in none but the body, and the usual parts around and inside it; what is of the article is known by where it came from."""
+    parts = [_out(p) for p in _boilerplate(rng, text)]
     rng.shuffle(parts)
+    parts = parts[: rng.randint(2, len(parts))]
     inside = [p for p in parts[:2] if rng.random() < 0.35]
     outer = [p for p in parts if p not in inside]
     split = rng.randint(0, len(outer))
-    body = [f"<h1>{title}</h1>", *[f"<p>{p}</p>" if rng.random() < 0.93 else f"<{t}>{p}</{t}>" for p in paragraphs for t in [rng.choice(["h2", "blockquote", "div"])]]]
+    head = rng.choice(["<h1>{}</h1>"] * 4 + ["<header><h1>{}</h1></header>", "<header><h1>{}</h1><p>{}</p></header>", "<h2>{}</h2>", "<div><h1>{}</h1></div>"]).replace("{}", title, 1).replace("{}", " ".join(title.split()[:5]))
+    body = [head, *[_piece(rng, p) for p in paragraphs if p.split()]]
+    if rng.random() < 0.15:
+        body.append(rng.choice([f"<hr><small>{title}</small>", f"<p><small>{title}</small></p>", f"<p><em>{title}</em></p>"]))
     for p in inside:
         body.insert(rng.randint(1, len(body)), p)
-    tag, mark = rng.choice([("article", ""), ("main", ""), ("div", 'class="content"'), ("div", 'id="article-body"'), ("div", 'class="post"'), ("section", 'class="entry-content"'), ("div", 'id="main"'), ("div", 'class="story"'), ("td", "")])
-    core = f'<{tag} {mark} data-core="1">{"".join(body)}</{tag}>'
+    tag, mark = rng.choice([("article", ""), ("article", ""), ("main", ""), ("main", ""), ("div", 'class="content"'), ("div", 'id="article-body"'), ("div", 'class="post"'), ("section", 'class="entry-content"'), ("div", 'id="main"'), ("div", 'class="story"'), ("td", ""), ("div", ""), ("section", ""), *[("", "")] * 5])
+    if tag:
+        core = f'<{tag} {mark} data-core>{"".join(body)}</{tag}>'
+    else:
+        core = "".join(p if "data-out" in p[:40] else re.sub(r"<([a-z0-9]+)", r"<\1 data-core", p, count=1) for p in body).replace("<hr data-core><small>", "<hr data-core><small data-core>")
     for _ in range(rng.randint(0, 2)):
         core = f"<div{rng.choice(['', ' class=\"wrap\"', ' id=\"page\"', ' class=\"container\"'])}>{core}</div>"
     return f"<html><head><title>{title}</title><style>p{{}}</style></head><body>{''.join(outer[:split])}{core}{''.join(outer[split:])}</body></html>"
 
 
-_CUT_OUT = frozenset("nav header footer aside form script style noscript template iframe button".split())
+#: Elements that are no article's text wherever they stand; a header inside an article is its own.
+_CUT_OUT = frozenset("nav footer aside form script style noscript template iframe button".split())
 
 
 def _labels(page: Page, source: str) -> np.ndarray | None:
-    """1 for elements in the article: under the element marked as the core, or else the only <article>; parts by name are out."""
-    core = None
+    """1 for elements in the article: those marked as its cores and what is in them, but for what is marked as out; else the only <article> but for parts by name."""
+    y = np.zeros(len(page.tag), dtype=np.int8)
     if "data-core" in source:
-        core = next((i for i, (_, attributes) in enumerate(page.opened, 1) if "data-core" in attributes), None)
-    elif page.tag.count("article") == 1:
-        core = page.tag.index("article")
-    if core is None:
+        for i, (_, attributes) in enumerate(page.opened, 1):
+            y[i] = ("data-core" in attributes or y[page.parent[i]]) and "data-out" not in attributes
+        return y[1:]
+    if page.tag.count("article") != 1:
         return None
-    y = np.zeros(len(page.tag), dtype=np.int8)
+    core = page.tag.index("article")
     y[core] = 1
     for i in range(core + 1, len(page.tag)):
         out = page.tag[i] in _CUT_OUT or page.kinds[i] & ~(1 | 1 << 9)
@@ -313,7 +354,7 @@ def fit_pages(sources: list[str]) -> Boosted:
             ys.append(y)
     x, y = np.vstack(xs), np.concatenate(ys).astype(float)
     weight = 0.2 + x[:, 1]  # by own text
-    return fit_boosted(x, y, weight)
+    return fit_boosted(x, y, weight, trees=60, depth=5, rate=0.2)
 
 
 def extract(pages: DataFrame, model: Boosted, html_col: str = "html", together: int = 100) -> DataFrame:
@@ -325,8 +366,8 @@ def extract(pages: DataFrame, model: Boosted, html_col: str = "html", together:
 
     def read(batches):
         for batch in batches:
-            for at in range(0, len(batch), together):
-                part = batch.slice(at, together)
+            for at, here in runs(batch.column(len(names)), PAGE_BYTES, together):
+                part = batch.slice(at, len(here))
                 found = [Page(x or "") for x in part.column(len(names)).to_pylist()]
                 x = [p.features() if len(p.tag) > 1 else None for p in found]
                 full = [f for f in x if f is not None]

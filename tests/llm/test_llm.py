@@ -247,6 +247,17 @@ def test_html_on_unseen_layouts(spark):
     assert np.mean(right) >= 0.95
 
 
+def test_html_on_pages_marked_by_hand(spark):
+    """Pages of many structures, none from the generator of layouts: lists, tables, headers in articles, articles without a root."""
+    from marked_pages import PAGES
+
+    model = html.fit(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    pages = spark.createDataFrame([(name, source) for name, source, _ in PAGES], "name string, html string")
+    got = {r.name: r.text for r in html.extract(pages, model).collect()}
+    wrong = [name for name, _, want in PAGES if got[name] != want]
+    assert len(wrong) <= len(PAGES) // 20, wrong
+
+
 MIT = "/*\n * Permission is hereby granted, free of charge, to any person\n * obtaining a copy of this software and associated documentation\n * files, to deal in the Software without restriction\n */"
 BSD = "Some words\nRedistribution and use in source and binary\nforms, with or without modification, are permitted\nprovided that the following conditions are met\nother words"
 APACHE = "# Licensed under the Apache License, Version 2.0 (the License);\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at"
