@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lapwing.operators.sequence import FIRST, HERE, LAST
+from lapwing.operators.sequence import FIRST, HERE, turned_round
 
 Names = Sequence[str]
 
@@ -48,7 +48,7 @@ def ring_fill(rows: DataFrame, track: Names, length: str, columns: Names) -> Dat
     ring = _ring(rows, track, length)
     for c in columns:
         known = F.when(F.col(c).isNotNull(), F.struct(F.col("__p").alias("p"), F.col(c).alias("v")))
-        ring = ring.withColumns({f"__a_{c}": F.last(known, True).over(w.rowsBetween(FIRST, HERE)), f"__b_{c}": F.first(known, True).over(w.rowsBetween(HERE, LAST))})
+        ring = ring.withColumns({f"__a_{c}": F.last(known, True).over(w.rowsBetween(FIRST, HERE)), f"__b_{c}": F.last(known, True).over(turned_round(track, ["__p"]))})
     ring = ring.where("__turn = 0")
     for c in columns:
         a, b = F.col(f"__a_{c}"), F.col(f"__b_{c}")
@@ -60,7 +60,7 @@ def ring_distance(rows: DataFrame, track: Names, length: str, marked: str, out:
     """Adds the distance on the ring to the nearest marked bin; null where none is marked."""
     w = Window.partitionBy(*track).orderBy("__p")
     own = F.when(F.col(marked), F.col("__p"))
-    ring = _ring(rows, track, length).withColumns({"__a": F.last(own, True).over(w.rowsBetween(FIRST, HERE)), "__b": F.first(own, True).over(w.rowsBetween(HERE, LAST))}).where("__turn = 0")
+    ring = _ring(rows, track, length).withColumns({"__a": F.last(own, True).over(w.rowsBetween(FIRST, HERE)), "__b": F.last(own, True).over(turned_round(track, ["__p"]))}).where("__turn = 0")
     return ring.withColumn(out, F.least(F.col("__p") - F.col("__a"), F.col("__b") - F.col("__p"))).select(*rows.columns, out)
 
 

@@ -15,11 +15,15 @@ from pyspark.sql import functions as F
 from lapwing.functions.expressions import G, MPH, SPEED_SLACK
 from lapwing.functions.lineage import cut
 from lapwing.operators import alignment, sections as sec, sequence as seq
-from lapwing.operators.sequence import FIRST, HERE, LAST, over
+from lapwing.operators.joins import in_spans
+from lapwing.operators.sequence import FIRST, HERE, over, turned_round
 from lapwing.operators.trajectory import BIN, at_knots, bin_index, linear_fill
 
 Names = Sequence[str]
 
+#: Metres of a cell in which samples and sections meet.
+MEET = 100.0
+
 
 def lap_sections(samples: DataFrame, sections: DataFrame, keys: Names, track: Names) -> DataFrame:
     """A row per lap and section: keys, section, a, b, covered (the whole section lies on the lap's ruler)."""
@@ -39,7 +43,7 @@ def at_places(queries: DataFrame, samples: DataFrame, keys: Names, place: str, a
     q = queries.select(*keys, F.col(place).cast("double").alias("__x"), F.lit(1).alias("__q"), F.struct(*queries.columns).alias("__row"))
     w = Window.partitionBy(*keys).orderBy("__x", "__q", "__o")
     both = s.unionByName(q, allowMissingColumns=True)
-    met = both.withColumns({"__l": F.last("__s", True).over(w.rowsBetween(FIRST, HERE)), "__r": F.first("__s", True).over(w.rowsBetween(HERE, LAST))}).where("__q = 1")
+    met = both.withColumns({"__l": F.last("__s", True).over(w.rowsBetween(FIRST, HERE)), "__r": F.last("__s", True).over(turned_round(keys, ["__x", "__q", "__o"]))}).where("__q = 1")
     share = F.when(F.col("__l.x") < F.col("__r.x"), (F.col("__x") - F.col("__l.x")) / (F.col("__r.x") - F.col("__l.x"))).otherwise(0.0)
     value = lambda c: F.when(F.col("__l").isNull(), F.col(f"__r.{c}")).when(F.col("__r").isNull(), F.col(f"__l.{c}")).otherwise(F.col(f"__l.{c}") + (F.col(f"__r.{c}") - F.col(f"__l.{c}")) * share)
     return met.select("__row.*", *[value(c).alias(new) for c, new in columns.items()])
@@ -64,7 +68,8 @@ def line_residual(rows: DataFrame, samples: DataFrame, corridor: DataFrame, keys
 
     Samples meet the sections that hold them; offsets become a median per bin, bins without one are filled from their neighbours.
     """
-    inside = samples.where(F.col("e_lat").isNotNull()).select(*keys, F.col("s_hat").alias("__s"), "e_lat").join(rows.where("covered").select(*keys, "section", "a", "b"), list(keys)).where((F.col("__s") >= F.col("a")) & (F.col("__s") <= F.col("b")))
+    offsets = samples.where(F.col("e_lat").isNotNull()).select(*keys, F.col("s_hat").alias("__s"), "e_lat")
+    inside = in_spans(offsets, rows.where("covered").select(*keys, "section", "a", "b"), keys, "__s", "a", "b", MEET)
     own = inside.groupBy(*keys, "section", bin_index(F.col("__s"), bins).alias("bin")).agg(F.median("e_lat").alias("e"), F.count("*").alias("n"))
     enough = own.groupBy(*keys, "section").agg(F.sum("n").alias("n")).where("n >= 5").drop("n")
     spine = rows.join(enough, [*keys, "section"], "left_semi").select(*keys, "section", F.explode(F.sequence(F.floor(F.col("a") / BIN).cast("int"), F.floor(F.col("b") / BIN).cast("int"))).alias("bin"))

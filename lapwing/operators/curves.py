@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapwing.functions.expressions import correlation
+from lapwing.functions.lineage import cut
 from lapwing.operators.crossings import at_places
+from lapwing.operators.robust import order_statistics
 from lapwing.operators.sequence import over
 
 Names = Sequence[str]
@@ -55,17 +57,22 @@ def high_pass(profiles: DataFrame, keys: Names, value: str, half: int) -> DataFr
     return profiles.withColumn("high", F.col(value) - F.avg(value).over(w))
 
 
-def registration(profiles: DataFrame, keys: Names, window: Column, reach: int, least: int = 3) -> DataFrame:
-    """(keys, window, shift, r): by how many places a lap's profile (g, high) must be moved to follow the median of the other laps best.
+def registration(profiles: DataFrame, track: Names, keys: Names, window: Column, reach: int, least: int = 3) -> DataFrame:
+    """(keys, window, shift, r): by how many places a lap's profile (g, high) must be moved to follow the median of the other laps of its track best.
 
-    The median of all laps but one comes from the sorted values of a place, of which one is left out.
+    The median of all laps but one follows from the three middle values of a place: which of them stay in the middle depends on the
+    side that the lap itself is on. So a lap meets three numbers a place, whatever the number of laps.
     """
-    rows = profiles.where("high is not null").withColumn("window", window)
-    place = rows.groupBy("g").agg(F.array_sort(F.collect_list("high")).alias("__all"))
-    met = rows.join(place, "g").withColumn("__n", F.size("__all") - 1)
-    at = lambda i: F.try_element_at("__all", (i + F.when(i >= F.array_position("__all", F.col("high")), 1).otherwise(0)).cast("int"))
-    low, high = F.floor((F.col("__n") + 1) / 2), F.floor(F.col("__n") / 2) + 1
-    others = met.where("__n >= 1").select(*keys, "window", "g", "high", ((at(low) + at(high)) / 2).alias("__m"))
+    rows = cut(profiles.where("high is not null").select(*dict.fromkeys([*track, *keys]), window.alias("window"), "g", F.col("high").cast("double").alias("high")))
+    middle = F.floor(F.col("n") / 2)
+    ranks = F.transform(F.array(middle - 1, middle, middle + 1), lambda r: F.greatest(F.least(r, F.col("n") - 1), F.lit(0)).cast("long"))
+    values = order_statistics(rows, [*track, "g"], "high", ranks)
+    place = values.groupBy(*track, "g").agg(F.max("n").alias("__n"), *[F.max(F.when(F.col("rank") == F.floor(F.col("n") / 2) + d, F.col("x"))).alias(f"__x{d + 1}") for d in (-1, 0, 1)])
+    met = rows.join(place, [*track, "g"]).where("__n >= 2")
+    v, below, at, above = (F.col(c) for c in ("high", "__x0", "__x1", "__x2"))
+    even = F.when(v <= below, at).otherwise(below)
+    odd = F.when(v <= below, (at + above) / 2).when(v <= at, (below + above) / 2).otherwise((below + at) / 2)
+    others = met.select(*keys, "window", "g", "high", F.when(F.col("__n") % 2 == 0, even).otherwise(odd).alias("__m"))
     moved = others.select(*keys, "window", "high", "g", F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("shift")).withColumn("g", F.col("g") + F.col("shift"))
     both = moved.join(others.select(*keys, "window", "g", "__m"), [*keys, "window", "g"])
     r = both.groupBy(*keys, "window", "shift").agg(correlation(F.col("high"), F.col("__m")).alias("r"), F.count("*").alias("n")).where((F.col("n") >= least) & F.col("r").isNotNull())
@@ -73,6 +80,21 @@ def registration(profiles: DataFrame, keys: Names, window: Column, reach: int, l
     return best.select(*keys, "window", "b.shift", "b.r")
 
 
+def driven_delta(a: DataFrame, b: DataFrame, keys: Names) -> DataFrame:
+    """(keys, g, delta, speed): how far lap ``a`` is behind ``b`` at each place of the ruler, and how far by its speed alone.
+
+    Both are grids (keys, g, t, d) with the time and the driven distance at places of the ruler; ``keys`` name a pair of laps. Places that
+    both cover count, from the first of them on. ``speed`` sets a's time against the one that b took to drive as far, at the nearest end where b has not
+    driven so far: what is left of ``delta`` is the longer line. A pair without places in common has no rows.
+    """
+    side = lambda x, n: x.select(*keys, "g", F.col("t").cast("double").alias(f"t{n}"), F.col("d").cast("double").alias(f"d{n}"))
+    w = over(keys, ["g"])
+    met = side(a, "a").join(side(b, "b"), [*keys, "g"])
+    met = met.select(*keys, "g", *[(F.col(c) - F.first(c).over(w)).alias(c) for c in ("ta", "tb", "da", "db")])
+    got = at_places(met, met.select(*keys, "g", "db", "tb"), keys, "da", "db", "g", {"tb": "__t"})
+    return got.select(*keys, "g", (F.col("ta") - F.col("tb")).alias("delta"), (F.col("ta") - F.col("__t")).alias("speed"))
+
+
 def gate_times(samples: DataFrame, gates: DataFrame, keys: Names, track: Names, order: Names, t: str, x: str, y: str, at: str) -> DataFrame:
     """(keys, gate, time, place): when a lap's path crosses a gate (gate, x0, y0, x1, y1, seed), of several crossings the nearest to the seed.
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapwing.functions.lineage import cut
-from lapwing.operators.sequence import FIRST, HERE, LAST
+from lapwing.operators.sequence import FIRST, HERE, LAST, turned_round
 
 Names = Sequence[str]
 
@@ -24,7 +24,7 @@ def asof_hold(queries: DataFrame, source: DataFrame, keys: Names, at: str, tie:
     s = source.select(*keys, F.col(at).alias("__at"), F.lit(0).alias("__q"), F.col(tie).alias("__tie"), held, F.lit(None).cast(queries.select(F.struct("*")).schema[0].dataType).alias("__row"))
     q = queries.select(*keys, F.col(at).alias("__at"), F.lit(1).alias("__q"), F.lit(None).cast(source.schema[tie].dataType).alias("__tie"), F.lit(None).cast(source.select(held).schema[0].dataType).alias("__held"), F.struct(*queries.columns).alias("__row"))
     w = Window.partitionBy(*keys).orderBy("__at", "__q", "__tie")
-    got = s.unionByName(q).withColumn("__got", F.coalesce(F.last("__held", True).over(w.rowsBetween(FIRST, HERE)), F.first("__held", True).over(w.rowsBetween(HERE, LAST))))
+    got = s.unionByName(q).withColumn("__got", F.coalesce(F.last("__held", True).over(w.rowsBetween(FIRST, HERE)), F.first("__held", True).over(w.rowsBetween(FIRST, LAST))))
     return got.where("__q = 1").select("__row.*", *[F.col(f"__got.{c}").alias(c) for c in columns])
 
 
@@ -36,7 +36,7 @@ def interpolate(queries: DataFrame, curve: DataFrame, keys: Names, x: str, y: st
     p = curve.select(*keys, F.col(x).cast("double").alias("__x"), F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).alias("__p"), F.lit(None).cast(queries.select(F.struct("*")).schema[0].dataType).alias("__row"))
     q = queries.select(*keys, F.col(x).cast("double").alias("__x"), F.lit(None).cast("struct<x:double,y:double>").alias("__p"), F.struct(*queries.columns).alias("__row"))
     w = Window.partitionBy(*keys).orderBy("__x")
-    rows = p.unionByName(q).withColumn("__a", F.last("__p", True).over(w.rangeBetween(FIRST, HERE))).withColumn("__b", F.first("__p", True).over(w.rangeBetween(HERE, LAST))).where("__row is not null")
+    rows = p.unionByName(q).withColumn("__a", F.last("__p", True).over(w.rangeBetween(FIRST, HERE))).withColumn("__b", F.last("__p", True).over(turned_round(keys, ["__x"]).rangeBetween(FIRST, HERE))).where("__row is not null")
     a, b = F.col("__a"), F.col("__b")
     inside = F.when(a["x"] == b["x"], a["y"]).otherwise(a["y"] + (b["y"] - a["y"]) * (F.col("__x") - a["x"]) / (b["x"] - a["x"]))
     value = F.when(a.isNotNull() & b.isNotNull(), inside)
@@ -59,13 +59,31 @@ def segments(starts: DataFrame, start: str, label: str, end: float = float("inf"
     return starts.select(F.col(label), F.col(start).alias("lo"), F.coalesce(F.lead(start).over(w), F.lit(end)).alias("hi"))
 
 
+def in_spans(points: DataFrame, spans: DataFrame, keys: Names, at: str, lo: str, hi: str, cell: float, closed: bool = True) -> DataFrame:
+    """Points with each span of their key that holds them, both columns of the span ``lo`` and ``hi`` finite.
+
+    Spans are told in every cell of width ``cell`` that they touch, points in their one cell, so that they meet by equality, each pair once.
+    Columns of the two sides must differ but for the keys; nulls are in no span.
+    """
+    number = lambda c: F.floor(F.col(c) / cell).cast("long")
+    wide = spans.where(F.col(lo) <= F.col(hi)).withColumn("__cell", F.explode(F.sequence(number(lo), number(hi))))
+    upper = F.col(at) <= F.col(hi) if closed else F.col(at) < F.col(hi)
+    return points.withColumn("__cell", number(at)).join(wide, [*keys, "__cell"]).where((F.col(at) >= F.col(lo)) & upper).drop("__cell")
+
+
+#: Cells that ranges of a dimension are told in.
+CELLS = 256
+
+
 def in_ranges(points: DataFrame, ranges: DataFrame, at: str, keys: Names = (), closed: bool = False) -> DataFrame:
-    """Points with each range (lo, hi) that holds them. Ranges are a dimension of tens of rows; the planner broadcasts them by their size."""
+    """Points with each range (lo, hi) that holds them; ranges may have no end. The ranges' finite ends lay out ``CELLS`` cells, in which both sides meet by equality."""
+    finite = lambda c: F.when((F.col(c) > float("-inf")) & (F.col(c) < float("inf")), F.col(c))
+    first, last = ranges.agg(F.least(F.min(finite("lo")), F.min(finite("hi"))), F.greatest(F.max(finite("lo")), F.max(finite("hi")))).first()
+    first, last = first or 0.0, last or 0.0
+    number = lambda c: F.floor(F.least(F.greatest((F.col(c) - first) / max((last - first) / CELLS, 1e-300), F.lit(0.0)), F.lit(float(CELLS)))).cast("int")
+    wide = ranges.where("lo <= hi").withColumn("__cell", F.explode(F.sequence(number("lo"), number("hi"))))
     upper = F.col(at) <= F.col("hi") if closed else F.col(at) < F.col("hi")
-    inside = (F.col(at) >= F.col("lo")) & upper
-    if keys:
-        return points.join(ranges, list(keys)).where(inside)
-    return points.join(ranges, inside)
+    return points.withColumn("__cell", number(at)).join(wide, [*keys, "__cell"]).where((F.col(at) >= F.col("lo")) & upper).drop("__cell")
 
 
 def nearest(points: DataFrame, ruler: DataFrame, cell: float, point_id: str, rank: str, doublings: int = 40) -> DataFrame:

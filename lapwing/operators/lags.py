@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lapwing.functions.expressions import G, MPH, correlation
+from lapwing.functions.expressions import G, MPH, correlation, to_xy
+from lapwing.functions.lineage import cut
 from lapwing.operators import joins, sequence as seq
 from lapwing.operators.sequence import over
 
@@ -69,7 +70,8 @@ def speed_lags(df: DataFrame, keys: Names, order: Names, t: str, obd_mph: str, g
     lap = Window.partitionBy(*keys)
     df = df.withColumns({"__dt": F.col(t) - F.lag(t).over(w), "__obd": F.count(obd_mph).over(lap) > 0})
     laps = df.groupBy(*keys).agg(F.first("__obd").alias("__obd"), (F.count(F.when(F.col(obd_mph) > FAST, 1)) * F.coalesce(F.median("__dt"), F.lit(0.0))).alias("__span"))
-    own = df.where("__obd").withColumn("__fast", F.coalesce(F.col(obd_mph) > FAST, F.lit(False)))
+    long_enough = laps.where(F.col("__obd") & (F.col("__span") >= SPAN)).select(*keys)
+    own = df.where("__obd").join(long_enough, list(keys), "left_semi").withColumn("__fast", F.coalesce(F.col(obd_mph) > FAST, F.lit(False)))
     a = best_lag(correlation_lags(own, keys, t, obd_mph, gps_mph, "__fast"), keys)
     bare = slope(df.where("not __obd"), keys, order, t, F.coalesce(gps_mph, F.lit(0.0)) * MPH / G, "__dv")
     around = Window.partitionBy(*keys).orderBy("__us").rangeBetween(-round(SMOOTH * 5e5), round(SMOOTH * 5e5))
@@ -135,3 +137,44 @@ def session_position_lag(laps: DataFrame, session: Names, lap: str) -> DataFrame
     got = marked.groupBy(*session).agg(F.count(path).alias("__np"), F.median(path).alias("__path"), F.count("speed_lag").alias("__ns"), F.count(F.when(F.col("speed_lag").isNotNull() & (F.col("speed_origin") != "default"), 1)).alias("__own"), F.median(F.col("speed_lag") - OFFSET).alias("__speed"))
     by_path, by_speed = F.col("__np") >= LAPS, F.col("__own") > 0
     return got.select(*session, F.when(by_path, F.col("__path")).when(by_speed, F.col("__speed")).otherwise(DEFAULT - OFFSET).alias("lag"), F.when(by_path, "path").when(by_speed, "offset").otherwise("offset-default").alias("origin"), F.when(by_path, F.col("__np")).when(by_speed, F.col("__ns")).otherwise(0).alias("laps"))
+
+
+def ladder(laps: DataFrame, session: Names, lap: str) -> DataFrame:
+    """(session, lap, lag, r, origin): every lap with the lag that is applied to it, from laps (lag, r, origin of ``speed_lags``).
+
+    Accepted laps keep their own; the first and last of three or more set none. All others get the median of those of their session
+    ("session"), and where there is none the default ("default").
+    """
+    w = Window.partitionBy(*session)
+    edge = (F.count("*").over(w) >= 3) & ((F.col(lap) == F.min(lap).over(w)) | (F.col(lap) == F.max(lap).over(w)))
+    marked = laps.withColumn("__own", F.coalesce(F.col("origin").isin("lap", "accel") & ~edge, F.lit(False)))
+    middle = marked.where("__own").groupBy(*session).agg(F.median("lag").alias("__mid"))
+    met = marked.join(middle, list(session), "left")
+    own, mid = F.col("__own"), F.col("__mid")
+    return met.select(*session, lap, F.when(own, F.col("lag")).otherwise(F.coalesce(mid, F.lit(DEFAULT))).alias("lag"), F.when(own, F.col("r")).alias("r"), F.when(own, F.col("origin")).when(mid.isNotNull(), "session").otherwise("default").alias("origin"))
+
+
+def session_lags(samples: DataFrame, session: Names, lap: str, t: str, tie: str, obd_mph: str, gps_mph: str, long_g: str, lat: str, lon: str, enabled: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(laps, sessions): laps (session, lap, mid, lag, r, origin) with the lag of speeds and the middle of their time, and sessions
+    (session, lag, origin, laps) with the one lag of positions. Where not ``enabled``, both are 0 and "disabled".
+
+    Path lengths are fitted on eligible laps only: inside the session, long, and seldom slow.
+    """
+    keys = [*session, lap]
+    w = Window.partitionBy(*session)
+    n = F.count("*")
+    slow = F.avg(F.when(F.col(obd_mph) < FAST, 1.0).otherwise(0.0))
+    spans = samples.groupBy(*keys).agg(((F.min_by(t, F.struct(t, tie)) + F.max_by(t, F.struct(t, tie))) / 2).alias("mid"), n.alias("rows"), slow.alias("slow"), F.count(obd_mph).alias("__obd"))
+    if not enabled:
+        none = [F.lit(0.0).alias("lag"), F.lit(None).cast("double").alias("r"), F.lit("disabled").alias("origin")]
+        return spans.select(*keys, "mid", *none), spans.select(*session).distinct().select(*session, none[0], none[2], F.lit(0).cast("long").alias("laps"))
+    spans = cut(spans)
+    own = cut(ladder(speed_lags(samples, keys, [t, tie], t, obd_mph, gps_mph, long_g), session, lap))
+    inner = (F.count("*").over(w) < 3) | ((F.col(lap) > F.min(lap).over(w)) & (F.col(lap) < F.max(lap).over(w)))
+    fit = spans.withColumn("__in", inner).where(F.col("__in") & (F.col("__obd") > 0) & (F.col("rows") >= ROWS) & (F.col("slow") <= SLOW)).select(*keys)
+    rows = samples.join(fit, keys, "left_semi")
+    whole = Window.partitionBy(*keys)
+    x, y = to_xy(F.col(lat), F.col(lon), F.avg(lat).over(whole), F.avg(lon).over(whole))
+    paths = path_lag(rows.select(*keys, t, tie, x.alias("__px"), y.alias("__py"), (F.col(obd_mph) * MPH).alias("__pv")), keys, t, tie, "__px", "__py", "__pv")
+    met = spans.join(own.select(*keys, F.col("lag").alias("speed_lag"), F.col("origin").alias("speed_origin")), keys).join(paths.select(*keys, F.col("lag").alias("path_lag")), keys, "left")
+    return spans.select(*keys, "mid").join(own, keys), session_position_lag(met, session, lap)

@@ -15,7 +15,7 @@ Names = Sequence[str]
 
 
 #: Groups, or what is left of them between two bounds, of so many values are gathered; larger ones are narrowed first.
-GATHERED = 1 << 16
+GATHERED = 1 << 18
 #: Parts that a pass cuts the values between two bounds in; rows of bounds that are broadcast, more are joined by a shuffle.
 CUT_IN, BOUNDS = 1024, 100000
 
@@ -97,9 +97,9 @@ def quantile_bucket(df: DataFrame, keys: Names, column: str, parts: int, base: C
 
 def robust_z(df: DataFrame, keys: Names, column: str, base: Column, out: str, least: float = 0.1) -> DataFrame:
     """(x - median) / (1.4826 MAD) against the base rows of a key, on all rows; null where the scale is ``least`` or less."""
-    center = exact_quantiles(df.where(base), keys, column, [0.5], "__m").withColumn("__m", F.col("__m")[0])
+    center = cut(exact_quantiles(df.where(base), keys, column, [0.5], "__m").withColumn("__m", F.col("__m")[0]))
     near = with_group(df, center, keys).withColumn("__away", F.abs(F.col(column) - F.col("__m")))
-    spread = exact_quantiles(near.where(base), keys, "__away", [0.5], "__s").withColumn("__s", F.col("__s")[0] * MAD_SCALE)
+    spread = cut(exact_quantiles(near.where(base), keys, "__away", [0.5], "__s").withColumn("__s", F.col("__s")[0] * MAD_SCALE))
     met = with_group(near, spread, keys)
     return met.withColumn(out, F.round(F.when(F.col("__s") > least, (F.col(column) - F.col("__m")) / F.col("__s")), 2) + 0.0).drop("__m", "__s", "__away")
 

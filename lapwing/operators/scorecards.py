@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from lapwing.functions.expressions import G
 from lapwing.functions.lineage import cut
+from lapwing.operators.crossings import MEET
+from lapwing.operators.joins import in_spans
 from lapwing.operators.robust import exact_quantiles, fisher_mean, robust_spread, with_group
 
 Names = Sequence[str]
@@ -157,7 +159,7 @@ def turned(samples: DataFrame, sections: DataFrame, keys: Names, track: Names, o
     """(track, section, heading, laps): median over laps of the heading that lateral g and speed make in a section."""
     w = Window.partitionBy(*keys).orderBy(*order)
     rate = F.abs(lat_g) * G / F.greatest(F.col(v), F.lit(8.0)) * (F.lead(t).over(w) - F.col(t))
-    met = samples.withColumn("__r", rate).join(sections.select(*track, "section", "a", "b"), list(track)).where(F.col(at).between(F.col("a"), F.col("b")))
+    met = in_spans(samples.withColumn("__r", rate), sections.select(*track, "section", "a", "b"), track, at, "a", "b", MEET)
     own = met.groupBy(*dict.fromkeys([*track, *keys]), "section").agg(F.sum("__r").alias("__h"))
     q = exact_quantiles(own, [*track, "section"], "__h", [0.5], "__q")
     return with_group(own.groupBy(*track, "section").agg(F.count("__h").alias("laps")), q, [*track, "section"]).withColumn("heading", F.col("__q")[0]).drop("__q")
@@ -171,7 +173,7 @@ def tails(df: DataFrame, corner: str, method: str, value: str) -> DataFrame:
 
 def section_speeds(samples: DataFrame, times: DataFrame, keys: Names, at: str, v: str, gps: str) -> DataFrame:
     """Section times (keys, section, a, b, ...) with the mean speed in the section, the GPS speed where there is no other."""
-    met = times.select(*keys, "section", "a", "b").join(samples.select(*keys, F.col(at).alias("__at"), F.coalesce(v, gps).alias("__v")), list(keys)).where((F.col("__at") >= F.col("a")) & (F.col("__at") <= F.col("b")))
+    met = in_spans(samples.select(*keys, F.col(at).alias("__at"), F.coalesce(v, gps).alias("__v")), times.select(*keys, "section", "a", "b"), keys, "__at", "a", "b", MEET)
     return times.join(met.groupBy(*keys, "section").agg(F.avg("__v").alias("mean_speed")), [*keys, "section"], "left")
 
 

@@ -15,10 +15,16 @@ def over(keys: Names, order: Names):
     return Window.partitionBy(*keys).orderBy(*order)
 
 
+def turned_round(keys: Names, order: Names):
+    """A key's rows from its last to the current one: what is ahead of a row lies behind it here. Frames that end where a key ends are worked out
+    anew for each of its rows; this one is kept up from row to row."""
+    return Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in order]).rowsBetween(FIRST, HERE)
+
+
 def fill(df: DataFrame, keys: Names, order: Names, columns: Names) -> DataFrame:
     """Each null takes the last value before it, or else the first after it."""
     w = over(keys, order)
-    return df.withColumns({c: F.coalesce(F.last(c, True).over(w.rowsBetween(FIRST, HERE)), F.first(c, True).over(w.rowsBetween(HERE, LAST))) for c in columns})
+    return df.withColumns({c: F.coalesce(F.last(c, True).over(w.rowsBetween(FIRST, HERE)), F.first(c, True).over(w.rowsBetween(FIRST, LAST))) for c in columns})
 
 
 def trapezoid(df: DataFrame, keys: Names, order: Names, t: str, v: Column, out: str) -> DataFrame:
@@ -28,14 +34,14 @@ def trapezoid(df: DataFrame, keys: Names, order: Names, t: str, v: Column, out:
     return df.withColumn("__step", step).withColumn(out, F.sum("__step").over(w.rowsBetween(FIRST, HERE))).drop("__step")
 
 
-def relative(df: DataFrame, keys: Names, order: Names, column: str, out: str, length: float | None = None) -> DataFrame:
-    """Distance from the first row of a key; scaled so that the key's largest is ``length`` where one is given."""
+def relative(df: DataFrame, keys: Names, order: Names, column: str, out: str, length: Column | None = None) -> DataFrame:
+    """Distance from the first row of a key; scaled so that the key's largest is ``length`` where that is given and not null."""
     d = F.col(column) - F.first(column).over(over(keys, order))
     df = df.withColumn(out, d)
     if length is None:
         return df
     most = F.max(out).over(Window.partitionBy(*keys))
-    return df.withColumn(out, F.when(most > 0, F.col(out) * length / most).otherwise(F.col(out)))
+    return df.withColumn(out, F.when((most > 0) & length.isNotNull(), F.col(out) * length / most).otherwise(F.col(out)))
 
 
 def running_max(df: DataFrame, keys: Names, order: Names, column: str, out: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lapwing.functions.expressions import MAD_SCALE, huber, tricube
 from lapwing.functions.lineage import cut
 from lapwing.operators import sequence as seq
-from lapwing.operators.sequence import FIRST, HERE, LAST, over
+from lapwing.operators.sequence import FIRST, HERE, over, turned_round
 
 Names = Sequence[str]
 
@@ -151,7 +151,7 @@ def linear_fill(df: DataFrame, keys: Names, x: str, y: str, out: str) -> DataFra
     """Nulls of y between its neighbours in x, linearly; the nearest value before the first and after the last."""
     w = Window.partitionBy(*keys).orderBy(x)
     known = F.when(F.col(y).isNotNull(), F.struct(F.col(x).cast("double").alias("x"), F.col(y).alias("y")))
-    df = df.withColumns({"__a": F.last(known, True).over(w.rowsBetween(FIRST, HERE)), "__b": F.first(known, True).over(w.rowsBetween(HERE, LAST))})
+    df = df.withColumns({"__a": F.last(known, True).over(w.rowsBetween(FIRST, HERE)), "__b": F.last(known, True).over(turned_round(keys, [x]))})
     a, b = F.col("__a"), F.col("__b")
     between = a["y"] + (b["y"] - a["y"]) * (F.col(x) - a["x"]) / (b["x"] - a["x"])
     return df.withColumn(out, F.when(a.isNull(), b["y"]).when(b.isNull() | (b["x"] == a["x"]), a["y"]).otherwise(between)).drop("__a", "__b")
@@ -161,7 +161,7 @@ def gap_to(spine: DataFrame, points: DataFrame, keys: Names, d: str, out: str =
     """``spine`` with the distance from each knot to the nearest point of its key, 1e4 without any: both are sorted once, no pairs are formed."""
     both = spine.select(*keys, "j", F.col("knot").alias("__x"), F.lit(None).cast("double").alias("__p")).unionByName(points.select(*keys, F.lit(None).cast("int").alias("j"), F.col(d).cast("double").alias("__x"), F.col(d).cast("double").alias("__p")))
     w = Window.partitionBy(*keys).orderBy("__x")
-    before, after = F.last("__p", True).over(w.rangeBetween(FIRST, HERE)), F.first("__p", True).over(w.rangeBetween(HERE, LAST))
+    before, after = F.last("__p", True).over(w.rangeBetween(FIRST, HERE)), F.last("__p", True).over(turned_round(keys, ["__x"]).rangeBetween(FIRST, HERE))
     near = both.withColumns({"__b": before, "__a": after}).where("j is not null")
     gap = F.coalesce(F.least(F.col("__x") - F.col("__b"), F.col("__a") - F.col("__x")), F.lit(1e4))
     return near.select(*keys, "j", F.col("__x").alias("knot"), gap.alias(out))

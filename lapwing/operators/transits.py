@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lapwing.functions.lineage import cut
 from lapwing.operators import robust, sequence as seq
-from lapwing.operators.sequence import FIRST, HERE, LAST, over
+from lapwing.operators.joins import in_spans
+from lapwing.operators.sequence import FIRST, HERE, over, turned_round
 
 Names = Sequence[str]
 
@@ -125,7 +127,7 @@ def peak_ends(df: DataFrame, keys: Names, order: Names, size: str, least: float
     w = over(keys, order)
     low = F.when(F.col(size) < least, F.col("row"))
     lap = Window.partitionBy(*keys)
-    return df.withColumns({"entry_row": F.coalesce(F.last(low, True).over(w.rowsBetween(FIRST, HERE)), F.min("row").over(lap)), "exit_row": F.coalesce(F.first(low, True).over(w.rowsBetween(HERE, LAST)), F.max("row").over(lap))})
+    return df.withColumns({"entry_row": F.coalesce(F.last(low, True).over(w.rowsBetween(FIRST, HERE)), F.min("row").over(lap)), "exit_row": F.coalesce(F.last(low, True).over(turned_round(keys, order)), F.max("row").over(lap))})
 
 
 def corner_candidates(df: DataFrame, keys: Names, order: Names, at: str, rate: float) -> DataFrame:
@@ -143,12 +145,14 @@ def corner_candidates(df: DataFrame, keys: Names, order: Names, at: str, rate: f
     ends = df.join(tops, [*keys, "row"]).select(*keys, F.col("row").alias("peak_row"), F.col(at).alias("peak_m"), F.col("smooth").alias("peak_g"), "entry_row", "exit_row")
     ends = ends.withColumn("candidate", F.row_number().over(Window.partitionBy(*keys).orderBy("peak_row")))
     rows = df.select(*keys, *[c for c in df.columns if c not in (*keys, "entry_row", "exit_row", "size", "smooth", "__n")])
-    met = rows.join(ends, list(keys))
-    inside = (F.col("row") >= F.col("entry_row")) & (F.col("row") <= F.col("exit_row"))
-    edge = met.where(inside).groupBy(*keys, "candidate").agg(F.min_by(at, "row").alias("entry_m"), F.max_by(at, "row").alias("exit_m"), (F.max_by("t", "row") - F.min_by("t", "row")).alias("duration"), F.min(F.when(F.col("__v").isNotNull(), F.struct("__v", "row", F.col(at).alias("m"), "lat", "long"))).alias("slow"))
-    met = met.join(edge, [*keys, "candidate"])
-    near = (F.col(at) >= F.col("entry_m") - BACK) & (F.col(at) <= F.col("exit_m"))
+    inside = in_spans(rows, ends, keys, "row", "entry_row", "exit_row", float(LEAST_ROWS))
+    edge = inside.groupBy(*keys, "candidate").agg(F.min_by(at, "row").alias("entry_m"), F.max_by(at, "row").alias("exit_m"), (F.max_by("t", "row") - F.min_by("t", "row")).alias("duration"), F.min(F.when(F.col("__v").isNotNull(), F.struct("__v", "row", F.col(at).alias("m"), "lat", "long"))).alias("slow"))
+    edge = cut(edge)
     first = lambda hit: F.min_by(at, F.when(hit, F.col("row")))
-    events = met.groupBy(*keys, "candidate").agg(first(near & (F.col("long_g") < BRAKE_G)).alias("b"), first(near & (F.col("throttle") < LIFT)).alias("l"), first(inside & (F.col("row") >= F.col("slow.row")) & (F.col("throttle") > RETURN)).alias("r"))
+    spans = edge.select(*keys, "candidate", (F.col("entry_m") - BACK).alias("__from"), F.col("exit_m").alias("__to"))
+    near = in_spans(rows, spans, keys, at, "__from", "__to", BACK)
+    before = near.groupBy(*keys, "candidate").agg(first(F.col("long_g") < BRAKE_G).alias("b"), first(F.col("throttle") < LIFT).alias("l"))
+    after = inside.join(edge.select(*keys, "candidate", F.col("slow.row").alias("__slowest")), [*keys, "candidate"]).where(F.col("row") >= F.col("__slowest")).groupBy(*keys, "candidate").agg(first(F.col("throttle") > RETURN).alias("r"))
+    events = edge.select(*keys, "candidate").join(before, [*keys, "candidate"], "left").join(after, [*keys, "candidate"], "left")
     out = ends.join(edge, [*keys, "candidate"]).join(events, [*keys, "candidate"])
     return out.select(*keys, "candidate", "peak_m", "peak_g", F.when(F.col("peak_g") > 0, "right").otherwise("left").alias("direction"), "entry_m", "exit_m", "duration", F.col("slow.__v").alias("min_speed"), F.col("slow.m").alias("min_speed_m"), (F.col("b") - F.col("entry_m")).alias("brake_on"), (F.col("l") - F.col("entry_m")).alias("lift"), (F.col("r") - F.col("entry_m")).alias("throttle_return"), F.col("slow.lat").alias("apex_lat"), F.col("slow.long").alias("apex_long"))

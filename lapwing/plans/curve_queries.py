@@ -49,13 +49,29 @@ def group_median_curve(spark, d):
     return cv.curve_difference(c.where("grp = 0"), c.where("grp = 1")).select("g", (F.round("delta", 4) + 0.0).alias("delta"))
 
 
-@query(GRID + ", hp AS (SELECT k, g, g // 25 AS win, v - avg(v) OVER (PARTITION BY k ORDER BY g RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS high FROM el), ot AS (SELECT a.k, a.win, a.g, a.high, median(b.high) AS m FROM hp a JOIN hp b ON a.g = b.g AND a.k <> b.k GROUP BY ALL), sh AS (SELECT a.k, a.win, s.s AS shift, a.high, b.m FROM ot a, generate_series(-3, 3) s(s), ot b WHERE b.k = a.k AND b.win = a.win AND b.g = a.g + s.s), r AS (SELECT k, win, shift, covar_pop(high, m) / nullif(stddev_pop(high) * stddev_pop(m), 0) AS r, count(*) AS n FROM sh GROUP BY ALL) SELECT k, win AS \"window\", CAST(arg_max(shift, (round(r, 9), -abs(shift), shift)) AS INTEGER) AS shift, round(max(r), 5) AS r FROM r WHERE n >= 6 AND r IS NOT NULL GROUP BY ALL")
+@query(GRID + ", hp AS (SELECT k, g, g // 25 AS win, v - avg(v) OVER (PARTITION BY k ORDER BY g RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS high FROM el), ot AS (SELECT a.k, a.win, a.g, a.high, median(b.high) AS m FROM hp a JOIN hp b ON a.g = b.g AND a.k % 2 = b.k % 2 AND a.k <> b.k GROUP BY ALL), sh AS (SELECT a.k, a.win, s.s AS shift, a.high, b.m FROM ot a, generate_series(-3, 3) s(s), ot b WHERE b.k = a.k AND b.win = a.win AND b.g = a.g + s.s), r AS (SELECT k, win, shift, covar_pop(high, m) / nullif(stddev_pop(high) * stddev_pop(m), 0) AS r, count(*) AS n FROM sh GROUP BY ALL) SELECT k, win AS \"window\", CAST(arg_max(shift, (round(r, 9), -abs(shift), shift)) AS INTEGER) AS shift, round(max(r), 5) AS r FROM r WHERE n >= 6 AND r IS NOT NULL GROUP BY ALL")
 def profile_registration(spark, d):
     p = cv.high_pass(cv.on_grid(drive(spark, d), LAP, "dl", "t", {"v": "v"}, 20.0), LAP, "v", 5)
-    got = cv.registration(p, ["k"], F.floor(F.col("g") / 25), 3, 6)
+    got = cv.registration(p, TRACK, ["k"], F.floor(F.col("g") / 25), 3, 6)
     return got.select("k", "window", "shift", F.round("r", 5).alias("r"))
 
 
+@query(GRID.replace("el AS (SELECT track, k, g, v, t", "el AS (SELECT track, k, g, v, t AS tt, t") + ", b AS (SELECT track, arg_min(k, (-n, k)) AS best FROM (SELECT track, k, count(*) AS n FROM el GROUP BY ALL) GROUP BY track), p AS (SELECT a.k, a.g, a.tt - first_value(a.tt) OVER w AS ta, c.tt - first_value(c.tt) OVER w AS tb, a.g * 20.0::DOUBLE - first_value(a.g * 20.0::DOUBLE) OVER w AS db, (a.g * 20.0::DOUBLE - first_value(a.g * 20.0::DOUBLE) OVER w) * (1 + (a.k % 7 - 3) / 50.0::DOUBLE) AS da FROM el a JOIN b ON a.track = b.track JOIN el c ON c.k = b.best AND c.g = a.g WHERE a.k <> b.best WINDOW w AS (PARTITION BY a.k ORDER BY a.g)), l AS (SELECT p.*, q.db AS x0, q.tb AS y0 FROM p ASOF JOIN p q ON p.k = q.k AND p.da >= q.db), u AS (SELECT l.*, q.db AS x1, q.tb AS y1 FROM l ASOF LEFT JOIN p q ON l.k = q.k AND l.da < q.db) SELECT k, g, round(ta - tb, 4) + 0.0 AS delta, round(ta - CASE WHEN x1 IS NULL THEN y0 ELSE y0 + (y1 - y0) * (da - x0) / (x1 - x0) END, 4) + 0.0 AS speed FROM u")
+def driven_delta(spark, d):
+    """Each lap against its track's longest: laps whose numbers differ drive a longer or shorter line over the same places."""
+    from pyspark.sql import Window
+
+    grid = cv.on_grid(drive(spark, d), LAP, "dl", "t", {"t": "t"}, 20.0).withColumn("d", F.col("g") * 20.0)
+    sizes = grid.groupBy(*LAP).agg(F.count("*").alias("n"))
+    best = sizes.groupBy("track").agg(F.min_by("k", F.struct(-F.col("n"), "k")).alias("best"))
+    far = F.col("g") * 20.0 - F.first(F.col("g") * 20.0).over(Window.partitionBy("k").orderBy("g"))
+    pairs = grid.join(best, "track").where("k <> best").withColumn("d", far * (1 + (F.col("k") % 7 - 3) / 50.0))
+    own = grid.join(best, "track").where("k = best").drop("k", "best")
+    ends = pairs.select("track", "k").distinct().join(own, "track").select("k", "g", "t", "d")
+    got = cv.driven_delta(pairs.select("k", "g", "t", "d"), ends, ["k"])
+    return got.select("k", "g", *[(F.round(c, 4) + 0.0).alias(c) for c in ("delta", "speed")])
+
+
 GATES = [(0, "G1", 310.0, -9.0, 290.0, 9.0, 300.0), (0, "G2", 700.0, -20.0, 700.0, 1.0, 690.0), (1, "G3", 505.0, 20.0, 495.0, -20.0, 500.0)]
 GATES_SQL = ", q AS (SELECT * FROM (VALUES " + ", ".join(f"({t}, '{g}', {', '.join(f'{v}::DOUBLE' for v in vs)})" for t, g, *vs in GATES) + ") v(track, gate, x0, y0, x1, y1, seed))"
 

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapwing.functions.expressions import MPH
-from lapwing.operators import sequence as seq
+from lapwing.functions.lineage import cut
+from lapwing.operators import alignment, lags, sequence as seq
+from lapwing.sources.tracks import with_lap_length
 
 #: Raw names of a log and their canonical names and types.
 CANONICAL = {
@@ -67,38 +69,85 @@ def samples(spark: SparkSession, paths: str | list[str], track: str) -> tuple[Da
     return out, top.where("reason is not null").select("path", "session_id", "reason")
 
 
-def normalize(raw: DataFrame, lap_length: float | None = None) -> DataFrame:
-    """Canonical samples: axes turned, OBD gaps filled, throttle by the session's largest, distances along session and lap."""
+#: What a receiver reports late, as speeds and as places; version of the method.
+SPEEDS, PLACES, LAG_VERSION = ("speed_mph_gps",), ("lat", "long", "altitude_m", "gps_accuracy_m", "sector", "lap"), "gps-lag-v3"
+
+
+def turned(raw: DataFrame) -> DataFrame:
+    """Raw samples with their axes turned, OBD gaps filled and a brake everywhere."""
     s = raw.withColumns({"lat_g": -F.col("lat_g"), "long_g": -F.col("long_g"), "brake": F.coalesce("brake", F.lit(0)).cast("tinyint")})
-    s = seq.fill(s, KEYS, ORDER, list(OBD))
+    return seq.fill(s, KEYS, ORDER, list(OBD))
+
+
+def lag_tables(s: DataFrame, enabled: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(laps, sessions) of ``lags.session_lags`` on ``turned`` samples: what their receivers are late by."""
+    laps, sessions = lags.session_lags(s, KEYS, "lap", *ORDER, "speed_mph", "speed_mph_gps", "long_g", "lat", "long", enabled)
+    return cut(laps), cut(sessions)
+
+
+def relocked(s: DataFrame, laps: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Samples with the receiver's columns as held their lag later, and gps_lag_s and gps_pos_lag_s.
+
+    The lag of speeds goes linearly from the middle of a lap to that of the next, that of places is one for a session. The lap
+    counter is among the places: a sample may change its lap.
+    """
+    knots = laps.select(*KEYS, "mid", "lag")
+    s = alignment.blended_lag(s, knots, KEYS, "t", "gps_lag_s")
+    s = s.join(sessions.select(*KEYS, F.col("lag").alias("gps_pos_lag_s")), KEYS, "left")
+    s = alignment.retime(s, KEYS, *ORDER, [(SPEEDS, "gps_lag_s"), (PLACES, "gps_pos_lag_s")])
+    return s.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)).cast("float") for c in ("gps_lag_s", "gps_pos_lag_s")})
+
+
+def normalize(s: DataFrame, lap_length: float | DataFrame | None = None) -> DataFrame:
+    """Canonical samples of ``turned`` and ``relocked`` ones: throttle by the session's largest, distances along session and lap.
+
+    A lap's distance is scaled to ``lap_length``, one for all or a table of tracks (track, lap_length_m); tracks without one keep theirs.
+    """
     w = seq.Window.partitionBy(*KEYS)
     most = F.max("throttle_raw").over(w)
-    s = s.withColumn("throttle_norm", F.when(most == 0, 0.0).otherwise(F.col("throttle_raw") / most))
+    s = s.withColumns({"throttle_norm": F.when(most == 0, 0.0).otherwise(F.col("throttle_raw") / most), "throttle_max_observed": most})
     own = F.max(F.col("speed_mph").isNotNull().cast("int")).over(w) == 1
     s = s.withColumn("__v", F.when(own, F.col("speed_mph")).otherwise(F.col("speed_mph_gps")) * MPH)
     s = seq.trapezoid(s, KEYS, ORDER, "t", F.col("__v"), "dist_m").drop("__v")
-    s = seq.relative(s, [*KEYS, "lap"], ORDER, "dist_m", "dist_lap_m", lap_length)
+    if isinstance(lap_length, DataFrame):
+        s = seq.relative(with_lap_length(s, lap_length), [*KEYS, "lap"], ORDER, "dist_m", "dist_lap_m", F.col("lap_length_m")).drop("lap_length_m")
+    else:
+        s = seq.relative(s, [*KEYS, "lap"], ORDER, "dist_m", "dist_lap_m", None if lap_length is None else F.lit(float(lap_length)))
     return s.withColumn("rpm", F.round("rpm").cast("int")).drop("throttle_raw", "utc", "sector", "heading", "vert_g", "manifold_psi")
 
 
-def lap_table(s: DataFrame) -> DataFrame:
-    """One row per lap: times, ranges and shares of its channels, and whether it is a flying lap."""
+def lap_table(s: DataFrame, own_lags: DataFrame | None = None) -> DataFrame:
+    """One row per lap: times, ranges and shares of its channels, whether it is a flying lap, and what its receiver was late by."""
     keys = [*KEYS, "lap"]
     share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
     a = s.groupBy(*keys).agg(F.max("dist_lap_m").alias("lap_dist_m"), F.max("speed_mph").alias("max_speed_mph"), F.avg("speed_mph").alias("avg_speed_mph"), F.max("rpm").alias("max_rpm"), F.max(F.abs("lat_g")).alias("max_lat_g"), F.max("long_g").alias("max_accel_g"), F.min("long_g").alias("max_decel_g"), share(F.col("throttle_norm") >= 0.95).alias("pct_wot"), F.avg("throttle_norm").alias("avg_throttle"), share(F.col("brake") == 1).alias("pct_braking"), F.min("coolant_f").alias("coolant_min_f"), F.max("coolant_f").alias("coolant_max_f"), F.min("iat_f").alias("iat_min_f"), F.max("iat_f").alias("iat_max_f"))
     times = seq.lap_times(s, KEYS, "lap", "t", "row_id").select(*keys, F.col("lap_time").alias("lap_time_s"))
     w = seq.Window.partitionBy(*KEYS)
     reason = F.when(F.col("lap") == F.min("lap").over(w), "warmup").when(F.col("lap") == F.max("lap").over(w), "cooldown").otherwise("")
-    return a.join(times, keys).withColumn("clean_reason", reason).withColumn("is_clean", F.col("clean_reason") == "")
+    laps = a.join(times, keys).withColumn("clean_reason", reason).withColumn("is_clean", F.col("clean_reason") == "")
+    if own_lags is None:
+        return laps
+    places = s.groupBy(*KEYS).agg(F.first("gps_pos_lag_s").cast("double").alias("gps_pos_lag_s"))
+    return laps.join(own_lags.select(*keys, F.col("lag").alias("gps_lag_s"), F.col("r").alias("gps_lag_corr"), F.col("origin").alias("gps_lag_source")), keys, "left").join(places, KEYS, "left")
 
 
-def session_table(s: DataFrame, laps: DataFrame) -> DataFrame:
-    """One row per session: counts, rate, duration, best flying lap and ranges."""
+def lag_block(own_lags: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(track, session_id, gps_lag): how a session's lags were found, as one struct."""
+    count = lambda o: F.count(F.when(F.col("origin") == o, 1)).alias(f"n_{o}")
+    origins = ("lap", "session", "accel", "default", "disabled")
+    counts = own_lags.groupBy(*KEYS).agg(F.round(F.median("lag"), 3).alias("session_median_s"), *[count(o) for o in origins])
+    met = counts.join(sessions.select(*KEYS, F.round("lag", 3).alias("pos_lag_s"), F.col("origin").alias("pos_lag_source"), F.col("laps").alias("pos_lag_n_laps")), KEYS, "left")
+    fixed = [F.lit(LAG_VERSION).alias("method_version"), F.lit(lags.OFFSET).alias("pos_speed_offset_s")]
+    return met.select(*KEYS, F.struct(*fixed, "session_median_s", *[f"n_{o}" for o in origins], "pos_lag_s", "pos_lag_source", "pos_lag_n_laps").alias("gps_lag"))
+
+
+def session_table(s: DataFrame, laps: DataFrame, block: DataFrame | None = None) -> DataFrame:
+    """One row per session: counts, rate, duration, best flying lap and ranges, and the block of its lags."""
     clean = F.col("is_clean")
     l = laps.groupBy(*KEYS).agg(F.count("*").alias("n_laps"), F.count(F.when(clean, 1)).alias("n_clean_laps"), F.min_by("lap", F.when(clean, F.struct("lap_time_s", "lap"))).alias("best_lap"), F.min(F.when(clean, F.col("lap_time_s"))).alias("best_lap_time_s"))
     span = F.max("t") - F.min("t")
-    m = s.groupBy(*KEYS).agg(F.when(span > 0, (F.count("*") - 1) / span).alias("sample_rate_hz"), span.alias("duration_s"), F.max("has_obd").alias("has_obd"), F.max("speed_mph").alias("speed_max_obd_mph"), F.max("rpm").alias("rpm_max"), F.min("coolant_f").alias("coolant_min_f"), F.max("coolant_f").alias("coolant_max_f"), F.min_by("iat_f", F.when(F.col("iat_f").isNotNull(), F.col("row_id"))).alias("iat_first_f"), F.max("iat_f").alias("iat_max_f"))
-    return l.join(m, KEYS)
+    m = s.groupBy(*KEYS).agg(F.when(span > 0, (F.count("*") - 1) / span).alias("sample_rate_hz"), span.alias("duration_s"), F.max("has_obd").alias("has_obd"), F.max("speed_mph").alias("speed_max_obd_mph"), F.max("rpm").alias("rpm_max"), F.min("coolant_f").alias("coolant_min_f"), F.max("coolant_f").alias("coolant_max_f"), F.min_by("iat_f", F.when(F.col("iat_f").isNotNull(), F.col("row_id"))).alias("iat_first_f"), F.max("iat_f").alias("iat_max_f"), F.max("throttle_max_observed").alias("throttle_max_observed"))
+    return l.join(m, KEYS) if block is None else l.join(m, KEYS).join(block, KEYS, "left")
 
 
 def write(table: DataFrame, path: str, by: list[str]) -> None:
@@ -112,7 +161,3 @@ def notes(spark: SparkSession, path: str) -> DataFrame:
     text = spark.read.text(path, wholetext=True)
     return text.select(F.explode(F.from_json("value", kind)).alias("session_id", "n")).select("session_id", "n.*")
 
-
-def corpus(transits: DataFrame, marks: DataFrame) -> DataFrame:
-    """Transits of sessions that are not references."""
-    return transits.join(marks.where(F.coalesce("reference", F.lit(False))).select("session_id"), "session_id", "left_anti")

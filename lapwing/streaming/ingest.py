@@ -6,42 +6,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapwing.functions.lineage import cut
-from lapwing.sources import logs
+from lapwing.sources import ledger, logs
 
+#: Tables of a session, in the order in which they are written; the ledger's commit comes after them.
+TABLES = ("samples", "laps", "session_meta")
 
-def known_sessions(spark: SparkSession, out: str) -> DataFrame | None:
-    """Sessions that were ingested before; none before the first batch."""
-    try:
-        return spark.read.parquet(f"{out}/session_meta").select("session_id").distinct()
-    except Exception as e:  # the table is not there yet
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            return None
-        raise
 
-
-def ingest(spark: SparkSession, paths: list[str], track: str, out: str, lap_length: float | None = None, force: bool = False, excluded: DataFrame | None = None) -> DataFrame:
+def ingest(spark: SparkSession, paths: str | list[str], track: str, out: str, lap_length: float | DataFrame | None = None, force: bool = False, excluded: DataFrame | None = None, gps_lag: bool = True) -> DataFrame:
     """Normalizes files into ``out`` (samples, laps, session_meta) and returns (session_id, status, reason) of each.
 
-    Known sessions are skipped unless forced, excluded ones left out, and a bad file rejects
-    itself only. Partitions are replaced whole, so a batch that runs again changes nothing.
+    Known sessions are skipped unless forced, and a bad file rejects itself only. ``excluded`` (session_id) are left out, and those
+    of them that were ingested before are retracted, whether or not their file is among ``paths``. Receivers' lags are found and taken off,
+    if ``gps_lag``. A batch commits its sessions and retractions together, after its data are written; one that broke off is run again.
     """
     raw, rejects = logs.samples(spark, paths, track)
     ids = raw.select("session_id", "has_obd").distinct()
     status = ids.withColumn("status", F.when(F.col("has_obd"), "ok").otherwise("gpsonly"))
+    known = ledger.live(spark, out).where(F.col("track") == track)
+    if not force:
+        status = status.join(known.select("session_id", F.lit(1).alias("k")), "session_id", "left").withColumn("status", F.when(F.col("k").isNotNull(), "skip").otherwise(F.col("status"))).drop("k")
+    gone = None
     if excluded is not None:
-        status = status.join(excluded.select("session_id", F.lit(1).alias("x")), "session_id", "left").withColumn("status", F.when(F.col("x").isNotNull(), "excl").otherwise(F.col("status"))).drop("x")
-    known = None if force else known_sessions(spark, out)
-    if known is not None:
-        status = status.join(known.withColumn("k", F.lit(1)), "session_id", "left").withColumn("status", F.when(F.col("k").isNotNull(), "skip").otherwise(F.col("status"))).drop("k")
+        left_out = excluded.select("session_id").distinct()
+        status = status.join(left_out.withColumn("x", F.lit(1)), "session_id", "left").withColumn("status", F.when(F.col("x").isNotNull(), "excl").otherwise(F.col("status"))).drop("x")
+        gone = cut(known.join(left_out, "session_id", "left_semi").select("track", "session_id"))
     status = cut(status.select("session_id", "status"))  # settled before the tables change
     take = status.where("status in ('ok', 'gpsonly')").select("session_id")
+    changes = [take.select(F.lit(track).alias("track"), "session_id", F.lit(ledger.LIVE).alias("state"))]
     if not take.isEmpty():
-        logs.write(logs.normalize(raw.join(take, "session_id", "left_semi"), lap_length), f"{out}/samples", ["track", "session_id"])
+        s = cut(logs.turned(raw.join(take, "session_id", "left_semi")))
+        laps, sessions = logs.lag_tables(s, gps_lag)
+        logs.write(logs.normalize(logs.relocked(s, laps, sessions), lap_length), f"{out}/samples", ["track", "session_id"])
         # laps and sessions are made from the samples as written: logs are read once
-        s = spark.read.parquet(f"{out}/samples").join(take, "session_id", "left_semi")
-        logs.write(logs.lap_table(s), f"{out}/laps", ["track", "session_id"])
-        laps = spark.read.parquet(f"{out}/laps").join(take, "session_id", "left_semi")
-        logs.write(logs.session_table(s, laps), f"{out}/session_meta", ["track", "session_id"])
+        s = spark.read.parquet(f"{out}/samples").where(F.col("track") == track).join(take, "session_id", "left_semi")
+        logs.write(logs.lap_table(s, laps), f"{out}/laps", ["track", "session_id"])
+        own = spark.read.parquet(f"{out}/laps").where(F.col("track") == track).join(take, "session_id", "left_semi")
+        logs.write(logs.session_table(s, own, logs.lag_block(laps, sessions)), f"{out}/session_meta", ["track", "session_id"])
+    if gone is not None:
+        changes.append(gone.select("track", "session_id", F.lit(ledger.RETRACTED).alias("state")))
+    changed = changes[0] if len(changes) == 1 else changes[0].unionByName(changes[1])
+    if not changed.isEmpty():
+        ledger.commit(spark, out, changed)
+    if gone is not None:
+        # those that an earlier batch has retracted and not removed go as well
+        ledger.remove(spark, out, TABLES, ledger.states(spark, out).where((F.col("track") == track) & (F.col("state") == ledger.RETRACTED)))
     done = status.select("session_id", "status", F.lit(None).cast("string").alias("reason"))
     return done.unionByName(rejects.select("session_id", F.lit("FAIL").alias("status"), "reason"))
 
