@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lapwing.functions.expressions import drift_corrected
+from lapwing.functions.lineage import cut
 from lapwing.operators.sequence import FIRST, HERE, turned_round
 
 Names = Sequence[str]
@@ -19,6 +21,27 @@ BIN, PAD, CAP, LAPS, COLD, BEND_LAPS, LO, HI, FIELD, FIELD_REACH = 10.0, 2.0, 20
 VERSION = "corridor-1"
 
 
+#: Fixed values of what a line is made from, in metres: disagreement of a lap's drift, offset of a passage.
+DRIFT_LIMIT, OFFSET_LIMIT = 20.0, 40.0
+UNRELIABLE = "gps_unreliable"
+
+
+def line_samples(samples: DataFrame, laps: DataFrame, passages: DataFrame, notes: DataFrame, lat0: Column) -> DataFrame:
+    """Samples that a line may be made from, with lat and long moved back by their lap's drift.
+
+    Out are sessions whose notes (session_id, exclude, flag) exclude them or call their GPS unreliable, laps that are not clean, laps whose
+    drift disagrees by more than its limit (unknown disagreement passes), and, of each lap, the stretches of corners (session_id, lap, corner_id) that
+    it passed too far off. Laps, passages and notes meet samples by equality; samples between corners stay.
+    """
+    out = notes.where(F.coalesce("exclude", F.lit(False)) | F.coalesce(F.col("flag") == UNRELIABLE, F.lit(False))).select("session_id")
+    clean = laps.where("is_clean").select("session_id", "lap")
+    glitched = passages.where(F.col("offset_max") > OFFSET_LIMIT).select("session_id", "lap", F.col("corner_id").alias("corner"))
+    kept = samples.join(out, "session_id", "left_anti").join(clean, ["session_id", "lap"], "left_semi")
+    kept = kept.where(F.coalesce(F.col("gps_drift_disagreement_m") <= DRIFT_LIMIT, F.lit(True))).join(glitched, ["session_id", "lap", "corner"], "left_anti")
+    lat, lon = drift_corrected(F.col("lat"), F.col("long"), F.col("gps_drift_lat_m"), F.col("gps_drift_lon_m"), lat0)
+    return kept.withColumns({"lat": lat, "long": lon})
+
+
 def bins(samples: DataFrame, track: Names, at: str, x: str, y: str) -> DataFrame:
     """(track, bin, x, y, spread, n): medians of the samples within ``REACH`` of each metre; null with fewer than five."""
     around = F.sequence(F.ceil(F.col(at) - REACH).cast("int"), F.floor(F.col(at) + REACH).cast("int"))
@@ -80,7 +103,7 @@ def centerline(samples: DataFrame, boxes: DataFrame, lengths: DataFrame, track:
     """
     spine = lengths.select(*track, "length", F.explode(F.sequence(F.lit(0), F.col("length") - 1)).alias("bin"))
     rows = spine.join(rejected(bins(samples, track, at, x, y), boxes, track), [*track, "bin"], "left").fillna(False, ["protected", "rejected"]).fillna(0, ["n"])
-    rows = ring_distance(ring_fill(rows, track, "length", ["x", "y"]), track, "length", "protected")
+    rows = cut(ring_distance(ring_fill(rows, track, "length", ["x", "y"]), track, "length", "protected"))  # read by the join and both smoothings
     fine = ring_smooth(rows, track, "length", ["x", "y"], SMOOTH).withColumnsRenamed({"x": "__fx", "y": "__fy"})
     wide = ring_smooth(rows, track, "length", ["x", "y"], STRAIGHT).withColumnsRenamed({"x": "__wx", "y": "__wy"})
     share = F.least(F.coalesce(F.col("away") / BLEND, F.lit(1.0)), F.lit(1.0))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lapwing.functions.expressions import G, MPH, SPEED_SLACK
 from lapwing.functions.lineage import cut
-from lapwing.operators import alignment, sections as sec, sequence as seq
+from lapwing.operators import alignment, centerline as cl, sections as sec, sequence as seq, trajectory as tr
 from lapwing.operators.joins import in_spans
 from lapwing.operators.sequence import FIRST, HERE, over, turned_round
 from lapwing.operators.trajectory import BIN, at_knots, bin_index, linear_fill
@@ -123,6 +123,27 @@ def section_times(samples: DataFrame, knots: DataFrame, sections: DataFrame, cor
     return sec.verdict(rows)
 
 
+def range_times(samples: DataFrame, knots: DataFrame, corners: DataFrame, lap_length: Column, corridor: DataFrame, keys: Names, track: Names, first: str, last: str, tie: str, bins: int, refs: DataFrame | None = None, calibration: DataFrame | None = None, session: Names = ()) -> DataFrame:
+    """``section_times`` of the one window from corner ``first`` to ``last`` (section: "first..last"); no rows on tracks that have them in the other order.
+
+    References are of single corners: a range of one corner uses its own, a longer one none, so that laps on GPS alone cannot reach tier A there.
+    """
+    window = sec.range_window(corners, lap_length, list(track), first, last).withColumn("section", F.lit(f"{first}..{last}"))
+    own = None if refs is None or first != last else refs.where(F.col("section") == first).withColumn("section", F.lit(f"{first}..{last}"))
+    return section_times(samples, knots, window, corridor, keys, track, tie, bins, own, calibration, session)
+
+
+def span_times(samples: DataFrame, line: DataFrame, keys: Names, track: Names, order: Names, a: float, b: float, names: dict[str, str], has_obd: Column, bins: int) -> DataFrame:
+    """``section_times`` of laps between two places of the ruler (section: "span") without a corpus: on the plain band around one line (track, bin, x, y).
+
+    ``names`` tells the columns dl, td, v, lat_g and e of the samples. Every lap has a row; where it does not cover the span, its status says so.
+    """
+    cold = cl.cold_corridor(cl.field(line, track), track)
+    own, rows = tr.estimate(samples, keys, order, names["dl"], names["td"], names["v"], names["lat_g"], names["e"], has_obd, cold, bins, track=track)
+    span = line.select(*track).distinct().select(*track, F.lit("span").alias("section"), F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b"))
+    return section_times(own.withColumnRenamed(names["e"], "e_lat"), rows, span, cold, keys, track, order[-1], bins)
+
+
 def gps_only_emulation(df: DataFrame, keys: Names, order: Names, t: str, gps_mph: str, dl: str, obd: Names) -> DataFrame:
     """A lap as it would be without the engine bus: its channels null, distance integrated from the GPS speed and scaled to the lap's own length."""
     length = df.groupBy(*keys).agg(F.max(dl).alias("__length"))

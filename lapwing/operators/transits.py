@@ -122,6 +122,16 @@ def spatial_reliability(df: DataFrame, keys: Names, disagreement: str, offset: s
     return robust.all_of(df, keys, F.col("transit_reliable"), "lap_reliable")
 
 
+def sigma_reliability(df: DataFrame, keys: Names, eligible: str = "rank_eligible") -> DataFrame:
+    """Adds transit_reliable_traj, the verdict on a passage's time, and lap_reliable_traj, all of a lap's verdicts that are known.
+
+    Passages without a verdict stay unknown (null), and so do laps without any; a table without the column knows none.
+    """
+    known = F.col(eligible).cast("boolean") if eligible in df.columns else F.lit(None).cast("boolean")
+    df = df.withColumn("transit_reliable_traj", known)
+    return df.withColumn("lap_reliable_traj", F.min("transit_reliable_traj").over(Window.partitionBy(*keys)))
+
+
 def peak_ends(df: DataFrame, keys: Names, order: Names, size: str, least: float = END_G) -> DataFrame:
     """Adds entry_row and exit_row: the nearest rows below ``least`` on both sides (column ``row`` numbers them), the lap's ends where there are none."""
     w = over(keys, order)

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lapwing.operators import gears, transits as tra
+from lapwing.plans import trajectory_queries
 from lapwing.plans.tables import DRIVE, drive, read
 
+SECTION_SQL = trajectory_queries.ORACLES["trajectory_sections"]
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 LAP, ORDER, TRACK = ["track", "k"], ["t", "i"], ["track"]
@@ -84,6 +87,39 @@ def corners_scored(spark, d):
     return tra.spatial_reliability(rows, LAP, "drift", "offset_max", "offset_max").select("k", "corner_id", "jumps", *r4("drift"), "transit_reliable", "lap_reliable")
 
 
+def sigma_tier(spark, d):
+    """Passages of laps with the verdict on the section of their corner, and the laps' roll-up; unknown where the corner has no section."""
+    from lapwing.plans.trajectory_queries import trajectory_sections
+
+    passages = tra.transits(channels(spark, d), corners(spark), LAP, TRACK, ORDER, "dl")
+    verdicts = trajectory_sections(spark, d).select(F.col("k").alias("__k"), F.col("section").alias("__c"), "status", "rank_eligible")
+    rows = passages.join(verdicts, (F.col("k") == F.col("__k")) & (F.col("corner_id") == F.col("__c")), "left")
+    return tra.sigma_reliability(rows, LAP).select("k", "corner_id", "status", "transit_reliable_traj", "lap_reliable_traj")
+
+
+QUERIES["sigma_tier"] = sigma_tier
+ORACLES["sigma_tier"] = ORACLES["corner_transits"].split(" SELECT k, corner_id, n, obd_present")[0] + f", sv AS ({SECTION_SQL}), sj AS (SELECT tt.k, tt.corner_id, sv.status, sv.rank_eligible AS r FROM tt LEFT JOIN sv ON sv.k = tt.k AND sv.section = tt.corner_id) SELECT k, corner_id, status, r AS transit_reliable_traj, CASE WHEN bool_or(NOT r) OVER (PARTITION BY k) THEN false WHEN bool_or(r) OVER (PARTITION BY k) THEN true END AS lap_reliable_traj FROM sj"
+
+
+LINE_SQL = ", ls AS (SELECT track, k, CAST(floor(n / 25) AS INTEGER) AS lap, 'C' || CAST((n // 10) % 7 AS VARCHAR) AS corner, k % 30 AS dis, e, x, CAST(n AS DOUBLE) AS n FROM d), lp AS (SELECT k, lap, corner, max(abs(e)) * 10 AS off FROM ls GROUP BY ALL), lk AS (SELECT ls.* FROM ls WHERE k % 17 <> 3 AND k % 13 <> 5 AND lap % 4 <> 0 AND dis <= 20 AND NOT EXISTS (SELECT 1 FROM lp WHERE lp.k = ls.k AND lp.lap = ls.lap AND lp.corner = ls.corner AND off > 40)) SELECT track, k, count(*) AS n, round(avg(45 + n * 1e-5::DOUBLE - (k % 5) / 111132.0::DOUBLE), 9) AS lat FROM lk GROUP BY ALL"
+
+
+def line_input(spark, d):
+    """Samples that a line may be made from: without excluded and unreliable sessions, unclean laps, drifting laps and glitched corners."""
+    from lapwing.operators import centerline as cl
+
+    e = drive(spark, d).withColumns({"session_id": F.col("k"), "lap": F.floor(F.col("n") / 25).cast("int"), "corner": F.concat(F.lit("C"), (F.floor(F.col("n") / 10) % 7).cast("string"))})
+    e = e.withColumns({"gps_drift_disagreement_m": (F.col("k") % 30).cast("double"), "lat": 45 + F.col("n") * 1e-5, "long": F.lit(-122.0), "gps_drift_lat_m": (F.col("k") % 5).cast("double"), "gps_drift_lon_m": F.lit(0.0)})
+    laps = e.select("session_id", "lap").distinct().withColumn("is_clean", F.col("lap") % 4 != 0)
+    passages = e.groupBy("session_id", "lap", F.col("corner").alias("corner_id")).agg((F.max(F.abs("e")) * 10).alias("offset_max"))
+    notes = e.select("session_id").distinct().select("session_id", (F.col("session_id") % 17 == 3).alias("exclude"), F.when(F.col("session_id") % 13 == 5, "gps_unreliable").alias("flag"))
+    return cl.line_samples(e, laps, passages, notes, F.lit(45.0)).groupBy("track", "k").agg(F.count("*").alias("n"), F.round(F.avg("lat"), 9).alias("lat"))
+
+
+QUERIES["line_input"] = line_input
+ORACLES["line_input"] = DRIVE + LINE_SQL
+
+
 CAND = """, r0 AS (SELECT *, CAST(row_number() OVER (PARTITION BY k ORDER BY t, i) AS DOUBLE) AS row, count(*) OVER (PARTITION BY k) AS cnt, 0.5 + 0.5 * sin(n / 4.0::DOUBLE) AS throttle FROM d),
 r1 AS (SELECT *, CASE WHEN bool_or(obd) OVER (PARTITION BY k) THEN v ELSE gps END AS sp, avg(lat_g) OVER (PARTITION BY k ORDER BY t, i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS smooth FROM r0 WHERE cnt >= 50),
 r2 AS (SELECT *, abs(smooth) AS size FROM r1),

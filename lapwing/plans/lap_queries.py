@@ -195,11 +195,11 @@ def acceptance_gates(spark, d):
 
 @query()
 def reference_fit(spark, d):
-    """Corners' references and drivers' calibrations, fitted on what the other leaves: the tests repeat the fit in plain numpy."""
+    """Corners' references and calibrations of groups of drivers, fitted on what the other leaves: the tests repeat the fit in plain numpy."""
     from lapwing.operators.fits import joint_references
 
-    rows = laps(spark, d).withColumns({"track": F.col("k") % 2, "y": F.col("x") / 1e5, "a": (F.col("lap") % 13 + 4).cast("double"), "b": (F.col("lap") % 12 - 6).cast("double")})
-    refs, fit, rounds = joint_references(rows, ["track"], ["k"], ["corner"], "y", "a", "b", F.col("status") != "P", F.col("status") == "F")
+    rows = laps(spark, d).withColumns({"track": F.col("k") % 2, "team": F.floor(F.col("k") / 8), "y": F.col("x") / 1e5, "a": (F.col("lap") % 13 + 4).cast("double"), "b": (F.col("lap") % 12 - 6).cast("double")})
+    refs, fit, rounds = joint_references(rows, ["track"], ["team"], ["corner"], "y", "a", "b", F.col("status") != "P", F.col("status") == "F")
     sessions = fit.groupBy("track").agg(F.count("*").alias("sessions"))
     return refs.join(sessions, "track").select("track", "corner", "offset", "tol", "n", "sessions", F.lit(rounds).alias("rounds"))
 

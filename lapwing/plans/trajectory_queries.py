@@ -180,6 +180,34 @@ def trajectory_sections(spark, d):
     return rows.select("k", "section", *six("seconds", "sigma_t"), "tier", "status", "rank_eligible")
 
 
+#: Corners of both tracks, and the window from the first to the second of each.
+RANGE = [(0, "T1", 100.0, 400.0), (0, "T2", 450.0, 900.0), (0, "T3", 1200.0, 1600.0), (1, "T1", 50.0, 300.0), (1, "T2", 320.0, 700.0)]
+RANGE_SQL = "zc AS (SELECT * FROM (VALUES " + ", ".join(f"({t}, '{c}', {a}::DOUBLE, {b}::DOUBLE)" for t, c, a, b in RANGE) + ") v(track, corner, s, e)), zn AS (SELECT *, coalesce(lead(s) OVER (PARTITION BY track ORDER BY s), 3900.0::DOUBLE) AS nx FROM zc), z AS (SELECT track, 'T1..T2' AS section, greatest(0, min(s) - 50) AS a, max(least(nx, e + 250)) FILTER (WHERE corner = 'T2') AS b FROM zn WHERE corner IN ('T1', 'T2') GROUP BY track)"
+VERDICT_COLUMNS = " SELECT k, section, round(seconds, 5) AS seconds, round(sigma_t, 5) AS sigma_t, tier, outcome AS status, tier = 'A' AND outcome = 'ok' AS rank_eligible FROM vf"
+
+
+@query(VERDICT.replace(SECTIONS_SQL, RANGE_SQL) + VERDICT_COLUMNS)
+def range_sections(spark, d):
+    """Times across two corners of every lap."""
+    s, k = estimated(spark, d)
+    corners = spark.createDataFrame(RANGE, "track int, corner_id string, start_m double, end_m double")
+    rows = cross.range_times(s.withColumnRenamed("e", "e_lat"), k, corners, F.lit(3900.0), corridor(spark), LAP, TRACK, "T1", "T2", "i", BINS)
+    return rows.select("k", "section", *six("seconds", "sigma_t"), "tier", "status", "rank_eligible")
+
+
+SPAN_SQL = "z AS (SELECT track, 'span' AS section, 200.0::DOUBLE AS a, 1200.0::DOUBLE AS b FROM (VALUES (0), (1)) v(track))"
+COLD_SQL = f"c AS (SELECT CAST(t.t AS INTEGER) AS track, CAST(b.b AS INTEGER) AS bin, -15.0::DOUBLE AS e_lo, 15.0::DOUBLE AS e_hi, 0.0::DOUBLE AS kappa FROM range(2) t(t), range({BINS}) b(b))"
+
+
+@query(VERDICT.replace(SECTIONS_SQL, SPAN_SQL).replace(CORRIDOR, COLD_SQL).replace("n % 31 = 4", "false") + VERDICT_COLUMNS)
+def span_sections(spark, d):
+    """Times between two places of every lap, on the plain band around one line."""
+    line = spark.range(BINS * 10).select(F.explode(F.array(F.lit(0), F.lit(1))).alias("track"), F.col("id").cast("int").alias("bin"), F.col("id").cast("double").alias("x"), F.lit(0.0).alias("y"))
+    names = {"dl": "dl", "td": "td", "v": "v", "lat_g": "lat_g", "e": "e"}
+    rows = cross.span_times(drive(spark, d), line, LAP, TRACK, ORDER, 200.0, 1200.0, names, F.col("obd"), BINS)
+    return rows.select("k", "section", *six("seconds", "sigma_t"), "tier", "status", "rank_eligible")
+
+
 @query(f", {SECTIONS_SQL}, l AS (SELECT track, k, min(dl) AS lo, max(dl) AS hi FROM d GROUP BY ALL), x AS (SELECT l.k, section, a, b FROM l JOIN z USING (track) WHERE a >= lo AND b <= hi), y AS (SELECT k, section, 'a' AS fin, a AS x FROM x UNION ALL SELECT k, section, 'b', b FROM x), o1 AS (SELECT y.*, o.dl AS ls, o.t AS lt FROM y ASOF JOIN d o ON o.k = y.k AND y.x >= o.dl), o2 AS (SELECT o1.*, o.dl AS rs, o.t AS rt FROM o1 ASOF LEFT JOIN d o ON o.k = o1.k AND o1.x < o.dl), q AS (SELECT k, section, fin, CASE WHEN rs IS NULL THEN lt ELSE lt + (rt - lt) * (x - ls) / (rs - ls) END AS t FROM o2) SELECT a.k, a.section, round(b.t - a.t, 5) AS seconds FROM q a JOIN q b ON a.k = b.k AND a.section = b.section AND a.fin = 'a' AND b.fin = 'b'")
 def odometer_sections(spark, d):
     return cross.odometer_time(drive(spark, d), section_table(spark), LAP, TRACK).select("k", "section", *six("seconds"))
