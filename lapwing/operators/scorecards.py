@@ -207,6 +207,35 @@ def explained(tier: Column, sigma: Column, failed: Column) -> Column:
     return F.concat(F.lit("tier "), tier, F.when(sigma.isNotNull(), F.format_string(", sigma %.2f s", sigma)).otherwise(F.lit("")), F.when(F.size(failed) > 0, F.concat(F.lit("; "), why)).otherwise(F.lit("")))
 
 
+#: Metres around a section's ends whose evidence tells the offset there.
+GATE_REACH = 10.0
+
+
+def gate_offsets(samples: DataFrame, sections: DataFrame, keys: Names, track: Names, td: str, delta: str, evidence: str, reach: float = GATE_REACH) -> DataFrame:
+    """(keys, section, delta_a, delta_b): the median offset of a lap's evidence nearer than ``reach`` to either end of a section, where both ends have some.
+
+    Ends are places of the ruler, samples meet them on cells.
+    """
+    ends = sections.select(*track, "section", F.explode(F.array(*[F.struct(F.lit(e).alias("end"), F.col(e).alias("__g")) for e in "ab"])).alias("x")).select(*track, "section", "x.*")
+    ends = ends.withColumns({"__lo": F.col("__g") - reach, "__hi": F.col("__g") + reach})
+    seen = samples.where(evidence).select(*dict.fromkeys([*track, *keys]), F.col(td).alias("__td"), F.col(delta).alias("__d"))
+    met = in_spans(seen, ends, track, "__td", "__lo", "__hi", MEET).where(F.abs(F.col("__td") - F.col("__g")) < reach)
+    side = lambda e: F.median(F.when(F.col("end") == e, F.col("__d"))).alias(f"delta_{e}")
+    return met.groupBy(*keys, "section").agg(side("a"), side("b")).where("delta_a is not null and delta_b is not null")
+
+
+def lap_pocket(corpus: DataFrame, lap: Names) -> DataFrame:
+    """(lap, pace_decile, lap_reliable, n_transits, n_reliable_transits, max_speed): a lap in one row; unknown flags count as false."""
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    return corpus.groupBy(*lap).agg(F.min("pace_decile").alias("pace_decile"), F.min(yes("lap_reliable")).alias("lap_reliable"), F.count("*").alias("n_transits"), F.count(F.when(yes("transit_reliable"), 1)).alias("n_reliable_transits"), F.max("max_speed").alias("max_speed"))
+
+
+def decile_traces(samples: DataFrame, laps: DataFrame, keys: Names, decile: str = "pace_decile") -> DataFrame:
+    """Samples, with their places on the ruler, of the laps in the top decile, under one ``lap_key``; laps without a decile are in none."""
+    top = laps.where(F.col(decile) == 0).select(*keys).distinct()
+    return samples.join(top, list(keys), "left_semi").withColumn("lap_key", F.concat_ws("-", *[F.col(k).cast("string") for k in keys]))
+
+
 def trust_constants(sections: DataFrame, knots: DataFrame, ends: float = 200.0) -> DataFrame:
     """One row of constants from clean sections (section, heading, dev, resid, delta_a, delta_b) and knots (knot, lo, hi, delta).
 

@@ -101,6 +101,20 @@ QUERIES["sigma_tier"] = sigma_tier
 ORACLES["sigma_tier"] = ORACLES["corner_transits"].split(" SELECT k, corner_id, n, obd_present")[0] + f", sv AS ({SECTION_SQL}), sj AS (SELECT tt.k, tt.corner_id, sv.status, sv.rank_eligible AS r FROM tt LEFT JOIN sv ON sv.k = tt.k AND sv.section = tt.corner_id) SELECT k, corner_id, status, r AS transit_reliable_traj, CASE WHEN bool_or(NOT r) OVER (PARTITION BY k) THEN false WHEN bool_or(r) OVER (PARTITION BY k) THEN true END AS lap_reliable_traj FROM sj"
 
 
+def lap_pockets(spark, d):
+    """Each lap in a row, from its scored passages."""
+    from lapwing.operators import scorecards as sc
+
+    e = channels(spark, d)
+    rows = tra.transits(e, corners(spark), LAP, TRACK, ORDER, "dl").withColumn("drift", F.col("k") % 25)
+    rows = tra.spatial_reliability(rows, LAP, "drift", "offset_max", "offset_max").withColumn("pace_decile", (F.col("k") % 10).cast("int"))
+    return sc.lap_pocket(rows, LAP).select("k", "pace_decile", "lap_reliable", "n_transits", "n_reliable_transits", *r4("max_speed"))
+
+
+QUERIES["lap_pockets"] = lap_pockets
+ORACLES["lap_pockets"] = ORACLES["corner_transits"].split(" SELECT k, corner_id, n, obd_present")[0] + ", pk AS (SELECT k, max_speed, k % 25 <= 20 AND coalesce(offset_max <= 40, false) AS ok FROM tt) SELECT k, CAST(k % 10 AS INTEGER) AS pace_decile, bool_and(ok) AS lap_reliable, count(*) AS n_transits, count(*) FILTER (WHERE ok) AS n_reliable_transits, round(max(max_speed), 4) AS max_speed FROM pk GROUP BY k"
+
+
 LINE_SQL = ", ls AS (SELECT track, k, CAST(floor(n / 25) AS INTEGER) AS lap, 'C' || CAST((n // 10) % 7 AS VARCHAR) AS corner, k % 30 AS dis, e, x, CAST(n AS DOUBLE) AS n FROM d), lp AS (SELECT k, lap, corner, max(abs(e)) * 10 AS off FROM ls GROUP BY ALL), lk AS (SELECT ls.* FROM ls WHERE k % 17 <> 3 AND k % 13 <> 5 AND lap % 4 <> 0 AND dis <= 20 AND NOT EXISTS (SELECT 1 FROM lp WHERE lp.k = ls.k AND lp.lap = ls.lap AND lp.corner = ls.corner AND off > 40)) SELECT track, k, count(*) AS n, round(avg(45 + n * 1e-5::DOUBLE - (k % 5) / 111132.0::DOUBLE), 9) AS lat FROM lk GROUP BY ALL"
 
 

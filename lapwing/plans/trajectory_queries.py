@@ -180,6 +180,46 @@ def trajectory_sections(spark, d):
     return rows.select("k", "section", *six("seconds", "sigma_t"), "tier", "status", "rank_eligible")
 
 
+_MIDDLE = "sum((b2 - a2) * (({c} + ({c}1 - {c}) * (a2 - t) / (t1 - t)) + ({c} + ({c}1 - {c}) * (b2 - t) / (t1 - t))) / 2)"
+ACCEL = CROSS + f""", ap AS (SELECT k, t, long_g AS g, lat_g AS s, lead(t) OVER w AS t1, lead(long_g) OVER w AS g1, lead(lat_g) OVER w AS s1 FROM sm WINDOW w AS (PARTITION BY k ORDER BY t, i)),
+aq AS (SELECT cr.k, cr.section, ap.*, greatest(ap.t, t_a) AS a2, least(t1, t_b) AS b2 FROM cr JOIN ap ON ap.k = cr.k WHERE covered AND t1 IS NOT NULL AND greatest(ap.t, t_a) < least(t1, t_b)),
+ai AS (SELECT k, section, {_MIDDLE.format(c="g")} AS il, {_MIDDLE.format(c="s")} AS ia FROM aq GROUP BY ALL), an AS (SELECT cr.k, cr.section, count(*) AS n FROM cr JOIN sm ON sm.k = cr.k AND sm.t >= t_a AND sm.t <= t_b WHERE covered GROUP BY ALL HAVING count(*) >= 2),
+af AS (SELECT cr.*, CASE WHEN an.n IS NOT NULL THEN v_b - v_a - 9.80665 * il END AS raw, CASE WHEN an.n IS NOT NULL THEN ia END AS ia FROM cr LEFT JOIN ai USING (k, section) LEFT JOIN an USING (k, section)),
+am AS (SELECT track, section, median(raw) AS m FROM af WHERE status = 'ok' AND raw IS NOT NULL GROUP BY ALL), ar AS (SELECT track, section, round(any_value(m), 2) AS off, ceil(quantile_cont(abs(raw - m), 0.99) * 10 - 1e-9) / 10 AS tol FROM af JOIN am USING (track, section) WHERE status = 'ok' AND raw IS NOT NULL GROUP BY ALL HAVING count(*) >= 3),
+ac AS (SELECT af.k, af.section, raw, off, tol, CASE WHEN af.k % 7 <> 6 THEN -9.80665 * ((af.k % 5 - 2) / 1000.0::DOUBLE * seconds + (af.k % 3 - 1) / 100.0::DOUBLE * ia) END AS corr FROM af LEFT JOIN ar USING (track, section))"""
+
+
+@query(ACCEL + " SELECT k, section, round(raw, 5) AS accel_raw, round(corr, 5) + 0.0 AS correction, round(raw - corr - off, 5) AS accel_value, tol AS accel_tol FROM ac")
+def accel_checks(spark, d):
+    """Sections of laps against their corner's reference, derived from laps with a good ruler, and their session's calibration, which some lack."""
+    from lapwing.operators import fits
+
+    s, k = estimated(spark, d)
+    rows = cross.accel_features(cross.crossings(s, k, section_table(spark), LAP, TRACK), s, LAP, "i")
+    refs = fits.residual_references(rows.where("lap_status = 'ok'"), ["track", "section"], "accel_raw", 3)
+    own = F.col("k")
+    sessions = s.select("k").distinct().where("k % 7 <> 6").select("k", ((own % 5 - 2) / 1000.0).alias("b_g"), ((own % 3 - 1) / 100.0).alias("psi"))
+    return cross.accel_check(rows, refs, sessions, ["k"], TRACK).select("k", "section", *six("accel_raw", "accel_value"), (F.round("correction", 5) + 0.0).alias("correction"), "accel_tol")
+
+
+@query(EVIDENCE + f", {SECTIONS_SQL}, ge AS (SELECT v.k, section, median(delta) FILTER (WHERE abs(td - a) < 60) AS da, median(delta) FILTER (WHERE abs(td - b) < 60) AS db FROM v JOIN z ON v.track = z.track WHERE ev0 AND (abs(td - a) < 60 OR abs(td - b) < 60) GROUP BY ALL) SELECT k, section, round(da, 5) AS delta_a, round(db, 5) AS delta_b FROM ge WHERE da IS NOT NULL AND db IS NOT NULL")
+def gate_offsets(spark, d):
+    from lapwing.operators import scorecards as sc
+
+    return sc.gate_offsets(marked(spark, d), section_table(spark), LAP, TRACK, "td", "delta", "evidence", 60.0).select("k", "section", *six("delta_a", "delta_b"))
+
+
+@query(SAMPLES + ", lt AS (SELECT k, max(t) - min(t) AS x FROM sm GROUP BY k), le AS (SELECT quantile_cont(x, 0.1) AS e FROM lt), lq AS (SELECT k FROM lt, le WHERE x <= e) SELECT CAST(track AS VARCHAR) || '-' || CAST(k AS VARCHAR) AS lap_key, i, round(s_hat, 5) AS s_hat FROM sm JOIN lq USING (k)")
+def decile_traces(spark, d):
+    """Samples of the fastest tenth of the laps, with their places on the ruler."""
+    from lapwing.operators import robust, scorecards as sc
+
+    s = estimated(spark, d)[0]
+    laps = s.groupBy(*LAP).agg((F.max("t") - F.min("t")).alias("x"))
+    laps = robust.quantile_bucket(laps, [], "x", 10, F.lit(True), "pace_decile")
+    return sc.decile_traces(s, laps, LAP).select("lap_key", "i", *six("s_hat"))
+
+
 #: Corners of both tracks, and the window from the first to the second of each.
 RANGE = [(0, "T1", 100.0, 400.0), (0, "T2", 450.0, 900.0), (0, "T3", 1200.0, 1600.0), (1, "T1", 50.0, 300.0), (1, "T2", 320.0, 700.0)]
 RANGE_SQL = "zc AS (SELECT * FROM (VALUES " + ", ".join(f"({t}, '{c}', {a}::DOUBLE, {b}::DOUBLE)" for t, c, a, b in RANGE) + ") v(track, corner, s, e)), zn AS (SELECT *, coalesce(lead(s) OVER (PARTITION BY track ORDER BY s), 3900.0::DOUBLE) AS nx FROM zc), z AS (SELECT track, 'T1..T2' AS section, greatest(0, min(s) - 50) AS a, max(least(nx, e + 250)) FILTER (WHERE corner = 'T2') AS b FROM zn WHERE corner IN ('T1', 'T2') GROUP BY track)"
