@@ -11,6 +11,7 @@ from lapwing.functions.expressions import G
 from lapwing.functions.lineage import cut
 from lapwing.operators.crossings import MEET
 from lapwing.operators.joins import in_spans
+from lapwing.operators.sections import failed_checks
 from lapwing.operators.robust import exact_quantiles, fisher_mean, robust_spread, with_group
 
 Names = Sequence[str]
@@ -207,6 +208,36 @@ def explained(tier: Column, sigma: Column, failed: Column) -> Column:
     return F.concat(F.lit("tier "), tier, F.when(sigma.isNotNull(), F.format_string(", sigma %.2f s", sigma)).otherwise(F.lit("")), F.when(F.size(failed) > 0, F.concat(F.lit("; "), why)).otherwise(F.lit("")))
 
 
+def lap_audits(rows: DataFrame, keys: Names) -> DataFrame:
+    """(keys, sections, ranked, audit): of each lap, how many sections it has and may rank, and a line on each that it may not, in the order of the ruler.
+
+    ``rows`` are of ``crossings.section_times``. A lap's sections, some dozens, become one text; a lap that may rank everywhere has an empty one.
+    """
+    failed = failed_checks(F.col("gps_only"), F.col("checks"))
+    why = F.concat(F.col("section"), F.lit(": "), explained(F.col("tier"), F.col("sigma_t"), failed), F.when(F.col("status") == "ok", "").otherwise(F.concat(F.lit("; "), F.col("status"))))
+    lines = F.array_sort(F.collect_list(F.when(~F.col("rank_eligible"), F.struct("a", "section", why.alias("why")))))
+    return rows.groupBy(*keys).agg(F.count("*").alias("sections"), F.count(F.when(F.col("rank_eligible"), 1)).alias("ranked"), F.array_join(F.transform(lines, lambda x: x["why"]), "\n").alias("audit"))
+
+
+#: Seconds of sigma from which a tier C is wide.
+WIDE = 0.25
+
+
+def canonical_cases(times: DataFrame, cases: DataFrame, keys: Names) -> DataFrame:
+    """(case, seconds, tier, outcome): expected cases (case, keys, section, lo, hi, want) against section times.
+
+    ``want`` is "A", "not_A" (neither tier A nor ranked), "C_wide" or "any". The outcome is "ok", "value", "tier", "value, tier", or "missing" where the
+    lap has no such section; a section that is not covered misses its value.
+    """
+    t = times.select(*keys, "section", "seconds", F.col("sigma_t").alias("__s"), "tier", "rank_eligible", F.lit(True).alias("__met"))
+    met = cases.join(t, [*keys, "section"], "left")
+    value = F.coalesce(F.col("seconds").between(F.col("lo"), F.col("hi")), F.lit(False))
+    want, tier = F.col("want"), F.col("tier")
+    fits = F.when(want == "any", True).when(want == "A", tier == "A").when(want == "not_A", (tier != "A") & ~F.col("rank_eligible")).when(want == "C_wide", (tier == "C") & F.coalesce(F.col("__s") >= WIDE, F.lit(False))).otherwise(False)
+    wrong = F.array_join(F.array_compact(F.array(F.when(~value, "value"), F.when(~fits, "tier"))), ", ")
+    return met.select("case", "seconds", "tier", F.when(F.col("__met").isNull(), "missing").when(wrong == "", "ok").otherwise(wrong).alias("outcome"))
+
+
 #: Metres around a section's ends whose evidence tells the offset there.
 GATE_REACH = 10.0
 

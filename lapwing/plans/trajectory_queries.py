@@ -220,6 +220,34 @@ def decile_traces(spark, d):
     return sc.decile_traces(s, laps, LAP).select("lap_key", "i", *six("s_hat"))
 
 
+def timed(spark, d):
+    s, k = estimated(spark, d)
+    return cross.section_times(s.withColumnRenamed("e", "e_lat"), k, section_table(spark), corridor(spark), LAP, TRACK, "i", BINS)
+
+
+@query(VERDICT + """, au AS (SELECT k, section, a, tier = 'A' AND outcome = 'ok' AS r, section || ': tier ' || tier || CASE WHEN sigma_t IS NOT NULL THEN printf(', sigma %.2f s', sigma_t) ELSE '' END || coalesce('; ' || nullif(array_to_string(list_filter([CASE WHEN covered AND gps THEN 'accelerometer and speed disagree' END, CASE WHEN covered AND abs(off) > band THEN 'driven distance out of band' END, CASE WHEN covered AND coalesce(abs(resid) > 10.2, false) THEN 'line does not explain the distance' END, CASE WHEN NOT covered THEN 'not covered' END], lambda x: x IS NOT NULL), ', '), ''), '') || CASE WHEN outcome = 'ok' THEN '' ELSE '; ' || outcome END AS why FROM vf)
+SELECT k, count(*) AS sections, count(*) FILTER (WHERE r) AS ranked, coalesce(string_agg(why, chr(10) ORDER BY a, section) FILTER (WHERE NOT r), '') AS audit FROM au GROUP BY k""")
+def lap_audits(spark, d):
+    """Each lap with a line on every section that it may not rank in."""
+    from lapwing.operators import scorecards as sc
+
+    return sc.lap_audits(timed(spark, d), LAP).select("k", "sections", "ranked", "audit")
+
+
+@query(VERDICT + ", ca AS (SELECT k % 2 AS track, k, CAST(k AS VARCHAR) AS name, 'T1' AS section, 5.0 + k % 10 AS lo, 15.0 + k % 10 AS hi, ['A', 'not_A', 'C_wide', 'any'][1 + k % 4] AS want FROM (SELECT DISTINCT k FROM vf) UNION ALL SELECT k % 2, k, k || ' lost', 'T8', 0.0, 1.0, 'any' FROM (SELECT DISTINCT k FROM vf) WHERE k % 5 = 0), cb AS (SELECT ca.name, vf.seconds, vf.tier, vf.k IS NULL AS lost, coalesce(vf.seconds BETWEEN lo AND hi, false) AS v, CASE want WHEN 'any' THEN true WHEN 'A' THEN tier = 'A' WHEN 'not_A' THEN tier <> 'A' ELSE tier = 'C' AND coalesce(sigma_t >= 0.25, false) END AS w FROM ca LEFT JOIN vf ON vf.k = ca.k AND vf.section = ca.section) SELECT name AS \"case\", round(seconds, 5) AS seconds, tier, CASE WHEN lost THEN 'missing' WHEN v AND w THEN 'ok' WHEN v THEN 'tier' WHEN w THEN 'value' ELSE 'value, tier' END AS outcome FROM cb")
+def canonical_cases(spark, d):
+    """Expected values and tiers of each lap's first section, told by a rule on its number, against what came out."""
+    from lapwing.operators import scorecards as sc
+
+    times = timed(spark, d)
+    k = F.col("k")
+    want = F.element_at(F.array(*[F.lit(x) for x in ("A", "not_A", "C_wide", "any")]), (k % 4 + 1).cast("int"))
+    laps = times.select(*LAP).distinct()
+    cases = laps.select("track", "k", k.cast("string").alias("case"), F.lit("T1").alias("section"), (5.0 + k % 10).alias("lo"), (15.0 + k % 10).alias("hi"), want.alias("want"))
+    lost = laps.where("k % 5 = 0").select("track", "k", F.concat(k.cast("string"), F.lit(" lost")).alias("case"), F.lit("T8").alias("section"), F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"), F.lit("any").alias("want"))
+    return sc.canonical_cases(times, cases.unionByName(lost), LAP).select("case", *six("seconds"), "tier", "outcome")
+
+
 #: Corners of both tracks, and the window from the first to the second of each.
 RANGE = [(0, "T1", 100.0, 400.0), (0, "T2", 450.0, 900.0), (0, "T3", 1200.0, 1600.0), (1, "T1", 50.0, 300.0), (1, "T2", 320.0, 700.0)]
 RANGE_SQL = "zc AS (SELECT * FROM (VALUES " + ", ".join(f"({t}, '{c}', {a}::DOUBLE, {b}::DOUBLE)" for t, c, a, b in RANGE) + ") v(track, corner, s, e)), zn AS (SELECT *, coalesce(lead(s) OVER (PARTITION BY track ORDER BY s), 3900.0::DOUBLE) AS nx FROM zc), z AS (SELECT track, 'T1..T2' AS section, greatest(0, min(s) - 50) AS a, max(least(nx, e + 250)) FILTER (WHERE corner = 'T2') AS b FROM zn WHERE corner IN ('T1', 'T2') GROUP BY track)"
