@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lapwing.functions.expressions import G
+from lapwing.functions.expressions import BAND_BASE, BAND_PER_RAD, G
 from lapwing.functions.lineage import cut
 from lapwing.operators.crossings import MEET
 from lapwing.operators.joins import in_spans
@@ -178,6 +178,12 @@ def section_speeds(samples: DataFrame, times: DataFrame, keys: Names, at: str, v
     return times.join(met.groupBy(*keys, "section").agg(F.avg("__v").alias("mean_speed")), [*keys, "section"], "left")
 
 
+def battery(samples: DataFrame, times: DataFrame, keys: Names, at: str, v: str, gps: str) -> DataFrame:
+    """Rows of ``crossings.section_times`` with mean_speed, dev (driven distance less the section's length) and the band that it is held to; sigma_t and tier stay."""
+    dev = F.col("driven") - (F.col("b") - F.col("a"))
+    return section_speeds(samples, times, keys, at, v, gps).withColumns({"dev": dev, "band": F.col("heading") * BAND_PER_RAD + BAND_BASE})
+
+
 def lag_blocks(laps: DataFrame, session: Names) -> DataFrame:
     """(session, lags): one struct of counts by source and the median lag of laps (lag, origin)."""
     sources = ("lap", "session", "accel", "default", "disabled")

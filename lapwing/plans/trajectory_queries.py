@@ -248,6 +248,16 @@ def canonical_cases(spark, d):
     return sc.canonical_cases(times, cases.unionByName(lost), LAP).select("case", *six("seconds"), "tier", "outcome")
 
 
+@query(VERDICT + ", ms AS (SELECT vf.k, vf.section, avg(sm.v) AS m FROM vf JOIN sm ON sm.k = vf.k AND s_hat >= vf.a AND s_hat <= vf.b GROUP BY ALL) SELECT vf.k, vf.section, round(m, 5) AS mean_speed, round(off, 5) AS dev, round(band, 5) AS band, round(sigma_t, 5) AS sigma_t, tier FROM vf LEFT JOIN ms USING (k, section)")
+def battery_table(spark, d):
+    """Sections of laps with their mean speed, deviation, band and sigma."""
+    from lapwing.operators import scorecards as sc
+
+    s, k = estimated(spark, d)
+    times = cross.section_times(s.withColumnRenamed("e", "e_lat"), k, section_table(spark), corridor(spark), LAP, TRACK, "i", BINS)
+    return sc.battery(s, times, LAP, "s_hat", "v", "gps").select("k", "section", *six("mean_speed", "dev", "band", "sigma_t"), "tier")
+
+
 #: Corners of both tracks, and the window from the first to the second of each.
 RANGE = [(0, "T1", 100.0, 400.0), (0, "T2", 450.0, 900.0), (0, "T3", 1200.0, 1600.0), (1, "T1", 50.0, 300.0), (1, "T2", 320.0, 700.0)]
 RANGE_SQL = "zc AS (SELECT * FROM (VALUES " + ", ".join(f"({t}, '{c}', {a}::DOUBLE, {b}::DOUBLE)" for t, c, a, b in RANGE) + ") v(track, corner, s, e)), zn AS (SELECT *, coalesce(lead(s) OVER (PARTITION BY track ORDER BY s), 3900.0::DOUBLE) AS nx FROM zc), z AS (SELECT track, 'T1..T2' AS section, greatest(0, min(s) - 50) AS a, max(least(nx, e + 250)) FILTER (WHERE corner = 'T2') AS b FROM zn WHERE corner IN ('T1', 'T2') GROUP BY track)"
