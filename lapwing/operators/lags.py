@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lapwing.functions.expressions import G, MPH, correlation, to_xy
 from lapwing.functions.lineage import cut
 from lapwing.operators import joins, sequence as seq
+from lapwing.operators.crossings import at_places
 from lapwing.operators.sequence import over
 
 Names = Sequence[str]
@@ -25,13 +26,11 @@ STEP, LEAST, MOST, TRIM, SMOOTHED, JUMP, ROWS, LAPS, SLOW = 0.01, -30, 150, 50,
 
 
 def gridded(df: DataFrame, keys: Names, t: str, columns: Names, step: float) -> DataFrame:
-    """(keys, g, columns): channels at each ``step`` seconds from a lap's first row on, linear between its rows. Rows of one time are averaged."""
+    """(keys, g, columns): channels, without nulls, at each ``step`` seconds from a lap's first row on, linear between its rows. Rows of one time are averaged."""
     rows = df.where(F.col(t).isNotNull()).groupBy(*keys, F.col(t).cast("double").alias("__t")).agg(*[F.avg(c).alias(c) for c in columns])
     ends = rows.groupBy(*keys).agg(F.min("__t").alias("lo"), F.max("__t").alias("hi"))
     grid = ends.select(*keys, "lo", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil((F.col("hi") - F.col("lo")) / step - 1e-9).cast("int") - 1, F.lit(0)))).alias("g")).select(*keys, "g", (F.col("lo") + F.col("g") * step).alias("__t"))
-    for c in columns:
-        grid = joins.interpolate(grid, rows, keys, "__t", c, c, clamp=True)
-    return grid.select(*keys, "g", *columns)
+    return at_places(grid, rows.withColumnRenamed("__t", "__u"), keys, "__t", "__u", "__u", {c: c for c in columns}).select(*keys, "g", *columns)
 
 
 def correlation_lags(df: DataFrame, keys: Names, t: str, ref: str, sig: str, mask: str) -> DataFrame:
