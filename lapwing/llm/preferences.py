@@ -74,18 +74,24 @@ def mismatched(conversations: DataFrame) -> DataFrame:
 
     Different answers are ranked by the least conversation that ends in them, and each is replaced by the next
     one, the last by the first: a counterpart never has the answer itself. Where all answers are one, or a
-    conversation has no assistant turn, there is no counterpart.
+    conversation has no assistant turn, there is no counterpart. ``conv_id`` is an integer; null ones are left out.
+
+    Answers are told apart and ranked by their digests. A text is fetched once, from the conversation that stands for it.
     """
-    turns = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    last = turns.where((F.col("role") == SPEAKER) & F.col("conv_id").isNotNull()).groupBy("conv_id").agg(F.max("turn").alias("last"), F.max_by("text", F.struct("turn", "text")).alias("answer"))
-    answers = cut(last.groupBy("answer").agg(F.min("conv_id").alias("least")))
+    turns = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).where(F.col("conv_id").isNotNull())
+    spoken = turns.where(F.col("role") == SPEAKER)
+    last = cut(spoken.select("conv_id", "turn", F.sha2("text", 256).alias("digest"), F.col("text").alias("__text")).groupBy("conv_id").agg(F.max("turn").alias("last"), F.max_by("digest", F.struct("turn", "__text")).alias("digest")))
+    answers = cut(last.groupBy("digest").agg(F.min("conv_id").alias("least")))
     steps, n = answers.agg(F.percentile_approx("least", [i / RANKED_IN for i in range(1, RANKED_IN)]), F.count("*")).first()
     part = F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in sorted(set(steps or []))]), lambda x: x < F.col("least")))
     ranked = cut(running(answers, [], part, ["least"], {"rank": "1"}))
-    other = ranked.select(F.pmod(F.col("rank") - 1, F.lit(max(n, 1))).alias("before"), F.col("answer").alias("other"))
-    swaps = ranked.join(other, ranked["rank"] == other["before"]).select("answer", "other").where("answer <> other")
-    swapped = last.join(swaps, "answer").select("conv_id", "last", "other")
-    return turns.join(swapped, "conv_id").select("conv_id", "turn", "role", F.when((F.col("turn") == F.col("last")) & (F.col("role") == SPEAKER), F.col("other")).otherwise(F.col("text")).alias("text"))
+    other = ranked.select(F.pmod(F.col("rank") - 1, F.lit(max(n, 1))).alias("before"), F.col("digest").alias("other"), F.col("least").alias("source"))
+    swaps = ranked.join(other, ranked["rank"] == other["before"]).select("digest", "other", "source").where("digest <> other")
+    swapped = last.join(swaps, "digest").select("conv_id", "last", "source")
+    said = last.join(answers, (last["conv_id"] == answers["least"]) & (last["digest"] == answers["digest"]), "left_semi").select(F.col("conv_id").alias("source"), F.col("last").alias("turn"))
+    texts = spoken.withColumnRenamed("conv_id", "source").join(said, ["source", "turn"]).groupBy("source").agg(F.max("text").alias("other"))
+    answered = swapped.join(texts, "source").select("conv_id", "last", "other")
+    return turns.join(answered, "conv_id").select("conv_id", "turn", "role", F.when((F.col("turn") == F.col("last")) & (F.col("role") == SPEAKER), F.col("other")).otherwise(F.col("text")).alias("text"))
 
 
 def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
