@@ -24,6 +24,14 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def grown(df: DataFrame) -> DataFrame:
+    """The side of a join that grows with the other one: they are sorted and merged, whatever its size.
+
+    A side of some 10 MB as shuffled is several hundred as a hash table, which the driver would have to hold and send.
+    """
+    return df.hint("merge")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows from a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapwing.functions.expressions import G, MPH, SPEED_SLACK
-from lapwing.functions.lineage import cut
+from lapwing.functions.lineage import cut, grown
 from lapwing.operators import alignment, centerline as cl, sections as sec, sequence as seq, trajectory as tr
 from lapwing.operators.joins import in_spans
 from lapwing.operators.sequence import FIRST, HERE, over, turned_round
@@ -59,7 +59,7 @@ def crossings(samples: DataFrame, knots: DataFrame, sections: DataFrame, keys: N
     names = ("t", "v", "dl", "sig", "delta", "odo")
     both = ends.groupBy(*keys, "section").agg(*[F.max(F.when(F.col("end") == e, F.col(c))).alias(f"{c}_{e}") for c in names for e in "ab"])
     status = samples.groupBy(*keys).agg(F.first("status").alias("lap_status"))
-    out = rows.join(both, [*keys, "section"], "left").join(status, list(keys))
+    out = rows.join(grown(both), [*keys, "section"], "left").join(grown(status), list(keys))
     return out.withColumns({"seconds": F.col("t_b") - F.col("t_a"), "driven": F.col("dl_b") - F.col("dl_a"), "odometer_s": F.col("odo_b") - F.col("odo_a")}).drop("odo_a", "odo_b")
 
 
@@ -69,14 +69,14 @@ def line_residual(rows: DataFrame, samples: DataFrame, corridor: DataFrame, keys
     Samples meet the sections that hold them; offsets become a median per bin, bins without one are filled from their neighbours.
     """
     offsets = samples.where(F.col("e_lat").isNotNull()).select(*keys, F.col("s_hat").alias("__s"), "e_lat")
-    inside = in_spans(offsets, rows.where("covered").select(*keys, "section", "a", "b"), keys, "__s", "a", "b", MEET)
+    inside = in_spans(offsets, grown(rows.where("covered").select(*keys, "section", "a", "b")), keys, "__s", "a", "b", MEET)
     own = inside.groupBy(*keys, "section", bin_index(F.col("__s"), bins).alias("bin")).agg(F.median("e_lat").alias("e"), F.count("*").alias("n"))
     enough = own.groupBy(*keys, "section").agg(F.sum("n").alias("n")).where("n >= 5").drop("n")
-    spine = rows.join(enough, [*keys, "section"], "left_semi").select(*keys, "section", F.explode(F.sequence(F.floor(F.col("a") / BIN).cast("int"), F.floor(F.col("b") / BIN).cast("int"))).alias("bin"))
-    filled = linear_fill(spine.join(own.drop("n"), [*keys, "section", "bin"], "left"), [*keys, "section"], "bin", "e", "e")
+    spine = rows.join(grown(enough), [*keys, "section"], "left_semi").select(*keys, "section", F.explode(F.sequence(F.floor(F.col("a") / BIN).cast("int"), F.floor(F.col("b") / BIN).cast("int"))).alias("bin"))
+    filled = linear_fill(spine.join(grown(own.drop("n")), [*keys, "section", "bin"], "left"), [*keys, "section"], "bin", "e", "e")
     met = filled.withColumn("bin", F.greatest(F.least("bin", F.lit(bins - 1)), F.lit(0))).join(corridor.select(*track, "bin", "kappa"), [*track, "bin"], "left")
     swept = met.groupBy(*keys, "section").agg((F.coalesce(F.sum(F.col("kappa") * F.col("e")), F.lit(0.0)) * BIN).alias("__swept"))
-    return rows.join(swept, [*keys, "section"], "left").withColumn("resid", F.col("driven") - (F.col("b") - F.col("a") + F.col("__swept"))).drop("__swept")
+    return rows.join(grown(swept), [*keys, "section"], "left").withColumn("resid", F.col("driven") - (F.col("b") - F.col("a") + F.col("__swept"))).drop("__swept")
 
 
 def tripwire(rows: DataFrame) -> DataFrame:
@@ -91,7 +91,7 @@ def accel_features(rows: DataFrame, samples: DataFrame, keys: Names, tie: str) -
     spans = rows.where("covered").select(*keys, "section", F.col("t_a").alias("lo"), F.col("t_b").alias("hi"))
     long = alignment.span_integrals(samples, spans, keys, "t", tie, "long_g").select(*keys, "section", F.col("integral").alias("__long"))
     lat = alignment.span_integrals(samples, spans, keys, "t", tie, "lat_g").select(*keys, "section", F.col("integral").alias("lat_integral"))
-    met = rows.join(long, [*keys, "section"], "left").join(lat, [*keys, "section"], "left")
+    met = rows.join(grown(long), [*keys, "section"], "left").join(grown(lat), [*keys, "section"], "left")
     return met.withColumn("accel_raw", F.col("v_b") - F.col("v_a") - G * F.col("__long")).drop("__long")
 
 
@@ -104,7 +104,7 @@ def accel_check(rows: DataFrame, refs: DataFrame, calibration: DataFrame | None,
     if calibration is None:
         met = met.withColumns({"__b": F.lit(None).cast("double"), "__psi": F.lit(None).cast("double")})
     else:
-        met = met.join(calibration.select(*session, F.col("b_g").alias("__b"), F.col("psi").alias("__psi")), list(session), "left")
+        met = met.join(grown(calibration.select(*session, F.col("b_g").alias("__b"), F.col("psi").alias("__psi"))), list(session), "left")
     correction = -G * (F.col("__b") * F.col("seconds") + F.col("__psi") * F.col("lat_integral"))
     return met.withColumns({"correction": correction, "accel_value": F.col("accel_raw") - correction - F.col("__offset"), "accel_tol": F.col("__tol")}).drop("__b", "__psi", "__offset", "__tol")
 
@@ -148,7 +148,7 @@ def gps_only_emulation(df: DataFrame, keys: Names, order: Names, t: str, gps_mph
     """A lap as it would be without the engine bus: its channels null, distance integrated from the GPS speed and scaled to the lap's own length."""
     length = df.groupBy(*keys).agg(F.max(dl).alias("__length"))
     bare = df.drop(dl).withColumns({c: F.lit(None).cast(df.schema[c].dataType) for c in obd})
-    bare = seq.trapezoid(bare, keys, order, t, F.col(gps_mph) * MPH, "__d").join(length, list(keys))
+    bare = seq.trapezoid(bare, keys, order, t, F.col(gps_mph) * MPH, "__d").join(grown(length), list(keys))
     most = F.max("__d").over(Window.partitionBy(*keys))
     return bare.withColumn(dl, F.when(most > 0, F.col("__d") * F.col("__length") / most).otherwise(F.col("__d"))).drop("__d", "__length").select(*df.columns)
 
@@ -157,7 +157,7 @@ def paired(a: DataFrame, b: DataFrame, keys: Names) -> DataFrame:
     """(keys, section, seconds_a, seconds_b, diff, sigma_b, tier_b): sections that two estimates of the same laps both cover."""
     x = a.where(F.col("seconds").isNotNull()).select(*keys, "section", F.col("seconds").alias("seconds_a"))
     y = b.where(F.col("seconds").isNotNull()).select(*keys, "section", F.col("seconds").alias("seconds_b"), F.col("sigma_t").alias("sigma_b"), F.col("tier").alias("tier_b"))
-    return x.join(y, [*keys, "section"]).withColumn("diff", F.col("seconds_b") - F.col("seconds_a"))
+    return x.join(grown(y), [*keys, "section"]).withColumn("diff", F.col("seconds_b") - F.col("seconds_a"))
 
 
 def odometer_time(samples: DataFrame, sections: DataFrame, keys: Names, track: Names) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapwing.functions.expressions import BAND_BASE, BAND_PER_RAD, G
-from lapwing.functions.lineage import cut
+from lapwing.functions.lineage import cut, grown
 from lapwing.operators.crossings import MEET
 from lapwing.operators.joins import in_spans
 from lapwing.operators.sections import failed_checks
@@ -174,8 +174,8 @@ def tails(df: DataFrame, corner: str, method: str, value: str) -> DataFrame:
 
 def section_speeds(samples: DataFrame, times: DataFrame, keys: Names, at: str, v: str, gps: str) -> DataFrame:
     """Section times (keys, section, a, b, ...) with the mean speed in the section, the GPS speed where there is no other."""
-    met = in_spans(samples.select(*keys, F.col(at).alias("__at"), F.coalesce(v, gps).alias("__v")), times.select(*keys, "section", "a", "b"), keys, "__at", "a", "b", MEET)
-    return times.join(met.groupBy(*keys, "section").agg(F.avg("__v").alias("mean_speed")), [*keys, "section"], "left")
+    met = in_spans(samples.select(*keys, F.col(at).alias("__at"), F.coalesce(v, gps).alias("__v")), grown(times.select(*keys, "section", "a", "b")), keys, "__at", "a", "b", MEET)
+    return times.join(grown(met.groupBy(*keys, "section").agg(F.avg("__v").alias("mean_speed"))), [*keys, "section"], "left")
 
 
 def battery(samples: DataFrame, times: DataFrame, keys: Names, at: str, v: str, gps: str) -> DataFrame:
@@ -236,7 +236,7 @@ def canonical_cases(times: DataFrame, cases: DataFrame, keys: Names) -> DataFram
     lap has no such section; a section that is not covered misses its value.
     """
     t = times.select(*keys, "section", "seconds", F.col("sigma_t").alias("__s"), "tier", "rank_eligible", F.lit(True).alias("__met"))
-    met = cases.join(t, [*keys, "section"], "left")
+    met = cases.join(grown(t), [*keys, "section"], "left")
     value = F.coalesce(F.col("seconds").between(F.col("lo"), F.col("hi")), F.lit(False))
     want, tier = F.col("want"), F.col("tier")
     fits = F.when(want == "any", True).when(want == "A", tier == "A").when(want == "not_A", (tier != "A") & ~F.col("rank_eligible")).when(want == "C_wide", (tier == "C") & F.coalesce(F.col("__s") >= WIDE, F.lit(False))).otherwise(False)
@@ -270,7 +270,7 @@ def lap_pocket(corpus: DataFrame, lap: Names) -> DataFrame:
 def decile_traces(samples: DataFrame, laps: DataFrame, keys: Names, decile: str = "pace_decile") -> DataFrame:
     """Samples, with their places on the ruler, of the laps in the top decile, under one ``lap_key``; laps without a decile are in none."""
     top = laps.where(F.col(decile) == 0).select(*keys).distinct()
-    return samples.join(top, list(keys), "left_semi").withColumn("lap_key", F.concat_ws("-", *[F.col(k).cast("string") for k in keys]))
+    return samples.join(grown(top), list(keys), "left_semi").withColumn("lap_key", F.concat_ws("-", *[F.col(k).cast("string") for k in keys]))
 
 
 def trust_constants(sections: DataFrame, knots: DataFrame, ends: float = 200.0) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapwing.functions.expressions import MAD_SCALE, huber, tricube
-from lapwing.functions.lineage import cut
+from lapwing.functions.lineage import cut, grown
 from lapwing.operators import sequence as seq
 from lapwing.operators.sequence import FIRST, HERE, over, turned_round
 
@@ -112,11 +112,12 @@ def knot_spine(df: DataFrame, keys: Names, dl: str) -> DataFrame:
 
 
 def to_knots(df: DataFrame, spine: DataFrame, keys: Names, dl: str, reach: float) -> DataFrame:
-    """Rows of ``df`` with each knot (j, knot) less than ``reach`` away: exploded to the few knots around, then met by equality."""
-    first = spine.where("j = 0").select(*keys, F.col("knot").alias("__lo"))
+    """Rows of ``df`` with each knot (j, knot) less than ``reach`` away: exploded to the few knots around, which follow from the spine's ends."""
+    ends = spine.groupBy(*keys).agg(F.min("knot").alias("__lo"), F.max("j").alias("__last"))
     off = F.col(dl) - F.col("__lo")
-    around = F.sequence(F.ceil((off - reach) / SPACING).cast("int"), F.floor((off + reach) / SPACING).cast("int"))
-    return df.join(first, list(keys)).withColumn("j", F.explode(around)).join(spine, [*keys, "j"]).where(F.abs(F.col(dl) - F.col("knot")) < reach).drop("__lo")
+    first, last = F.greatest(F.ceil((off - reach) / SPACING).cast("int"), F.lit(0)), F.least(F.floor((off + reach) / SPACING).cast("int"), F.col("__last"))
+    around = df.join(grown(ends), list(keys)).withColumn("j", F.explode(F.when(first <= last, F.sequence(first, last))))
+    return around.withColumn("knot", F.col("__lo") + SPACING * F.col("j")).where(F.abs(F.col(dl) - F.col("knot")) < reach).drop("__lo", "__last")
 
 
 def knot_fit(points: DataFrame, spine: DataFrame, keys: Names, d: str, z: str, w: str) -> DataFrame:
@@ -144,7 +145,7 @@ def slope_bound(df: DataFrame, spine: DataFrame, keys: Names, dl: str, v: str, l
     """(keys, j, bound): how much the offset may change for each metre, by the median curvature around a knot."""
     bend = F.abs(lat_g) * SLOPE_G / F.pow(F.greatest(F.coalesce(F.col(v), F.lit(SLOWEST)), F.lit(SLOWEST)), 2)
     kappa = to_knots(df, spine, keys, dl, SLOPE_REACH).groupBy(*keys, "j").agg(F.median(bend).alias("kappa"))
-    return spine.select(*keys, "j").join(kappa, [*keys, "j"], "left").select(*keys, "j", F.least(F.coalesce("kappa", F.lit(0.0)) * SLOPE_FACTOR + SLOPE_FLOOR, F.lit(SLOPE_CAP)).alias("bound"))
+    return spine.select(*keys, "j").join(grown(kappa), [*keys, "j"], "left").select(*keys, "j", F.least(F.coalesce("kappa", F.lit(0.0)) * SLOPE_FACTOR + SLOPE_FLOOR, F.lit(SLOPE_CAP)).alias("bound"))
 
 
 def linear_fill(df: DataFrame, keys: Names, x: str, y: str, out: str) -> DataFrame:
@@ -182,17 +183,17 @@ def knots(df: DataFrame, keys: Names, dl: str, v: str, lat_g: str, w: str, prior
     seen = df.where("evidence")
     fit = knot_fit(seen, spine, keys, dl, "delta", w)
     lap = Window.partitionBy(*keys)
-    rows = gap_to(spine, seen, keys, dl).join(fit.select(*keys, "j", "fit", "se"), [*keys, "j"], "left").join(slope_bound(df, spine, keys, dl, v, lat_g), [*keys, "j"])
+    rows = gap_to(spine, seen, keys, dl).join(grown(fit.select(*keys, "j", "fit", "se")), [*keys, "j"], "left").join(grown(slope_bound(df, spine, keys, dl, v, lat_g)), [*keys, "j"])
     rows = linear_fill(rows.withColumn("__n", F.count("fit").over(lap)), keys, "knot", "fit", "__fit")
     rows = rows.withColumn("__fit", F.when(F.col("__n") >= 2, F.col("__fit")).otherwise(0.0))
     limited = seq.fold_limited(rows, keys, "j", "__fit", F.col("bound") * SPACING, "__delta").drop("__fit").withColumn("j", F.col("j").cast("int"))
-    rows = rows.join(limited, [*keys, "j"])
+    rows = rows.join(grown(limited), [*keys, "j"])
     clip = F.col("__delta_moved")
     own = F.sqrt(F.pow(F.least(F.coalesce("se", F.lit(FIT_CAP)), F.lit(FIT_CAP)), 2) + F.pow(F.col("bound") * F.col("gap"), 2) + F.pow(clip, 2))
     rows = rows.withColumns({"__own": own, "__prior": prior_sigma(F.col("knot"), F.min("knot").over(lap), F.max("knot").over(lap)), "__size": F.count("*").over(lap)})
     e, p = 1 / F.pow(F.greatest("__own", F.lit(0.5)), 2), 1 / F.pow("__prior", 2)
     bare = df.groupBy(*keys).agg((F.max(F.col(prior_only).cast("int")) + F.when(F.max(F.col("evidence").cast("int")) == 1, 0).otherwise(1) > 0).alias("__bare"))
-    rows = rows.join(bare, list(keys)).withColumn("__bare", F.col("__bare") | (F.col("__size") < 2))
+    rows = rows.join(grown(bare), list(keys)).withColumn("__bare", F.col("__bare") | (F.col("__size") < 2))
     delta = F.when(F.col("__bare"), 0.0).otherwise(F.col("__delta") * e / (e + p))
     sigma = F.greatest(F.when(F.col("__bare"), F.col("__prior")).otherwise(F.sqrt(1 / (e + p))), F.lit(FLOOR))
     return rows.select(*keys, "j", "knot", delta.alias("delta"), sigma.alias("sigma"))
@@ -201,7 +202,7 @@ def knots(df: DataFrame, keys: Names, dl: str, v: str, lat_g: str, w: str, prior
 def at_knots(df: DataFrame, knot_rows: DataFrame, keys: Names, at: str, columns: dict[str, str]) -> DataFrame:
     """``df`` with knot columns (name: new name), linear between knots and flat outside; a lap's knots come as one array."""
     rows = knot_rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("j", "knot", *columns))).alias("__k"))
-    met = df.join(rows, list(keys), "left")
+    met = df.join(grown(rows), list(keys), "left")
     n, first = F.size("__k"), F.element_at("__k", 1)["knot"]
     j = F.least(F.greatest(F.floor((F.col(at) - first) / SPACING), F.lit(0)), n - 1).cast("int")
     met = met.withColumn("__a", F.element_at("__k", j + 1)).withColumn("__b", F.element_at("__k", F.least(j + 2, n)))

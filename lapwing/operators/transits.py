@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lapwing.functions.lineage import cut
+from lapwing.functions.lineage import cut, grown
 from lapwing.operators import robust, sequence as seq
 from lapwing.operators.joins import in_spans
 from lapwing.operators.sequence import FIRST, HERE, over, turned_round
@@ -102,16 +102,16 @@ def transits(df: DataFrame, corners: DataFrame, keys: Names, track: Names, order
         _at(F.col("start_m"), at, "__v", order, F.lit(True)).alias("__entry"), _at(F.col("end_m"), at, "__v", order, F.lit(True)).alias("__exit"), _at(F.col("apex_m"), at, "__v", order, own).alias("__apex"), _at(F.col("second_m"), at, "__v", order, own).alias("__second"),
     ).where("n >= 3")
     rows = rows.withColumns({"min_speed": F.col("__least.v"), "min_speed_m": F.col("__least.at"), "lat_g_peak": F.col("__peak.g"), "lat_g_peak_m": F.col("__peak.at"), "entry_speed": _between("__entry", "start_m"), "exit_speed": _between("__exit", "end_m"), "apex_speed": _between("__apex", "apex_m"), "second_speed": _between("__second", "second_m")})
-    later = met.where(own).join(rows.select(*group, "min_speed_m"), group).where(F.col(at) >= F.col("min_speed_m"))
+    later = met.where(own).join(grown(rows.select(*group, "min_speed_m")), group).where(F.col(at) >= F.col("min_speed_m"))
     back = seq.first_sustained(later, group, order, "t", F.col("throttle") > RETURN, SUSTAIN).withColumnRenamed("first", "t")
-    place = later.join(back, [*group, "t"]).groupBy(*group).agg(F.min(at).alias("__return"))
-    out = rows.join(place, group, "left").withColumn("throttle_return", F.col("__return") - F.col("start_m"))
+    place = later.join(grown(back), [*group, "t"]).groupBy(*group).agg(F.min(at).alias("__return"))
+    out = rows.join(grown(place), group, "left").withColumn("throttle_return", F.col("__return") - F.col("start_m"))
     return out.drop("__least", "__peak", "__entry", "__exit", "__apex", "__second", "__return").withColumns({"apex_offset": F.col("min_speed_m") - F.col("apex_m"), "peak_offset": F.col("lat_g_peak_m") - F.col("apex_m")})
 
 
 def session_corners(passages: DataFrame, verdicts: DataFrame, jumps: DataFrame, drift: DataFrame, keys: Names) -> DataFrame:
     """Passages with their section's verdict, the lap's flagged fixes and its drift; what a lap lacks stays null, jumps count 0."""
-    out = passages.join(verdicts, [*keys, "corner_id"], "left").join(jumps, list(keys), "left").join(drift, list(keys), "left")
+    out = passages.join(grown(verdicts), [*keys, "corner_id"], "left").join(grown(jumps), list(keys), "left").join(grown(drift), list(keys), "left")
     return out.fillna(0, [c for c in jumps.columns if c not in keys])
 
 
@@ -152,17 +152,17 @@ def corner_candidates(df: DataFrame, keys: Names, order: Names, at: str, rate: f
     df = seq.rolling_mean(df, keys, order, "lat_g", width, "smooth").withColumn("size", F.abs("smooth"))
     df = peak_ends(df, keys, order, "size")
     tops = seq.peaks(df.select(*keys, "row", "size"), keys, "row", "size", PEAK_G, float(round(SPACING_S * rate))).select(*keys, F.floor("row").cast("double").alias("row"))
-    ends = df.join(tops, [*keys, "row"]).select(*keys, F.col("row").alias("peak_row"), F.col(at).alias("peak_m"), F.col("smooth").alias("peak_g"), "entry_row", "exit_row")
+    ends = df.join(grown(tops), [*keys, "row"]).select(*keys, F.col("row").alias("peak_row"), F.col(at).alias("peak_m"), F.col("smooth").alias("peak_g"), "entry_row", "exit_row")
     ends = ends.withColumn("candidate", F.row_number().over(Window.partitionBy(*keys).orderBy("peak_row")))
     rows = df.select(*keys, *[c for c in df.columns if c not in (*keys, "entry_row", "exit_row", "size", "smooth", "__n")])
-    inside = in_spans(rows, ends, keys, "row", "entry_row", "exit_row", float(LEAST_ROWS))
+    inside = in_spans(rows, grown(ends), keys, "row", "entry_row", "exit_row", float(LEAST_ROWS))
     edge = inside.groupBy(*keys, "candidate").agg(F.min_by(at, "row").alias("entry_m"), F.max_by(at, "row").alias("exit_m"), (F.max_by("t", "row") - F.min_by("t", "row")).alias("duration"), F.min(F.when(F.col("__v").isNotNull(), F.struct("__v", "row", F.col(at).alias("m"), "lat", "long"))).alias("slow"))
     edge = cut(edge)
     first = lambda hit: F.min_by(at, F.when(hit, F.col("row")))
     spans = edge.select(*keys, "candidate", (F.col("entry_m") - BACK).alias("__from"), F.col("exit_m").alias("__to"))
-    near = in_spans(rows, spans, keys, at, "__from", "__to", BACK)
+    near = in_spans(rows, grown(spans), keys, at, "__from", "__to", BACK)
     before = near.groupBy(*keys, "candidate").agg(first(F.col("long_g") < BRAKE_G).alias("b"), first(F.col("throttle") < LIFT).alias("l"))
-    after = inside.join(edge.select(*keys, "candidate", F.col("slow.row").alias("__slowest")), [*keys, "candidate"]).where(F.col("row") >= F.col("__slowest")).groupBy(*keys, "candidate").agg(first(F.col("throttle") > RETURN).alias("r"))
-    events = edge.select(*keys, "candidate").join(before, [*keys, "candidate"], "left").join(after, [*keys, "candidate"], "left")
-    out = ends.join(edge, [*keys, "candidate"]).join(events, [*keys, "candidate"])
+    after = inside.join(grown(edge.select(*keys, "candidate", F.col("slow.row").alias("__slowest"))), [*keys, "candidate"]).where(F.col("row") >= F.col("__slowest")).groupBy(*keys, "candidate").agg(first(F.col("throttle") > RETURN).alias("r"))
+    events = edge.select(*keys, "candidate").join(grown(before), [*keys, "candidate"], "left").join(grown(after), [*keys, "candidate"], "left")
+    out = ends.join(grown(edge), [*keys, "candidate"]).join(grown(events), [*keys, "candidate"])
     return out.select(*keys, "candidate", "peak_m", "peak_g", F.when(F.col("peak_g") > 0, "right").otherwise("left").alias("direction"), "entry_m", "exit_m", "duration", F.col("slow.__v").alias("min_speed"), F.col("slow.m").alias("min_speed_m"), (F.col("b") - F.col("entry_m")).alias("brake_on"), (F.col("l") - F.col("entry_m")).alias("lift"), (F.col("r") - F.col("entry_m")).alias("throttle_return"), F.col("slow.lat").alias("apex_lat"), F.col("slow.long").alias("apex_long"))

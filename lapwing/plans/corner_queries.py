@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lapwing.functions.lineage import grown
 from lapwing.operators import gears, transits as tra
 from lapwing.plans import trajectory_queries
 from lapwing.plans.tables import DRIVE, drive, read
@@ -93,7 +94,7 @@ def sigma_tier(spark, d):
 
     passages = tra.transits(channels(spark, d), corners(spark), LAP, TRACK, ORDER, "dl")
     verdicts = trajectory_sections(spark, d).select(F.col("k").alias("__k"), F.col("section").alias("__c"), "status", "rank_eligible")
-    rows = passages.join(verdicts, (F.col("k") == F.col("__k")) & (F.col("corner_id") == F.col("__c")), "left")
+    rows = passages.join(grown(verdicts), (F.col("k") == F.col("__k")) & (F.col("corner_id") == F.col("__c")), "left")
     return tra.sigma_reliability(rows, LAP).select("k", "corner_id", "status", "transit_reliable_traj", "lap_reliable_traj")
 
 
