@@ -1,7 +1,8 @@
 """How far slow sensors trail fast ones: lags of laps and sessions, as grouped moments over exploded lags.
 
-All laps are worked through at once: channels are put on a grid, each lag is a shift of grid numbers met by
-equality, and a lag's fit is a handful of sums. No lap is a task of its own.
+All laps are worked through at once: channels are put on a grid, each lag is so many rows of it ahead or behind, and a
+lag's fit is a handful of sums. No lap is a task of its own. What is dealt out is samples; grids and lags are made
+of them where they lie and summed there, so that neither is shuffled.
 """
 
 from __future__ import annotations
@@ -12,9 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapwing.functions.expressions import G, MPH, correlation, to_xy
-from lapwing.functions.lineage import cut
-from lapwing.operators import joins, sequence as seq
-from lapwing.operators.crossings import at_places
+from lapwing.functions.lineage import cut, grown
+from lapwing.operators import sequence as seq
 from lapwing.operators.sequence import over
 
 Names = Sequence[str]
@@ -25,20 +25,49 @@ GRID, FROM, TO, FAST, SPAN, LIKE, LIKE_ACCEL, HOLD_LEAD, SMOOTH, DEFAULT, OFFSET
 STEP, LEAST, MOST, TRIM, SMOOTHED, JUMP, ROWS, LAPS, SLOW = 0.01, -30, 150, 50, 7, 30.0, 1500, 2, 0.05
 
 
+def dealt(df: DataFrame, keys: Names) -> DataFrame:
+    """``df`` dealt out by its keys to twice as many tasks as a shuffle has: it becomes many times as much where it lies, which adaptive
+    execution cannot see. With the same number, a ``df`` that a join has dealt out already would be left in the few tasks that it was joined into."""
+    return df.repartition(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def ticked(rows: DataFrame, keys: Names, x: str, columns: Names, origin: Column, first: Column, last: Column, step: float, out: str) -> DataFrame:
+    """(keys, out, __at, columns): columns at origin + step times each number from ``first`` to ``last``, linear between a key's rows, flat outside them.
+
+    x is distinct in a key and not null. Each row tells the places from itself up to the next row; the first also those before.
+    """
+    w = over(keys, [x])
+    ahead = {f"__n_{c}": F.lead(c).over(w) for c in (x, *columns)}
+    rows = rows.withColumns({**ahead, "__first": F.row_number().over(w) == 1})
+    here, following = F.col(x), F.col(f"__n_{x}")
+    number = lambda f, c: f((c - origin) / step).cast("int")
+    lo = F.when(F.col("__first"), first).otherwise(F.greatest(first, number(F.floor, here) - 1)).cast("int")
+    hi = F.when(following.isNull(), last).otherwise(F.least(last, number(F.ceil, following) + 1)).cast("int")
+    at = origin + F.col(out) * step
+    told = rows.withColumn(out, F.explode(F.when(lo <= hi, F.sequence(lo, hi)))).withColumn("__at", at)
+    told = told.where((F.col("__first") | (F.col("__at") >= here)) & (following.isNull() | (F.col("__at") < following)))
+    share = F.when(following.isNotNull() & (F.col("__at") > here), (F.col("__at") - here) / (following - here))
+    value = lambda c: F.when(share.isNull(), F.col(c)).otherwise(F.col(c) + (F.col(f"__n_{c}") - F.col(c)) * share).alias(c)
+    return told.select(*keys, out, "__at", *[value(c) for c in columns])
+
+
 def gridded(df: DataFrame, keys: Names, t: str, columns: Names, step: float) -> DataFrame:
     """(keys, g, columns): channels, without nulls, at each ``step`` seconds from a lap's first row on, linear between its rows. Rows of one time are averaged."""
-    rows = df.where(F.col(t).isNotNull()).groupBy(*keys, F.col(t).cast("double").alias("__t")).agg(*[F.avg(c).alias(c) for c in columns])
-    ends = rows.groupBy(*keys).agg(F.min("__t").alias("lo"), F.max("__t").alias("hi"))
-    grid = ends.select(*keys, "lo", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil((F.col("hi") - F.col("lo")) / step - 1e-9).cast("int") - 1, F.lit(0)))).alias("g")).select(*keys, "g", (F.col("lo") + F.col("g") * step).alias("__t"))
-    return at_places(grid, rows.withColumnRenamed("__t", "__u"), keys, "__t", "__u", "__u", {c: c for c in columns}).select(*keys, "g", *columns)
+    rows = dealt(df.where(F.col(t).isNotNull()), keys).groupBy(*keys, F.col(t).cast("double").alias("__t")).agg(*[F.avg(c).alias(c) for c in columns])
+    lap = Window.partitionBy(*keys)
+    rows = rows.withColumns({"__lo": F.min("__t").over(lap), "__hi": F.max("__t").over(lap)})
+    rows = rows.withColumn("__end", F.greatest(F.ceil((F.col("__hi") - F.col("__lo")) / step - 1e-9).cast("int") - 1, F.lit(0)))
+    return ticked(rows, keys, "__t", columns, F.col("__lo"), F.lit(0), F.col("__end"), step, "g").select(*keys, "g", *columns)
 
 
 def correlation_lags(df: DataFrame, keys: Names, t: str, ref: str, sig: str, mask: str) -> DataFrame:
     """(keys, shift, r, n): correlation of ref with sig so many grid steps later, where both are masked in."""
     rows = df.where(F.col(ref).isNotNull() & F.col(sig).isNotNull()).withColumn("__m", F.col(mask).cast("double"))
-    grid = gridded(rows, keys, t, [ref, sig, "__m"], GRID).where("__m > 0.5")
-    left = grid.select(*keys, F.col(ref).alias("__a"), "g", F.explode(F.sequence(F.lit(FROM), F.lit(TO))).alias("shift")).withColumn("g", F.col("g") + F.col("shift"))
-    met = left.join(grid.select(*keys, "g", F.col(sig).alias("__b")), [*keys, "g"])
+    grid = gridded(rows, keys, t, [ref, sig, "__m"], GRID)
+    w = over(keys, ["g"])  # a lap's grid has no gaps
+    ahead = F.array(*[F.lead("__s", s).over(w) for s in range(FROM, TO + 1)])
+    left = grid.withColumn("__s", F.when(F.col("__m") > 0.5, F.col(sig))).withColumn("__ahead", ahead).where("__m > 0.5")
+    met = left.select(*keys, F.col(ref).alias("__a"), F.posexplode("__ahead").alias("shift", "__b")).where("__b is not null").withColumn("shift", F.col("shift") + FROM)
     return met.groupBy(*keys, "shift").agg(correlation(F.col("__a"), F.col("__b")).alias("r"), F.count("*").alias("n")).where("n >= 3 and r is not null")
 
 
@@ -70,13 +99,13 @@ def speed_lags(df: DataFrame, keys: Names, order: Names, t: str, obd_mph: str, g
     df = df.withColumns({"__dt": F.col(t) - F.lag(t).over(w), "__obd": F.count(obd_mph).over(lap) > 0})
     laps = df.groupBy(*keys).agg(F.first("__obd").alias("__obd"), (F.count(F.when(F.col(obd_mph) > FAST, 1)) * F.coalesce(F.median("__dt"), F.lit(0.0))).alias("__span"))
     long_enough = laps.where(F.col("__obd") & (F.col("__span") >= SPAN)).select(*keys)
-    own = df.where("__obd").join(long_enough, list(keys), "left_semi").withColumn("__fast", F.coalesce(F.col(obd_mph) > FAST, F.lit(False)))
+    own = df.where("__obd").join(grown(long_enough), list(keys), "left_semi").withColumn("__fast", F.coalesce(F.col(obd_mph) > FAST, F.lit(False)))
     a = best_lag(correlation_lags(own, keys, t, obd_mph, gps_mph, "__fast"), keys)
     bare = slope(df.where("not __obd"), keys, order, t, F.coalesce(gps_mph, F.lit(0.0)) * MPH / G, "__dv")
     around = Window.partitionBy(*keys).orderBy("__us").rangeBetween(-round(SMOOTH * 5e5), round(SMOOTH * 5e5))
     bare = bare.withColumn("__us", F.round(F.col(t) * 1e6).cast("long")).withColumns({"__lg": F.avg(long_g).over(around), "__sv": F.avg("__dv").over(around), "__fast": F.coalesce(F.col(gps_mph) > FAST, F.lit(False))})
     b = best_lag(correlation_lags(bare, keys, t, "__lg", "__sv", "__fast"), keys)
-    met = laps.join(a.select(*keys, F.col("lag").alias("__la"), F.col("r").alias("__ra")), list(keys), "left").join(b.select(*keys, F.col("lag").alias("__lb"), F.col("r").alias("__rb")), list(keys), "left")
+    met = laps.join(grown(a.select(*keys, F.col("lag").alias("__la"), F.col("r").alias("__ra"))), list(keys), "left").join(grown(b.select(*keys, F.col("lag").alias("__lb"), F.col("r").alias("__rb"))), list(keys), "left")
     by_speed = F.col("__obd") & (F.col("__span") >= SPAN) & (F.col("__ra") >= LIKE)
     by_accel = ~F.col("__obd") & (F.col("__rb") >= LIKE_ACCEL)
     return met.select(*keys, F.when(by_speed, F.col("__la") - HOLD_LEAD).when(by_accel, F.col("__lb")).alias("lag"), F.when(by_speed, F.col("__ra")).when(by_accel, F.col("__rb")).alias("r"), F.when(by_speed, "lap").when(by_accel, "accel").otherwise("none").alias("origin"))
@@ -102,16 +131,21 @@ def path_lag(df: DataFrame, keys: Names, t: str, tie: str, x: str, y: str, v: st
     path = fixes.withColumn("__step", step).withColumn("path", F.sum("__step").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     good = path.groupBy(*keys).agg(F.count("*").alias("n"), F.max("__step").alias("jump")).where((F.col("n") >= 10) & (F.col("jump") <= JUMP)).select(*keys)
     ranked = rows.withColumns({"__r": F.row_number().over(w), "__n": F.count("*").over(Window.partitionBy(*keys))})
-    ends = ranked.where(F.col("__n") - 2 * TRIM >= 50).groupBy(*keys).agg(F.max(F.when(F.col("__r") == TRIM + 1, F.col(t))).alias("lo"), F.max(F.when(F.col("__r") == F.col("__n") - TRIM, F.col(t))).alias("hi")).join(good, list(keys)).where("hi > lo")
+    ends = ranked.where(F.col("__n") - 2 * TRIM >= 50).groupBy(*keys).agg(F.max(F.when(F.col("__r") == TRIM + 1, F.col(t))).alias("lo"), F.max(F.when(F.col("__r") == F.col("__n") - TRIM, F.col(t))).alias("hi")).join(grown(good), list(keys)).where("hi > lo")
     fine = round(GRID / STEP)
-    grid = ends.select(*keys, F.explode(F.sequence(F.ceil(F.col("lo") / GRID), F.floor(F.col("hi") / GRID))).alias("g")).select(*keys, "g", (F.col("g") * GRID).alias(t))
-    grid = joins.interpolate(grid, path.groupBy(*keys, t).agg(F.max("path").alias("path")), keys, t, "path", "path", clamp=True)
-    odometer = seq.trapezoid(rows, keys, order, t, F.col("__v"), "odo").groupBy(*keys, t).agg(F.max("odo").alias("odo"))
-    ticks = ends.select(*keys, F.explode(F.sequence(F.floor(F.col("lo") / STEP) - MOST - 1, F.ceil(F.col("hi") / STEP) - LEAST + 1)).alias("f")).select(*keys, "f", (F.col("f") * STEP).alias(t))
-    odometer = joins.interpolate(ticks, odometer, keys, t, "odo", "odo", clamp=True).select(*keys, "f", "odo")
-    middle = F.avg(t).over(Window.partitionBy(*keys))
-    left = grid.select(*keys, "g", (F.col(t) - middle).alias("__t"), (F.col("path") - F.avg("path").over(Window.partitionBy(*keys))).alias("__p"), F.explode(F.sequence(F.lit(LEAST), F.lit(MOST))).alias("shift"))
-    met = left.withColumn("f", F.col("g") * fine - F.col("shift")).join(odometer, [*keys, "f"])
+    lap = Window.partitionBy(*keys)
+    curve = lambda df, c: dealt(df.groupBy(*keys, t).agg(F.max(c).alias(c)).join(grown(ends), list(keys)), keys)
+    lo, hi, none = F.col("lo"), F.col("hi"), F.lit(0.0)
+    grid = ticked(curve(path, "path"), keys, t, ["path"], none, F.ceil(lo / GRID), F.floor(hi / GRID), GRID, "g").select(*keys, "g", F.col("__at").alias("__t"), F.col("path").alias("__p"))
+    odometer = curve(seq.trapezoid(rows, keys, order, t, F.col("__v"), "odo"), "odo")
+    ticks = ticked(odometer, keys, t, ["odo"], none, F.floor(lo / STEP) - MOST - fine, F.ceil(hi / STEP) - LEAST + fine, STEP, "f")
+    # a row per grid number with its own fine ticks; a shift is then a tick of one of the rows around
+    own = ticks.groupBy(*keys, F.floor(F.col("f") / fine).cast("int").alias("g")).agg(*[F.max(F.when(F.pmod(F.col("f"), F.lit(fine)) == k, F.col("odo"))).alias(f"__o{k}") for k in range(fine)])
+    both = dealt(grid.unionByName(own, allowMissingColumns=True), keys).groupBy(*keys, "g").agg(*[F.max(c).alias(c) for c in ("__t", "__p", *[f"__o{k}" for k in range(fine)])])
+    w = over(keys, ["g"])
+    tick = lambda shift: F.lag(f"__o{-shift % fine}", -(-shift // fine)).over(w)
+    left = both.withColumns({"__odo": F.array(*[tick(s) for s in range(LEAST, MOST + 1)]), "__mt": F.avg("__t").over(lap), "__mp": F.avg("__p").over(lap)}).where("__t is not null")
+    met = left.select(*keys, (F.col("__t") - F.col("__mt")).alias("__t"), (F.col("__p") - F.col("__mp")).alias("__p"), F.posexplode("__odo").alias("shift", "odo")).where("odo is not null").withColumn("shift", F.col("shift") + LEAST)
     s = lambda a, b: F.covar_pop(a, b)
     sums = met.groupBy(*keys, "shift").agg(s("__t", "__t").alias("tt"), s("__t", "__p").alias("tp"), s("__p", "__p").alias("pp"), s("__t", "odo").alias("td"), s("odo", "odo").alias("dd"), s("__p", "odo").alias("pd"))
     free = lambda a, b, ab: F.col(ab) - F.col(a) * F.col(b) / F.col("tt")
@@ -120,7 +154,7 @@ def path_lag(df: DataFrame, keys: Names, t: str, tie: str, x: str, y: str, v: st
     fits = sums.where("tt > 0").select(*keys, "shift", left_over.alias("rms"))
     best = fits.groupBy(*keys).agg(F.min_by("shift", F.struct("rms", "shift")).alias("shift"), F.min("rms").alias("lo"), F.max("rms").alias("hi"), F.avg("rms").alias("mean"))
     clear = (F.col("shift") > LEAST) & (F.col("shift") < MOST) & (F.col("hi") - F.col("lo") > F.greatest(F.lit(1e-9), 1e-6 * F.col("mean")))
-    return df.select(*keys).distinct().join(best, list(keys), "left").select(*keys, F.when(clear, F.col("shift") * STEP - HOLD_LEAD).alias("lag"))
+    return df.select(*keys).distinct().join(grown(best), list(keys), "left").select(*keys, F.when(clear, F.col("shift") * STEP - HOLD_LEAD).alias("lag"))
 
 
 def session_position_lag(laps: DataFrame, session: Names, lap: str) -> DataFrame:

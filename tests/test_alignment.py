@@ -1,5 +1,6 @@
 """Alignment operators against plain numpy."""
 
+import re
 import math
 import random
 
@@ -109,3 +110,20 @@ def test_clusters_at_planted_places(spark):
     rows = [("L", rng.gauss(m, 6)) for m in (400, 1500) for _ in range(60)] + [("R", rng.gauss(900, 6)) for _ in range(60)] + [("R", rng.uniform(0, 3000)) for _ in range(10)]
     got = corners.density_clusters(spark.createDataFrame(rows, "side string, at double"), "side", "at", 3500.0, 3.0).orderBy("apex").collect()
     assert [(r.side, round(r.apex / 10)) for r in got] == [("L", 40), ("R", 90), ("L", 150)]
+
+
+def test_lags_are_fitted_where_the_samples_lie(spark):
+    """Neither grids nor their shifts are dealt out anew: only laps' samples are."""
+    rows = [(k, i, i * 0.125, 20.0 + i % 7, i * 2.5, float(i % 5), 0.1) for k in range(3) for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, i int, t double, v double, x double, y double, g double")
+    for got in (lags.path_lag(df, ["k"], "t", "i", "x", "y", "v"), lags.speed_lags(df, ["k"], ["t", "i"], "t", "v", "x", "g")):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(k#" in plan and not re.search(r"hashpartitioning\([^)]*\b[gf]#", plan)
+
+
+def test_ticks_are_linear_between_rows_and_flat_outside(spark):
+    df = spark.createDataFrame([(1, 0.3, 3.0), (1, 1.0, 10.0), (1, 1.05, 20.0), (2, 0.5, 7.0)], "k int, x double, y double")
+    got = lags.ticked(df, ["k"], "x", ["y"], F.lit(0.0), F.lit(-1), F.lit(12), 0.1, "f").orderBy("k", "f").collect()
+    at = np.arange(-1, 13) * 0.1
+    assert [(r.k, r.f) for r in got] == [(k, f) for k in (1, 2) for f in range(-1, 13)]
+    assert np.allclose([r.y for r in got], [*np.interp(at, [0.3, 1.0, 1.05], [3.0, 10.0, 20.0]), *[7.0] * 14])
