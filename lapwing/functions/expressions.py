@@ -49,8 +49,13 @@ def tricube(u: Column) -> Column:
 
 
 def lap_clock(seconds: Column) -> Column:
-    """M:SS.ss of a time in seconds."""
-    return F.format_string("%d:%05.2f", F.floor(seconds / 60).cast("int"), seconds - 60 * F.floor(seconds / 60))
+    """M:SS.ss of a time in seconds.
+
+    Hundredths are rounded from the number as it is stored, as in C: 19.845 is a little less than it reads and becomes 19.84. A format
+    string would round the digits that it reads.
+    """
+    minutes = F.floor(seconds / 60)
+    return F.concat(minutes.cast("string"), F.lit(":"), F.lpad(F.format_number(seconds - 60 * minutes, 2), 5, "0"))
 
 
 def correlation(x: Column, y: Column) -> Column:

@@ -115,8 +115,8 @@ def test_clusters_at_planted_places(spark):
 def test_lags_are_fitted_where_the_samples_lie(spark):
     """Neither grids nor their shifts are dealt out anew: only laps' samples are."""
     rows = [(k, i, i * 0.125, 20.0 + i % 7, i * 2.5, float(i % 5), 0.1) for k in range(3) for i in range(300)]
-    df = spark.createDataFrame(rows, "k int, i int, t double, v double, x double, y double, g double")
-    for got in (lags.path_lag(df, ["k"], "t", "i", "x", "y", "v"), lags.speed_lags(df, ["k"], ["t", "i"], "t", "v", "x", "g")):
+    df = spark.createDataFrame(rows, "k int, i int, t double, v double, px double, y double, long_g double")
+    for got in (lags.path_lag(df, ["k"], "t", "i", "px", "y", "v"), lags.speed_lags(df, ["k"], ["t", "i"], "t", "v", "px", "long_g")):
         plan = got._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning(k#" in plan and not re.search(r"hashpartitioning\([^)]*\b[gf]#", plan)
 

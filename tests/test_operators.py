@@ -56,3 +56,11 @@ def test_null_verdicts_and_flat_groups(spark):
     assert got == {"a": None, "b": False, "c": True}
     flat = spark.createDataFrame([("a", 1.0), ("a", 1.0)], "k string, x double")
     assert [r.z for r in robust.robust_z(flat, ["k"], "x", F.lit(True), "z").collect()] == [None, None]
+
+
+def test_lap_clock_rounds_what_is_stored(spark):
+    from lapwing.functions.expressions import lap_clock
+
+    values = [0.0, 0.125, 0.375, 9.994999, 19.845, 59.995, 59.9951, 60.0, 83.155, 227.845, 250.125, 403.675, None]
+    got = [r.c for r in spark.createDataFrame([(v,) for v in values], "x double").select(lap_clock(F.col("x")).alias("c")).collect()]
+    assert got == [None if v is None else f"{int(v // 60)}:{v - 60 * (v // 60):05.2f}" for v in values]
