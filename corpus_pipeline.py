@@ -22,7 +22,7 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group linked at a Jaccard similarity of 0.8 or more on shingles of five words."""
+    """Keeps one document of each group linked by SimHash fingerprints at most 3 bits apart, or at a Jaccard similarity of 0.8 or more, on shingles of five words."""
     return simhash.drop_similar(docs)
 
 

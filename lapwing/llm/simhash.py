@@ -12,8 +12,8 @@ fingerprint or a value one bit away), linear in their number; only pairs from di
 of those are then fetched by multi-index hashing. No link is lost, and large groups of near
 copies do not come out as pairs.
 
-``drop_similar`` links texts by the Jaccard similarity of their shingle sets instead, verified on
-the sets. At similarity 0.8 fingerprints of 64 bits differ in 10 bits on average and in 17 or more
+``drop_similar`` links texts by multi-index hashing in the same way, on fingerprints of longer shingles, and
+then by the Jaccard similarity of their shingle sets as well, verified on the sets. At similarity 0.8 fingerprints of 64 bits differ in 10 bits on average and in 17 or more
 once in 80 pairs: balls that wide around segments meet most of a table. Pairs are therefore fetched
 by bands of min-hashes, and the fingerprint, with a radius of its own, only screens what is verified.
 Members of a crowded band are compared with two leaders first. What is then still apart is joined on the
@@ -263,8 +263,17 @@ def _rarest(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return members.join(kept.select("node", "shingle", "rank"), "node")
 
 
+def _alike(nodes: DataFrame, prints: DataFrame) -> DataFrame:
+    """(a, b): each node with the least one of its group of fingerprints at most ``BITS`` apart."""
+    near = nodes.select("node", "fp").join(components(prints.select("id", "fp")).select("fp", F.col("component").alias("alike")), "fp")
+    least = near.groupBy("alike").agg(F.min("node").alias("a"))
+    return near.join(least, "alike").where("a <> node").select("a", F.col("node").alias("b"))
+
+
 def similar_components(docs: DataFrame, prints: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """(node, component, rep): groups of shingle sets linked at a Jaccard similarity of ``similarity`` or more.
+    """(node, component, rep): groups of shingle sets linked by their fingerprints, or at a Jaccard similarity of ``similarity`` or more.
+
+    Fingerprints link as in ``components``, by multi-index hashing; the rest follows for what that cannot find.
 
     Texts with one set are one node. In a crowded band all nodes are compared with two of them
     first; only pairs that are then in different groups, and share a rare shingle, are compared with one another.
@@ -296,7 +305,7 @@ def similar_components(docs: DataFrame, prints: DataFrame, id_col: str = "doc_id
     found = cut(pairs(few, few, "band", F.col("x.node") < F.col("y.node")).unionByName(pairs(crowd, stars, "band", F.col("x.node") != F.col("y.node"))).distinct())
     ends = cut(found.select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowd.select("node")).distinct())
     sets = cut(_sets(docs, id_col, text_col, nodes.join(ends, "node").select("node", "doc.id", "doc.text_hash"), shingle))
-    first = linked(found, sets)
+    first = cut(linked(found, sets).unionByName(_alike(nodes, prints)))
     groups = cut(connected_components(first, "a", "b"))
     near = cut(crowd.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")))
     mixed = near.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")

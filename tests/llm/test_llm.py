@@ -363,6 +363,16 @@ def test_similar_texts_are_one(spark):
     assert simhash.drop_similar(docs.limit(0)).count() == 0
 
 
+def test_similar_texts_are_linked_by_fingerprints_too(spark):
+    """Sets that share no band of min-hashes, with fingerprints three and four bits apart: the first two are one group, as in op9."""
+    docs = spark.createDataFrame([(k, f"{k} a b c d e") for k in range(3)], "doc_id long, text string")
+    fps = [5, 5 ^ 0b111 << 40, 5 ^ 0b1111 << 20]
+    rows = [(k, 100 + k, 10 + k, fp, 9, [1000 * k + b for b in range(simhash.BANDS)]) for k, fp in enumerate(fps)]
+    prints = spark.createDataFrame(rows, "id long, text_hash long, node long, fp long, size long, bands array<long>")
+    got = {r.node: r.rep for r in simhash.similar_components(docs, prints).collect()}
+    assert got == {10: 0, 11: 0, 12: 2}
+
+
 def test_mixed_documents_follow_the_schedule(spark):
     rng = np.random.default_rng(5)
     rows = [(i, " ".join(f"{i}.{k}" for k in range(int(rng.integers(1, 90)))), "abc"[i % 3]) for i in range(150)]
