@@ -26,9 +26,8 @@ STEP, LEAST, MOST, TRIM, SMOOTHED, JUMP, ROWS, LAPS, SLOW = 0.01, -30, 150, 50,
 
 
 def dealt(df: DataFrame, keys: Names) -> DataFrame:
-    """``df`` dealt out by its keys to twice as many tasks as a shuffle has: it becomes many times as much where it lies, which adaptive
-    execution cannot see. With the same number, a ``df`` that a join has dealt out already would be left in the few tasks that it was joined into."""
-    return df.repartition(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    """``df`` dealt out by its keys to as many tasks as a shuffle has, or left where a join has dealt it out so: it becomes many times as much where it lies."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def ticked(rows: DataFrame, keys: Names, x: str, columns: Names, origin: Column, first: Column, last: Column, step: float, out: str) -> DataFrame:
