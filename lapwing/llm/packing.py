@@ -12,6 +12,7 @@ import functools
 import itertools
 import os
 import re
+import string
 import unicodedata
 import zlib
 from array import array
@@ -26,8 +27,8 @@ from lapwing.llm.common import cut, running, runs, table
 
 #: Tokens of a sequence, and the id that ends a document.
 CAPACITY, END = 4096, 1
-#: Distinct words, and words without case and punctuation, that a task remembers the ids of; bytes of text that are worked through at once.
-REMEMBERED, PARTS, AT_ONCE = 200_000, 350_000, 2 << 20
+#: Words without case and punctuation that a task remembers the ids of; bytes of text that are worked through at once.
+PARTS, AT_ONCE = 500_000, 2 << 20
 #: Punctuation that may be taken off a word's end; no apostrophe, as it can begin a token group with letters.
 TAIL = b".,*$%&#!?;:)\""
 #: Words that are encoded in one call.
@@ -62,6 +63,22 @@ def _chunks(text: bytes, most: int = AT_ONCE):
 _SPACE = re.compile(rb"[ \t-\r]")
 
 
+_LETTERS = np.frombuffer(string.ascii_letters.encode(), dtype=np.uint8)
+
+
+def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of an array of large strings."""
+    _, offsets, data = texts.buffers()
+    return np.frombuffer(data or b"", dtype=np.uint8), np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+
+
+def _gathered(data: np.ndarray, ends: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(data, ends) of the runs of ``data`` that ``index`` names, in its order."""
+    size = np.diff(ends)[index]
+    past = np.concatenate([[0], np.cumsum(size)])
+    return data[np.repeat(ends[:-1][index] - past[:-1], size) + np.arange(past[-1])], past
+
+
 class WordTokenizer:
     """Ids of whole texts, word by word.
 
@@ -80,15 +97,24 @@ class WordTokenizer:
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)  # ids that end a token group
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.words: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {b"": b""}
         self.again: set[bytes] = {b""}
 
-    def _split(self, word: bytes) -> tuple[bytes, bytes]:
-        body = word.rstrip(TAIL)
-        if not body or b"<" in word or not _ends_in_letter(body):
-            return word, b""
-        return body.lower(), word[len(body) :]
+    def _split(self, words: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """(bodies, tails): words without the punctuation after their last letter and without case, and that punctuation; other words as they are."""
+        bodies = pc.ascii_rtrim(words, TAIL.decode())
+        (data, ends), (_, word_ends) = _bytes(bodies), _bytes(words)
+        sizes, whole = np.diff(ends), np.diff(word_ends)
+        last = np.where(sizes > 0, data[ends[1:] - 1] if len(data) else 0, 0)
+        ok = np.isin(last, _LETTERS) | (last > 127)
+        for i in np.flatnonzero(last > 127).tolist():
+            ok[i] = _ends_in_letter(bodies[i].as_buffer().to_pybytes())
+        ok &= ~pc.match_substring(words, "<").to_numpy(zero_copy_only=False)
+        tails = np.where(ok, whole - sizes, 0)
+        in_tail = np.repeat(np.tile([False, True], len(words)), np.stack([whole - tails, tails], axis=1).ravel())
+        text = _bytes(words)[0][word_ends[0] : word_ends[-1]][in_tail]
+        tail = pa.LargeStringArray.from_buffers(len(words), pa.py_buffer(np.concatenate([[0], np.cumsum(tails)]).astype(np.int64)), pa.py_buffer(text.tobytes()))
+        return pc.if_else(pa.array(ok), pc.ascii_lower(bodies), words), tail
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", got.ids).tobytes() for got in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -103,43 +129,43 @@ class WordTokenizer:
         return [data[a:b] for a, b in zip([0, *past], past, strict=False)]
 
     def learn(self, new: list[bytes]) -> None:
-        """Adds the words. Those that came again since words were last forgotten stay when the others are; most words come once."""
-        if len(self.words) > REMEMBERED:
-            self.words = {}
-        if len(self.parts) > PARTS:
-            self.parts = {x: self.parts[x] for x in itertools.islice(self.again, PARTS // 2)} | {b"": b""}
-            self.again = {b""}
-        cut = [self._split(w) for w in new]
+        """Adds the parts."""
         groups, others = [], []
-        every = {x for pair in cut for x in pair}
-        known = every & self.parts.keys()
-        self.again |= known
-        for x in every - known:
+        for x in new:
             (groups if _one_group(text := x.decode("utf-8", "replace")) else others).append((x, text))
         for some, encode in ((groups, self._encode_groups), (others, self._encode)):
             for at in range(0, len(some), TOGETHER):
                 part = some[at : at + TOGETHER]
                 self.parts.update(zip([x for x, _ in part], encode([text for _, text in part]), strict=True))
-        parts = self.parts
-        self.words.update((w, parts[body] + parts[tail]) for w, (body, tail) in zip(new, cut, strict=True))
+
+    def _known(self, some: list[bytes]) -> list[bytes]:
+        """The ids of different parts. Those that came again since parts were last forgotten stay when the others are; most come once."""
+        if len(self.parts) > PARTS:
+            self.parts = {x: self.parts[x] for x in itertools.islice(self.again, PARTS // 2)} | {b"": b""}
+            self.again = {b""}
+        got = list(map(self.parts.get, some))
+        new = [x for x, ids in zip(some, got, strict=True) if ids is None]
+        self.again.update(itertools.compress(some, got))
+        if new:
+            self.learn(new)
+            got = list(map(self.parts.__getitem__, some))
+        return got
+
+    def _of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends): the ids of different words one after another, and where each word's begin and end."""
+        body, tail = (x.dictionary_encode() for x in self._split(words))
+        distinct = [x.dictionary.cast(pa.large_binary()).to_pylist() for x in (body, tail)]
+        got = [ids for some in distinct for ids in self._known(some)]
+        unit = np.stack([body.indices.to_numpy(zero_copy_only=False), tail.indices.to_numpy(zero_copy_only=False) + len(distinct[0])], axis=1).ravel()
+        ids, ends = _gathered(np.frombuffer(b"".join(got), dtype="<u4"), np.concatenate([[0], np.cumsum(np.fromiter(map(len, got), dtype=np.int64, count=len(got)) // 4)]), unit)
+        return ids, ends[::2]
 
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text; together the texts are about ``AT_ONCE`` bytes."""
         split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
         found = split.flatten().dictionary_encode()
-        distinct = found.dictionary.cast(pa.large_binary()).to_pylist()
-        got = list(map(self.words.get, distinct))
-        if None in got:
-            self.learn([w for w, x in zip(distinct, got, strict=True) if x is None])
-            now = self.words
-            got = [now[w] if x is None else x for w, x in zip(distinct, got, strict=True)]
-        sizes = np.fromiter(map(len, got), dtype=np.int64, count=len(got)) // 4
-        data, firsts = np.frombuffer(b"".join(got), dtype="<u4"), np.cumsum(sizes) - sizes
-        word = found.indices.to_numpy(zero_copy_only=False)
-        size = sizes[word]
-        past = np.cumsum(size)
-        out = data[np.repeat(firsts[word] - (past - size), size) + np.arange(int(past[-1]) if len(past) else 0)]
-        ends = np.concatenate([[0], past])[np.asarray(split.offsets) - split.offsets[0].as_py()]
+        out, past = _gathered(*self._of_words(found.dictionary), found.indices.to_numpy(zero_copy_only=False))
+        ends = past[np.asarray(split.offsets) - split.offsets[0].as_py()]
         return [out[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
     def pieces(self, texts: list[bytes], capacity: int):

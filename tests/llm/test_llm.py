@@ -85,6 +85,17 @@ def test_long_text_is_tokenized_in_parts(monkeypatch):
         assert [g[1:] for g in got if g[0] == i] == [(k, a, len(ids[a : a + 64]), zlib.crc32(ids[a : a + 64].tobytes())) for k, a in enumerate(range(0, len(ids), 64))]
 
 
+def test_words_are_split_together_and_encoded_as_the_tokenizer_does(monkeypatch):
+    asked, ends_in_letter = [], packing._ends_in_letter
+    monkeypatch.setattr(packing, "_ends_in_letter", lambda body: asked.append(body) or ends_in_letter(body))
+    monkeypatch.setattr(packing, "PARTS", 40)
+    words = packing.WordTokenizer(packing.default_tokenizer())
+    for text in ("", "Alpha, alpha; (beta) x1. ... <|pad|>, don't!", "caf\u00e9, \u0130. \u03a3\u03a3: e\u0301! \u65e5?", " ".join(f"w{i}{'abc'[i % 3]}," for i in range(99)), "alpha. Beta!"):
+        assert words.ids([text.encode()])[0].tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+    # python looks only at words whose last letter is not ASCII
+    assert asked and not [x for x in asked if x.isascii()]
+
+
 def test_complements_are_found_whenever_they_exist():
     rng = np.random.default_rng(3)
     assert sum(packing.Sums({14: 1, 58: 1, 2929: 1, **dict.fromkeys(range(930, 1070), 1)}, 4096).complement(3001)) == 3001
