@@ -138,25 +138,27 @@ def _close_groups(fps: DataFrame) -> DataFrame:
 
 
 def _lookups(nodes: DataFrame) -> DataFrame:
-    """(a, b) of the verified pairs at most ``BITS`` apart whose ends lie in different groups."""
+    """(u, v): the different groups in which the ends of a verified pair at most ``BITS`` apart lie."""
     cutup = _segments(nodes.select("fp", "close"))
     stored = cutup.select(F.col("fp").alias("a"), F.col("close").alias("close_a"), "seg", F.col("value").alias("key"))
     ball = _balls(cutup, "value", 32).select(F.col("fp").alias("b"), F.col("close").alias("close_b"), F.col("seg").alias("seg_b"), F.col("value").alias("own"), F.explode(F.concat(F.array("value"), F.col("around"))).alias("key_b"))
     apart = F.col("a").bitwiseXOR(F.col("b"))
     once = (F.col("key_b") != F.col("own")) | (F.col("a") < F.col("b"))
     on = (F.col("seg") == F.col("seg_b")) & (F.col("key") == F.col("key_b")) & (F.col("close_a") != F.col("close_b")) & (F.bit_count(apart) <= BITS) & once
-    return stored.join(ball, on).select("a", "b")
+    return stored.join(ball, on).select(F.col("close_a").alias("u"), F.col("close_b").alias("v")).distinct()
+
+
+def _with_close(fps: DataFrame) -> DataFrame:
+    """``fps``, a row per fingerprint, with ``close``: the smallest fingerprint of its close group, or its own."""
+    fps = cut(fps)
+    close = _close_groups(cut(_crowded(fps)))
+    return cut(fps.join(close, fps["fp"] == close["node"], "left").select(*fps.columns, F.coalesce("component", "fp").alias("close")))
 
 
 def components(prints: DataFrame) -> DataFrame:
     """(fp, component, rep): for each distinct fingerprint of ``prints`` (id, fp) its group and the group's smallest id."""
-    fps = cut(prints.groupBy("fp").agg(F.min("id").alias("least_id")))
-    close = _close_groups(cut(_crowded(fps)))
-    nodes = cut(fps.join(close, fps["fp"] == close["node"], "left").select("fp", "least_id", F.coalesce("component", "fp").alias("close")))
-    pairs = _lookups(nodes.select("fp", "close"))
-    far = nodes.select("fp", "close")
-    ends = pairs.join(far.select(F.col("fp").alias("a"), F.col("close").alias("u")), "a").join(far.select(F.col("fp").alias("b"), F.col("close").alias("v")), "b").select("u", "v").distinct()
-    merged = connected_components(ends, "u", "v")
+    nodes = _with_close(prints.groupBy("fp").agg(F.min("id").alias("least_id")))
+    merged = connected_components(_lookups(nodes.select("fp", "close")), "u", "v")
     grouped = nodes.join(merged, nodes["close"] == merged["node"], "left").select("fp", "least_id", F.coalesce("component", "close").alias("component"))
     reps = grouped.groupBy("component").agg(F.min("least_id").alias("rep"))
     return cut(grouped.join(reps, "component").select("fp", "component", "rep"))
@@ -263,11 +265,13 @@ def _rarest(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return members.join(kept.select("node", "shingle", "rank"), "node")
 
 
-def _alike(nodes: DataFrame, prints: DataFrame) -> DataFrame:
-    """(a, b): each node with the least one of its group of fingerprints at most ``BITS`` apart."""
-    near = nodes.select("node", "fp").join(components(prints.select("id", "fp")).select("fp", F.col("component").alias("alike")), "fp")
-    least = near.groupBy("alike").agg(F.min("node").alias("a"))
-    return near.join(least, "alike").where("a <> node").select("a", F.col("node").alias("b"))
+def _alike(nodes: DataFrame) -> DataFrame:
+    """(a, b): links of nodes (node, fp) that connect all whose fingerprints are linked at most ``BITS`` apart; a link for a row, no pairs of a group."""
+    fps = _with_close(nodes.groupBy("fp").agg(F.min("node").alias("least")))
+    apart = fps.select(F.col("fp").alias("u"), F.col("close").alias("v")).where("u <> v").unionByName(_lookups(fps.select("fp", "close")))
+    own = nodes.select("node", "fp").join(fps, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    end = lambda c, of: fps.select(F.col("fp").alias(of), F.col("least").alias(c))
+    return own.unionByName(apart.join(end("a", "u"), "u").join(end("b", "v"), "v").select("a", "b"))
 
 
 def similar_components(docs: DataFrame, prints: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
@@ -305,7 +309,7 @@ def similar_components(docs: DataFrame, prints: DataFrame, id_col: str = "doc_id
     found = cut(pairs(few, few, "band", F.col("x.node") < F.col("y.node")).unionByName(pairs(crowd, stars, "band", F.col("x.node") != F.col("y.node"))).distinct())
     ends = cut(found.select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowd.select("node")).distinct())
     sets = cut(_sets(docs, id_col, text_col, nodes.join(ends, "node").select("node", "doc.id", "doc.text_hash"), shingle))
-    first = cut(linked(found, sets).unionByName(_alike(nodes, prints)))
+    first = cut(linked(found, sets).unionByName(_alike(nodes)))
     groups = cut(connected_components(first, "a", "b"))
     near = cut(crowd.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")))
     mixed = near.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
@@ -315,7 +319,8 @@ def similar_components(docs: DataFrame, prints: DataFrame, id_col: str = "doc_id
     most = F.least(F.col("x.size") - F.col("x.rank"), F.col("y.size") - F.col("y.rank")) + 1
     enough = most >= (F.col("x.size") + F.col("y.size")) * (similarity / (1 + similarity)) - 1e-9
     rest = cut(pairs(rare, rare, "shingle", (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & enough).distinct())
-    groups = connected_components(first.unionByName(linked(rest, sets)), "a", "b")
+    stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    groups = connected_components(stars.unionByName(linked(rest, sets)), "a", "b")
     grouped = nodes.join(groups, "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("component"))
     reps = grouped.groupBy("component").agg(F.min("least_id").alias("rep"))
     return cut(grouped.join(reps, "component").select("node", "component", "rep"))

@@ -459,3 +459,23 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     lengths = sorted(len(tokenizer.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in mixed)
     assert sorted(r.length for r in packed) == lengths
     assert len({r.sequence_id for r in packed}) == -(-sum(lengths) // 4096)
+
+
+def test_few_edges_take_few_tasks(spark):
+    from lapwing.llm import components
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    names = [("spark.sql.shuffle.partitions", "64"), ("spark.sql.adaptive.coalescePartitions.enabled", "false")]
+    try:
+        for k, v in names:
+            spark.conf.set(k, v)
+        edges = spark.createDataFrame([(i, i + 1) for i in range(40) if i % 10 != 9] + [(7, 7), (3, 2)], "a long, b long")
+        e = components.cut(edges.where("a <> b").selectExpr("greatest(a, b) as u", "least(a, b) as v").distinct())
+        # the edges of a round, which each of its shuffles is fed with, lie in few parts, whatever a shuffle has
+        for round_ in (components._large_star(e, 16), components._small_star(e, 16)):
+            feeds = round_._jdf.queryExecution().optimizedPlan().toString()
+            assert "Repartition 16, false" in feeds
+        assert {r.node: r.component for r in components.connected_components(edges, "a", "b").collect()} == {i: i - i % 10 for i in range(40)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
