@@ -61,7 +61,7 @@ def samples(spark: SparkSession, paths: str | list[str], track: str) -> tuple[Da
     names = {new: old for old, (new, _) in CANONICAL.items()}
     missing = F.array_compact(F.array(*[F.when(~F.array_contains("names", names[c]), F.lit(c)) for c in REQUIRED]))
     top = top.withColumn("reason", F.when(F.col("session_id") == "", "no session id in the name").when(F.size(missing) > 0, F.concat(F.lit("missing: "), F.array_join(missing, ", "))))
-    top = top.withColumn("has_obd", F.forall(F.array(*[F.lit(names[c]) for c in OBD]), lambda c: F.array_contains("names", c)))
+    top = cut(top.withColumn("has_obd", F.forall(F.array(*[F.lit(names[c]) for c in OBD]), lambda c: F.array_contains("names", c))))  # files are read once for it
     good = top.where("reason is null").select("path", "names", "top", "session_id", "has_obd")
     rows = cells.join(good, "path").where("n > top")
     value = lambda old, kind: F.try_element_at("cells", F.nullif(F.array_position("names", old).cast("int"), F.lit(0))).try_cast("double").cast(kind)
@@ -151,8 +151,9 @@ def session_table(s: DataFrame, laps: DataFrame, block: DataFrame | None = None)
 
 
 def write(table: DataFrame, path: str, by: list[str]) -> None:
-    """Replaces only the partitions that the rows belong to."""
-    table.write.partitionBy(*by).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    """Replaces only the partitions that the rows belong to, each by one file: rows of a session lie in as many tasks as its laps, and a file costs more than its rows."""
+    tasks = max(table.sparkSession.sparkContext.defaultParallelism, int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    table.repartition(tasks, *by).write.partitionBy(*by).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
 
 def notes(spark: SparkSession, path: str) -> DataFrame:

@@ -136,3 +136,12 @@ def test_lap_lengths_are_those_of_tracks(spark, tmp_path):
         ingest.ingest(spark, [str(tmp_path / "Log-20260101-120000.csv")], track, str(tmp_path / track), lap_length=lengths).count()
         far = {r.lap_dist_m for r in spark.read.parquet(str(tmp_path / track / "laps")).collect()}
         assert far == {want} if want else max(far) < 40
+
+
+def test_a_session_is_written_as_one_file(spark, tmp_path):
+    from lapwing.sources import logs
+
+    rows = spark.range(60).repartition(5).selectExpr("'ring' as track", "cast(id % 3 as string) as session_id", "id")
+    logs.write(rows, str(tmp_path / "t"), logs.KEYS)
+    assert [len(list(p.glob("*.parquet"))) for p in sorted((tmp_path / "t").glob("*/*/"))] == [1, 1, 1]
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 60
