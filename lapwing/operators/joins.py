@@ -5,10 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lapwing.functions.lineage import cut
+from lapwing.operators import tiles
 from lapwing.operators.sequence import FIRST, HERE, LAST, turned_round
 
 Names = Sequence[str]
@@ -86,28 +92,84 @@ def in_ranges(points: DataFrame, ranges: DataFrame, at: str, keys: Names = (), c
     return points.withColumn("__cell", number(at)).join(wide, [*keys, "__cell"]).where((F.col(at) >= F.col("lo")) & upper).drop("__cell")
 
 
-def nearest(points: DataFrame, ruler: DataFrame, cell: float, point_id: str, rank: str, doublings: int = 40) -> DataFrame:
+#: Places of the ruler in a tile, most tiles, points of a tile that a task looks up at once, sampled places a tile that lay tiles out.
+TILE, TILES, TAKEN, SAMPLED = 2048, 1024, 1 << 16, 16
+
+
+def _looked_up(points: DataFrame, marks: DataFrame, point_id: str) -> DataFrame:
+    """(point_id, x, y, tile, d2, r): the place of its tile nearest to each point. Tiles of many points are dealt out in parts, each with the tile's places."""
+    load = points.groupBy("tile").agg(F.ceil(F.count("*") / TAKEN).cast("int").alias("parts"))
+    own = points.join(F.broadcast(load), "tile").withColumn("part", F.pmod(F.xxhash64(point_id, "x", "y"), "parts").cast("int"))
+    theirs = marks.join(F.broadcast(load), "tile").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
+    def met(ours: pa.Table, places: pa.Table) -> pa.Table:
+        if not (len(ours) and len(places)):
+            return pa.table({f.name: pa.array([], f.type) for f in [*ours.schema]} | {"d2": pa.array([], pa.float64()), "r": pa.array([], places.schema.field("r").type)})
+        order = places.select(["r"])
+        while any(pa.types.is_struct(t) for t in order.schema.types):
+            order = order.flatten()
+        places = places.take(pc.sort_indices(order, sort_keys=[(c, "ascending") for c in order.column_names], null_placement="at_start"))
+        pairs = lambda t, x, y: np.column_stack([t[x].to_numpy(), t[y].to_numpy()])
+        d2, best = tiles.closest(pairs(ours, "x", "y"), pairs(places, "rx", "ry"))
+        return ours.append_column("d2", pa.array(d2)).append_column("r", places["r"].take(pa.array(best)))
+
+    columns = [point_id, "x", "y", "tile", "part"]
+    shape = StructType([*own.select(*columns).schema, StructField("d2", DoubleType()), StructField("r", marks.schema["r"].dataType)])
+    both = own.select(*columns).groupBy("tile", "part").cogroup(theirs.select("rx", "ry", "r", "tile", "part").groupBy("tile", "part"))
+    return both.applyInArrow(met, shape).drop("part")
+
+
+def nearest(points: DataFrame, ruler: DataFrame, cell: float, point_id: str, rank: str) -> DataFrame:
     """(point_id, rank, distance): the ruler row nearest to each point (columns x, y), ties to the smallest ``rank``.
 
-    Points meet the ruler rows of their own and the eight cells around, by equality. A hit farther than a cell could be
-    beaten from outside; such points try again on cells twice as wide, until all have one. Points without x or y have none.
+    The plane is cut into tiles that hold about ``TILE`` places of the ruler each, whatever its density; equal places are one. A point first meets
+    the places of its own tile, and then those of the tiles that the circle of its hit touches, so that its work does not grow with
+    the ruler's rows around it. A sample of places lays out the tiles and decides nothing else. Points without x or y have none.
+    Where a distance is not finite, all rows of the ruler of one kind (finite or not) are as far. ``cell``, once the width of cells, decides nothing now.
     """
-    best = F.min(F.struct((F.pow(F.col("x") - F.col("rx"), 2) + F.pow(F.col("y") - F.col("ry"), 2)).alias("d2"), F.col(rank).alias("r"))).alias("best")
-    marks = ruler.where("x is not null and y is not null").select(rank, F.col("x").alias("rx"), F.col("y").alias("ry"))
-    left, found = points.where("x is not null and y is not null").select(point_id, "x", "y"), []
-    if marks.isEmpty():
-        return left.limit(0).select(point_id, F.lit(None).cast(ruler.schema[rank].dataType).alias(rank), F.lit(None).cast("double").alias("distance"))
-    for _ in range(doublings):
-        at = lambda c, d=0, cell=cell: (F.floor(F.col(c) / cell) + d).cast("long")
-        near = marks.select("*", at("rx").alias("cx"), at("ry").alias("cy"))
-        around = left.select("*", F.explode(F.array(*[F.struct(at("x", i).alias("cx"), at("y", j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("c")).select(point_id, "x", "y", "c.*")
-        hits = cut(around.join(near, ["cx", "cy"]).groupBy(point_id).agg(best).where(F.col("best.d2") <= cell * cell))
-        found.append(hits)
-        left = cut(left.join(hits, point_id, "left_anti"))
-        if left.isEmpty():
-            break
-        cell *= 2
-    return reduce(DataFrame.unionByName, found).select(point_id, F.col("best.r").alias(rank), F.sqrt("best.d2").alias("distance"))
+    known = F.col("x").isNotNull() & F.col("y").isNotNull()
+    finite = (F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))  # NaN is larger
+    marks = cut(ruler.where(known).groupBy(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).agg(F.min(rank).alias("r")))
+    near = marks.where(finite).withColumnsRenamed({"x": "rx", "y": "ry"})
+    left = points.where(known).select(point_id, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    count = near.count()
+    kind = lambda c: F.when(F.abs(c) < float("inf"), 0.0).otherwise(F.col(c))
+    kinds = marks.groupBy(kind("x").alias("rx"), kind("y").alias("ry")).agg(F.min("r").alias("r"))
+    d2 = (F.col("x") - F.col("rx")) * (F.col("x") - F.col("rx")) + (F.col("y") - F.col("ry")) * (F.col("y") - F.col("ry"))
+    found = [left.where(~finite if count else F.lit(True)).join(F.broadcast(kinds)).select(point_id, d2.alias("d2"), "r")]
+    if count:
+        number = min(TILES, -(-count // TILE))
+        every = max(1, count // (SAMPLED * number))
+        sample = np.array(near.where(F.pmod(F.xxhash64("rx", "ry"), F.lit(every)) == 0).select("rx", "ry").collect() or near.select("rx", "ry").head(1), dtype=float)
+        plan = tiles.tree(sample, np.arange(len(sample)), -(-len(sample) // number))
+
+        @F.pandas_udf("int")
+        def tile(x: pd.Series, y: pd.Series) -> pd.Series:
+            out = np.zeros(len(x), dtype=np.int32)
+            tiles.number(plan, np.column_stack([x, y]), np.arange(len(x)), out)
+            return pd.Series(out)
+
+        near = cut(near.withColumn("tile", tile("rx", "ry")))
+        own = cut(_looked_up(cut(left.where(finite).withColumn("tile", tile("x", "y"))), near, point_id))
+        found.append(own.select(point_id, "d2", "r"))
+        if plan[4] is not None:
+            ends = near.groupBy("tile").agg(*[f(c) for f in (F.min, F.max) for c in ("rx", "ry")]).collect()
+            boxes = {t: (np.array(e[:2]), np.array(e[2:])) for t, *e in ends}
+
+            def others(batches):
+                for b in batches:
+                    xy = np.column_stack([b.column(c).to_numpy() for c in ("x", "y")])
+                    home, far = b.column("tile").to_numpy(), b.column("d2").to_numpy()
+                    for leaf, rows in tiles.reached(plan, boxes, xy, far, np.arange(len(xy))):
+                        rows = rows[home[rows] != leaf]
+                        if len(rows):
+                            part = b.take(pa.array(rows))
+                            yield pa.record_batch([part.column(point_id), part.column("x"), part.column("y"), pa.array(np.full(len(rows), leaf, np.int32))], names=[point_id, "x", "y", "tile"])
+
+            asked = own.mapInArrow(others, own.select(point_id, "x", "y", "tile").schema)
+            found.append(_looked_up(cut(asked), near, point_id).select(point_id, "d2", "r"))
+    best = F.min(F.struct("d2", "r")).alias("best")
+    return reduce(DataFrame.unionByName, found).groupBy(point_id).agg(best).select(point_id, F.col("best.r").alias(rank), F.sqrt("best.d2").alias("distance"))
 
 
 def nearest_per_anchor(points: DataFrame, anchors: DataFrame, keys: Names, most: float, order: Names) -> DataFrame:

@@ -64,3 +64,27 @@ def test_lap_clock_rounds_what_is_stored(spark):
     values = [0.0, 0.125, 0.375, 9.994999, 19.845, 59.995, 59.9951, 60.0, 83.155, 227.845, 250.125, 403.675, None]
     got = [r.c for r in spark.createDataFrame([(v,) for v in values], "x double").select(lap_clock(F.col("x")).alias("c")).collect()]
     assert got == [None if v is None else f"{int(v // 60)}:{v - 60 * (v // 60):05.2f}" for v in values]
+
+
+def test_nearest_takes_any_density_copies_and_what_is_not_finite(spark, monkeypatch):
+    """Tiles are cut where the ruler is dense, its copies are one place, a far point has its hit, and what is not finite keeps its row, as in the SQL."""
+    import numpy as np
+
+    from lapwing.operators import tiles
+
+    rng, inf = np.random.default_rng(8), float("inf")
+    dense = np.r_[rng.normal(0, 1e-4, (3000, 2)), rng.normal(5, 1, (60, 2)), np.round(rng.uniform(-3, 3, (300, 2)))]
+    pts = np.r_[rng.normal(0, 1e-4, (400, 2)), rng.uniform(-9, 9, (300, 2)), np.round(rng.uniform(-3, 3, (100, 2))) + 0.5, [[1e13, 0.0]]]
+    far = ((pts[:, None, :] - dense) ** 2).sum(axis=2)
+    d2, at = tiles.closest(pts, dense)
+    assert np.array_equal(at, far.argmin(axis=1)) and np.array_equal(d2, far.min(axis=1))
+    monkeypatch.setattr(joins, "TILE", 100)
+    monkeypatch.setattr(joins, "TAKEN", 50)
+    ruler = [(i, float(x), float(y)) for i, (x, y) in enumerate(dense)] + [(90000 + i, 0.0, 0.0) for i in range(500)] + [(-1, inf, 0.0), (-2, float("nan"), 0.0), (-3, None, 0.0)]
+    points = [(i, float(x), float(y)) for i, (x, y) in enumerate(pts)] + [(-1, inf, 0.0), (-2, float("nan"), 1.0), (-3, None, 1.0)]
+    ask = lambda r: {x.id: (x.r, x.distance) for x in joins.nearest(spark.createDataFrame(points, "id int, x double, y double"), spark.createDataFrame(r, "r int, x double, y double"), 0.1, "id", "r").collect()}
+    got = ask(ruler)
+    want = {i: (int(k), float(np.sqrt(far[i, k]))) for i, k in enumerate(far.argmin(axis=1))}
+    assert {k: v for k, v in got.items() if k >= 0} == want
+    assert got.keys() == want.keys() | {-1, -2} and got[-1] == (0, inf) and got[-2][0] == -2 and np.isnan(got[-2][1])
+    assert ask([(7, inf, 0.0)])[5] == (7, inf) and ask([]) == {}
