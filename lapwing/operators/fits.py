@@ -2,64 +2,88 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from lapwing.functions.expressions import MAD_SCALE
-from lapwing.functions.lineage import cut
-from lapwing.operators.robust import exact_quantiles, with_group
-from lapwing.operators.trajectory import middle, total
+from lapwing.functions.lineage import cut, grown
+from lapwing.operators.robust import BOUNDS, exact_quantiles, with_group
 
 #: Fixed values of a session's fit: Huber's constant, most rounds, least rows.
 HUBER, ROUNDS, LEAST = 1.345, 20, 12
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
+#: Numbers in a matrix of sessions that are fitted together.
+CELLS = 1 << 18
 
 
 def _finite(c: str) -> Column:
     return F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c)) < float("inf"))
 
 
+def _solved(w: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(p, q) of a weighted fit for each row of the matrices; the shortest one where a and b are one direction, 0 where they are 0."""
+    aa, ab, bb, ay, by = ((w * u * v).sum(axis=1) for u, v in ((a, a), (a, b), (b, b), (a, y), (b, y)))
+    det, trace = aa * bb - ab * ab, aa + bb
+    full = det > 1e-12 * trace * trace
+    below = np.where(full, det, np.where(trace == 0, 1.0, trace * trace))
+    return np.where(full, bb * ay - ab * by, aa * ay + ab * by) / below, np.where(full, aa * by - ab * ay, ab * ay + bb * by) / below
+
+
+def _fitted(y: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(p, q, n) of sessions that lie one after the other, ``n`` points each. Sessions of like length are fitted together, as rows of matrices."""
+    starts, p, q = np.cumsum(n) - n, np.zeros(len(n)), np.zeros(len(n))
+    order = np.argsort(n, kind="stable")
+    at = 0
+    while at < len(order):
+        width = min(2 * int(n[order[at]]), int(n[order[-1]]))  # at most half of a matrix is empty
+        some = order[at : at + max(1, CELLS // max(width, 1))]
+        some = some[n[some] <= width]
+        at += len(some)
+        size, column = n[some], np.arange(width)
+        held = column < size[:, None]
+        places = np.where(held, starts[some][:, None] + column, 0)
+        m = [np.where(held, c[places], 0.0) for c in (y, a, b)]
+        row = np.arange(len(some))
+
+        def middle(z: np.ndarray) -> np.ndarray:
+            z = np.sort(np.where(held, z, np.inf), axis=1)
+            return (z[row, (size - 1) // 2] + z[row, size // 2]) / 2
+
+        u, v = _solved(held.astype(float), *m)
+        live = np.ones(len(some), dtype=bool)
+        for _ in range(rounds - 1):
+            left = m[0] - u[:, None] * m[1] - v[:, None] * m[2]
+            bound = HUBER * MAD_SCALE * middle(np.abs(left - middle(left)[:, None]))
+            live &= ~(bound <= 0)
+            if not live.any():
+                break
+            away = np.abs(left)
+            over = away > bound[:, None]
+            u_, v_ = _solved(np.where(over, bound[:, None] / np.where(over, away, 1.0), 1.0) * held, *m)
+            u, v = np.where(live, u_, u), np.where(live, v_, v)
+        p[some], q[some] = u, v
+    return p, q, n
+
+
 def huber_fits(rows: DataFrame, session: list[str], y: str, a: str, b: str, rounds: int = ROUNDS, least: int = LEAST) -> DataFrame:
     """(session, p, q, n): y = p a + q b by weighted least squares, reweighted up to ``rounds`` times by Huber's rule on the robust scale of the residuals.
 
     Sessions with fewer than ``least`` finite rows have none; a scale of 0 ends a session's rounds. Where a and b are one direction,
-    the shortest solution is taken. A session's rows, some hundred sections, are gathered and fitted by array expressions.
+    the shortest solution is taken. A session's rows, some hundred sections, are gathered; sessions are fitted many at a time in Arrow batches.
     """
     point = F.struct(*[F.col(c).cast("double").alias(n) for c, n in ((y, "y"), (a, "a"), (b, "b"))])
     own = rows.where(_finite(y) & _finite(a) & _finite(b)).groupBy(*session).agg(F.array_sort(F.collect_list(point)).alias("__p")).where(F.size("__p") >= least)
-    p = F.col("__p")
 
-    def solved(w: Column) -> Column:
-        s = lambda f: total(F.zip_with(p, w, lambda x, u: u * f(x)))
-        sums = F.struct(s(lambda x: x["a"] * x["a"]).alias("aa"), s(lambda x: x["a"] * x["b"]).alias("ab"), s(lambda x: x["b"] * x["b"]).alias("bb"), s(lambda x: x["a"] * x["y"]).alias("ay"), s(lambda x: x["b"] * x["y"]).alias("by"))
+    def fit(batches):
+        for batch in batches:
+            points = batch.column("__p")
+            p, q, n = _fitted(*[c.to_numpy() for c in points.flatten().flatten()], pc.list_value_length(points).to_numpy(), rounds)
+            yield pa.record_batch([*[batch.column(c) for c in session], pa.array(p), pa.array(q), pa.array(n, pa.int32())], names=[*session, "p", "q", "n"])
 
-        def solution(m: Column) -> Column:
-            det, trace = m["aa"] * m["bb"] - m["ab"] * m["ab"], m["aa"] + m["bb"]
-            full = det > 1e-12 * trace * trace
-            u = F.when(full, (m["bb"] * m["ay"] - m["ab"] * m["by"]) / det).otherwise((m["aa"] * m["ay"] + m["ab"] * m["by"]) / (trace * trace))
-            v = F.when(full, (m["aa"] * m["by"] - m["ab"] * m["ay"]) / det).otherwise((m["ab"] * m["ay"] + m["bb"] * m["by"]) / (trace * trace))
-            return F.struct(F.coalesce(u, F.lit(0.0)).alias("p"), F.coalesce(v, F.lit(0.0)).alias("q"), F.lit(False).alias("done"))
-
-        return _let(sums, solution)
-
-    def step(acc: Column, _: Column) -> Column:
-        residuals = F.transform(p, lambda x: x["y"] - acc["p"] * x["a"] - acc["q"] * x["b"])
-        scale = lambda r: MAD_SCALE * _let(middle(r), lambda m: middle(F.transform(r, lambda z: F.abs(z - m))))
-        weights = lambda r, s: F.transform(r, lambda z: F.when(F.abs(z) > HUBER * s, HUBER * s / F.abs(z)).otherwise(1.0))
-        ended = F.struct(acc["p"].alias("p"), acc["q"].alias("q"), F.lit(True).alias("done"))
-        nxt = _let(residuals, lambda r: _let(scale(r), lambda s: F.when(s > 0, solved(weights(r, s))).otherwise(ended)))
-        return F.when(acc["done"], acc).otherwise(nxt)
-
-    start = solved(F.transform(p, lambda x: F.lit(1.0)))
-    fit = F.aggregate(F.sequence(F.lit(1), F.lit(max(rounds - 1, 1))), start, step) if rounds > 1 else start
-    out = own.withColumn("__f", fit)
-    return out.select(*session, F.col("__f.p").alias("p"), F.col("__f.q").alias("q"), F.size("__p").alias("n"))
+    return own.mapInArrow(fit, StructType([*own.select(*session).schema, StructField("p", DoubleType()), StructField("q", DoubleType()), StructField("n", IntegerType())]))
 
 
 def accel_calibration(features: DataFrame, session: list[str], gravity: float) -> DataFrame:
@@ -72,14 +96,19 @@ def accel_calibration(features: DataFrame, session: list[str], gravity: float) -
 JOINT_ROUNDS, SETTLED, REFERENCE_LEAST = 100, 0.005, 20
 
 
-def residual_references(rows: DataFrame, corner: list[str], value: str, least: int = REFERENCE_LEAST) -> DataFrame:
+def _with_few(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with a cut table of a row per corner or track: told to all where they are few, so that no corner's rows become one task's."""
+    return with_group(df, F.broadcast(stats) if stats.count() <= BOUNDS else stats, keys)
+
+
+def residual_references(rows: DataFrame, corner: list[str], value: str, least: int = REFERENCE_LEAST, mid: DataFrame | None = None) -> DataFrame:
     """(corner, offset, tol, n): the median to 0.01, and the 99th percentile of distances from it, up to the next 0.1, of finite values.
 
-    Corners with fewer than ``least`` have none. Groups may be of any size: order statistics are narrowed by counting.
+    Corners with fewer than ``least`` have none. Groups may be of any size: order statistics are narrowed by counting. ``mid`` (corner, __m): the medians, where they are known.
     """
     x = rows.where(_finite(value)).select(*corner, F.col(value).cast("double").alias("__x"))
-    mid = cut(exact_quantiles(x, corner, "__x", [0.5], "__m").withColumn("__m", F.col("__m")[0]))
-    away = with_group(x, mid, corner).select(*corner, F.abs(F.col("__x") - F.col("__m")).alias("__away"))
+    mid = cut(exact_quantiles(x, corner, "__x", [0.5], "__m").withColumn("__m", F.col("__m")[0])) if mid is None else mid
+    away = _with_few(x, mid, corner).select(*corner, F.abs(F.col("__x") - F.col("__m")).alias("__away"))
     far = exact_quantiles(away, corner, "__away", [0.99], "__p").withColumn("__p", F.col("__p")[0])
     out = with_group(with_group(away.groupBy(*corner).agg(F.count("*").alias("n")).where(F.col("n") >= least), mid, corner), far, corner)
     return out.select(*corner, F.round("__m", 2).alias("offset"), (F.ceil(F.col("__p") * 10 - 1e-9) / 10).alias("tol"), "n")
@@ -108,14 +137,14 @@ def joint_references(rows: DataFrame, track: list[str], session: list[str], corn
     refs, done = offsets(rows, "__y"), 0
     while True:
         done += 1
-        left = with_group(rows.where("__fit"), refs, place).withColumn("__left", F.col("__y") - F.col("__o"))
+        left = _with_few(rows.where("__fit"), refs, place).withColumn("__left", F.col("__y") - F.col("__o"))
         fit = cut(_centred(cut(huber_fits(left, [*dict.fromkeys([*track, *session])], "__left", "__a", "__b")), track, ("p", "q")))
-        left = with_group(rows.where("__clean"), fit.drop("n"), [*dict.fromkeys([*track, *session])]).withColumn("__rest", F.col("__y") - F.col("p") * F.col("__a") - F.col("q") * F.col("__b"))
+        left = with_group(rows.where("__clean"), grown(fit.drop("n")), [*dict.fromkeys([*track, *session])]).withColumn("__rest", F.col("__y") - F.col("p") * F.col("__a") - F.col("q") * F.col("__b"))
         new = offsets(left, "__rest")
         moved = with_group(new, refs.withColumnRenamed("__o", "__old"), place).agg(F.max(F.coalesce(F.abs(F.col("__o") - F.col("__old")), F.lit(float("inf"))))).first()[0]
         refs = new
         if moved is None or moved <= settled or done >= rounds:
-            return residual_references(left, place, "__rest", least), fit, done
+            return residual_references(cut(left.select(*place, "__rest")), place, "__rest", least, new.withColumnRenamed("__o", "__m")), fit, done
 
 
 def accel_references(features: DataFrame, track: list[str], session: list[str], gravity: float, fits: Column, clean: Column, **how) -> tuple[DataFrame, DataFrame]:
