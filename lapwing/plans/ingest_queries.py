@@ -15,6 +15,8 @@ from lapwing.streaming.ingest import ingest
 QUERIES: dict = {}
 ORACLES: dict = {}
 
+#: Numbers in the names of the logs made here: no dates, and as many digits as users have.
+_NUMBERS = r"Log-([^/.]+)"
 _VALUES = {"t": "t", "lap": "lap", "speed_mph_gps": "gps", "speed_mph": "v", "long_g": "long_g", "lat_g": "lat_g"}
 
 
@@ -32,10 +34,10 @@ def log_files(samples: DataFrame, folder: str) -> None:
 def incremental_ingest(spark, d):
     """Status of each log in the second run, when every other session is known, with the samples that are stored of it."""
     at = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
-    e = drive(spark, d)
+    e = drive(spark, d).where("k is not null")
     log_files(e, f"{at}/all")
-    ingest(spark, f"{at}/all/file=*[02468]/*", "ring", f"{at}/out").count()
-    status = ingest(spark, f"{at}/all/*/*", "ring", f"{at}/out")
+    ingest(spark, f"{at}/all/file=*[02468]/*", "ring", f"{at}/out", session=_NUMBERS).count()
+    status = ingest(spark, f"{at}/all/*/*", "ring", f"{at}/out", session=_NUMBERS)
     stored = spark.read.parquet(f"{at}/out/samples").groupBy("session_id").agg(F.count("*").alias("rows"), F.round(F.max("dist_m"), 2).alias("dist_m"))
     laps = spark.read.parquet(f"{at}/out/session_meta").select("session_id", "n_laps", "n_clean_laps", "has_obd")
     return status.join(stored, "session_id", "left").join(laps, "session_id", "left")

@@ -25,8 +25,8 @@ SESSION = r"Log-(\d{8}-\d{6})"
 KEYS, ORDER = ["track", "session_id"], ["t", "row_id"]
 
 
-def session_of(path):
-    return F.regexp_extract(path, SESSION, 1)
+def session_of(path, pattern: str = SESSION):
+    return F.regexp_extract(path, pattern, 1)
 
 
 def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -48,7 +48,7 @@ def headers(raw: DataFrame) -> DataFrame:
     return out.select(session_of("path").alias("session_id"), "vehicle", F.when(F.col("end").isNotNull(), spot(F.col("end"))).alias("end_point"), "split_points")
 
 
-def samples(spark: SparkSession, paths: str | list[str], track: str) -> tuple[DataFrame, DataFrame]:
+def samples(spark: SparkSession, paths: str | list[str], track: str, session: str = SESSION) -> tuple[DataFrame, DataFrame]:
     """(raw samples, rejects). Files differ in their columns, so each file's own header row names its cells.
 
     A file without a session id in its name, or without a required column, is a reject with a
@@ -57,7 +57,7 @@ def samples(spark: SparkSession, paths: str | list[str], track: str) -> tuple[Da
     raw = lines(spark, paths).where(~F.col("line").startswith("#"))
     cells = raw.select("path", "n", F.split("line", ",").alias("cells"))
     top = cells.groupBy("path").agg(F.min_by("cells", "n").alias("names"), F.min("n").alias("top"))
-    top = top.withColumn("names", F.transform("names", lambda c: F.trim(c))).withColumn("session_id", session_of("path"))
+    top = top.withColumn("names", F.transform("names", lambda c: F.trim(c))).withColumn("session_id", session_of("path", session))
     names = {new: old for old, (new, _) in CANONICAL.items()}
     missing = F.array_compact(F.array(*[F.when(~F.array_contains("names", names[c]), F.lit(c)) for c in REQUIRED]))
     top = top.withColumn("reason", F.when(F.col("session_id") == "", "no session id in the name").when(F.size(missing) > 0, F.concat(F.lit("missing: "), F.array_join(missing, ", "))))

@@ -12,14 +12,14 @@ from lapwing.sources import ledger, logs
 TABLES = ("samples", "laps", "session_meta")
 
 
-def ingest(spark: SparkSession, paths: str | list[str], track: str, out: str, lap_length: float | DataFrame | None = None, force: bool = False, excluded: DataFrame | None = None, gps_lag: bool = True) -> DataFrame:
+def ingest(spark: SparkSession, paths: str | list[str], track: str, out: str, lap_length: float | DataFrame | None = None, force: bool = False, excluded: DataFrame | None = None, gps_lag: bool = True, session: str = logs.SESSION) -> DataFrame:
     """Normalizes files into ``out`` (samples, laps, session_meta) and returns (session_id, status, reason) of each.
 
     Known sessions are skipped unless forced, and a bad file rejects itself only. ``excluded`` (session_id) are left out, and those
     of them that were ingested before are retracted, whether or not their file is among ``paths``. Receivers' lags are found and taken off,
-    if ``gps_lag``. A batch commits its sessions and retractions together, after its data are written; one that broke off is run again.
+    if ``gps_lag``. ``session`` is the pattern of an id in a log's name. A batch commits its sessions and retractions together, after its data are written; one that broke off is run again.
     """
-    raw, rejects = logs.samples(spark, paths, track)
+    raw, rejects = logs.samples(spark, paths, track, session)
     ids = raw.select("session_id", "has_obd").distinct()
     status = ids.withColumn("status", F.when(F.col("has_obd"), "ok").otherwise("gpsonly"))
     known = ledger.live(spark, out).where(F.col("track") == track)
