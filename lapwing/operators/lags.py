@@ -181,7 +181,7 @@ def ladder(laps: DataFrame, session: Names, lap: str) -> DataFrame:
     edge = (F.count("*").over(w) >= 3) & ((F.col(lap) == F.min(lap).over(w)) | (F.col(lap) == F.max(lap).over(w)))
     marked = laps.withColumn("__own", F.coalesce(F.col("origin").isin("lap", "accel") & ~edge, F.lit(False)))
     middle = marked.where("__own").groupBy(*session).agg(F.median("lag").alias("__mid"))
-    met = marked.join(middle, list(session), "left")
+    met = marked.join(grown(middle), list(session), "left")
     own, mid = F.col("__own"), F.col("__mid")
     return met.select(*session, lap, F.when(own, F.col("lag")).otherwise(F.coalesce(mid, F.lit(DEFAULT))).alias("lag"), F.when(own, F.col("r")).alias("r"), F.when(own, F.col("origin")).when(mid.isNotNull(), "session").otherwise("default").alias("origin"))
 
@@ -204,9 +204,9 @@ def session_lags(samples: DataFrame, session: Names, lap: str, t: str, tie: str,
     own = cut(ladder(speed_lags(samples, keys, [t, tie], t, obd_mph, gps_mph, long_g), session, lap))
     inner = (F.count("*").over(w) < 3) | ((F.col(lap) > F.min(lap).over(w)) & (F.col(lap) < F.max(lap).over(w)))
     fit = spans.withColumn("__in", inner).where(F.col("__in") & (F.col("__obd") > 0) & (F.col("rows") >= ROWS) & (F.col("slow") <= SLOW)).select(*keys)
-    rows = samples.join(fit, keys, "left_semi")
+    rows = samples.join(grown(fit), keys, "left_semi")
     whole = Window.partitionBy(*keys)
     x, y = to_xy(F.col(lat), F.col(lon), F.avg(lat).over(whole), F.avg(lon).over(whole))
     paths = path_lag(rows.select(*keys, t, tie, x.alias("__px"), y.alias("__py"), (F.col(obd_mph) * MPH).alias("__pv")), keys, t, tie, "__px", "__py", "__pv")
-    met = spans.join(own.select(*keys, F.col("lag").alias("speed_lag"), F.col("origin").alias("speed_origin")), keys).join(paths.select(*keys, F.col("lag").alias("path_lag")), keys, "left")
-    return spans.select(*keys, "mid").join(own, keys), session_position_lag(met, session, lap)
+    met = spans.join(grown(own.select(*keys, F.col("lag").alias("speed_lag"), F.col("origin").alias("speed_origin"))), keys).join(grown(paths.select(*keys, F.col("lag").alias("path_lag"))), keys, "left")
+    return spans.select(*keys, "mid").join(grown(own), keys), session_position_lag(met, session, lap)

@@ -1,4 +1,4 @@
-"""Events written as log files, and ingested in two runs."""
+"""Events written as logs, and ingested in two runs."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lapwing.functions.lineage import shared_folder
+from lapwing.functions.lineage import grown, shared_folder
 from lapwing.plans.tables import DRIVE, drive
 from lapwing.sources import logs
 from lapwing.streaming.ingest import ingest
@@ -20,27 +20,27 @@ _NUMBERS = r"Log-([^/.]+)"
 _VALUES = {"t": "t", "lap": "lap", "speed_mph_gps": "gps", "speed_mph": "v", "long_g": "long_g", "lat_g": "lat_g"}
 
 
-def log_files(samples: DataFrame, folder: str) -> None:
-    """A log per session, a header line and a line per sample; some without engine bus, some without a required column."""
-    d = samples.withColumns({"file": F.format_string("Log-2024%04d-%06d", F.col("k"), F.col("k")), "lap": F.floor((F.col("n") - 1) / 25), "bad": F.col("k") % 7 == 5})
+def log_table(samples: DataFrame) -> DataFrame:
+    """(path, value): a log per session, a header line and a line per sample; some without engine bus, some without a required column."""
+    d = samples.withColumns({"lap": F.floor((F.col("n") - 1) / 25), "bad": F.col("k") % 7 == 5})
     columns = [(raw, new) for raw, (new, _) in logs.CANONICAL.items()]
     shown = lambda new: ~((F.col("bad") & F.lit(new == "gps_accuracy_m")) | (~F.col("obd") & F.lit(new in logs.OBD)))
-    line = lambda cell: F.array_join(F.array_compact(F.array(*[F.when(shown(new), cell(raw, new)) for raw, new in columns])), ",")
-    head = d.where("n = 1").select("file", F.lit(0).alias("n"), line(lambda raw, new: F.lit(raw)).alias("value"))
-    body = d.select("file", "n", line(lambda raw, new: F.col(_VALUES[new]).cast("string") if new in _VALUES else F.lit("1")).alias("value"))
-    head.unionByName(body).repartition("file").sortWithinPartitions("file", "n").select("file", "value").write.partitionBy("file").text(folder)
+    line = lambda cell: F.concat_ws(",", *[F.when(shown(new), F.coalesce(cell(raw, new), F.lit(""))) for raw, new in columns])
+    body = d.select("k", "bad", "obd", F.struct("n", line(lambda raw, new: F.col(_VALUES[new]).cast("string") if new in _VALUES else F.lit("1")).alias("line")).alias("at"))
+    whole = body.groupBy("k", "bad", "obd").agg(F.sort_array(F.collect_list("at"))["line"].alias("lines"))
+    return whole.select(F.format_string("Log-2024%04d-%06d.csv", F.col("k"), F.col("k")).alias("path"), F.array_join(F.concat(F.array(line(lambda raw, new: F.lit(raw))), "lines"), "\n").alias("value"))
 
 
 def incremental_ingest(spark, d):
     """Status of each log in the second run, when every other session is known, with the samples that are stored of it."""
     at = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
-    e = drive(spark, d).where("k is not null")
-    log_files(e, f"{at}/all")
-    ingest(spark, f"{at}/all/file=*[02468]/*", "ring", f"{at}/out", session=_NUMBERS).count()
-    status = ingest(spark, f"{at}/all/*/*", "ring", f"{at}/out", session=_NUMBERS)
+    log_table(drive(spark, d).where("k is not null")).write.parquet(f"{at}/logs")
+    log = spark.read.parquet(f"{at}/logs")
+    ingest(spark, log.where(F.col("path").rlike(r"[02468]\.csv$")), "ring", f"{at}/out", session=_NUMBERS).count()
+    status = ingest(spark, log, "ring", f"{at}/out", session=_NUMBERS)
     stored = spark.read.parquet(f"{at}/out/samples").groupBy("session_id").agg(F.count("*").alias("rows"), F.round(F.max("dist_m"), 2).alias("dist_m"))
     laps = spark.read.parquet(f"{at}/out/session_meta").select("session_id", "n_laps", "n_clean_laps", "has_obd")
-    return status.join(stored, "session_id", "left").join(laps, "session_id", "left")
+    return status.join(grown(stored), "session_id", "left").join(grown(laps), "session_id", "left")
 
 
 QUERIES["incremental_ingest"] = incremental_ingest

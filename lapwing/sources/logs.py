@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapwing.functions.expressions import MPH
-from lapwing.functions.lineage import cut
+from lapwing.functions.lineage import cut, grown
 from lapwing.operators import alignment, lags, sequence as seq
 from lapwing.sources.tracks import with_lap_length
 
@@ -29,10 +29,18 @@ def session_of(path, pattern: str = SESSION):
     return F.regexp_extract(path, pattern, 1)
 
 
-def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, n, line): the lines of logs; n orders the lines of a file. Files are read whole, a file to a task."""
-    text = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return text.select("path", F.posexplode(F.split("value", r"\r?\n")).alias("n", "line")).where(F.trim("line") != "")
+def texts(spark: SparkSession, source: str | list[str] | DataFrame, session: str = SESSION) -> DataFrame:
+    """(path, session_id, value): logs whole, a log to a row; ``source`` is a table (path, value) or the paths of files.
+
+    The driver lists files, so that what it holds grows with their number: logs by the hundred thousand belong in a table.
+    """
+    whole = source if isinstance(source, DataFrame) else spark.read.text(source, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    return whole.select("path", session_of("path", session).alias("session_id"), "value")
+
+
+def lines(spark: SparkSession, source: str | list[str] | DataFrame) -> DataFrame:
+    """(path, n, line): the lines of logs; n orders the lines of a log."""
+    return texts(spark, source).select("path", F.posexplode(F.split("value", r"\r?\n")).alias("n", "line")).where(F.trim("line") != "")
 
 
 def headers(raw: DataFrame) -> DataFrame:
@@ -48,25 +56,37 @@ def headers(raw: DataFrame) -> DataFrame:
     return out.select(session_of("path").alias("session_id"), "vehicle", F.when(F.col("end").isNotNull(), spot(F.col("end"))).alias("end_point"), "split_points")
 
 
-def samples(spark: SparkSession, paths: str | list[str], track: str, session: str = SESSION) -> tuple[DataFrame, DataFrame]:
-    """(raw samples, rejects). Files differ in their columns, so each file's own header row names its cells.
+def told(line: Column) -> Column:
+    """Whether a log's line is neither blank nor a comment."""
+    return (F.trim(line) != "") & ~line.startswith("#")
+
 
-    A file without a session id in its name, or without a required column, is a reject with a
-    reason; missing OBD columns become nulls and ``has_obd`` false.
+def heads(logs: DataFrame) -> DataFrame:
+    """(path, session_id, lines, head, names, rows, reason, has_obd) of ``texts``: the first line that is told names the cells of the other ``rows``.
+
+    A log without a session id in its name, or without a required column, is a reject with a reason; one without OBD columns has none.
+    A log without a line that is told has neither names nor reason. No log meets another one: nothing is shuffled.
     """
-    raw = lines(spark, paths).where(~F.col("line").startswith("#"))
-    cells = raw.select("path", "n", F.split("line", ",").alias("cells"))
-    top = cells.groupBy("path").agg(F.min_by("cells", "n").alias("names"), F.min("n").alias("top"))
-    top = top.withColumn("names", F.transform("names", lambda c: F.trim(c))).withColumn("session_id", session_of("path", session))
+    logs = logs.select("path", "session_id", F.split("value", r"\r?\n").alias("lines")).withColumn("__told", F.filter("lines", told))
+    logs = logs.withColumns({"head": F.get("__told", F.lit(0)), "rows": F.size("__told") - 1}).drop("__told")
+    logs = logs.withColumn("names", F.transform(F.split("head", ","), lambda c: F.trim(c)))
     names = {new: old for old, (new, _) in CANONICAL.items()}
     missing = F.array_compact(F.array(*[F.when(~F.array_contains("names", names[c]), F.lit(c)) for c in REQUIRED]))
-    top = top.withColumn("reason", F.when(F.col("session_id") == "", "no session id in the name").when(F.size(missing) > 0, F.concat(F.lit("missing: "), F.array_join(missing, ", "))))
-    top = cut(top.withColumn("has_obd", F.forall(F.array(*[F.lit(names[c]) for c in OBD]), lambda c: F.array_contains("names", c))))  # files are read once for it
-    good = top.where("reason is null").select("path", "names", "top", "session_id", "has_obd")
-    rows = cells.join(good, "path").where("n > top")
-    value = lambda old, kind: F.try_element_at("cells", F.nullif(F.array_position("names", old).cast("int"), F.lit(0))).try_cast("double").cast(kind)
-    out = rows.select(F.lit(track).alias("track"), "session_id", F.col("n").cast("long").alias("row_id"), "has_obd", *[F.when(~F.isnan(v), v).otherwise(F.lit(None)).alias(new) if kind == "double" else v.alias(new) for old, (new, kind) in CANONICAL.items() for v in [value(old, kind)]])
-    return out, top.where("reason is not null").select("path", "session_id", "reason")
+    reason = F.when(F.col("session_id") == "", "no session id in the name").when(F.size(missing) > 0, F.concat(F.lit("missing: "), F.array_join(missing, ", ")))
+    return logs.withColumns({"reason": F.when(F.col("rows") >= 0, reason), "has_obd": F.forall(F.array(*[F.lit(names[c]) for c in OBD]), lambda c: F.array_contains("names", c))})
+
+
+def samples(logs: DataFrame, track: str) -> DataFrame:
+    """Raw samples of ``heads``, none of rejects. Logs differ in their columns, so each log's own names say which cell is which; missing columns are null."""
+    places = F.array(*[F.nullif(F.array_position("names", old).cast("int"), F.lit(0)) for old in CANONICAL])
+    # a condition here and not a filter, which would take the logs apart once more for each of its names
+    lines = F.when(F.col("reason").isNull() & (F.col("rows") > 0), F.col("lines"))
+    rows = logs.select("session_id", "has_obd", places.alias("places"), F.array_position("lines", F.col("head")).alias("top"), F.posexplode(lines).alias("n", "line"))
+    rows = rows.where((F.col("n") >= F.col("top")) & told(F.col("line")))
+    numbers = F.transform(F.split("line", ","), lambda c: c.try_cast("double"))
+    rows = rows.select("session_id", "has_obd", "places", "n", F.transform(numbers, lambda x: F.when(~F.isnan(x), x)).alias("numbers"))
+    value = lambda i, kind: F.try_element_at("numbers", F.get("places", F.lit(i))).try_cast(kind)
+    return rows.select(F.lit(track).alias("track"), "session_id", F.col("n").cast("long").alias("row_id"), "has_obd", *[value(i, kind).alias(new) for i, (new, kind) in enumerate(CANONICAL.values())])
 
 
 #: What a receiver reports late, as speeds and as places; version of the method.
@@ -93,7 +113,7 @@ def relocked(s: DataFrame, laps: DataFrame, sessions: DataFrame) -> DataFrame:
     """
     knots = laps.select(*KEYS, "mid", "lag")
     s = alignment.blended_lag(s, knots, KEYS, "t", "gps_lag_s")
-    s = s.join(sessions.select(*KEYS, F.col("lag").alias("gps_pos_lag_s")), KEYS, "left")
+    s = s.join(grown(sessions.select(*KEYS, F.col("lag").alias("gps_pos_lag_s"))), KEYS, "left")
     s = alignment.retime(s, KEYS, *ORDER, [(SPEEDS, "gps_lag_s"), (PLACES, "gps_pos_lag_s")])
     return s.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)).cast("float") for c in ("gps_lag_s", "gps_pos_lag_s")})
 
@@ -124,11 +144,12 @@ def lap_table(s: DataFrame, own_lags: DataFrame | None = None) -> DataFrame:
     times = seq.lap_times(s, KEYS, "lap", "t", "row_id").select(*keys, F.col("lap_time").alias("lap_time_s"))
     w = seq.Window.partitionBy(*KEYS)
     reason = F.when(F.col("lap") == F.min("lap").over(w), "warmup").when(F.col("lap") == F.max("lap").over(w), "cooldown").otherwise("")
-    laps = a.join(times, keys).withColumn("clean_reason", reason).withColumn("is_clean", F.col("clean_reason") == "")
+    laps = a.join(grown(times), keys).withColumn("clean_reason", reason).withColumn("is_clean", F.col("clean_reason") == "")
     if own_lags is None:
         return laps
     places = s.groupBy(*KEYS).agg(F.first("gps_pos_lag_s").cast("double").alias("gps_pos_lag_s"))
-    return laps.join(own_lags.select(*keys, F.col("lag").alias("gps_lag_s"), F.col("r").alias("gps_lag_corr"), F.col("origin").alias("gps_lag_source")), keys, "left").join(places, KEYS, "left")
+    own = own_lags.select(*keys, F.col("lag").alias("gps_lag_s"), F.col("r").alias("gps_lag_corr"), F.col("origin").alias("gps_lag_source"))
+    return laps.join(grown(own), keys, "left").join(grown(places), KEYS, "left")
 
 
 def lag_block(own_lags: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -136,7 +157,7 @@ def lag_block(own_lags: DataFrame, sessions: DataFrame) -> DataFrame:
     count = lambda o: F.count(F.when(F.col("origin") == o, 1)).alias(f"n_{o}")
     origins = ("lap", "session", "accel", "default", "disabled")
     counts = own_lags.groupBy(*KEYS).agg(F.round(F.median("lag"), 3).alias("session_median_s"), *[count(o) for o in origins])
-    met = counts.join(sessions.select(*KEYS, F.round("lag", 3).alias("pos_lag_s"), F.col("origin").alias("pos_lag_source"), F.col("laps").alias("pos_lag_n_laps")), KEYS, "left")
+    met = counts.join(grown(sessions.select(*KEYS, F.round("lag", 3).alias("pos_lag_s"), F.col("origin").alias("pos_lag_source"), F.col("laps").alias("pos_lag_n_laps"))), KEYS, "left")
     fixed = [F.lit(LAG_VERSION).alias("method_version"), F.lit(lags.OFFSET).alias("pos_speed_offset_s")]
     return met.select(*KEYS, F.struct(*fixed, "session_median_s", *[f"n_{o}" for o in origins], "pos_lag_s", "pos_lag_source", "pos_lag_n_laps").alias("gps_lag"))
 
@@ -147,7 +168,8 @@ def session_table(s: DataFrame, laps: DataFrame, block: DataFrame | None = None)
     l = laps.groupBy(*KEYS).agg(F.count("*").alias("n_laps"), F.count(F.when(clean, 1)).alias("n_clean_laps"), F.min_by("lap", F.when(clean, F.struct("lap_time_s", "lap"))).alias("best_lap"), F.min(F.when(clean, F.col("lap_time_s"))).alias("best_lap_time_s"))
     span = F.max("t") - F.min("t")
     m = s.groupBy(*KEYS).agg(F.when(span > 0, (F.count("*") - 1) / span).alias("sample_rate_hz"), span.alias("duration_s"), F.max("has_obd").alias("has_obd"), F.max("speed_mph").alias("speed_max_obd_mph"), F.max("rpm").alias("rpm_max"), F.min("coolant_f").alias("coolant_min_f"), F.max("coolant_f").alias("coolant_max_f"), F.min_by("iat_f", F.when(F.col("iat_f").isNotNull(), F.col("row_id"))).alias("iat_first_f"), F.max("iat_f").alias("iat_max_f"), F.max("throttle_max_observed").alias("throttle_max_observed"))
-    return l.join(m, KEYS) if block is None else l.join(m, KEYS).join(block, KEYS, "left")
+    met = l.join(grown(m), KEYS)
+    return met if block is None else met.join(grown(block), KEYS, "left")
 
 
 def write(table: DataFrame, path: str, by: list[str]) -> None:
@@ -156,6 +178,13 @@ def write(table: DataFrame, path: str, by: list[str]) -> None:
     table.repartition(tasks, *by).write.partitionBy(*by).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
 
+def write_batch(table: DataFrame, path: str, version: int) -> None:
+    """Replaces a batch, ``version``, of a track's table. Its sessions share files, sorted, each in one of them: there are as many files as tasks, not as sessions."""
+    by = ["track", "version"]
+    rows = table.withColumn("version", F.lit(version).cast("long")).repartition(*KEYS).sortWithinPartitions(*by, "session_id")
+    rows.write.partitionBy(*by).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+
+
 def notes(spark: SparkSession, path: str) -> DataFrame:
     """(session_id, exclude, flag, reference, reason) from a JSON object by session."""
     kind = "map<string,struct<exclude:boolean,flag:string,reference:boolean,reason:string>>"
